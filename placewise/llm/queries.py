@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import line_dedup, quality, sharding, simhash
+from placewise.llm import line_dedup, quality, sentencepiece_codec, sharding, simhash, token_counts
 from placewise.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "placed.shard", "placed.slot", grown)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    n_bytes = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
+    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = sentencepiece_codec.Codec.load(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), codec).drop("text")
+    decoded = sentencepiece_codec.decode(encoded, codec)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -41,6 +57,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op4_token_counts": op4_token_counts,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
