@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import line_dedup, quality, sentencepiece_codec, sharding, simhash, token_counts
-from placewise.llm._common import table
+from placewise.llm import line_dedup, quality, sentencepiece_codec, sharding, simhash, syncmers, token_counts
+from placewise.llm._common import let, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,19 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = syncmers.with_next(table(spark, sf_dir, "documents"))
+    n_chars = F.length("text")
+    half = F.floor(n_chars / 2).cast("int")
+    edited = pairs.withColumn("edited", F.concat(F.left("text", n_chars - half), F.left("next_text", half)))
+    own = F.col("found")
+    compared = let(syncmers.anchors(F.col("edited")), lambda e: F.struct(syncmers.fingerprint(e).alias("fp"), syncmers.likeness(own, e).alias("near")))
+    return edited.withColumn("e", compared).select(
+        "doc_id", n_chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), syncmers.fingerprint(own).alias("fingerprint"),
+        F.col("e.fp").alias("edited_fingerprint"), F.col("e.near").alias("near_edited"), syncmers.likeness(own, F.col("next_found")).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -61,4 +74,5 @@ QUERIES: dict[str, Query] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
 }
