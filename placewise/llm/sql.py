@@ -53,4 +53,11 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGI
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY, "op6_line_dedup": LINES}
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT html, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY html)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN g.m > p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN g.m > p.page_id THEN g.m END AS refers_to
+FROM p LEFT JOIN g ON p.html = g.html"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY, "op6_line_dedup": LINES, "op10_warc": WARC}
