@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import line_dedup, quality, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
+from placewise.llm import html_text, line_dedup, quality, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
 from placewise.llm._common import let, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "placed.shard", "placed.slot", grown)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -75,6 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op3_html_text": op3_html_text,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
