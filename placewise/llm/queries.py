@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import html_text, line_dedup, quality, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
+from placewise.llm import html_text, line_dedup, mixing, quality, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
 from placewise.llm._common import let, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.copies(docs).select("doc_id", "source", "lang", "mix.topic", "mix.tokens", F.round("mix.rate", 9).alias("rate"), (F.col("mix.copies") > 0).alias("kept"))
+
+
 def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = syncmers.with_next(table(spark, sf_dir, "documents"))
     n_chars = F.length("text")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_mixing": op8_mixing,
     "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
     "op10_warc": op10_warc,
 }
