@@ -1,0 +1,447 @@
+"""Each corpus operator against a brute-force version, and on odd input: nulls, empty and long texts, ties, repeated
+rows, empty tables, extra columns with clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import tokenizers
+import xxhash
+from pyspark.sql import functions as F
+
+from placewise.llm import html_text, line_dedup, mixing, quality, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
+from placewise.llm.components import connected_components
+from placewise.llm.cuckoo import CuckooFilter
+from placewise.llm.queries import QUERIES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [None, "", " ", "\n\n", "a", "one two three four five six seven eight nine ten", "x" * 60_000, "w " * 30_000, "é😀 漢字 \x00 \x1c z", "Same text here.\nSame text here.", "Same text here.\nSame text here."]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, first=0):
+    rows = [(first + i, t, ["en", None, "de"][i % 3], f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def table(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(table):
+    return {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+
+
+# quality rules
+
+
+def brute_quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    n = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if n[w] > 1 for j in range(i, i + 5)}
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark, table, texts):
+    more = ["a b c d e a b c d e f", "a a a a a a a a a a", "# x\n# x\n\n# x", *ODD]
+    df = docs(spark, more, 10_000).unionByName(table)
+    want = texts | {10_000 + i: t for i, t in enumerate(more)}
+    rows = df.select("doc_id", quality.verdict(F.col("text")).alias("v")).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        m = r.v.m
+        assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words) == brute_quality(want[r.doc_id]), r.doc_id
+        assert r.v.base_failed == (m.n_words < 10 or 100 * m.n_repeat_words > 20 * m.n_words)
+        assert r.v.kept == (not r.v.failed)
+
+
+def test_quality_keeps_columns_and_clean_documents(spark, table, sf_dir):
+    odd = docs(spark, ODD).withColumnsRenamed({"lang": "m", "source": "v"})
+    assert quality.keep(odd).columns == odd.columns
+    assert quality.keep(odd.limit(0)).count() == 0
+    clean = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").join(table, "doc_id").where("size(split(text, ' ')) >= 12")
+    assert quality.keep(clean).count() >= 0.95 * clean.count()
+    junk = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").join(table, "doc_id")
+    assert quality.keep(junk).count() <= 0.1 * junk.count()
+
+
+# sharding
+
+
+def test_sharding(spark):
+    df = spark.range(1003).select(F.col("id"), (F.col("id") % 7).cast("string").alias("label"), F.lit(1).alias("Placed"), F.lit(2).alias("part"))
+    rows = sharding.shuffle(df.repartition(5), 8, block_rows=40).collect()
+    at = {}
+    for r in rows:
+        at.setdefault(r["_placed"].shard, []).append(r["_placed"].slot)
+    assert sorted(r.id for r in rows) == list(range(1003))
+    assert sorted(map(len, at.values())) == [125] * 5 + [126] * 3
+    assert all(sorted(x) == list(range(len(x))) for x in at.values())
+    assert sharding.shuffle(df.limit(0), 8).count() == 0
+    assert sharding.shuffle(df.where("id < 3"), 8).count() == 3
+
+
+def test_sharding_runs_again_alike(spark):
+    df = spark.range(0, 500, 1, 4)
+    runs = [{r.id: tuple(r.placed) for r in sharding.shuffle(df, 3, seed=s).collect()} for s in (1, 1, 2)]
+    assert runs[0] == runs[1] != runs[2]
+
+
+def test_communication_matrix():
+    counts, n = [7, 0, 100, 3, 50], 160
+    total = np.zeros((5, 4))
+    for seed in range(400):
+        sizes = sharding.shard_sizes(n, 4, seed)
+        m = sharding.communication_matrix(counts, sizes, seed)
+        assert (m >= 0).all() and m.sum(1).tolist() == counts and (m.sum(0) == sizes).all()
+        total += m
+    assert np.allclose(total / 400, np.outer(counts, [0.25] * 4), atol=1.0)
+    rng = np.random.default_rng(3)
+    big = [sharding._hypergeometric(rng, 4 * 10**9, 6 * 10**9, 1000) for _ in range(500)]
+    assert abs(np.mean(big) - 400) < 4 and 12 < np.std(big) < 19
+
+
+def test_op2(spark, sf_dir, texts):
+    for r in QUERIES["op2_sharding"](spark, sf_dir).collect():
+        data = texts[r.doc_id].encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
+
+
+# html
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (None, ""), ("", ""), ("plain  text\n here", "plain text here"), ("<p>a<p>b<b>c<p>d</b> e", "a\n\nbc\n\nd e"), ("<ul><li>one<li>two<ul><li>x</ul><li>three</ul>z", "- one\n- two\n  - x\n- three\n\nz"),
+        ("<ol start=3><li>a<li>b</ol>", "3. a\n4. b"), ("<table><tr><th>Name<th>Qty<tr><td>Apple pie<td>3</table>after", "Name       Qty\nApple pie  3\n\nafter"),
+        ("<pre> a\n\n  b</pre>x<br>y", " a\n\n  b\n\nx\ny"), ("<head><title>t</title><p>vis<div hidden>no</div><i style='color:red; display : none'>no</i>", "vis"), ("<details><summary>s</summary>hid</details>", "s"),
+        ("a<!-- c --b> -->b<script>'</p>'</script>c", "abc"), ("1 &lt; 2 &amp; a<b", "1 < 2 & a<b"), ("<dl><dt>T<dd>D</dl>", "T\n  D"), ("<a href='x\">q</a> <b>r", "q r"), ("</div></p>x", "x"),
+        ("<table><tr><td rowspan=2>r<td>1<tr><td>2</table>", "r  1\n   2"), ("<select><option>a<option>b</select>", "a\nb"), ("<p>a<script>", "a"), ("x<!-- never closed", "x"),
+    ],
+)
+def test_html(source, want):
+    assert html_text.page_text(source) == want
+
+
+def test_html_all_visible_text_and_depth(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        plain = re.sub(r"(?s)<head>.*?</head>|<script.*?</script>|<!--.*?-->", " ", r.html)
+        words = html_text.html.unescape(re.sub(r"<[^>]*>", " ", plain)).split()
+        assert [w for w in html_text.page_text(r.html).split() if w != "-"] == [w for w in words if w != "-"]
+    assert html_text.page_text("<div>" * 50_000 + "deep") == "deep"
+    assert html_text.page_text("<a " * 20_000).count("<a") == 20_000
+    assert html_text.page_text("<" * 5_000) == "<" * 5_000
+
+
+def test_html_columns(spark):
+    df = spark.createDataFrame([(1, "<p>x", "t"), (2, None, None)], "page_id long, html string, text string")
+    assert [tuple(r) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, "<p>x", "t", "x"), (2, None, None, "")]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+# tokens
+
+
+def fuzz(seed, n=300):
+    rng = random.Random(seed)
+    parts = ["a", "b", "aa", "▁", " ", "  ", "\n", "é", "ΑΣ", "ß", "漢", "😀", "\x00", "\x1c", "\x85", "'s", "'ll", "123", "<|endoftext|>", "<s>", "</w>", "the", "ing", "--", " ", "　"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(n)] + [" " * k for k in range(40)] + ["-" * k for k in range(80)] + ["".join(rng.choice("ab ") for _ in range(60)) for _ in range(n)]
+
+
+def test_token_counts(spark, texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, counter = tokenizers.Tokenizer.from_file(path), token_counts.Counter.load(path)
+    rng = random.Random(7)
+    many = [*texts.values(), *fuzz(1), "".join(rng.choice("abcdefgh") for _ in range(20_000)), "a" * 3_000]
+    assert counter.counts(many) == [len(e.ids) for e in library.encode_batch(many, add_special_tokens=False)]
+    df = docs(spark, ODD).withColumn("n_tokens", F.lit("mine"))
+    rows = token_counts.count_tokens(df, path).collect()
+    assert [r["_n_tokens"] for r in rows] == [len(e.ids) for e in library.encode_batch([t or "" for t in ODD], add_special_tokens=False)]
+    assert all(r.n_tokens == "mine" for r in rows)
+    assert token_counts.count_tokens(df.limit(0), path).count() == 0
+
+
+def test_sentencepiece(spark, texts):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec.load(path)
+    rng = random.Random(8)
+    many = [*texts.values(), *fuzz(2), "".join(rng.choice("abcdefgh") for _ in range(20_000)), "a" * 3_000]
+    want = library.encode(many, add_bos=True, add_eos=True)
+    got = [codec.encode(t).tolist() for t in many]
+    assert got == want
+    assert [codec.decode(x) for x in got] == library.decode(want)
+    odd_ids = [[rng.choice([rng.randint(0, 31_999), rng.randint(0, 258), 28_705]) for _ in range(rng.randint(0, 12))] for _ in range(3_000)]
+    assert [codec.decode(x) for x in odd_ids] == [library.decode(x) for x in odd_ids]
+    df = docs(spark, ODD).withColumnsRenamed({"lang": "ids", "source": "decoded"})
+    rows = sentencepiece_codec.decode(sentencepiece_codec.encode(df, codec), codec, "_ids").collect()
+    assert [np.frombuffer(r["_ids"], "<u4").tolist() for r in rows] == library.encode([t or "" for t in ODD], add_bos=True, add_eos=True)
+    assert [r["_decoded"] for r in rows] == [t or "" for t in ODD]
+    assert sentencepiece_codec.encode(df.limit(0), codec).count() == 0
+
+
+# line dedup
+
+
+def brute_lines(texts):
+    key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate({c: c + 32 for c in range(65, 91)})
+    held = {}
+    for i, t in texts.items():
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 40:
+                held.setdefault(key(x), set()).add(i)
+    out = {}
+    for i, t in texts.items():
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (len(held.get(key(x), ())) >= 5 and max(held[key(x)]) != i)]
+        out[i] = len(lines), len(lines) - len(kept), "\n".join(kept)
+    return out
+
+
+def line_rows(df):
+    return {r.doc_id: (r.lines.n_lines, r.lines.n_dropped, r.text) for r in df.collect()}
+
+
+def some_lines(seed, n=60):
+    rng = random.Random(seed)
+    pool = [f"A Line of text number {i} that is long enough to count é" for i in range(8)] + ["short", ""]
+    return ["\n".join(" " * rng.randint(0, 2) + rng.choice(pool) for _ in range(rng.randint(0, 5))) for _ in range(n)]
+
+
+def test_line_dedup(spark, table, texts):
+    many = dict(enumerate([*some_lines(1), *ODD]))
+    got = line_rows(line_dedup.dedup(docs(spark, many.values())))
+    assert got == brute_lines(many)
+    assert sum(x[1] for x in got.values()) > 20
+    assert line_rows(line_dedup.dedup(table.select("doc_id", "text"))) == brute_lines(texts)
+
+
+def test_line_dedup_is_reversible(spark):
+    a, b = some_lines(2), some_lines(3)
+    both = dict(enumerate([*a, *b]))
+    first = line_dedup.LineIndex.build(docs(spark, a))
+    grown = first.insert(docs(spark, b, len(a)))
+    assert line_rows(grown.apply(docs(spark, [*a, *b]))) == brute_lines(both)
+    back = grown.delete(docs(spark, b, len(a)))
+    assert line_rows(back.apply(docs(spark, a))) == brute_lines(dict(enumerate(a)))
+    same = lambda x: sorted(map(tuple, x.collect()))
+    assert same(back.references.where("n_docs > 0")) == same(first.references)
+    gone = [i for i in both if i % 3 == 0]
+    less = grown.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+    left = {i: t for i, t in both.items() if i not in gone}
+    df = docs(spark, both.values()).where("doc_id % 3 <> 0")
+    assert line_rows(less.apply(df)) == brute_lines(left)
+
+
+def test_line_dedup_odd_tables(spark):
+    line = "This very line is longer than forty characters, surely"
+    df = spark.createDataFrame([(i if i else None, line, "x", 1) for i in range(6)] + [(5, line, "y", 2)], "doc_id long, text string, lines string, hi int")
+    rows = line_dedup.dedup(df).collect()
+    assert sorted((r.doc_id or 0, r["_lines"].n_dropped, r.lines) for r in rows) == [(0, 1, "x"), (1, 1, "x"), (2, 1, "x"), (3, 1, "x"), (4, 1, "x"), (5, 0, "x"), (5, 0, "y")]
+    assert line_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_cuckoo():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(-(1 << 62), 1 << 62, 5_000)
+    f = CuckooFilter(200)  # far too small: what finds no room is stashed
+    f.insert(keys[:400])
+    assert f.contains(keys[:400]).all()
+    f = CuckooFilter(5_000)
+    f.insert(keys)
+    f = CuckooFilter.from_bytes(f.to_bytes())
+    assert f.contains(keys).all() and f.contains(rng.integers(-(1 << 62), 1 << 62, 100_000)).mean() < 0.001
+    f.delete(keys[:2_500])
+    assert f.contains(keys[2_500:]).all() and f.contains(keys[:2_500]).mean() < 0.01
+    f.delete(keys[2_500:])
+    assert not f.table.any()
+
+
+# simhash
+
+
+def brute_fingerprint(text):
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(fps):
+    least = dict.fromkeys(fps)
+    ids = sorted(fps)
+    for i in ids:
+        if least[i] is None:
+            queue, least[i] = [i], i
+            while queue:
+                a = queue.pop()
+                for b in ids:
+                    if least[b] is None and (fps[a] ^ fps[b]).bit_count() <= 2:
+                        least[b] = i
+                        queue.append(b)
+    return least
+
+
+def test_simhash(spark, table, texts):
+    many = texts | {10_000 + i: t for i, t in enumerate(ODD)}
+    rows = simhash.near_duplicates(table.unionByName(docs(spark, ODD, 10_000))).collect()
+    fps = {i: brute_fingerprint(t) for i, t in many.items()}
+    assert {r.doc_id: r.fp % (1 << 64) for r in rows} == fps
+    assert {r.doc_id: r.component_id for r in rows} == brute_components(fps)
+
+
+def test_simhash_links_of_crowded_variants(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(3)] + [0, (1 << 64) - 1]
+    fps = set(base)
+    for b in base:  # clouds around a point, and chains
+        for _ in range(60):
+            fps.add(b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+        for _ in range(20):
+            b ^= (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+            fps.add(b)
+    fps = sorted(fps)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = simhash._near(spark.createDataFrame([(signed(x),) for x in fps], "fp long"))
+    labels = {r.node % (1 << 64): r.label for r in connected_components(links).collect()}
+    want = brute_components(dict(enumerate(fps)))
+    groups = {}
+    for i, x in enumerate(fps):
+        groups.setdefault(want[i], set()).add(labels.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_simhash_keeps_one(spark):
+    df = docs(spark, ["a b c d e", "A b c d e", "other words all around here", None, ""]).withColumn("kept", F.lit(1)).withColumn("fp", F.lit("x"))
+    out = simhash.keep_first(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 3]
+    assert simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (102, 100), (5, 5), (None, 1), (200, 201), (201, 200)]
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in (100, 101, 102)} | {200: 200, 201: 200}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# mixing
+
+
+def test_raking(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", float(rng.integers(1, 1000)), 1) for i in range(4) for j in range(3) for k in range(2)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double, n_docs long")
+    targets = {"source": {"s0": 1, "s1": 1, "s2": 2, "s3": 4, "gone": 9}, "lang": {"l0": 0.5, "l1": 0.3, "l2": 0.2}, "topic": {"t0": 0.6, "t1": 0.4}}
+    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, targets=targets).collect()}
+    w = np.array([r[3] for r in rows]).reshape(4, 3, 2)
+    marks = [np.array([1, 1, 2, 4]) / 8, np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])]
+    for _ in range(200):
+        for d, t in enumerate(marks):
+            other = tuple(x for x in range(3) if x != d)
+            w = w * (t / w.sum(other)).reshape([-1 if x == d else 1 for x in range(3)])
+    assert np.allclose([got[r[:3]] for r in rows], w.ravel(), atol=1e-8)
+
+
+def test_mixing_rates_and_sample(spark):
+    texts = ["word " * (1 + i % 50) for i in range(600)] + ODD
+    df = docs(spark, texts).withColumn("mix", F.lit("x")).withColumn("own", F.lit("y"))
+    mixed = mixing.copies(df).collect()
+    assert len(mixed) == len(texts) and all(0 < r["_mix"].rate <= 1 + 1e-9 for r in mixed)
+    assert max(r["_mix"].rate for r in mixed) == pytest.approx(1)
+    kept = sum(r["_mix"].copies for r in mixed)
+    assert abs(kept - sum(r["_mix"].rate for r in mixed)) < 5 * 600**0.5
+    assert mixing.sample(df).columns == df.columns and mixing.sample(df).count() == kept
+    assert mixing.copies(df.limit(0)).count() == 0
+    twice = mixing.copies(df, budget=3.0 * sum(r["_mix"].tokens for r in mixed)).collect()
+    assert sum(r["_mix"].copies for r in twice) == pytest.approx(sum(r["_mix"].rate for r in twice), rel=0.05)
+    named = mixing.copies(df, targets={"source": {"s0": 1.0}}).collect()
+    assert all((r["_mix"].copies == 0) for r in named if r.source == "s1")
+
+
+# syncmers
+
+
+def test_anchors_are_closed_and_free_of_context(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(500)}" for _ in range(400)]
+    a = " ".join(words)
+    b = "other start here " + " ".join(words[100:300]) + " other end"
+    df = docs(spark, [a, b, None, "one two", a]).select("doc_id", syncmers.anchors(F.col("text")).alias("found"))
+    got = {r.doc_id: r.found for r in df.collect()}
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in set(words)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    h = [hashes[w] for w in words]
+    pairs = {(r.a, r.b): r.g for r in spark.createDataFrame([*zip(h, h[1:])], "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("g")).distinct().collect()}
+    g = [pairs[x] for x in zip(h, h[1:])]
+    span = syncmers.K - syncmers.S
+    assert len(got[0]) == sum(min(g[i : i + span + 1]) in (g[i], g[i + span]) for i in range(len(g) - span))
+    assert len(set(got[0]) & set(got[1])) > 30 and got[0] == got[4] and got[2] == [] and len(got[3]) == 1
+    met = syncmers.shared_passages(df.where("doc_id = 1"), df.where("doc_id = 0")).orderBy(F.desc("n_anchors")).first()
+    assert met.n_anchors > 30
+
+
+def test_next_documents(spark):
+    texts = [f"text number {i}" for i in range(57)]
+    df = docs(spark, texts).withColumn("own", F.lit(1)).repartition(5)
+    for rows in (5, 1000):
+        got = {r.doc_id: r.next_text for r in syncmers.with_next(df, bucket_rows=rows).collect()}
+        assert got == {i: texts[i - 1] for i in range(57)}
+    odd = spark.createDataFrame([(None, "n"), (3, "c"), (3, "c"), (1, None)], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0), r.text, r.next_text) for r in syncmers.with_next(odd, bucket_rows=1).collect()) == [(0, "n", "c"), (1, "", "n"), (3, "c", ""), (3, "c", "c")]
+    assert syncmers.with_next(odd.limit(0)).count() == 0
+    assert [r.next_text for r in syncmers.with_next(odd.where("doc_id = 1")).collect()] == [""]
+
+
+def test_op9(spark, sf_dir, texts):
+    rows = {r.doc_id: r for r in QUERIES["op9_syncmer_fingerprints"](spark, sf_dir).collect()}
+    ids = sorted(texts, reverse=True)
+    for i, d in enumerate(ids):
+        n = len(texts[d])
+        edited = texts[d][: n - n // 2] + texts[ids[(i + 1) % len(ids)]][: n // 2]
+        assert (rows[d].n_chars, rows[d].edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
+    long = [r for r in rows.values() if r.n_chars > 500]
+    assert np.mean([r.near_edited for r in long]) > 0.25 > 0.05 > np.mean([r.near_next for r in long])
+
+
+# warc
+
+
+def test_warc_round_trip(spark):
+    big = "é<p>big page</p>" * 5_000
+    rows = [(1, "http://a/ b\n", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "u", "x" * 1000), (None, "u", big), (7, "u", "x" * 1000), (8, "u", "\r\n\r\nWARC/1.1" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("q"))
+    got = warc.round_trip(pages).collect()
+    html = {1: big, 2: big, 3: "small", 4: "small", 5: "", 6: "", 7: "x" * 1000, 8: rows[-1][2], None: big}
+    assert len(got) == len(rows)
+    for r in got:
+        data = html[r.page_id].encode()
+        assert (r.n_bytes, r.digest) == (len(data), hashlib.sha1(data).hexdigest())
+        assert (r.record_type, r.refers_to) == (("revisit", 2) if r.page_id == 1 else ("response", None))
+        assert r.payload == (None if r.page_id == 1 else data)
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_segments_must_be_whole():
+    data = b"payload" * 10_000
+    members = [warc.parse(__import__("gzip").decompress(m)) for m in warc.records(1, "u", data, hashlib.sha1(data).hexdigest(), None)]
+    rows = [warc._row(m) for m in members]
+    (batch,) = warc._reassembled([warc._table(rows)])
+    assert warc.payload_of(batch.column(8)[0].as_py()) == (data, len(data))
+    for bad in (rows[:-1], rows[1:], [rows[0], rows[0], *rows[1:]], [*rows[:2], *rows[3:]]):
+        with pytest.raises(ValueError):
+            list(warc._reassembled([warc._table(bad)]))
+    assert warc.dechunked(b"3;ext=1\r\nabc\r\n0\r\nTrailer: x\r\n\r\n") == b"abc"
+    assert warc.dechunked(warc.chunked(data, 7)) == data
