@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 #: Longest texts kept, by use.
 REVIEW_CHARS, BATCH_CHARS, VERIFIER_CHARS, GUARDRAIL_CHARS = 800, 350, 150, 120
 
+#: White space of any kind, as characters and as the inside of a regular expression's class.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends (trim takes spaces only)."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def or_default(value: Column, default: object, empty: object = "") -> Column:
@@ -21,7 +25,7 @@ def or_default(value: Column, default: object, empty: object = "") -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words, split at white space of any kind."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([^\s\x1c-\x1f]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"[^{WHITE_CLASS}]+"), F.lit(0))
 
 
 def word_set(text: Column) -> Column:

@@ -3,7 +3,7 @@
 That is the first maximal independent set of the likeness graph in order of pos; neither an anti-join nor connected
 components give it. `greedy` finds it without collecting a place:
 
-1. rows with equal word sets collapse to the first (later ones share its fate or are dropped by it);
+1. rows with equal word sets (words as 64-bit hashes) collapse to the first (later ones share its fate or are dropped by it);
 2. a prefix-filtered join finds the pairs that can be alike: with words in order of rarity, two sets whose likeness
    exceeds the threshold share a word among the first n - ceil(threshold * n) + 1 of each (Bayardo et al., 2007);
 3. rounds settle rows from both sides: a row is kept when all its earlier partners are dropped, and dropped when one
@@ -64,8 +64,9 @@ def _kept_checkpoint(df: DataFrame) -> DataFrame:
 
 def greedy(reviews: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(place_id, pos) of the rows kept."""
-    keyed = reviews.select("place_id", "pos", F.sort_array(word_set(F.col("text"))).alias("words"))
-    key = F.when(F.size("words") == 0, F.array(F.col("pos").cast("string"))).otherwise(F.col("words"))
+    hashed = F.transform(word_set(F.col("text")), lambda w: F.xxhash64(w))  # long keys sort and join faster than words
+    keyed = reviews.select("place_id", "pos", F.sort_array(hashed).alias("words"))
+    key = F.when(F.size("words") == 0, F.array(F.col("pos").cast("long"))).otherwise(F.col("words"))
     first = keyed.groupBy("place_id", key.alias("key"), "words").agg(F.min("pos").alias("pos")).select("place_id", "pos", "words")
     first = _kept_checkpoint(first)
     pairs = _kept_checkpoint(alike_pairs(first, threshold))
