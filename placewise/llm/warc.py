@@ -276,6 +276,5 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages to a new shared folder and reads them back (see read)."""
     folder = shared_path(pages.sparkSession, "warc")
-    folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
     write(pages, folder)
     return read(pages.sparkSession, folder)
