@@ -43,9 +43,19 @@ def usable_reviews(raw: DataFrame) -> DataFrame:
     )
 
 
-def renumbered(reviews: DataFrame) -> DataFrame:
-    """pos without gaps from 1 in each place, in the order of the old one."""
-    return reviews.withColumn("pos", F.row_number().over(Window.partitionBy("place_id").orderBy("pos")))
+def renumbered(reviews: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """pos without gaps from 1 in each place, in the order of the old one.
+
+    Numbers run within blocks of the old positions, on top of the counts of earlier blocks, so that a place with a
+    large share of all reviews is many tasks.
+    """
+    rows = reviews.withColumn("__block", F.floor(F.col("pos") / block))
+    counts = rows.groupBy("place_id", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("place_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("place_id", "__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    within = F.row_number().over(Window.partitionBy("place_id", "__block").orderBy("pos"))
+    joined = rows.withColumn("__rank", within).join(counts, ["place_id", "__block"])
+    return joined.withColumn("pos", (F.col("__base") + F.col("__rank")).cast("int")).select(*reviews.columns)
 
 
 def review_id(pos: Column) -> Column:

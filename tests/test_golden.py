@@ -74,6 +74,12 @@ def test_usable_reviews(spark):
     assert (row.author, row.rating, len(row.text), row.text[:3], row.date, row.likes) == ("Anonymous", 3.0, 800, "okx", None, 0)
 
 
+def test_numbers_run_over_blocks(spark):
+    df = spark.createDataFrame([(p, i) for p in "ab" for i in range(1, 60, 3)], "place_id string, pos int")
+    rows = sorted(map(tuple, R.renumbered(df, block=7).collect()))
+    assert rows == [(p, i) for p in "ab" for i in range(1, 21)]
+
+
 def test_best_place_takes_the_first_of_equals(spark):
     df = spark.createDataFrame([("q", 1, "a", 5), ("q", 2, "b", 5), ("q", 3, "c", None)], "q string, ord int, name string, reviewsCount int")
     assert [r.name for r in R.best_places(df, "q", "ord").collect()] == ["a"]
