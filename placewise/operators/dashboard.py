@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewise.functions.text import joined, one_decimal, percent
+from placewise.functions.text import ellipsis, joined, one_decimal, percent
 from placewise.sources.schemas import ASPECT_NAMES, CATEGORY_ICONS, DEFAULT_ICON
 
 SCORE_PARTS = {"sentiment_comp": "Sentiment", "rating_comp": "Google Rating", "trust_comp": "Trust", "consistency_comp": "Consistency"}
@@ -118,3 +118,27 @@ def dangling_evidence(ids: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def analyst_note(*parts: Column) -> Column:
     return joined(" ", *parts)
+
+
+def suggestion_grid(suggestions: DataFrame, most: int = 6) -> DataFrame:
+    """Suggestions (rank from 1) as buttons in two columns, with labels cut."""
+    shown = suggestions.where(F.col("rank") <= most)
+    return shown.select("query", F.floor((F.col("rank") - 1) / 2).cast("int").alias("row"), ((F.col("rank") - 1) % 2).alias("col"), ellipsis(F.col("display_name"), 34, 31).alias("label"))
+
+
+def model_info(infos: DataFrame) -> DataFrame:
+    """The models of a report, from a map with new or old keys."""
+    at = lambda *keys: F.coalesce(*(F.element_at("info", F.lit(k)) for k in keys), F.lit("—"))
+    return infos.select("place_id", at("model_a", "sentiment_model").alias("analyst"), at("model_b", "verifier_model").alias("verifier"), at("verdict_model", "model_a").alias("explainer"))
+
+
+def raw_table(reviews: DataFrame) -> DataFrame:
+    return reviews.orderBy("place_id", "pos")
+
+
+def non_empty(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows, as of contradictions or missing evidence, in which some of the columns isn't blank."""
+    filled = F.lit(False)
+    for c in columns:
+        filled = filled | (F.coalesce(c, F.lit("")) != "")
+    return rows.where(filled)

@@ -49,3 +49,24 @@ def verified_facts(places: DataFrame) -> DataFrame:
         F.when(F.size(n) > 0, F.concat(F.lit("Top critical customer mentions: "), listed(n, 3), F.lit("."))),
     ))
     return places.select("place_id", F.posexplode(facts).alias("at", "fact")).select("place_id", (F.col("at") + 1).alias("fact_no"), "fact")
+
+
+def sentiment_context(places: DataFrame) -> DataFrame:
+    """What the guardrail annotator is shown of a place's sentiment: ten and eight keywords, five themes."""
+    return places.select("place_id", F.slice("positive_keywords", 1, 10).alias("positive_keywords"), F.slice("negative_keywords", 1, 8).alias("negative_keywords"), F.slice("themes", 1, 5).alias("themes"))
+
+
+def with_defaults(guardrails: DataFrame, place_ids: DataFrame) -> DataFrame:
+    """A guardrail row for each place; those without one have nulls, which the scorer's defaults replace."""
+    return place_ids.select("place_id").join(guardrails, "place_id", "left")
+
+
+def trimmed_concerns(concerns: DataFrame, most: int = 4) -> DataFrame:
+    """concerns (place_id, ord from 0, ...): the first four of each place, evidence cut to 80 characters."""
+    return concerns.where(F.col("ord") < most).withColumn("evidence", F.substring("evidence", 1, 80))
+
+
+def listing(rows: DataFrame) -> DataFrame:
+    """Positives and concerns as shown: rows without evidence are dropped, a missing severity is Minor."""
+    severity = F.when(F.col("polarity") == "negative", F.coalesce(F.nullif("severity", F.lit("")), F.lit("Minor")))
+    return rows.where(F.coalesce("evidence", F.lit("")) != "").withColumn("severity", severity)

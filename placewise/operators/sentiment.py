@@ -77,3 +77,9 @@ def merge_themes(themes: DataFrame, order: Column) -> DataFrame:
 def merge_firsts(batches: DataFrame, *columns: str) -> DataFrame:
     """For each place the first filled value, in order of batch, of each column."""
     return batches.groupBy("place_id").agg(*(first_filled(F.col(c), F.col("batch")).alias(c) for c in columns))
+
+
+def batch_extras(batches: DataFrame, *columns: str) -> DataFrame:
+    """Columns that only a place's single batch can give: with several batches they are null."""
+    single = F.count(F.lit(1)) == 1
+    return batches.groupBy("place_id").agg(*(F.when(single, F.first(c)).alias(c) for c in columns))

@@ -37,6 +37,14 @@ CATEGORIES = """
 REQUESTS = """
 ('https://example.org/p', '', 1.5, 2.5), ('place_id:abc', 'Bonn', 1.5, 2.5), ('PLACE_ID:x', NULL, NULL, NULL), ('Blue Cafe, Bonn', 'bonn', 50.75, 7.25), ('Old Mill a/b & c', 'Ulm', 0.0, 7.0), ('Zoo', 'Ulm', NULL, 3.5), ('A very long name of a place in town', 'Town', 10.5, 20.5)
 """
+#: (short, full)
+EXPANSIONS = """
+('https://example.org/p', 'https://example.org/place/long'), ('Zoo', ''), ('other', 'https://example.org/o')
+"""
+#: (place_id, key, value)
+MODELS = """
+('1', 'model_a', 'big'), ('1', 'model_b', 'check'), ('2', 'sentiment_model', 'old'), ('2', 'verdict_model', 'say'), ('3', 'x', 'y')
+"""
 #: (id, raw)
 ANSWERS = """
 (1, '{"k": "v"}'), (2, '<think>no {"k": 1}</think> {"k": "v2"}'), (3, 'Here: {"k": "v3"} bye'), (4, '{"k": "v4", "l": [1, 2'), (5, '{"k": "v5'), (6, 'none'), (7, '```json
@@ -79,6 +87,15 @@ def requests(spark: SparkSession) -> DataFrame:
     return rows.withColumns({"lat": F.col("lat").cast("double"), "lon": F.col("lon").cast("double")})
 
 
+def expansions(spark: SparkSession) -> DataFrame:
+    return _values(spark, EXPANSIONS, "short, full")
+
+
+def models(spark: SparkSession) -> DataFrame:
+    rows = _values(spark, MODELS, "place_id, key, value").groupBy("place_id")
+    return rows.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("info"))
+
+
 def answers(spark: SparkSession) -> DataFrame:
     return _values(spark, ANSWERS, "id, raw").withColumn("id", F.col("id").cast("long"))
 

@@ -280,4 +280,21 @@ SELECT query, kind, CASE WHEN kind = 'map' THEN 'https://www.google.com/maps/sea
   CASE WHEN length(query) > 32 THEN left(query, 29) || '…' ELSE query END AS label FROM (VALUES {X.REQUESTS}) t(query, city, lat, lon)""",
     "json_repair": """SELECT CAST(id AS BIGINT) AS id, k, parsed FROM (VALUES (1, 'v', true), (2, 'v2', true), (3, 'v3', true), (4, 'v4', true), (5, 'v5', true), (6, NULL, false), (7, 'v7', true), (8, '{"m":"v8"}', true), (9, NULL, true), (10, NULL, false)) t(id, k, parsed)
 UNION ALL SELECT event_id + 1000, json_extract_string(props, '$.k'), true FROM events""",
+    "url_expansion": f"""WITH q AS (SELECT coalesce(nullif(e.full_url, ''), r.query) AS query, lat, lon FROM (VALUES {X.REQUESTS}) r(query, city, lat, lon) LEFT JOIN (VALUES {X.EXPANSIONS}) e(short, full_url) ON trim(r.query) = e.short),
+k AS (SELECT query, CASE WHEN starts_with(query, 'http') THEN 'url' WHEN starts_with(lower(query), 'place_id:') THEN 'place_id' WHEN coalesce(lat, 0) <> 0 AND coalesce(lon, 0) <> 0 THEN 'map' ELSE 'search' END AS kind FROM q)
+SELECT query, kind, CASE WHEN kind IN ('url', 'place_id') THEN 1 WHEN kind = 'map' THEN 3 ELSE 5 END AS max_places FROM k""",
+    "sentiment_context": f"""WITH {_REV}, w AS (SELECT place_id, pos, unnest(range(1, 4)) AS k, {_WORDS} AS w FROM rev),
+kw AS (SELECT place_id, keyword, row_number() OVER (PARTITION BY place_id ORDER BY f) AS o FROM (SELECT place_id, w[k] AS keyword, min(pos * 10 + k) AS f FROM w WHERE k <= len(w) GROUP BY ALL))
+SELECT place_id, string_agg(keyword, '|' ORDER BY o) FILTER (WHERE o <= 10) AS positive_keywords, string_agg(keyword, '|' ORDER BY o) FILTER (WHERE o <= 8) AS negative_keywords, string_agg(keyword, '|' ORDER BY o) FILTER (WHERE o <= 5) AS themes FROM kw GROUP BY 1""",
+    "trimmed_concerns": f"""WITH {_POINTS} SELECT place_id, ord, coalesce(nullif(aspect, ''), CASE WHEN contains(coalesce(claim, ''), ' - ') THEN split_part(claim, ' - ', 1) ELSE left(coalesce(claim, ''), 35) END) AS aspect,
+  left(coalesce(claim, ''), 80) AS evidence, CASE WHEN ord = 0 THEN 'Moderate' ELSE 'Minor' END AS severity FROM points WHERE polarity = 'negative' AND ord < 4""",
+    "evidence_listing": f"WITH {_POINTS} SELECT place_id, polarity, ord, claim AS evidence, CASE WHEN polarity = 'negative' THEN CASE WHEN ord = 0 THEN 'Moderate' ELSE 'Minor' END END AS severity FROM points WHERE coalesce(claim, '') <> ''",
+    "batch_extras": f"""WITH {_BATCHES} SELECT place_id, CASE WHEN count(*) = 1 THEN 'tone ' || CASE WHEN any_value(s) > 0 THEN 'Positive' ELSE 'Mixed' END END AS emotional_tone FROM batches WHERE batch = 0 OR place_id % 2 = 0 GROUP BY 1""",
+    "model_info": f"""WITH m AS (SELECT place_id, map_from_entries(list({{'k': key, 'v': value}})) AS i FROM (VALUES {X.MODELS}) t(place_id, key, value) GROUP BY 1)
+SELECT place_id, coalesce(i['model_a'], i['sentiment_model'], '—') AS analyst, coalesce(i['model_b'], i['verifier_model'], '—') AS verifier, coalesce(i['verdict_model'], i['model_a'], '—') AS explainer FROM m""",
+    "verification_summary": f"SELECT place_id, coalesce(verification_status, 'PASS') AS verification_status, CAST(coalesce(accuracy, 0.94) AS DOUBLE) AS accuracy FROM (VALUES {X.VERIFICATIONS}) t(place_id, verification_status, status, accuracy, hallucination_detected)",
 }
+ORACLE_SQL["suggestion_grid"] = (
+    "SELECT query, CAST((rank - 1) // 2 AS INTEGER) AS row, (rank - 1) % 2 AS col, CASE WHEN length(display_name) > 34 THEN left(display_name, 31) || '…' ELSE display_name END AS label "
+    f"FROM ({ORACLE_SQL['place_suggestions']}) WHERE rank <= 6"
+)

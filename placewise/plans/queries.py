@@ -403,6 +403,45 @@ def theme_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("place_id", dashboard.theme_polarity(c("overall_sentiment")).alias("polarity"), dashboard.trend_icon(trend).alias("icon"))
 
 
+def url_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.route_requests(readers.expand_urls(fixtures.requests(spark), fixtures.expansions(spark))).select("query", "kind", "max_places")
+
+
+def sentiment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda n: F.transform(F.sort_array(F.collect_list(F.when(c("ord") <= n, F.struct("ord", "keyword")))), lambda x: x["keyword"])
+    places = keyword_union(spark, sf_dir).where("ord <= 12").groupBy("place_id").agg(words(12).alias("positive_keywords"), words(9).alias("negative_keywords"), words(7).alias("themes"))
+    rows = guardrail.sentiment_context(places)
+    return rows.select("place_id", *(F.array_join(n, "|").alias(n) for n in ("positive_keywords", "negative_keywords", "themes")))
+
+
+def trimmed_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = guardrail.points_as_evidence(fixtures.points(spark)).where("polarity = 'negative'")
+    return guardrail.trimmed_concerns(rows).select("place_id", "ord", "aspect", "evidence", "severity")
+
+
+def evidence_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = guardrail.points_as_evidence(fixtures.points(spark)).withColumn("severity", F.when(c("ord") == 0, c("severity")))
+    return guardrail.listing(rows).select("place_id", "polarity", "ord", "evidence", "severity")
+
+
+def batch_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of users' events cut at a value, so that some have a single batch."""
+    rows = event_batches(spark, sf_dir).where("batch = 0 or place_id % 2 = 0")
+    return sentiment.batch_extras(rows.withColumn("emotional_tone", F.concat(F.lit("tone "), c("overall_sentiment"))), "emotional_tone")
+
+
+def suggestion_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.suggestion_grid(place_suggestions(spark, sf_dir))
+
+
+def model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.model_info(fixtures.models(spark))
+
+
+def verification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.verification_summary(fixtures.verifications(spark))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -412,5 +451,6 @@ QUERIES: dict[str, Query] = {
         corrected_keywords, correction_concerns, correction_badges, trust_component, recency_component, score_unpivot, report_text, fallback_positives, fallback_concerns, point_evidence, evidence_lines,
         verified_facts, verification_defaults, verification_banner, verification_observations, place_suggestions, city_suggestions, geocode_city, category_icon, category_icon_fixture, subtype_tags,
         credibility_table, report_cache_fresh, source_routing, query_text, json_repair, place_badges, guardrail_cards, pros_and_cons, theme_classes,
+        url_expansion, sentiment_context, trimmed_concerns, evidence_listing, batch_extras, suggestion_grid, model_info, verification_summary,
     )
 }

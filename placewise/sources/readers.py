@@ -38,6 +38,13 @@ def route_requests(requests: DataFrame) -> DataFrame:
     )
 
 
+def expand_urls(requests: DataFrame, expansions: DataFrame) -> DataFrame:
+    """requests with each query that expansions (short, full) knows replaced by its full URL."""
+    known = expansions.select(F.trim("short").alias("__short"), "full").dropDuplicates(["__short"])
+    joined = requests.join(known, F.trim(requests["query"]) == known["__short"], "left")
+    return joined.withColumn("query", F.coalesce(F.nullif("full", F.lit("")), "query")).drop("__short", "full")
+
+
 def fresh_reports(reports: DataFrame, wanted: DataFrame, now: Column, days: int = CACHE_DAYS) -> DataFrame:
     """The latest report not older than so many days for each wanted query; reports: slug, generated_at, report."""
     recent = reports.where(F.col("generated_at") > now - F.make_interval(days=F.lit(days)))
