@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import codecs
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +35,7 @@ from placewise.llm._common import fresh
 
 SPACE = "▁"
 #: Entries of a worker's dictionaries of parts and of pairs, and the length of parts worth remembering.
-REMEMBER = 200_000
+REMEMBER = 150_000
 SHORT = 48
 
 NEVER = float("-inf")
@@ -76,7 +75,8 @@ class Codec:
     unk: int
     firsts: dict[str, Growth]  # of a token: its first symbols, and the score at which each is merged on
     lasts: dict[str, Growth]
-    parts: dict[str, array] = field(default_factory=dict)
+    parts: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)  # what parts held before it was full
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     @classmethod
@@ -103,7 +103,7 @@ class Codec:
         )
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k in ("pieces", "scores", "ids", "byte_ids", "bos", "eos", "unk", "firsts", "lasts")} | {"parts": {}, "pairs": {}}
+        return {k: v for k, v in self.__dict__.items() if k in ("pieces", "scores", "ids", "byte_ids", "bos", "eos", "unk", "firsts", "lasts")} | {"parts": {}, "older": {}, "pairs": {}}
 
     def _build(self) -> None:
         self.automaton = ahocorasick.Automaton()
@@ -113,6 +113,8 @@ class Codec:
         spanned = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         breaks = "" if any("\n" in p and len(p) > 1 for p in self.ids) else "\n"
         self.cut = re.compile("(?s).+" if spanned else f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + ("|\n" if breaks else "")).findall
+        self.packed = {p: i.to_bytes(4, "little") for p, i in self.ids.items()} | {self.pieces[i]: i.to_bytes(4, "little") for i in self.byte_ids}
+        self.ends = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little")
         self.surface = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for b, i in enumerate(self.byte_ids):
             self.surface[i] = bytes([b])
@@ -122,7 +124,7 @@ class Codec:
     def _compatible(self, left: str, right: str) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > REMEMBER:
+            if len(self.pairs) > 2 * REMEMBER:
                 self.pairs.clear()
             known = self.pairs[left, right] = not self._crossed(left, right)
         return known
@@ -139,43 +141,47 @@ class Codec:
 
     def tokens(self, part: str) -> list[str]:
         """The tokens of a text between two places that no token spans."""
-        last: list[str | None] = [None] * (len(part) + 1)
+        last: list[str | None] = [None] * len(part)  # of the prefix that ends with each character
+        known = self.pairs.get
         for end, token in self.automaton.iter(part):
-            end += 1
             if last[end] is None:
-                start = end - len(token)
-                if not start or self._compatible(last[start] or part[start - 1], token):
+                before = end - len(token)
+                if before < 0:
                     last[end] = token
-        out, at = [], len(part)
-        while at:
-            token = last[at] or part[at - 1]  # a character without a piece
+                else:
+                    left = last[before] or part[before]  # a character without a piece stands for itself
+                    fits = known((left, token))
+                    if self._compatible(left, token) if fits is None else fits:
+                        last[end] = token
+        out, at = [], len(part) - 1
+        while at >= 0:
+            token = last[at] or part[at]
             out.append(token)
             at -= len(token)
-        return out[::-1]
-
-    def _part_ids(self, part: str) -> array:
-        out = array("I")
-        for token in self.tokens(part):
-            known = self.ids.get(token)
-            out.extend([known] if known is not None else (self.byte_ids[b] for b in token.encode()))
+        out.reverse()
         return out
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids with begin and end, as unsigned 32-bit integers."""
+    def _part_ids(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            packed = self.packed
+            ids = b"".join([packed.get(t) or b"".join(packed[f"<0x{b:02X}>"] for b in t.encode()) for t in self.tokens(part)])
+        if len(part) <= SHORT:
+            if len(self.parts) >= REMEMBER:
+                self.older, self.parts = self.parts, {}
+            self.parts[part] = ids
+        return ids
+
+    def pack(self, text: str | None) -> bytes:
+        """The ids with begin and end, as little-endian unsigned 32-bit integers."""
         if not hasattr(self, "cut"):
             self._build()
-        if len(self.parts) > REMEMBER:
-            self.parts.clear()
-        out, known = array("I", [self.bos]), self.parts
-        for part in self.cut(SPACE + text.replace(" ", SPACE)) if text else ():
-            ids = known.get(part)
-            if ids is None:
-                ids = self._part_ids(part)
-                if len(part) <= SHORT:
-                    known[part] = ids
-            out += ids
-        out.append(self.eos)
-        return np.frombuffer(out, np.uint32)
+        known, make = self.parts.get, self._part_ids
+        parts = self.cut(SPACE + text.replace(" ", SPACE)) if text else ()
+        return self.ends[0] + b"".join([known(p) or make(p) for p in parts]) + self.ends[1]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.pack(text), "<u4")
 
     def decode(self, ids: Iterable[int]) -> str:
         if not hasattr(self, "cut"):
@@ -209,7 +215,7 @@ class _Packed:
     codec: Codec
 
     def pack(self, text: str | None) -> bytes:
-        return self.codec.encode(text).astype("<u4").tobytes()
+        return self.codec.pack(text)
 
     def unpack(self, ids: bytes | None) -> str:
         return self.codec.decode(np.frombuffer(ids or b"", "<u4").tolist())
