@@ -32,6 +32,7 @@ from placewise.llm.components import connected_components
 DISTANCE = 2
 SHINGLE = 3
 SEED = 42
+HOT = 1000
 _CHUNK = 1 << 15
 _HALF = 32
 
@@ -98,13 +99,17 @@ def _near(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; component_id: the smallest doc_id that links reach."""
     found = cut(fingerprints(docs, size))
-    nodes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     linked = connected_components(_near(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    linked = cut(linked.join(nodes, "fp"))
+    linked = cut(linked.join(nodes.drop("n"), "fp"))
     least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     named = linked.join(least, "label").select("fp", "component_id")
-    per_fp = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return found.join(per_fp, "fp").select("doc_id", "fp", "component_id")
+    per_fp = nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    # fewer than HOT fingerprints can have more than a share of 1 / HOT of all rows: those are broadcast, the rest joined
+    hot = F.col("n") * HOT > found.count()
+    common = F.broadcast(per_fp.where(hot).drop("n"))
+    rest = found.join(common, "fp", "left_anti").join(per_fp.where(~hot).drop("n"), "fp")
+    return found.join(common, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
