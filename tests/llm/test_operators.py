@@ -372,6 +372,16 @@ def test_mixing_rates_and_sample(spark):
     assert all((r["_mix"].copies == 0) for r in named if r.source == "s1")
 
 
+@pytest.mark.parametrize("tiny", ["word " * 300, "", None])
+def test_mixing_keeps_the_bulk_beside_a_tiny_source(spark, tiny):
+    rows = [(i, "word " * 200, "en", "hot" if i % 10 else "cool") for i in range(5000)] + [(5000, tiny, "en", None)]
+    mixed = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    rate = {r.source: r.mix.rate for r in mixed}
+    assert sum(r.mix.copies for r in mixed) > 2500 and max(rate.values()) == pytest.approx(1) and rate[None] == 1
+    # the others keep the proportion of their targets
+    assert rate["cool"] / rate["hot"] == pytest.approx(9 ** (1 - mixing.TEMPER["source"]))
+
+
 # syncmers
 
 
