@@ -9,7 +9,7 @@ The fingerprint is the sequence of chosen hashes in text order; the likeness of
 anchors they share over the number in either. `shared_passages` matches anchors by position.
 
 Defined results: a null or word-less text has no anchors, and two texts without any are alike (1.0); a text of fewer
-than K tokens has its whole sequence as its only anchor; repeated rows have equal fingerprints. The next document is
+than K tokens, or without any closed syncmer, has its whole sequence as its only anchor; repeated rows have equal fingerprints. The next document is
 the next lower doc_id (nulls after all others), of equal ids the one with the next lower (hash of) text; after the
 last comes the first, so a single document is its own next.
 """
@@ -51,7 +51,7 @@ def anchors(text: Column) -> Column:
 
     def of(h: Column) -> Column:
         whole = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))
-        return F.when(F.size(h) < K, whole).otherwise(chosen(h))
+        return let(F.when(F.size(h) < K, whole).otherwise(chosen(h)), lambda a: F.when(F.size(a) > 0, a).otherwise(whole))
 
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^{WHITE}]{{1,{TOKEN_CHARS}}}"), F.lit(0))
     return let(F.transform(tokens, lambda w: F.xxhash64(w)), of)

@@ -403,6 +403,16 @@ def test_anchors_are_closed_and_free_of_context(spark):
     assert met.n_anchors > 30
 
 
+def test_only_texts_without_words_have_no_anchors(spark):
+    texts = [" ".join(f"w{n}x{i}x{j}" for j in range(n)) for n in range(1, 14) for i in range(30)]
+    found = docs(spark, [*texts, "", " "]).select("doc_id", syncmers.anchors(F.col("text")).alias("found"))
+    got = {r.doc_id: tuple(r.found) for r in found.collect()}
+    assert all(got[i] for i in range(len(texts))) and got[len(texts)] == got[len(texts) + 1] == ()
+    assert len({got[i] for i in range(len(texts))}) == len(texts)
+    empty = found.alias("a").crossJoin(found.alias("b")).where(f"a.doc_id between 210 and 359 and (b.doc_id between 210 and 359 or b.doc_id >= {len(texts)}) and a.doc_id <> b.doc_id")
+    assert empty.agg(F.max(syncmers.likeness(F.col("a.found"), F.col("b.found")))).first()[0] < 1
+
+
 def test_next_documents(spark):
     texts = [f"text number {i}" for i in range(57)]
     df = docs(spark, texts).withColumn("own", F.lit(1)).repartition(5)
