@@ -1,0 +1,99 @@
+"""Near copies of Jaccard similarity 0.8 or more on sets of five-word shingles, in built-in functions only.
+
+Min-hashes find candidates: BANDS bands of ROWS each. Two texts of similarity j share a band with chance
+1 - (1 - j ** ROWS) ** BANDS, that is 0.9998 at 0.8. Each candidate's exact similarity is then computed, so no link is
+below THRESHOLD, and one document of each connected component stays.
+
+A shingle's hash is well mixed, so the element that is nearest to a random number by XOR is a random one of the set.
+
+A band value of up to FEW + 1 texts gives all their pairs. A more common one would give a quadratic number, so each of
+its texts meets only the SOME before it, in the order of its next band: in large groups a text may miss its
+links in one band, but has others in the rest. This bounds the work, and is no exact search.
+
+Defined results: words are compared with A-Z in lower case; a text of fewer than five words has its whole sequence as
+its only shingle; null and word-less texts have none and all stay; the least doc_id of a component stays (a null one
+only if all are null); texts of equal words share their fate; columns as they were.
+"""
+
+from __future__ import annotations
+
+import random
+import string
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from placewise.llm._common import WORD, cut, fresh, let
+from placewise.llm.components import connected_components
+
+THRESHOLD = 0.8
+SHINGLE = 5
+BANDS = 16
+ROWS = 4
+FEW = 8
+SOME = 2
+_rng = random.Random(42)
+_POINTS = [_rng.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+
+
+def _words(text: Column) -> Column:
+    """The hashes of a text's words."""
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.transform(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def shingles(words: Column) -> Column:
+    """The distinct hashes of shingles of an array of words' hashes."""
+    long = lambda h: F.transform(F.slice(h, 1, F.size(h) - (SHINGLE - 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, SHINGLE))))
+    of = lambda h: F.when(F.size(h) >= SHINGLE, long(h)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))
+    return F.array_distinct(let(words, of))
+
+
+def _bands(found: Column) -> Column:
+    def nearest(point: int) -> Column:
+        return F.array_min(F.transform(found, lambda x: x.bitwiseXOR(F.lit(point))))
+
+    least = [nearest(p) for p in _POINTS]
+    return F.array(*(F.xxhash64(*least[i : i + ROWS]) for i in range(0, len(least), ROWS)))
+
+
+def _candidates(signed: DataFrame) -> DataFrame:
+    """(a, b): pairs of keys that share a band and whose sizes allow the threshold."""
+    spread = signed.select("key", "n", F.posexplode("bands").alias("at", "band"), "bands")
+    spread = spread.select("key", "n", "at", "band", F.get("bands", (F.col("at") + 1) % BANDS).alias("next"))
+    group = Window.partitionBy("at", "band")
+    order = group.orderBy("next", "key")
+    before = [F.lag(F.struct("key", "n"), i).over(order) for i in range(1, FEW + 1)]
+    met = spread.withColumn("members", F.count(F.lit(1)).over(group)).where("members > 1")
+    met = met.withColumn("before", F.array(*before))
+    few = F.when(F.col("members") <= FEW + 1, F.col("before")).otherwise(F.slice("before", 1, SOME))
+    pairs = met.select("key", "n", F.explode(few).alias("other")).where("other is not null")
+    fits = F.least("n", "other.n") >= F.lit(THRESHOLD) * F.greatest("n", "other.n")
+    return pairs.where(fits).select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct()
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """(a, b): keys of texts (see `key`) that were found to be similar."""
+    keyed = docs.select(_words(F.col("text")).alias("words")).select(F.xxhash64("words").alias("key"), shingles(F.col("words")).alias("found")).where(F.size("found") > 0)
+    signed = cut(keyed.select("key", let(F.col("found"), lambda s: F.struct(F.size(s).alias("n"), _bands(s).alias("bands"))).alias("s")).select("key", "s.n", "s.bands").dropDuplicates(["key"]))
+    pairs = cut(_candidates(signed))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = cut(keyed.join(ends, "key", "left_semi").dropDuplicates(["key"]))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("found").alias("of_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("found").alias("of_b")), "b")
+    shared = let(F.size(F.array_intersect("of_a", "of_b")), lambda n: n >= F.lit(THRESHOLD) * (F.size("of_a") + F.size("of_b") - n))
+    return both.where(shared).select("a", "b")
+
+
+def key(text: Column) -> Column:
+    return F.xxhash64(_words(text))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs without the near copies of a document with a lower doc_id."""
+    labels = cut(connected_components(links(docs)))
+    of = fresh(docs, "key")
+    keyed = docs.withColumn(of, key(F.col("text")))
+    ids = keyed.select(F.col(of).alias("node"), F.col("doc_id").cast("long").alias("doc_id")).join(labels, "node")
+    first = ids.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("node"))
+    gone = labels.join(first, ["label", "node"], "left_anti").select(F.col("node").alias("gone"))
+    return keyed.join(gone, keyed[of] == gone["gone"], "left_anti").select(*docs.columns)

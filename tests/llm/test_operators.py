@@ -17,7 +17,8 @@ import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from placewise.llm import html_text, line_dedup, mixing, quality, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
+import corpus_pipeline
+from placewise.llm import html_text, line_dedup, mixing, near_copies, quality, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
 from placewise.llm.components import connected_components
 from placewise.llm.cuckoo import CuckooFilter
 from placewise.llm.queries import QUERIES
@@ -331,6 +332,42 @@ def test_simhash_keeps_one(spark):
     assert simhash.keep_first(df.limit(0)).count() == 0
 
 
+def test_near_copies(spark):
+    rng = random.Random(8)
+    near, texts = {}, []
+    for i in range(120):  # a text, a copy with a few words replaced, and one with many
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for swaps in (0, 3, 12):
+            copy = list(words)
+            for at in rng.sample(range(200), swaps):
+                copy[at] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    found = [frozenset(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    for g in range(0, len(texts), 3):
+        for a, b in ((g, g + 1), (g, g + 2), (g + 1, g + 2)):
+            near[a, b] = len(found[a] & found[b]) >= 0.8 * len(found[a] | found[b])
+    dropped = {b for (a, b), yes in near.items() if yes}
+    df = docs(spark, [*texts, *ODD]).withColumn("key", F.lit("x"))
+    out = near_copies.keep_first(df)
+    kept = {r.doc_id for r in out.collect()}
+    assert out.columns == df.columns and kept >= set(range(len(texts), len(texts) + len(ODD)))
+    missing = set(range(len(texts))) - kept
+    assert len(dropped) >= 100 and missing <= dropped
+    assert len(missing) >= 0.95 * len(dropped)
+    assert near_copies.keep_first(df.limit(0)).count() == 0
+
+
+def test_near_copies_beyond_two_bits_leave_the_pipeline(spark):
+    words = [f"w{i}" for i in range(300)]
+    edited = ["other" if i % 75 == 40 else w for i, w in enumerate(words)]
+    df = docs(spark, [" ".join(words), " ".join(edited)])
+    assert simhash.keep_first(df).count() == 2
+    for name, stage in corpus_pipeline.STAGES:
+        if "near" in name:
+            df = stage(spark, df, "")
+    assert [r.doc_id for r in df.collect()] == [0]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (102, 100), (5, 5), (None, 1), (200, 201), (201, 200)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
