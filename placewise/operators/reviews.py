@@ -67,9 +67,15 @@ def batch_of(pos: Column) -> Column:
 
 
 def batch_prompts(reviews: DataFrame) -> DataFrame:
-    """The annotator's input: one string for each batch of a place."""
+    """The annotator's input: one string for each batch of a place.
+
+    Fixed values: the format of an item. A line with the review's id, stars (whole ones without a decimal point) and day,
+    then the text.
+    """
     day = F.coalesce(F.substring("date", 1, 10), F.lit("None"))
-    item = F.concat(F.lit("["), review_id(F.col("pos")), F.lit("] ★"), F.col("rating").cast("int").cast("string"), F.lit(" ("), day, F.lit(") "), F.substring("text", 1, BATCH_CHARS))
+    whole = F.col("rating").cast("long")
+    stars = F.when(F.col("rating") == whole, whole.cast("string")).otherwise(F.col("rating").cast("string"))
+    item = F.concat(F.lit("["), review_id(F.col("pos")), F.lit("] ⭐"), stars, F.lit("/5  date:"), day, F.lit("\n"), F.substring("text", 1, BATCH_CHARS))
     rows = reviews.select("place_id", batch_of(F.col("pos")).alias("batch"), "pos", item.alias("item"))
     items = F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"])  # a batch has BATCH rows
     return rows.groupBy("place_id", "batch").agg(F.array_join(items, "\n---\n").alias("prompt"))

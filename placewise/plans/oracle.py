@@ -37,11 +37,15 @@ _ASPM = (
     + f""",
 found AS (
   SELECT place_id, aspect, CAST(round(CAST(avg(score) AS DECIMAL(18,9)), 2) AS DOUBLE) AS score, CAST(sum(mentions) AS BIGINT) AS mentions,
-    (min({{'batch': batch, 'm': mentions, 's': summary}}) FILTER (WHERE summary <> '')).s AS summary, list_sort(list_distinct(list(id))) AS ids
+    (min({{'batch': batch, 'm': mentions, 's': summary}}) FILTER (WHERE summary <> '')).s AS summary
   FROM asp WHERE score IS NOT NULL GROUP BY ALL),
+cited AS (
+  SELECT place_id, aspect, list(id ORDER BY seen) AS ids
+  FROM (SELECT place_id, aspect, id, min(batch) AS seen FROM asp WHERE score IS NOT NULL GROUP BY ALL) GROUP BY ALL),
 aspm AS (
-  SELECT p.place_id, a.aspect, f.score, coalesce(f.mentions, 0) AS mentions, f.summary, coalesce(f.ids, []) AS ids
-  FROM (SELECT DISTINCT place_id FROM asp) p CROSS JOIN (SELECT unnest({_ASPECT_LIST}) AS aspect) a LEFT JOIN found f ON f.place_id = p.place_id AND f.aspect = a.aspect)"""
+  SELECT p.place_id, a.aspect, f.score, coalesce(f.mentions, 0) AS mentions, f.summary, coalesce(i.ids, []) AS ids
+  FROM (SELECT DISTINCT place_id FROM asp) p CROSS JOIN (SELECT unnest({_ASPECT_LIST}) AS aspect) a LEFT JOIN found f ON f.place_id = p.place_id AND f.aspect = a.aspect
+    LEFT JOIN cited i ON i.place_id = p.place_id AND i.aspect = a.aspect)"""
 )
 _WEIGHT = "CASE aspect " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in ASPECT_WEIGHTS.items()) + " END"
 _ASPW = f"aspw AS (SELECT place_id, CAST(round(CAST(sum(score * {_WEIGHT}) / sum({_WEIGHT}) AS DECIMAL(18,9)), 2) AS DOUBLE) AS aspect_comp FROM asp WHERE score IS NOT NULL GROUP BY 1)"
@@ -81,7 +85,7 @@ _PENALTY = "CASE severity WHEN 'Major' THEN 1.5 WHEN 'Moderate' THEN 0.8 ELSE 0.
 _FINAL = ",\n".join([_REV, _ORD, _ASP, _ASPW, _MOOD, _STEADY, _RECENT, _TRUST, _CONCERNS]) + f""",
 risk AS (
   SELECT place_id, least(3.0, CAST(round(CAST(sum(p) AS DECIMAL(18,9)), 6) AS DOUBLE)) AS risk_penalty
-  FROM (SELECT source AS place_id, {_PENALTY} AS p FROM (SELECT DISTINCT source, severity FROM concerns) UNION ALL SELECT place_id, 0.3 FROM pv WHERE i % 3 = 0) GROUP BY 1),
+  FROM (SELECT source AS place_id, {_PENALTY} AS p FROM concerns UNION ALL SELECT place_id, 0.3 FROM pv WHERE i % 3 = 0) GROUP BY 1),
 parts AS (
   SELECT t.place_id, n, trust, status, accuracy, trust_comp, CAST(round(CAST((coalesce(sentiment_score, 0) + 1) / 2 * 10 AS DECIMAL(18,9)), 2) AS DOUBLE) AS sentiment_comp, coalesce(aspect_comp, 5.0) AS aspect_comp,
     CAST(round(CAST(coalesce(g.r, scraped) * 2 AS DECIMAL(18,9)), 2) AS DOUBLE) AS rating_comp, coalesce(consistency_comp, 5.0) AS consistency_comp,
@@ -195,7 +199,7 @@ listed AS (SELECT place_id, '[' || string_agg('''' || phrase || '''', ', ' ORDER
     "greedy_dedupe": f"WITH {_REV}, {_KEPT} SELECT place_id, CAST(pos AS INTEGER) AS pos FROM kept",
     "repeated_phrases": f"WITH {_REV}, {_PHRASES} SELECT * FROM phrases",
     "review_batches": f"WITH {_REV} SELECT place_id, 'r' || pos AS review_id, CAST((pos - 1) // 15 AS INTEGER) AS batch FROM rev",
-    "batch_prompts": f"""WITH {_REV}, p AS (SELECT place_id, CAST((pos - 1) // 15 AS INTEGER) AS batch, string_agg('[r' || pos || '] ★' || CAST(rating AS INTEGER) || ' (' || coalesce(left(date, 10), 'None') || ') ' || left(text, 350), chr(10) || '---' || chr(10) ORDER BY pos) AS prompt FROM rev GROUP BY ALL)
+    "batch_prompts": f"""WITH {_REV}, p AS (SELECT place_id, CAST((pos - 1) // 15 AS INTEGER) AS batch, string_agg('[r' || pos || '] ⭐' || CAST(rating AS INTEGER) || '/5  date:' || coalesce(left(date, 10), 'None') || chr(10) || left(text, 350), chr(10) || '---' || chr(10) ORDER BY pos) AS prompt FROM rev GROUP BY ALL)
 SELECT place_id, batch, CAST(length(prompt) AS INTEGER) AS n_chars, md5(prompt) AS prompt_md5 FROM p""",
     "verifier_sample": f"WITH {_REV} SELECT place_id, 'r' || pos AS id, rating, left(text, 150) AS text FROM rev WHERE pos <= 20",
     "guardrail_sample": f"WITH {_REV} SELECT place_id, 'r' || pos AS id, rating, left(text, 120) AS text FROM rev WHERE pos <= 18",
@@ -203,7 +207,16 @@ SELECT place_id, batch, CAST(length(prompt) AS INTEGER) AS n_chars, md5(prompt)
 SELECT s.place_id, s.n AS total_reviews, CAST(round(CAST(avg_rating AS DECIMAL(18,9)), 2) AS DOUBLE) AS avg_rating, CAST(round(CAST(fives / s.n AS DECIMAL(18,9)), 2) AS DOUBLE) AS five_star_pct, CAST(round(CAST(ones / s.n AS DECIMAL(18,9)), 2) AS DOUBLE) AS one_star_pct,
   CAST(round(CAST(avg_length AS DECIMAL(18,9)), 0) AS DOUBLE) AS avg_review_length, authors AS unique_authors, pairs.n AS duplicate_pairs, coalesce(p.p, '') AS repeated_phrases
 FROM stats s JOIN pairs ON pairs.place_id = s.place_id LEFT JOIN (SELECT place_id, string_agg(phrase, ' | ' ORDER BY rank) AS p FROM phrases WHERE rank <= 3 GROUP BY 1) p ON p.place_id = s.place_id""",
-    "aspect_merge": f"WITH {_ASPM} SELECT place_id, aspect, score, mentions AS reviews_mentioning, summary, CAST(len(ids) AS INTEGER) AS n_evidence FROM aspm",
+    "aspect_merge": f"WITH {_ASPM} SELECT place_id, aspect, score, mentions AS reviews_mentioning, summary, CAST(len(ids) AS INTEGER) AS n_evidence, array_to_string(ids, ',') AS ids FROM aspm",
+    "single_batch_aspects": f"""WITH own AS (
+  SELECT p_partkey - CASE WHEN p_partkey % 4 = 3 THEN 1 ELSE 0 END AS place_id, p_partkey AS batch, {_ASPECT_LIST}[p_size % 7 + 1] AS aspect, p_retailprice / 128 AS score, p_size AS mentions, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_name END AS summary, 'r' || p_size AS id FROM part),
+n AS (SELECT place_id, count(*) AS n FROM own GROUP BY 1),
+merged AS (
+  SELECT o.place_id, aspect, CASE WHEN any_value(n) = 1 THEN any_value(score) ELSE CAST(round(CAST(avg(score) AS DECIMAL(18,9)), 2) AS DOUBLE) END AS score, CAST(sum(mentions) AS BIGINT) AS reviews_mentioning,
+    CASE WHEN any_value(n) = 1 THEN any_value(summary) ELSE arg_min(summary, batch) FILTER (WHERE summary <> '') END AS summary, list(id ORDER BY batch) AS ids FROM own o JOIN n ON n.place_id = o.place_id GROUP BY ALL),
+once AS (SELECT * REPLACE (CASE WHEN len(ids) = 2 AND ids[1] = ids[2] THEN ids[1:1] ELSE ids END AS ids) FROM merged)
+SELECT p.place_id, a.aspect, score, coalesce(reviews_mentioning, 0) AS reviews_mentioning, summary, coalesce(array_to_string(ids, ','), '') AS ids
+FROM n p CROSS JOIN (SELECT unnest({_ASPECT_LIST}) AS aspect) a LEFT JOIN once o ON o.place_id = p.place_id AND o.aspect = a.aspect""",
     "trimmed_aspects": f"WITH {_ASPM} SELECT place_id, aspect, score, array_to_string(ids[1:2], ',') AS ids FROM aspm WHERE score IS NOT NULL",
     "credibility_table": f"WITH {_ASPM} SELECT place_id, {_title('aspect')} AS aspect, CASE WHEN score >= 5 THEN '✅' ELSE '❌' END AS credible, {_PCT.format('coalesce(score / 10, 0)')} AS share FROM aspm WHERE aspect <> 'accessibility'",
     "aspect_weighted_score": f"WITH {_ASP}, {_ASPW} SELECT * FROM aspw",
@@ -215,7 +228,9 @@ SELECT place_id, emotion, count(*) FILTER (WHERE e = emotion) AS n FROM n, (SELE
     "first_non_empty_quote": f"WITH {_REV} SELECT place_id, arg_min(left(text, 40), pos) FILTER (WHERE rating >= 5) AS positive_quote, arg_min(left(text, 40), pos) FILTER (WHERE rating <= 2) AS negative_quote FROM rev GROUP BY 1",
     "keyword_union": f"""WITH {_REV}, w AS (SELECT place_id, pos, unnest(range(1, 4)) AS k, {_WORDS} AS w FROM rev)
 SELECT place_id, keyword, CAST(row_number() OVER (PARTITION BY place_id ORDER BY f) AS INTEGER) AS ord FROM (SELECT place_id, w[k] AS keyword, min(pos * 10 + k) AS f FROM w WHERE k <= len(w) GROUP BY ALL)""",
-    "theme_merge": """SELECT p_brand AS place_id, p_type AS name, CAST(sum(p_size) AS BIGINT) AS frequency, arg_min(p_name, p_partkey) AS sentiment, array_to_string(list_sort(list_distinct(list('r' || (p_partkey % 7)))), ',') AS ids FROM part GROUP BY 1, 2""",
+    "theme_merge": """WITH t AS (SELECT p_brand, p_type, 'r' || (p_partkey % 7) AS id, min(p_partkey) AS seen FROM part GROUP BY ALL)
+SELECT p_brand AS place_id, p_type AS name, CAST(sum(p_size) AS BIGINT) AS frequency, arg_min(p_name, p_partkey) AS sentiment, 'Q' || arg_min(p_size, p_partkey) AS representative_quote, 'part ' || min(p_partkey) AS evidence,
+  any_value(ids) AS ids FROM part JOIN (SELECT p_brand AS b, p_type AS y, string_agg(id, ',' ORDER BY seen) AS ids FROM t GROUP BY ALL) ON b = p_brand AND y = p_type GROUP BY 1, 2""",
     "consistency_component": f"WITH {_EV}, {_STEADY} SELECT * FROM steady",
     "risk_penalty": f"""WITH {_CONCERNS} SELECT place_id, least(3.0, CAST(round(CAST(sum(p) AS DECIMAL(18,9)), 6) AS DOUBLE)) AS risk_penalty FROM (
   SELECT lang || '-' || (doc_id % 97) AS place_id, {_PENALTY} AS p FROM concerns UNION ALL SELECT lang || '-' || (doc_id % 97), 0.3 FROM concerns WHERE doc_id % 2 = 0) GROUP BY 1""",

@@ -97,7 +97,13 @@ def heuristic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aspect_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.struct("batch", "reviews_mentioning", "summary")
     merged = sentiment.merge_aspects(A.line_aspects(spark, sf_dir), order)
-    return merged.select("place_id", "aspect", "score", "reviews_mentioning", "summary", "n_evidence")
+    return merged.select("place_id", "aspect", "score", "reviews_mentioning", "summary", "n_evidence", F.array_join("evidence_review_ids", ",").alias("ids"))
+
+
+def single_batch_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part is a batch with one aspect; every fourth place has two batches, the others one."""
+    merged = sentiment.merge_aspects(A.part_aspects(spark, sf_dir), c("batch"))
+    return merged.select("place_id", "aspect", "score", "reviews_mentioning", "summary", F.array_join("evidence_review_ids", ",").alias("ids"))
 
 
 def trimmed_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,9 +148,13 @@ def keyword_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def theme_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = A.table(spark, sf_dir, "part")
-    themes = part.select(c("p_brand").alias("place_id"), c("p_partkey").alias("ord"), c("p_type").alias("name"), c("p_size").cast("long").alias("frequency"), c("p_name").alias("sentiment"), F.array(F.concat(F.lit("r"), (c("p_partkey") % 7).cast("string"))).alias("evidence_review_ids"))
+    themes = part.select(
+        c("p_brand").alias("place_id"), c("p_partkey").alias("ord"), c("p_type").alias("name"), c("p_size").cast("long").alias("frequency"), c("p_name").alias("sentiment"),
+        F.concat(F.lit("Q"), c("p_size").cast("string")).alias("representative_quote"), F.concat(F.lit("part "), c("p_partkey").cast("string")).alias("evidence"),
+        F.array(F.concat(F.lit("r"), (c("p_partkey") % 7).cast("string"))).alias("evidence_review_ids"),
+    )
     merged = sentiment.merge_themes(themes, c("ord"))
-    return merged.select("place_id", "name", "frequency", "sentiment", F.array_join("evidence_review_ids", ",").alias("ids"))
+    return merged.select("place_id", "name", "frequency", "sentiment", "representative_quote", "evidence", F.array_join("evidence_review_ids", ",").alias("ids"))
 
 
 def consistency_component(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +241,7 @@ def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     moods = sentiment_merge_label(spark, sf_dir).select(c("place_id").alias("i"), "sentiment_score")
     recent = recency_component(spark, sf_dir).select(c("place_id").alias("i"), "recency_comp")
     steady = consistency_component(spark, sf_dir).withColumnRenamed("place_id", "i")
-    concerns = label_concerns(spark, sf_dir, "source").select("place_id", "severity").distinct()
+    concerns = label_concerns(spark, sf_dir, "source").select("place_id", "severity")
     proposed = places.select("place_id", F.when(c("i") % 3 == 0, F.array(F.lit("r1"))).alias("evidence_review_ids"))
     joined = places.join(stats, "place_id").join(scoring.risk_penalty(concerns, proposed), "place_id", "left")
     for part in (google, aspects, moods, recent, steady):
@@ -446,7 +456,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         final_score, verdict_counts, review_funnel, usable_reviews, best_place, place_projection, rating_histogram, rating_integrity_flags, document_flags, short_top_rating_share,
-        near_duplicate_pairs, greedy_dedupe, repeated_phrases, review_batches, batch_prompts, verifier_sample, guardrail_sample, heuristic_stats, aspect_merge, trimmed_aspects, aspect_weighted_score,
+        near_duplicate_pairs, greedy_dedupe, repeated_phrases, review_batches, batch_prompts, verifier_sample, guardrail_sample, heuristic_stats, aspect_merge, single_batch_aspects, trimmed_aspects, aspect_weighted_score,
         sentiment_merge_label, emotion_distribution, shown_emotions, first_non_empty_quote, keyword_union, theme_merge, consistency_component, risk_penalty, corrected_aspects, corrected_sentiment,
         corrected_keywords, correction_concerns, correction_badges, trust_component, recency_component, score_unpivot, report_text, fallback_positives, fallback_concerns, point_evidence, evidence_lines,
         verified_facts, verification_defaults, verification_banner, verification_observations, place_suggestions, city_suggestions, geocode_city, category_icon, category_icon_fixture, subtype_tags,

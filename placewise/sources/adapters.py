@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placewise.operators.reviews import batch_of, renumbered
 from placewise.sources.schemas import ASPECT_NAMES
 
 
@@ -22,9 +23,8 @@ def raw_document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", label_rating().alias("stars"))
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("publishedAtDate"))
-    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    numbered = docs.select("doc_id", F.col("source").alias("place_id"), at.alias("pos"), "text")
-    joined = numbered.join(labels, "doc_id", "left").join(dates, "doc_id", "left")
+    numbered = renumbered(docs.select("doc_id", F.col("source").alias("place_id"), F.col("doc_id").alias("pos")))
+    joined = docs.select("doc_id", "text").join(numbered, "doc_id").join(labels, "doc_id", "left").join(dates, "doc_id", "left")
     name = F.concat(F.lit("u"), (F.col("doc_id") % 37).cast("string"))
     return joined.select("place_id", "pos", name.alias("name"), "stars", "text", "publishedAtDate", (F.col("doc_id") % 11).alias("likesCount"))
 
@@ -49,9 +49,19 @@ def line_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of one aspect each, of part: place_id, batch (partkey), aspect, score and more. Every fourth place has two."""
+    part = table(spark, sf_dir, "part")
+    names = F.array(*(F.lit(a) for a in ASPECT_NAMES))
+    place = F.col("p_partkey") - F.when(F.col("p_partkey") % 4 == 3, 1).otherwise(0)
+    return part.select(
+        place.alias("place_id"), F.col("p_partkey").alias("batch"), names[F.col("p_size") % 7].alias("aspect"), (F.col("p_retailprice") / 128).alias("score"), F.col("p_size").cast("long").alias("reviews_mentioning"),
+        F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_name")).alias("summary"), F.array(F.concat(F.lit("r"), F.col("p_size").cast("string"))).alias("evidence_review_ids"),
+    )
+
+
 def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review scores and emotions in batches of 15, of events: place_id (user), event_id, batch, score, emotion."""
-    events = table(spark, sf_dir, "events")
-    at = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     score = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("value") / 50 - 1))
-    return events.select(F.col("user_id").alias("place_id"), "event_id", F.floor((at - 1) / 15).cast("int").alias("batch"), score.alias("score"), F.col("event_type").alias("emotion"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("place_id"), F.col("event_id").alias("pos"), "event_id", score.alias("score"), F.col("event_type").alias("emotion"))
+    return renumbered(events).select("place_id", "event_id", batch_of(F.col("pos")).alias("batch"), "score", "emotion")
