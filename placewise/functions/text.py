@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def or_default(value: Column, default: object, empty: object = "") -> Column:
     return F.coalesce(F.nullif(value, F.lit(empty)), F.lit(default))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once for each row: an expression named inside a lambda runs for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """Lower-case words, split at white space of any kind."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"[^{WHITE_CLASS}]+"), F.lit(0))
@@ -39,10 +46,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def trigrams(text_words: Column, longer_than: int = 8) -> Column:
     """Strings of three neighbouring words, repeats included, that are longer than so many characters."""
-    n = F.size(text_words)
-    at = F.when(n >= 3, F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(at, lambda i: F.array_join(F.slice(text_words, i, F.lit(3)), " "))
-    return F.filter(grams, lambda g: F.length(g) > longer_than)
+
+    def of(w: Column) -> Column:
+        heads = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
+        return F.transform(heads, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
+
+    return F.filter(let(text_words, of), lambda g: F.length(g) > longer_than)
 
 
 def claim_aspect(claim: Column, aspect: Column | None = None) -> Column:

@@ -5,7 +5,8 @@ components give it. `greedy` finds it without collecting a place:
 
 1. rows with equal word sets (words as 64-bit hashes) collapse to the first (later ones share its fate or are dropped by it);
 2. a prefix-filtered join finds the pairs that can be alike: with words in order of rarity, two sets whose likeness
-   exceeds the threshold share a word among the first n - ceil(threshold * n) + 1 of each (Bayardo et al., 2007);
+   exceeds the threshold share a word among the first n - ceil(threshold * n) + 1 of each (Bayardo et al., 2007), and
+   enough words can follow their first common one (the positional filter);
 3. rounds settle rows from both sides: a row is kept when all its earlier partners are dropped, and dropped when one
    is kept, until none is open.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placewise.functions.session import cut
 from placewise.functions.text import jaccard, word_set
 
 THRESHOLD = 0.70
@@ -43,43 +45,35 @@ def alike_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     shared = tokens.join(rarity, ["place_id", "word"])
     alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("place_id", "pos"))
     rank = F.row_number().over(Window.partitionBy("place_id", "pos").orderBy("seen", "word")) + alone
-    prefix = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).select("place_id", "word", "pos", "n")
-    left, right = prefix.withColumnsRenamed({"pos": "a", "n": "na"}), prefix.withColumnsRenamed({"pos": "b", "n": "nb"})
+    prefix = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).select("place_id", "word", "pos", "n", "rank")
+    left, right = prefix.withColumnsRenamed({"pos": "a", "n": "na", "rank": "ra"}), prefix.withColumnsRenamed({"pos": "b", "n": "nb", "rank": "rb"})
     near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
+    # at their first common word, two sets can have only what follows it in common besides
+    near &= 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) > F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
     pairs = left.join(right, ["place_id", "word"]).where(near).select("place_id", "a", "b").distinct()
     words = lambda end: sets.select("place_id", F.col("pos").alias(end), F.col("words").alias(f"words_{end}"))
     both = pairs.join(words("a"), ["place_id", "a"]).join(words("b"), ["place_id", "b"])
     return both.where(jaccard(F.col("words_a"), F.col("words_b")) > F.lit(threshold)).select("place_id", "a", "b")
 
 
-def _kept_checkpoint(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the folder that the session names."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def greedy(reviews: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(place_id, pos) of the rows kept."""
     hashed = F.transform(word_set(F.col("text")), lambda w: F.xxhash64(w))  # long keys sort and join faster than words
     keyed = reviews.select("place_id", "pos", F.sort_array(hashed).alias("words"))
     key = F.when(F.size("words") == 0, F.array(F.col("pos").cast("long"))).otherwise(F.col("words"))
     first = keyed.groupBy("place_id", key.alias("key"), "words").agg(F.min("pos").alias("pos")).select("place_id", "pos", "words")
-    first = _kept_checkpoint(first)
-    pairs = _kept_checkpoint(alike_pairs(first, threshold))
+    first = cut(first)
+    pairs = cut(alike_pairs(first, threshold))
     open_pairs, dropped = pairs, None
     while not open_pairs.isEmpty():
         # rows that no open pair would drop are kept; what they are alike to goes, and with it all its pairs
         waiting = open_pairs.select("place_id", F.col("b").alias("a")).distinct()
         settled = open_pairs.join(waiting, ["place_id", "a"], "left_anti")
-        gone = _kept_checkpoint(settled.select("place_id", F.col("b").alias("pos")).distinct())
+        gone = cut(settled.select("place_id", F.col("b").alias("pos")).distinct())
         dropped = gone if dropped is None else dropped.unionByName(gone)
         for end in ("a", "b"):
             open_pairs = open_pairs.join(gone.withColumnRenamed("pos", end), ["place_id", end], "left_anti")
-        open_pairs = _kept_checkpoint(open_pairs)
+        open_pairs = cut(open_pairs)
     kept = first.select("place_id", "pos")
     return kept if dropped is None else kept.join(dropped, ["place_id", "pos"], "left_anti")
 
