@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from placewise.functions.session import checkpoint_dir, cut
+from placewise.functions.text import let
+
+__all__ = ["WHITE", "WORD", "cut", "fresh", "let", "shared_path", "table"]
 
 #: Words are maximal runs of characters other than these ASCII white-space characters.
 WHITE = r"\x20\x09-\x0D"
@@ -18,15 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body with its argument bound to value, which Spark then evaluates once for each row.
-
-    Optimizer rules that merge projections or push filters down copy an expression to each place that
-    names it; a lambda variable can't be copied in this way.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (Spark compares them without regard to case)."""
     taken = {c.lower() for c in df.columns}
@@ -35,27 +28,9 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = jvm.get() if jvm.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
-        if not jvm.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, with the scheme of the store that holds it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
     full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: later plans start there, whoever is lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

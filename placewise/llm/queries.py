@@ -22,11 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    sized = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = sharding.shuffle(sized, 8)
-    grown = F.lit(None).cast("int").alias("grown_shard")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "placed.shard", "placed.slot", grown)
+    rows = sharding.shuffle(table(spark, sf_dir, "documents"), 8)
+    text, placed = F.coalesce(F.col("text"), F.lit("")), rows[rows.columns[-1]]
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    return rows.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), placed["shard"].alias("shard"), placed["slot"].alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,24 +101,52 @@ def test_sharding_runs_again_alike(spark):
     assert runs[0] == runs[1] != runs[2]
 
 
+def test_sharding_odd_rows(spark):
+    df = docs(spark, [*ODD, *ODD]).withColumn("shard", F.lit("mine")).withColumn("Rank", F.lit(1)).repartition(3)
+    rows = sharding.shuffle(df, 4, block_bytes=1_000).collect()
+    assert sorted((r.doc_id, r.text or "", r["shard"]) for r in rows) == sorted((i, t or "", "mine") for i, t in enumerate([*ODD, *ODD]))
+    assert sorted(tuple(r.placed) for r in rows) == sorted((s, k) for s, n in Counter(r.placed.shard for r in rows).items() for k in range(n))
+    assert max(Counter(r.placed.shard for r in rows).values()) - min(Counter(r.placed.shard for r in rows).values()) <= 1
+    same = spark.createDataFrame([(1, "x")] * 10, "doc_id long, text string")
+    assert len({tuple(r.placed) for r in sharding.shuffle(same, 2).collect()}) == 10
+
+
+def test_sharding_is_uniform(spark):
+    """Each row is as likely in each place: over many seeds, places of a row in the first partition and one in the last."""
+    df = spark.range(0, 24, 1, 3)
+    runs = 60
+    seen = Counter((r.id, r.placed.shard, r.placed.slot) for seed in range(runs) for r in sharding.shuffle(df, 2, seed, block_rows=4).where("id in (0, 23)").collect())
+    for i in (0, 23):
+        shards = [sum(n for (x, s, _), n in seen.items() if x == i and s == k) for k in (0, 1)]
+        low = sum(n for (x, _, slot), n in seen.items() if x == i and slot < 6)
+        assert abs(shards[0] - runs / 2) < 4 * (runs / 4) ** 0.5 and abs(low - runs / 2) < 4 * (runs / 4) ** 0.5
+
+
 def test_communication_matrix():
     counts, n = [7, 0, 100, 3, 50], 160
-    total = np.zeros((5, 4))
-    for seed in range(400):
+    before = np.concatenate([[0], np.cumsum(counts)])
+    total, squares = np.zeros((5, 4)), np.zeros((5, 4))
+    for seed in range(1000):
         sizes = sharding.shard_sizes(n, 4, seed)
-        m = sharding.communication_matrix(counts, sizes, seed)
+        m = np.stack([sharding.matrix_row(before, sizes, seed, i) for i in range(5)])
         assert (m >= 0).all() and m.sum(1).tolist() == counts and (m.sum(0) == sizes).all()
         total += m
-    assert np.allclose(total / 400, np.outer(counts, [0.25] * 4), atol=1.0)
+        squares += (m - np.outer(counts, [0.25] * 4)) ** 2
+    assert np.allclose(total / 1000, np.outer(counts, [0.25] * 4), atol=0.6)
+    spread = [c * 0.25 * 0.75 * (n - c) / (n - 1) for c in counts]  # of the hypergeometric law
+    assert np.allclose(squares / 1000, np.outer(spread, np.ones(4)), rtol=0.2)
     rng = np.random.default_rng(3)
     big = [sharding._hypergeometric(rng, 4 * 10**9, 6 * 10**9, 1000) for _ in range(500)]
     assert abs(np.mean(big) - 400) < 4 and 12 < np.std(big) < 19
 
 
 def test_op2(spark, sf_dir, texts):
-    for r in QUERIES["op2_sharding"](spark, sf_dir).collect():
+    rows = QUERIES["op2_sharding"](spark, sf_dir).collect()
+    for r in rows:
         data = texts[r.doc_id].encode()
         assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
+    at = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(8)}
+    assert all(x == list(range(len(x))) for x in at.values()) and max(map(len, at.values())) - min(map(len, at.values())) <= 1
 
 
 # html
