@@ -12,13 +12,18 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class CuckooFilter:
     """Buckets of SLOTS 16-bit tags. An entry's two buckets differ by the tag's own hash, so tags can move alone.
 
-    Entries that find no room within the kicks go to a stash, which lookups read too: nothing is ever refused.
+    Entries that find no room within the kicks go to a stash, which lookups read too: nothing is ever refused. All
+    operations work on whole arrays.
     """
 
     def __init__(self, capacity: int) -> None:
         buckets = 1 << max(1, int(np.ceil(np.log2(max(capacity, 1) / SLOTS / 0.85 + 1))))
         self.table = np.zeros((buckets, SLOTS), np.uint16)
-        self.stash = np.zeros((0, 2), np.int64)
+        self.stash = np.zeros(0, np.int64)
+
+    @property
+    def slots(self) -> int:
+        return self.table.size
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = hashes.astype(np.uint64) * _MIX
@@ -29,6 +34,10 @@ class CuckooFilter:
     def _other(self, bucket: np.ndarray, tags: np.ndarray) -> np.ndarray:
         return bucket ^ ((tags.astype(np.int64) * 0x5BD1E995) & (len(self.table) - 1))
 
+    def _code(self, bucket: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """One number for an entry, whichever of its buckets is given."""
+        return (np.minimum(bucket, self._other(bucket, tags)) << 16) | tags.astype(np.int64)
+
     def _put(self, tags: np.ndarray, buckets: np.ndarray) -> np.ndarray:
         """Fills free slots, one entry a bucket and pass; the mask of entries that found none."""
         left = np.ones(len(tags), bool)
@@ -66,26 +75,37 @@ class CuckooFilter:
             bucket[one] = self._other(bucket[one], out)
             left = self._put(tags, bucket)
             tags, bucket = tags[left], bucket[left]
-        self.stash = np.concatenate([self.stash, np.stack([np.minimum(bucket, self._other(bucket, tags)), tags.astype(np.int64)], axis=1)])
+        self.stash = np.concatenate([self.stash, self._code(bucket, tags)])
 
     def contains(self, hashes: np.ndarray) -> np.ndarray:
         tags, first, second = self._places(hashes)
         found = (self.table[first] == tags[:, None]).any(axis=1) | (self.table[second] == tags[:, None]).any(axis=1)
-        for bucket, tag in self.stash:
-            found |= (np.minimum(first, second) == bucket) & (tags == tag)
-        return found
+        return found | np.isin(self._code(first, tags), self.stash) if len(self.stash) else found
+
+    def _take(self, tags: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """Empties a slot with its tag for each entry; the mask of entries whose bucket had none left."""
+        left, todo = np.ones(len(tags), bool), np.arange(len(tags))
+        while len(todo):
+            _, one = np.unique(buckets[todo], return_index=True)
+            at = todo[one]
+            hit = self.table[buckets[at]] == tags[at, None]
+            got = hit.any(axis=1)
+            self.table[buckets[at[got]], hit[got].argmax(axis=1)] = 0
+            left[at[got]] = False
+            todo = np.delete(todo, one)
+        return left
 
     def delete(self, hashes: np.ndarray) -> None:
         """Takes out one entry for each hash; each must have been inserted."""
-        for tag, first, second in zip(*self._places(hashes), strict=True):
-            for bucket in (first, second):
-                slots = np.flatnonzero(self.table[bucket] == tag)
-                if len(slots):
-                    self.table[bucket, slots[0]] = 0
-                    break
-            else:
-                rows = np.flatnonzero((self.stash[:, 0] == min(first, second)) & (self.stash[:, 1] == int(tag)))
-                self.stash = np.delete(self.stash, rows[:1], axis=0)
+        tags, first, second = self._places(hashes)
+        left = self._take(tags, first)
+        tags, bucket = tags[left], second[left]
+        left = self._take(tags, bucket)
+        gone, n_gone = np.unique(self._code(bucket[left], tags[left]), return_counts=True)
+        held, n_held = np.unique(self.stash, return_counts=True)
+        at = np.isin(held, gone)
+        n_held[at] -= n_gone[np.isin(gone, held)]
+        self.stash = np.repeat(held, np.maximum(n_held, 0))
 
     def to_bytes(self) -> bytes:
         return np.array([len(self.table), len(self.stash)], np.int64).tobytes() + self.table.tobytes() + self.stash.tobytes()
@@ -96,5 +116,5 @@ class CuckooFilter:
         out = cls.__new__(cls)
         end = 16 + 2 * SLOTS * int(buckets)
         out.table = np.frombuffer(data[16:end], np.uint16).reshape(int(buckets), SLOTS).copy()
-        out.stash = np.frombuffer(data[end:], np.int64).reshape(int(stash), 2).copy()
+        out.stash = np.frombuffer(data[end : end + 8 * int(stash)], np.int64).copy()
         return out

@@ -8,16 +8,19 @@ LineIndex keeps three tables:
 - filters: for each shard of the key space a cuckoo filter over the keys that reach the threshold.
 
 `insert` and `delete` change postings by whole documents, recount only the keys they touch, and insert into or delete
-from the filters only the keys that cross the threshold; deleting what was inserted gives the first state back. When
-lines are dropped, filters sort out the many lines that can't repeat before anything is joined; the exact table then
-decides, so a filter's false positive changes nothing.
+from the filters only the keys that cross the threshold; deleting what was inserted gives the first state back. Where a
+shard's keys would fill its filter beyond FULL, the filters are built anew from the references, over as many shards
+as the keys then ask for. When lines are dropped, each posting passes its own shard's filter, which sorts out the many
+lines that can't repeat before anything is joined; the exact table then decides, so a false positive changes nothing.
 
-Skew: a line that a third of the documents hold is counted by partial aggregation, and its rows meet the reference
-table in an equality join that adaptive execution can split. Filters are broadcast only while their keys number at
-most FILTER_KEYS; beyond that the join takes every posting.
+Skew: a line that a third of the documents hold is counted by partial aggregation. Postings go to their shard's filter
+by shard and a salt of the doc_id, with a copy of the filter for each salt, so that about GROUP_ROWS postings share one
+copy; a task holds one filter at a time. The join with the reference table is one that adaptive execution can split.
+Nothing is broadcast.
 
 Defined results: a null text is one empty line; a null doc_id counts as one document, below all others; rows with
-the same doc_id are one document; repeated lines within a document count once and share their fate.
+the same doc_id are one document; repeated lines within a document count once and share their fate; texts of any
+length are split whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,13 +40,16 @@ from placewise.llm.cuckoo import CuckooFilter
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Keys in all filters together up to which they are broadcast; about 2.4 bytes each.
-FILTER_KEYS = 4_000_000
-#: Keys of a shard at which a build aims.
+#: Keys of a shard at which a build aims; a filter takes some 5 bytes for each.
 SHARD_KEYS = 250_000
+#: Postings that share a copy of a filter.
+GROUP_ROWS = 250_000
+#: Share of a filter's slots beyond which the filters are built anew.
+FULL = 0.85
 
 _WHITE = b" \t\n\r\x0b\x0c"
 _NO_ID = -(1 << 63)
+_FILTERS = "shard long, slots long, filter binary"
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> tuple[int, int] | None:
@@ -92,10 +98,16 @@ class LineIndex:
     def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
         postings = cut(cls._read(docs, min_chars))
         references = cut(_references(postings))
-        n_hot = references.where(F.col("n_docs") >= min_docs).count()
-        index = cls(postings, references, docs.sparkSession.createDataFrame([], "shard long, filter binary"), 1 + n_hot // SHARD_KEYS, min_chars, min_docs)
-        crossed = references.where(F.col("n_docs") >= min_docs).select("hi", F.lit(True).alias("add"))
-        return replace(index, filters=cut(index._turn(crossed)))
+        empty = docs.sparkSession.createDataFrame([], _FILTERS)
+        return cls(postings, references, empty, 1, min_chars, min_docs)._rebuilt()
+
+    def _hot(self) -> DataFrame:
+        return self.references.where(F.col("n_docs") >= self.min_docs)
+
+    def _rebuilt(self) -> LineIndex:
+        """With filters made of the references."""
+        bare = replace(self, filters=self.filters.where("false"), n_shards=1 + self._hot().count() // SHARD_KEYS)
+        return replace(bare, filters=cut(bare._turn(self._hot().select("hi", F.lit(True).alias("add")))))
 
     @staticmethod
     def _read(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -119,9 +131,17 @@ class LineIndex:
         new = cut(_references(postings.join(touched, ["hi", "lo"], "left_semi")))
         hot = lambda df, name: df.select("hi", "lo", (F.col("n_docs") >= self.min_docs).alias(name))
         both = hot(old, "was").join(hot(new, "is"), ["hi", "lo"], "full").fillna(False, ["was", "is"])
-        filters = cut(self._turn(both.where("was <> is").select("hi", F.col("is").alias("add"))))
         references = cut(self.references.join(touched, ["hi", "lo"], "left_anti").unionByName(new))
-        return replace(self, postings=postings, references=references, filters=filters)
+        out = replace(self, postings=postings, references=references)
+        crossed = cut(both.where("was <> is").select("hi", F.col("is").alias("add")))
+        return out._rebuilt() if out._overfull() else replace(out, filters=cut(out._turn(crossed)))
+
+    def _overfull(self) -> bool:
+        """Whether a shard's keys would fill its filter too much, or it has none yet."""
+        shard = F.pmod("hi", F.lit(self.n_shards)).alias("shard")
+        wanted = self._hot().groupBy(shard).agg(F.count(F.lit(1)).alias("n"))
+        short = wanted.join(self.filters.select("shard", "slots"), "shard", "left").where(F.col("n") > FULL * F.coalesce("slots", F.lit(0)))
+        return not short.isEmpty()
 
     def _turn(self, crossed: DataFrame) -> DataFrame:
         """The filters after adding or taking out the keys (hi, add)."""
@@ -133,34 +153,39 @@ class LineIndex:
             add = keys["add"].to_numpy(bool)
             own.delete(hashes[~add])
             own.insert(hashes[add])
-            return pd.DataFrame({"shard": [shard], "filter": [own.to_bytes()]})
+            return pd.DataFrame({"shard": [shard], "slots": [own.slots], "filter": [own.to_bytes()]})
 
         sharded = crossed.withColumn("shard", F.pmod("hi", F.lit(self.n_shards)))
-        return sharded.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(turned, "shard long, filter binary")
+        return sharded.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(turned, _FILTERS)
 
     def _candidates(self) -> DataFrame:
         """Postings that may be of a key at the threshold: all that are, and few others."""
-        if self.references.where(F.col("n_docs") >= self.min_docs).count() > FILTER_KEYS:
-            return self.postings
-        rows = self.filters.collect()  # at most FILTER_KEYS keys in all
-        sent = self.postings.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in rows})
-        n = self.n_shards
+        n_salts = max(1, round(self.postings.count() / (self.n_shards * GROUP_ROWS)))
+        nothing = F.lit(None).cast("binary")
+        at = (F.pmod("hi", F.lit(self.n_shards)).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(n_salts)).alias("salt"))
+        posted = self.postings.select(*at, F.lit(1).alias("kind"), "doc_id", "hi", "lo", nothing.alias("filter"))
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_salts - 1).cast("long"))).alias("salt")
+        copies = self.filters.select("shard", salts, F.lit(0).alias("kind"), *(F.lit(0).cast("long").alias(c) for c in ("doc_id", "hi", "lo")), "filter")
+        together = posted.unionByName(copies).repartition(self.n_shards * n_salts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
         def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = {shard: CuckooFilter.from_bytes(data) for shard, data in sent.value.items()}
+            """Each filter comes ahead of its postings; a shard without one has no key at the threshold."""
+            own, of = CuckooFilter(1), -1
             for batch in batches:
-                hi = batch.column(1).to_numpy()
-                shards, may = np.mod(hi, n), np.zeros(len(hi), bool)
-                for shard, own in held.items():
-                    at = np.flatnonzero(shards == shard)
-                    may[at] = own.contains(hi[at])
-                yield batch.filter(pa.array(may))
+                shards, hi, n = batch.column(0).to_numpy(), batch.column(4).to_numpy(), batch.num_rows
+                may, begin = np.zeros(n, bool), 0
+                for end in [*np.flatnonzero(batch.column(2).to_numpy() == 0).tolist(), n]:
+                    may[begin:end] = (shards[begin:end] == of) & own.contains(hi[begin:end])
+                    if end < n:
+                        own, of = CuckooFilter.from_bytes(batch.column(6)[end].as_py()), int(shards[end])
+                    begin = end + 1
+                yield batch.select(["doc_id", "hi", "lo"]).filter(pa.array(may))
 
-        return self.postings.mapInArrow(sift, "doc_id long, hi long, lo long")
+        return together.mapInArrow(sift, "doc_id long, hi long, lo long")
 
     def drops(self) -> DataFrame:
         """(doc_id, hi, lo) of the lines to drop: keys of min_docs documents or more, but for the largest doc_id."""
-        hot = self.references.where(F.col("n_docs") >= self.min_docs).select("hi", "lo", "keeper")
+        hot = self._hot().select("hi", "lo", "keeper")
         return self._candidates().join(hot, ["hi", "lo"]).where("doc_id <> keeper").select("doc_id", "hi", "lo")
 
     def apply(self, docs: DataFrame) -> DataFrame:

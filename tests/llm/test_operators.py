@@ -275,6 +275,33 @@ def test_line_dedup_is_reversible(spark):
     assert line_rows(less.apply(df)) == brute_lines(left)
 
 
+@pytest.mark.parametrize(("keys", "rows"), [(2, 7), (100, 3)])
+def test_line_dedup_over_many_shards_and_salts(spark, monkeypatch, keys, rows):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", keys)
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", rows)
+    a, b = some_lines(4), some_lines(5)
+    index = line_dedup.LineIndex.build(docs(spark, a))
+    assert line_rows(index.apply(docs(spark, a))) == brute_lines(dict(enumerate(a)))
+    assert index.n_shards == 1 + index.references.where("n_docs >= 5").count() // keys
+    grown = index.insert(docs(spark, b, len(a)))
+    assert line_rows(grown.apply(docs(spark, [*a, *b]))) == brute_lines(dict(enumerate([*a, *b])))
+
+
+def test_line_filters_are_rebuilt_when_full(spark):
+    line = "line number {} of a text that is longer than forty characters"
+    few = docs(spark, ["\n".join(line.format(i) for i in range(10))] * 5)
+    many = docs(spark, ["\n".join(line.format(i) for i in range(3_000))] * 5, 5)
+    index = line_dedup.LineIndex.build(few)
+    before = index.filters.first().slots
+    grown = index.insert(many)
+    assert 3_000 <= line_dedup.FULL * grown.filters.first().slots and grown.filters.first().slots > before
+    assert not len(CuckooFilter.from_bytes(grown.filters.first()["filter"]).stash)
+    assert sum(r.lines.n_dropped for r in grown.apply(many).collect()) == 4 * 3_000
+    back = grown.delete(many.select("doc_id"))
+    own = CuckooFilter.from_bytes(back.filters.first()["filter"])
+    assert (own.table != 0).sum() == 10
+
+
 def test_line_dedup_odd_tables(spark):
     line = "This very line is longer than forty characters, surely"
     df = spark.createDataFrame([(i if i else None, line, "x", 1) for i in range(6)] + [(5, line, "y", 2)], "doc_id long, text string, lines string, hi int")
@@ -289,6 +316,14 @@ def test_cuckoo():
     f = CuckooFilter(200)  # far too small: what finds no room is stashed
     f.insert(keys[:400])
     assert f.contains(keys[:400]).all()
+    assert len(f.stash)
+    f.delete(keys[:200])
+    assert f.contains(keys[200:400]).all() and (f.table != 0).sum() + len(f.stash) == 200
+    f.delete(keys[200:400])
+    assert not f.table.any() and not len(f.stash)
+    f.insert(np.repeat(keys[:1], 30))
+    f.delete(np.repeat(keys[:1], 29))
+    assert f.contains(keys[:1]).all() and (f.table != 0).sum() + len(f.stash) == 1
     f = CuckooFilter(5_000)
     f.insert(keys)
     f = CuckooFilter.from_bytes(f.to_bytes())
