@@ -6,11 +6,15 @@ own lowest-rank adjacent pair and merges all occurrences of it at once, left to
 leave the array with their number of surviving symbols. Merging all occurrences together is exact because a merge
 that uses a symbol always has a later rank than the merge that makes it; `load` verifies that.
 
-A sequence of more than LONG symbols would need a round for each rank it uses, so it is merged from a queue of pairs
-instead, in time n log n. Counts of pre-tokens seen before come from a dictionary of bounded size.
+A sequence of more than LONG symbols is first cut between neighbouring bytes that no token of the vocabulary has next to
+each other: no merge crosses such a place, so the pieces merge apart, in the same rounds as all others. A piece that
+is still longer would need a round for each rank it uses, on an array of its length; it is merged from a queue of pairs
+instead, in time n log n, with the same result. Counts of pre-tokens of at most SHORT characters that were seen before
+come from a dictionary of at most REMEMBER entries and one batch's.
 
 Defined results: a null or empty text has no tokens; special strings inside a text are one token each, as the library
-has it by default; repeated rows have equal counts; no text is cut.
+has it by default; repeated rows have equal counts; no text is cut, and a very long one takes memory in proportion to
+its length; an empty table gives no rows; other columns, whatever their names, pass.
 """
 
 from __future__ import annotations
@@ -31,11 +35,14 @@ from pyspark.sql import functions as F
 from placewise.llm._common import fresh
 
 LONG = 512
-#: Entries of a worker's dictionary of pre-tokens.
+#: Entries of a worker's dictionary of pre-tokens, and characters of the longest that it takes.
 REMEMBER = 300_000
+SHORT = 64
 #: Characters of text that are split and counted together.
 TOGETHER = 1 << 20
 _NONE = np.iinfo(np.int64).max
+#: Capital letters to small ones that the library knows and Python's older tables don't.
+_NEW_CASES = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {0x10D50 + i: 0x10D70 + i for i in range(22)}
 
 
 def byte_symbols() -> list[str]:
@@ -59,7 +66,9 @@ class Counter:
     special: str | None
     lower: bool
     nfc: bool
+    joins: np.ndarray  # for each pair of bytes (left * 256 + right) whether some token has them next to each other
     known: dict[str, int] = field(default_factory=dict)
+    pairs: dict[int, int] = field(default_factory=dict)  # keys to ranks, made where a piece needs the queue
 
     @classmethod
     def load(cls, path: str) -> Counter:
@@ -82,10 +91,15 @@ class Counter:
         keys = left * size + right
         order = np.argsort(keys)
         symbols = byte_symbols()
+        value = {x: i for i, x in enumerate(symbols)}
+        joins = np.zeros(1 << 16, bool)
+        for token in vocab:
+            data = np.array([value[x] for x in token.removesuffix(end) if x in value], np.int64)
+            joins[data[:-1] * 256 + data[1:]] = True
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         return cls(
             keys[order], order.astype(np.int64), made, size, np.array([vocab[s] for s in symbols], np.int64), np.array([vocab[s + end] for s in symbols], np.int64),
-            splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"), "|".join(map(re.escape, special)) or None, "Lowercase" in kinds, "NFC" in kinds,
+            splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"), "|".join(map(re.escape, special)) or None, "Lowercase" in kinds, "NFC" in kinds, joins,
         )
 
     def pre_tokens(self, text: str) -> tuple[list[str], int]:
@@ -97,6 +111,7 @@ class Counter:
                 part = unicodedata.normalize("NFC", part)
             if self.lower:
                 part = part.replace("Σ", "σ").lower()  # letter by letter, without the rule for a final sigma
+                part = part if part.isascii() else part.translate(_NEW_CASES)
             out += find(part)
         return out, len(parts) - 1
 
@@ -105,8 +120,10 @@ class Counter:
         if len(self.known) > REMEMBER:
             self.known.clear()
         new = [t for t in set().union(*(p for p, _ in found)) if t not in self.known]
-        self.known.update(zip(new, self.merge_counts([t.encode() for t in new]).tolist(), strict=True))
-        return [sum(map(self.known.__getitem__, tokens)) + special for tokens, special in found]
+        fresh_counts = dict(zip(new, self.merge_counts([t.encode() for t in new]).tolist(), strict=True))
+        out = [sum(self.known[t] if t in self.known else fresh_counts[t] for t in tokens) + special for tokens, special in found]
+        self.known.update((t, n) for t, n in fresh_counts.items() if len(t) <= SHORT)
+        return out
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -117,14 +134,38 @@ class Counter:
         """How many symbols survive in each of the pre-tokens."""
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         out = np.ones(len(tokens), np.int64)
+        of = np.flatnonzero((lengths > 1) & (lengths <= LONG)).tolist()
+        pieces, ends = [tokens[i] for i in of], [True] * len(of)
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            own = self._pieces(tokens[i])
+            of += [i] * len(own)
+            pieces += own
+            ends += [False] * (len(own) - 1) + [True]
+        out[of] = 0
+        np.add.at(out, of, self._merged(pieces, ends))
+        return out
+
+    def _symbols(self, raw: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The symbols of bytes; those at the places `last` end a pre-token."""
+        symbols = self.inner[raw]
+        symbols[last] = self.last[raw[last]]
+        return symbols
+
+    def _pieces(self, token: bytes) -> list[bytes]:
+        raw = np.frombuffer(token, np.uint8).astype(np.int64)
+        cuts = np.flatnonzero(~self.joins[raw[:-1] * 256 + raw[1:]]) + 1
+        return [token[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(token)], strict=True)]
+
+    def _merged(self, pieces: list[bytes], ends: list[bool]) -> np.ndarray:
+        """How many symbols survive in each piece; ends: whether it ends its pre-token."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        out = np.ones(len(pieces), np.int64)
         for i in np.flatnonzero(lengths > LONG):
-            out[i] = self._queued(tokens[i])
+            out[i] = self._queued(pieces[i], ends[i])
         at = np.flatnonzero((lengths > 1) & (lengths <= LONG))
         lengths = lengths[at]
-        raw = np.frombuffer(b"".join(tokens[i] for i in at), np.uint8)
-        symbols, ends = self.inner[raw], np.cumsum(lengths)
-        if len(at):
-            symbols[ends - 1] = self.last[raw[ends - 1]]
+        raw = np.frombuffer(b"".join(pieces[i] for i in at), np.uint8)
+        symbols = self._symbols(raw, (np.cumsum(lengths) - 1)[np.array(ends, bool)[at]])
         while len(at):
             starts = np.cumsum(lengths) - lengths
             owner = np.repeat(np.arange(len(at)), lengths)
@@ -147,16 +188,16 @@ class Counter:
             symbols, at, lengths = symbols[stay], at[~done], lengths[~done]
         return out
 
-    def _queued(self, token: bytes) -> int:
+    def _queued(self, token: bytes, end: bool) -> int:
         raw = np.frombuffer(token, np.uint8)
-        symbols = self.inner[raw]
-        symbols[-1] = self.last[raw[-1]]
-        n = len(symbols)
+        n = len(raw)
+        symbols = self._symbols(raw, np.array([n - 1] if end else [], np.int64))
         after, before, own = [*range(1, n), -1], [*range(-1, n - 1)], symbols.tolist()
         queue = [(int(r), i) for i, r in enumerate(self._rank(symbols[:-1], symbols[1:])) if r != _NONE]
         heapq.heapify(queue)
-        lookup = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
-        pair = lambda i: lookup.get(own[i] * self.size + own[after[i]]) if after[i] >= 0 else None
+        if not self.pairs:
+            self.pairs.update(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        pair = lambda i: self.pairs.get(own[i] * self.size + own[after[i]]) if after[i] >= 0 else None
         left = n
         while queue:
             rank, i = heapq.heappop(queue)

@@ -195,7 +195,8 @@ def test_token_counts(spark, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     library, counter = tokenizers.Tokenizer.from_file(path), token_counts.Counter.load(path)
     rng = random.Random(7)
-    many = [*texts.values(), *fuzz(1), "".join(rng.choice("abcdefgh") for _ in range(20_000)), "a" * 3_000]
+    long = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefgh", "漢字仮名交文", "qxzjvkw", "-=+*#~.", "Ωαé") for n in (500, 513, 9_000)]
+    many = [*texts.values(), *fuzz(1), *long, "a" * 3_000, "".join(map(chr, range(0x4E00, 0x7E00)))]
     assert counter.counts(many) == [len(e.ids) for e in library.encode_batch(many, add_special_tokens=False)]
     df = docs(spark, ODD).withColumn("n_tokens", F.lit("mine"))
     rows = token_counts.count_tokens(df, path).collect()
@@ -204,6 +205,16 @@ def test_token_counts(spark, texts):
     assert token_counts.count_tokens(df.limit(0), path).count() == 0
 
 
+def test_token_counts_of_every_code_point():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, counter = tokenizers.Tokenizer.from_file(path), token_counts.Counter.load(path)
+    many = [f"a{chr(x)}b 1{chr(x)}2 .{chr(x)}." for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    for i in range(0, len(many), 100_000):
+        part = many[i : i + 100_000]
+        assert counter.counts(part) == [len(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+    assert len(counter.known) <= token_counts.REMEMBER + 300_000 and max(map(len, counter.known)) <= token_counts.SHORT
+
+
 def test_sentencepiece(spark, texts):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec.load(path)
