@@ -4,13 +4,14 @@ Writing. Each page becomes one WARC/1.1 record whose block is an HTTP response.
 least MIN_REVISIT bytes the one with the largest page_id is stored as `response`, the others as `revisit` records that
 name it and hold headers only. Payloads travel in chunked transfer framing. A block longer than segment_bytes is cut: the
 first record has WARC-Segment-Number 1, the rest are `continuation` records with WARC-Segment-Origin-ID, and the last
-has WARC-Segment-Total-Length. Every record is a gzip member of its own. Each task writes files of its own under a name
-that no other attempt uses, closes them, and reports them; only reported files are read, so a task that dies or runs
-twice leaves nothing that counts.
+has WARC-Segment-Total-Length. Every record is a gzip member of its own. Segmented and whole records go to archives of
+their own. Each task writes files of its own under a name that no other attempt uses, closes them, and reports them;
+only reported files are read, so a task that dies or runs twice leaves nothing that counts.
 
-Reading. Files are read record by record, in bounded memory. Continuation records are grouped by origin identifier
-and ordered by segment number (an exchange and a sort, not a collected group); numbers must be gapless from 1 and
-lengths must add up to the stated total, else reading fails. Then HTTP headers are split off and chunked framing decoded.
+Reading. Each file is read once, record by record, in bounded memory. Records of archives of segments are grouped by
+origin identifier and ordered by segment number (an exchange and a sort, not a collected group), whichever archives
+they stand in; numbers must be gapless from 1 and lengths must add up to the stated total, else reading fails. Whole
+records stay where they are read. Then HTTP headers are split off and chunked framing decoded.
 
 Only narrow digests are grouped to find revisits, with partial aggregation, so a payload that a third of all pages
 share is no hot group; payloads move once, by page_id.
@@ -44,7 +45,7 @@ FILE_BYTES = 128 << 20
 
 _VERSION = b"WARC/1.1\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_WROTE = "path string, n_records long, n_bytes long"
+_WROTE = "path string, segmented boolean, n_records long, n_bytes long"
 _READ = "origin string, segment int, total long, last boolean, page_id long, record_type string, refers_to long, digest string, block binary"
 _FIELDS = [x.split(" ")[0] for x in _READ.split(", ")]
 _TYPES = [pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
@@ -103,8 +104,8 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, r
         yield _record(more, part)
 
 
-def _members(stream: pa.NativeFile, size: int = 1 << 20) -> Iterator[bytes]:
-    """The gzip members of a file, one at a time."""
+def _members(stream: pa.NativeFile, size: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members of a file, one at a time. What is left of a read is copied for each member, so reads are short."""
     data, unzip, out = b"", zlib.decompressobj(31), []
     while data or (data := stream.read(size)):
         out.append(unzip.decompress(data))
@@ -156,8 +157,27 @@ def _planned(pages: DataFrame, min_bytes: int) -> DataFrame:
     return rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
+class _Archive:
+    """A file that a task writes."""
+
+    def __init__(self, fs: pa.fs.FileSystem, root: str) -> None:
+        self.path, self.n_records, self.n_bytes = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+        self.out = fs.open_output_stream(f"{root}/{self.path}", compression=None)
+
+    def add(self, members: list[bytes]) -> None:
+        for member in members:
+            self.out.write(member)
+            self.n_bytes += len(member)
+        self.n_records += len(members)
+
+    def closed(self, segmented: bool) -> pa.RecordBatch:
+        """The file's row of the report."""
+        self.out.close()
+        return pa.RecordBatch.from_pydict({"path": [self.path], "segmented": [segmented], "n_records": [self.n_records], "n_bytes": [self.n_bytes]})
+
+
 def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Archives of pages (page_id, html, and url if there is one) in a shared folder; (path, n_records, n_bytes) of each file.
+    """Archives of pages (page_id, html, and url if there is one) in a shared folder; (path, segmented, n_records, n_bytes) of each file.
 
     The report is itself kept in the folder, so reading it again doesn't write again.
     """
@@ -165,23 +185,19 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT, segment_b
     def written(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(f"{folder}/archives")
         fs.create_dir(root, recursive=True)
-        path, out, n_records, n_bytes = "", None, 0, 0
+        files: dict[bool, _Archive] = {}
         for batch in batches:
             for row in zip(*(c for c in batch.columns), strict=True):
-                if out is None:
-                    path = f"{uuid.uuid4().hex}.warc.gz"
-                    out, n_records, n_bytes = fs.open_output_stream(f"{root}/{path}", compression=None), 0, 0
                 page_id, url, payload, digest, refers_to = (x.as_py() for x in row)
-                for member in records(page_id, url, payload, digest, refers_to, segment_bytes):
-                    out.write(member)
-                    n_records, n_bytes = n_records + 1, n_bytes + len(member)
-                if n_bytes >= FILE_BYTES:
-                    out.close()
-                    out = None
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n_records]), pa.array([n_bytes])], ["path", "n_records", "n_bytes"])
-        if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n_records]), pa.array([n_bytes])], ["path", "n_records", "n_bytes"])
+                members = list(records(page_id, url, payload, digest, refers_to, segment_bytes))
+                segmented = len(members) > 1
+                if segmented not in files:
+                    files[segmented] = _Archive(fs, root)
+                files[segmented].add(members)
+                if files[segmented].n_bytes >= FILE_BYTES:
+                    yield files.pop(segmented).closed(segmented)
+        for segmented, file in files.items():
+            yield file.closed(segmented)
 
     _planned(pages, min_bytes).mapInArrow(written, _WROTE).write.parquet(f"{folder}/files")
     return pages.sparkSession.read.parquet(f"{folder}/files")
@@ -207,7 +223,7 @@ def _scanned(files: DataFrame, folder: str) -> DataFrame:
                     yield _table(rows)
 
     paths = files.select("path")
-    return paths.repartition(max(1, paths.count()), F.xxhash64("path")).mapInArrow(scanned, _READ)
+    return paths.repartition(max(1, paths.count())).mapInArrow(scanned, _READ)  # a file a task
 
 
 def _row(r: Record) -> tuple:
@@ -233,7 +249,7 @@ def _reassembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = b"".join(x[8] for x in run)
         if len(block) != run[-1][2]:
             raise ValueError(f"{run[0][0]}: {len(block)} bytes of {run[-1][2]}")
-        return (*run[0][:8], block)
+        return (run[0][0], 0, *run[0][2:8], block)
 
     for batch in batches:
         out = []
@@ -254,15 +270,17 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     digest is the one that the record states; a response whose payload has another fails the read. A revisit's payload
     is null and its n_bytes that of the payload it refers to.
     """
-    rows = _scanned(spark.read.parquet(f"{folder}/files"), folder)
-    parts = rows.where("segment > 0").repartition("origin").sortWithinPartitions("origin", "segment")
-    whole = rows.where("segment = 0").unionByName(parts.mapInArrow(_reassembled, _READ))
+    files = spark.read.parquet(f"{folder}/files")
+    parts = _scanned(files.where("segmented"), folder).repartition("origin").sortWithinPartitions("origin", "segment")
+    whole = _scanned(files.where("NOT segmented"), folder).unionByName(parts.mapInArrow(_reassembled, _READ))
 
     def opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = batch.select(["page_id", "record_type", "refers_to", "digest"])
             payloads, lengths = [], []
-            for kind, digest, block in zip(batch.column(5).to_pylist(), batch.column(7).to_pylist(), batch.column(8), strict=True):
+            for origin, segment, kind, digest, block in zip(*(batch.column(i).to_pylist() for i in (0, 1, 5, 7)), batch.column(8), strict=True):
+                if segment:
+                    raise ValueError(f"{origin}: a segment in an archive of whole records")
                 payload, n = payload_of(block.as_py())
                 if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"a payload's digest isn't {digest}")

@@ -565,6 +565,19 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_reads_each_archive_once(spark, tmp_path):
+    rows = [(i, "u", "<p>x</p>" * (10 if i % 2 else 9_000 + i)) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    files = warc.write(pages, f"file://{tmp_path}").collect()
+    kinds = {f.segmented: sum(g.n_records for g in files if g.segmented == f.segmented) for f in files}
+    assert kinds[False] == 10 and kinds[True] > 40 and len(list((tmp_path / "archives").iterdir())) == len(files)
+    assert {r.page_id: len(r.payload) for r in warc.read(spark, f"file://{tmp_path}").collect()} == {i: len(t) for i, _, t in rows}
+    wrong = spark.createDataFrame([(f.path, False, f.n_records, f.n_bytes) for f in files], "path string, segmented boolean, n_records long, n_bytes long")
+    wrong.write.mode("overwrite").parquet(f"file://{tmp_path}/files")
+    with pytest.raises(Exception, match="a segment in an archive of whole records"):
+        warc.read(spark, f"file://{tmp_path}").collect()
+
+
 def test_warc_segments_must_be_whole():
     data = b"payload" * 10_000
     members = [warc.parse(__import__("gzip").decompress(m)) for m in warc.records(1, "u", data, hashlib.sha1(data).hexdigest(), None)]
