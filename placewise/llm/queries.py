@@ -60,7 +60,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixing.copies(docs).select("doc_id", "source", "lang", "mix.topic", "mix.tokens", F.round("mix.rate", 9).alias("rate"), (F.col("mix.copies") > 0).alias("kept"))
+    mixed = mixing.copies(docs, keep_text=False)
+    return mixed.select("doc_id", "source", "lang", "mix.topic", "mix.tokens", F.round("mix.rate", 6).alias("rate"), (F.col("mix.copies") > 0).alias("kept"), "mix.copies")
 
 
 def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from tests.llm.test_operators import brute_components, brute_fingerprint, brute_
 
 COLUMNS = {
     "op1": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op2": "doc_id size text_crc32 law shard slot grown_shard", "op4": "doc_id n_bytes n_tokens over_limit",
-    "op5": "doc_id n_tokens ids_sha256 decoded_sha256", "op6": "doc_id n_lines n_dropped kept_sha256", "op7": "doc_id fingerprint component_id",
+    "op5": "doc_id n_tokens ids_sha256 decoded_sha256", "op6": "doc_id n_lines n_dropped kept_sha256", "op7": "doc_id fingerprint component_id", "op8": "doc_id source lang topic tokens rate kept copies", "op3": "page_id text n_chars",
     "op9": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op10": "page_id payload_bytes payload_digest record_type refers_to",
 }
 
