@@ -7,13 +7,17 @@ fingerprint is indexed under its 64 one-wildcard segment variants; an equality j
 whose full distance is then verified.
 
 Copies collapse before the index (it holds distinct fingerprints), so a group of exact copies costs one entry. A
-variant shared by many fingerprints would give a quadratic number of pairs; its members are linked instead through
-points at most one bit away: two fingerprints within two bits have such a point in common, and no point has more than
-65 fingerprints near it. That is exact and bounded, so nothing is capped.
+variant that exactly two fingerprints hold gives them as a pair. Those of a variant that more hold (chance meetings, at some
+10^9 fingerprints) differ in at most two bits of the other segment, so they agree in one of its three blocks: variant
+and block together are joined in the same way. What even then meets in crowds are clouds of fingerprints a few bits
+apart, whose pairs would be quadratically many; they are linked through points at most one bit away: two fingerprints
+within two bits have such a point in common, and no point has more than 65 fingerprints near it. All of that is
+exact and bounded, so nothing is capped. Texts that are similar at lower likeness are the business of `similar`.
 
 Defined results: a null or word-less text has fingerprint zero and is linked like any other; texts shorter than a
-shingle have their whole word sequence as the only one; repeated rows link; a null doc_id never names a component
-unless all ids of the component are null.
+shingle have their whole word sequence as the only one; texts of any length count whole; repeated rows link; a null
+doc_id never names a component unless all ids of the component are null; an empty table gives no rows; other columns,
+whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ SEED = 42
 HOT = 1000
 _CHUNK = 1 << 15
 _HALF = 32
+_BLOCKS = ((0, 11), (11, 11), (22, 10))  # of a segment: lowest bit and width
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> list[int]:
@@ -80,15 +85,24 @@ def _variants(fp: Column, at: Column) -> Column:
     return segment.bitwiseAND(F.bitwise_not(bit)).bitwiseOR(F.shiftleft(at.cast("long"), _HALF))
 
 
+def _blocks(fp: Column, at: Column) -> Column:
+    """The three blocks of the segment that signature number `at` leaves out, each under its number."""
+    other = F.when(at < _HALF, F.shiftrightunsigned(fp, _HALF)).otherwise(fp.bitwiseAND(F.lit((1 << _HALF) - 1)))
+    return F.array(*(F.shiftright(other, low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(i << _HALF)) for i, (low, bits) in enumerate(_BLOCKS)))
+
+
 def _near(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints: enough of them to connect all that are within DISTANCE bits."""
     numbered = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("at"))
-    index = numbered.select("fp", _variants(F.col("fp"), F.col("at")).alias("sig"))
-    shared = cut(index.groupBy("sig").agg(F.count("fp").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    index = numbered.select("fp", "at", _variants(F.col("fp"), F.col("at")).alias("sig"))
+    met_by = lambda rows, *keys: rows.groupBy(*keys).agg(F.count("fp").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     verified = lambda df: df.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    pairs = verified(shared.where("n = 2").select("a", "b").distinct())
+    shared = cut(met_by(index, "sig"))
+    blocked = index.join(shared.where("n > 2").select("sig"), "sig", "left_semi").select("fp", "sig", F.explode(_blocks(F.col("fp"), F.col("at"))).alias("block"))
+    refined = cut(met_by(blocked, "sig", "block"))
+    pairs = verified(shared.where("n = 2").select("a", "b").unionByName(refined.where("n = 2").select("a", "b")).distinct())
 
-    crowd = index.join(shared.where("n > 2").select("sig"), "sig", "left_semi").select("fp").distinct()
+    crowd = blocked.join(refined.where("n > 2").select("sig", "block"), ["sig", "block"], "left_semi").select("fp").distinct()
     bits = F.array(F.lit(0).cast("long"), *(F.lit(1 << j if j < 63 else -(1 << 63)).cast("long") for j in range(64)))
     around = crowd.select("fp", F.explode(bits).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("point"))
     met = around.groupBy("point").agg(F.sort_array(F.collect_set("fp")).alias("near")).where(F.size("near") > 1)
@@ -110,10 +124,3 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     common = F.broadcast(per_fp.where(hot).drop("n"))
     rest = found.join(common, "fp", "left_anti").join(per_fp.where(~hot).drop("n"), "fp")
     return found.join(common, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id isn't the smallest of its component; columns as they were."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["kept"]), "left_semi")

@@ -17,8 +17,7 @@ import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from placewise.llm import html_text, line_dedup, mixing, near_copies, quality, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
+from placewise.llm import html_text, line_dedup, mixing, quality, sentencepiece_codec, sharding, similar, simhash, syncmers, token_counts, warc
 from placewise.llm.components import connected_components
 from placewise.llm.cuckoo import CuckooFilter
 from placewise.llm.queries import QUERIES
@@ -399,47 +398,98 @@ def test_simhash_links_of_crowded_variants(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
-def test_simhash_keeps_one(spark):
-    df = docs(spark, ["a b c d e", "A b c d e", "other words all around here", None, ""]).withColumn("kept", F.lit(1)).withColumn("fp", F.lit("x"))
-    out = simhash.keep_first(df)
-    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 3]
-    assert simhash.keep_first(df.limit(0)).count() == 0
+# similar texts
 
 
-def test_near_copies(spark):
-    rng = random.Random(8)
-    near, texts = {}, []
-    for i in range(120):  # a text, a copy with a few words replaced, and one with many
-        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
-        for swaps in (0, 3, 12):
-            copy = list(words)
-            for at in rng.sample(range(200), swaps):
-                copy[at] = f"x{rng.randrange(5000)}"
-            texts.append(" ".join(copy))
-    found = [frozenset(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
-    for g in range(0, len(texts), 3):
-        for a, b in ((g, g + 1), (g, g + 2), (g + 1, g + 2)):
-            near[a, b] = len(found[a] & found[b]) >= 0.8 * len(found[a] | found[b])
-    dropped = {b for (a, b), yes in near.items() if yes}
-    df = docs(spark, [*texts, *ODD]).withColumn("key", F.lit("x"))
-    out = near_copies.keep_first(df)
-    kept = {r.doc_id for r in out.collect()}
-    assert out.columns == df.columns and kept >= set(range(len(texts), len(texts) + len(ODD)))
-    missing = set(range(len(texts))) - kept
-    assert len(dropped) >= 100 and missing <= dropped
-    assert len(missing) >= 0.95 * len(dropped)
-    assert near_copies.keep_first(df.limit(0)).count() == 0
-
-
-def test_near_copies_beyond_two_bits_leave_the_pipeline(spark):
-    words = [f"w{i}" for i in range(300)]
-    edited = ["other" if i % 75 == 40 else w for i, w in enumerate(words)]
-    df = docs(spark, [" ".join(words), " ".join(edited)])
-    assert simhash.keep_first(df).count() == 2
-    for name, stage in corpus_pipeline.STAGES:
-        if "near" in name:
-            df = stage(spark, df, "")
-    assert [r.doc_id for r in df.collect()] == [0]
+def brute_sets(texts, size=5):
+    words = {i: WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) for i, t in texts.items()}
+    return {i: frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset() for i, w in words.items()}
+
+
+def brute_groups(texts, similarity=0.8):
+    """The smallest id of each id's group."""
+    sets, least = brute_sets(texts), {}
+    for i in sorted(sets):
+        if i in least:
+            continue
+        queue, least[i] = [i], i
+        while queue:
+            a = queue.pop()
+            for b in sets:
+                if b not in least and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) > 0):
+                    least[b] = i
+                    queue.append(b)
+    return least
+
+
+def edited(rng, words, share):
+    copy = list(words)
+    for at in rng.sample(range(len(words)), round(share * len(words))):
+        copy[at] = f"x{rng.randrange(10**6)}"
+    return copy
+
+
+def families(seed, n, lengths=(8, 400), copies=2):
+    """Texts with edited copies of each, from close ones to ones far off."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(*lengths))]
+        out.append(" ".join(words))
+        out += [" ".join(edited(rng, words, rng.choice([0.005, 0.01, 0.02, 0.03, 0.05]))) for _ in range(copies)]
+    return out
+
+
+def test_similar_texts_against_brute_force(spark):
+    texts = dict(enumerate([*families(8, 250), *ODD, "Same words HERE of a text, twice", "same  words here of a text,\ntwice"]))
+    want = brute_groups(texts)
+    rows = similar.near_duplicates(docs(spark, texts.values())).collect()
+    got = {r.doc_id: r.component_id for r in rows}
+    assert len(rows) == len(texts)
+    joined = [i for i in texts if want[i] != i]  # not the first of their group
+    missed = [i for i in joined if got[i] == i]
+    assert len(joined) > 200 and len(missed) <= 0.02 * len(joined)
+    assert all(want[got[i]] == want[i] for i in texts)  # nothing below the threshold is linked
+    assert got[texts and len(texts) - 1] == len(texts) - 2
+
+
+def test_similar_texts_in_crowds(spark):
+    """Templates: hundreds of texts that are alike, some only through others, beside a crowd of texts just below the threshold."""
+    rng = random.Random(9)
+    base, other = ([f"{k}{i}" for i in range(120)] for k in "ab")
+    near = [" ".join(edited(rng, base, 0.01)) for _ in range(250)]
+    far = [" ".join(edited(rng, other, 0.06)) for _ in range(250)]
+    texts = dict(enumerate([*near, *far]))
+    want = brute_groups(texts)
+    assert len({want[i] for i in range(250)}) == 1 < len({want[i] for i in range(250, 500)})
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(docs(spark, texts.values())).collect()}
+    assert all(want[got[i]] == want[i] for i in texts)
+    missed = [i for i in texts if want[i] != i and got[i] == i]
+    assert len(missed) <= 0.02 * len(texts)
+
+
+def test_similar_keeps_one_of_each_group(spark):
+    df = docs(spark, ["a b c d e", "A b c d e", "other words all around here", None, "", " "]).withColumns({"h": F.lit(1), "key": F.lit("x"), "Node": F.lit("y"), "group": F.lit("z")})
+    out = similar.keep_first(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 3]
+    assert similar.keep_first(df.limit(0)).count() == 0
+    again = df.unionByName(df).unionByName(df.withColumn("lang", F.lit("other")))
+    assert sorted(r.doc_id for r in similar.keep_first(again).collect()) == [0, 2, 3]
+    same = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted((r.text or "") for r in similar.keep_first(same).collect()) in (["", t, "other words all around here"] for t in ("A b c d e", "a b c d e"))
+    one_id = df.withColumn("doc_id", F.lit(7).cast("long"))
+    assert similar.keep_first(one_id).count() == 3
+
+
+def test_plan():
+    import math
+
+    for n in (2, 10**4, 10**7, 10**10):
+        p = similar.plan(n)
+        flip = math.acos(8 / 9) / math.pi
+        one = (1 - flip) ** p.bits + p.bits * flip * (1 - flip) ** (p.bits - 1)
+        assert 1 - (1 - one) ** p.segments >= similar.RECALL and p.words * p.in_word >= p.segments and p.bits <= 2 * similar._HALF
+        assert n * p.segments * (p.bits + 1) / 2**p.bits <= 100  # unrelated texts that a text meets
 
 
 def test_components(spark):
