@@ -2,11 +2,13 @@
 
 Each rule names a metric, a comparison and a threshold. `verdict` compiles metrics and rules into a single
 struct expression over the text column, made of built-in functions only, so the whole table of rules costs one
-pass over the text and no shuffle. Metrics: lengths (words, characters in words), symbols, stop words, repeated
-lines and repeated five-word windows.
+pass over the text and no shuffle. Metrics: lengths (words, characters in words), symbols, stop words, repeated lines,
+lines that are list items, lines that trail off, and repeated five-word windows. Windows are compared by 64-bit hashes of
+their words' hashes; two different windows of a text share one with chance 2 ** -64 for each pair.
 
-Defined results: a null text counts as an empty one; texts with no words have ratios of zero and fail
-`few_words`; repeated rows each get the same verdict; other columns, whatever their names, pass through `keep`.
+Defined results: a null text counts as an empty one; texts with no words have ratios of zero and fail `few_words`;
+texts of any length count whole, in memory in proportion to their length; repeated rows each get the same verdict; an empty
+table gives no rows; other columns, whatever their names, pass through `keep`.
 """
 
 from __future__ import annotations
@@ -52,8 +54,14 @@ RULES = (
     Rule("symbols", "symbols_per_word", ">", 0.3),
     Rule("few_stop_words", "stop_words_per_word", "<", 0.03),
     Rule("repeated_lines", "repeated_lines_per_line", ">", 0.5),
+    Rule("list_lines", "list_lines_per_line", ">", 0.9),
+    Rule("trailing_lines", "trailing_lines_per_line", ">", 0.5),
 )
 
+WHITE_CHARS = " \t\n\x0b\x0c\r"
+#: What a list item begins with.
+BULLETS = ("-", "*", "•", "‣", "▪", "●")
+
 _OPS = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
 
 
@@ -90,6 +98,7 @@ def metrics(text: Column) -> Column:
 
     def from_parts(p: Column) -> Column:
         words, lines = p["words"], p["lines"]
+        trails = lambda x: F.endswith(x, F.lit("...")) | F.endswith(x, F.lit("…"))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
@@ -98,10 +107,12 @@ def metrics(text: Column) -> Column:
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             _repeated_words(words).cast("long").alias("n_repeat_words"),
             F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(lines, lambda x: F.left(F.ltrim(x, F.lit(WHITE_CHARS)), F.lit(1)).isin(*BULLETS))).cast("long").alias("n_list_lines"),
+            F.size(F.filter(lines, lambda x: trails(F.rtrim(x, F.lit(WHITE_CHARS))))).cast("long").alias("n_trailing_lines"),
         )
 
     def with_ratios(m: Column) -> Column:
-        counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words"]
+        counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_list_lines", "n_trailing_lines"]
         per = lambda x, y: F.coalesce(F.try_divide(x.cast("double"), y.cast("double")), F.lit(0.0))
         return F.struct(
             *(m[c].alias(c) for c in counts),
@@ -109,6 +120,8 @@ def metrics(text: Column) -> Column:
             per(m["n_symbols"], m["n_words"]).alias("symbols_per_word"),
             per(m["n_stop_words"] + 1, m["n_words"]).alias("stop_words_per_word"),
             per(m["n_dup_lines"], m["n_lines"]).alias("repeated_lines_per_line"),
+            per(m["n_list_lines"], m["n_lines"]).alias("list_lines_per_line"),
+            per(m["n_trailing_lines"], m["n_lines"]).alias("trailing_lines_per_line"),
             per(100 * m["n_repeat_words"], m["n_words"]).alias("repeat_percent_words"),
         )
 

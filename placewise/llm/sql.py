@@ -24,7 +24,8 @@ counts AS (
   SELECT p.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
-    len(list_filter(words, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words, len(lines) AS n_lines
+    len(list_filter(words, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words, len(lines) AS n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣▪●]'))) AS n_list_lines, len(list_filter(lines, lambda x: regexp_matches(x, '([.][.][.]|…)[\x20\x09-\x0D]*$'))) AS n_trailing_lines
   FROM parts p LEFT JOIN covered c ON p.doc_id = c.doc_id),
 failed AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
@@ -35,7 +36,9 @@ failed AS (
       CASE WHEN n_words > 0 AND CAST(word_chars AS DOUBLE) / n_words > 15 THEN 'long_words' END,
       CASE WHEN n_words > 0 AND CAST(n_symbols AS DOUBLE) / n_words > 0.3 THEN 'symbols' END,
       CASE WHEN (CASE WHEN n_words = 0 THEN 0 ELSE CAST(n_stop_words + 1 AS DOUBLE) / n_words END) < 0.03 THEN 'few_stop_words' END,
-      CASE WHEN n_lines > 0 AND CAST(n_dup_lines AS DOUBLE) / n_lines > 0.5 THEN 'repeated_lines' END
+      CASE WHEN n_lines > 0 AND CAST(n_dup_lines AS DOUBLE) / n_lines > 0.5 THEN 'repeated_lines' END,
+      CASE WHEN n_lines > 0 AND CAST(n_list_lines AS DOUBLE) / n_lines > 0.9 THEN 'list_lines' END,
+      CASE WHEN n_lines > 0 AND CAST(n_trailing_lines AS DOUBLE) / n_lines > 0.5 THEN 'trailing_lines' END
     ], lambda x: x IS NOT NULL) AS names
   FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, len(names) = 0 AS kept,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,9 +14,10 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
+from placewise.llm import quality
 from placewise.llm.queries import QUERIES
 from placewise.llm.sql import ORACLE_SQL
-from tests.llm.test_operators import brute_components, brute_fingerprint, brute_lines
+from tests.llm.test_operators import WORD, brute_groups, brute_lines, brute_quality, brute_rates, spark_draw
 
 COLUMNS = {
     "op1": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op2": "doc_id size text_crc32 law shard slot grown_shard", "op4": "doc_id n_bytes n_tokens over_limit",
@@ -42,26 +45,78 @@ def test_contract_columns(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).columns[: len(want)] == want
 
 
-def test_pipeline_stages(spark, sf_dir, tmp_path):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def brute_quality_kept(text):
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat = brute_quality(text)
+    words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+    stops = sum(w.lower() in quality.STOP_WORDS for w in words)
+    per = lambda x, n: x / n if n else 0.0
+    bullets, trailing = sum(x.lstrip(quality.WHITE_CHARS).startswith(quality.BULLETS) for x in lines), sum(x.rstrip(quality.WHITE_CHARS).endswith(("...", "…")) for x in lines)
+    bad = n_words < 10 or 100 * n_repeat > 20 * n_words or not 2 <= per(word_chars, n_words) <= 15 or per(n_symbols, n_words) > 0.3
+    return not (bad or per(stops + 1, n_words) < 0.03 or per(n_dup_lines, len(lines)) > 0.5 or per(bullets, len(lines)) > 0.9 or per(trailing, len(lines)) > 0.5)
+
+
+def checked_stages(spark, docs, sf_dir, tmp_path):
+    """Each stage on its own input against a brute-force version; the last result."""
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for name, stage in corpus_pipeline.STAGES:
-        before = {r.doc_id: r for r in docs.collect()}
+        before = docs.collect()
         stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
         out = spark.read.parquet(str(tmp_path / name))
-        after = {r.doc_id: r for r in out.collect()}
+        after = out.collect()
         if name != "sentencepiece":
-            assert out.columns == docs.columns and set(after) <= set(before)
-        if name == "line_dedup":
-            want = brute_lines({i: r.text for i, r in before.items()})
-            assert {i: r.text for i, r in after.items()} == {i: x[2] for i, x in want.items()}
-            assert all(r.n_chars == len(r.text) for r in after.values())
+            assert out.columns == docs.columns
+        if name == "quality_rules":
+            assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in before if brute_quality_kept(r.text))
+        elif name == "line_dedup":
+            want = brute_lines({i: r.text for i, r in enumerate(before)}) if len({r.doc_id for r in before}) == len(before) else None
+            if want and all(r.doc_id is not None for r in before):
+                want = brute_lines({r.doc_id: r.text for r in before})
+                assert {r.doc_id: r.text for r in after} == {i: x[2] for i, x in want.items()}
+            assert len(after) == len(before) and all(r.n_chars == len(r.text) for r in after)
         elif name == "simhash_near_dedup":
-            least = brute_components({i: brute_fingerprint(r.text) for i, r in before.items()})
-            assert set(after) == set(least.values())
-        elif name == "sentencepiece":
-            for i, r in before.items():
-                ids = np.array(library.encode(r.text, add_bos=True, add_eos=True), "<u4")
-                assert (after[i].n_tokens, after[i].ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+            groups = brute_groups({i: r.text for i, r in enumerate(before)})
+            least = {}
+            for i, r in enumerate(before):
+                key = (r.doc_id is None, r.doc_id)
+                least[groups[i]] = min(least.get(groups[i], key), key)
+            assert sorted((r.doc_id is None, r.doc_id) for r in after) == sorted(least.values())
+        elif name == "mixing":
+            want = brute_rates([(i, r.text, r.source, r.lang) for i, r in enumerate(before)])
+            copies = Counter()
+            for i, r in enumerate(before):
+                copies[r.doc_id] += int(want[i][2] + 1e-9) + (spark_draw(r.doc_id, r.text) < (want[i][2] + 1e-9) % 1)
+            assert Counter(r.doc_id for r in after) == +copies
+        else:
+            want = Counter()
+            for r in before:
+                ids = np.array(library.encode(r.text or "", add_bos=True, add_eos=True), "<u4")
+                want[r.doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(library.decode(ids.tolist()).encode()).hexdigest()] += 1
+            assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in after) == want
         docs = out
-    assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+    return docs
+
+
+def test_pipeline_stages(spark, sf_dir, tmp_path):
+    last = checked_stages(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir, tmp_path)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, last.collect()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, tmp_path):
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choice("the of and a to in river stone house light paper garden winter".split()) + f"{rng.randrange(99)}" * (i % 3 == 0) + " the" * (i % 9 == 0) for i in range(rng.randint(30, 80)))
+    line = "\nThis line of more than forty characters stands in many documents"
+    texts = [prose() + (line if i % 3 else "") for i in range(24)] + ["the " + "word of a very long text and more " * 1, "x" * 60_000, None, "", " \n"]
+    long = " ".join(f"w{rng.randrange(10**6)} the of" for _ in range(20_000))
+    rows = [(i, t, None if i % 5 == 0 else "en", None if i % 7 == 0 else f"s{i % 2}", len(t or ""), i, "x") for i, t in enumerate([*texts, long])]
+    rows += [rows[0], rows[1], (None, texts[2], "en", "s0", 1, 2, None), (None, texts[3] + " more the of", "en", None, 1, 2, "y")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mix long, Lines string"
+    df = spark.createDataFrame(rows, schema)
+    assert checked_stages(spark, df, sf_dir, tmp_path / "odd").count() > 10
+    assert checked_stages(spark, df.limit(0), sf_dir, tmp_path / "none").count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    words = [f"w{i}" for i in range(300)]
+    edited = ["other" if i % 75 == 40 else w for i, w in enumerate(words)]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(edited))], "doc_id long, text string")
+    assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, df, "").collect()] == [0]
