@@ -43,6 +43,7 @@ TOGETHER = 1 << 20
 _NONE = np.iinfo(np.int64).max
 #: Capital letters to small ones that the library knows and Python's older tables don't.
 _NEW_CASES = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {0x10D50 + i: 0x10D70 + i for i in range(22)}
+_NEW = re.compile(f"[{''.join(map(chr, _NEW_CASES))}]")
 
 
 def byte_symbols() -> list[str]:
@@ -111,7 +112,8 @@ class Counter:
                 part = unicodedata.normalize("NFC", part)
             if self.lower:
                 part = part.replace("Σ", "σ").lower()  # letter by letter, without the rule for a final sigma
-                part = part if part.isascii() else part.translate(_NEW_CASES)
+                if not part.isascii() and _NEW.search(part):
+                    part = part.translate(_NEW_CASES)
             out += find(part)
         return out, len(parts) - 1
 
@@ -120,9 +122,11 @@ class Counter:
         if len(self.known) > REMEMBER:
             self.known.clear()
         new = [t for t in set().union(*(p for p, _ in found)) if t not in self.known]
-        fresh_counts = dict(zip(new, self.merge_counts([t.encode() for t in new]).tolist(), strict=True))
-        out = [sum(self.known[t] if t in self.known else fresh_counts[t] for t in tokens) + special for tokens, special in found]
-        self.known.update((t, n) for t, n in fresh_counts.items() if len(t) <= SHORT)
+        self.known.update(zip(new, self.merge_counts([t.encode() for t in new]).tolist(), strict=True))
+        out = [sum(map(self.known.__getitem__, tokens)) + special for tokens, special in found]
+        for t in new:
+            if len(t) > SHORT:
+                del self.known[t]
         return out
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
