@@ -3,19 +3,28 @@
 `build` makes a tree of any input: void and raw-text elements, end tags that authors leave out (p, li, dt, dd, rows,
 cells, options, the head), stray end tags ignored. `render` emits all visible text of it: blocks on lines of their own,
 paragraph-like ones with a blank line around them, list items behind their markers with nesting as indentation,
-preformatted text as it stands, and table cells in columns padded to a common width. Not visible are elements that
-browsers don't paint (head, script, style, template and the like), the hidden attribute, `display: none` and
-`visibility: hidden` in style attributes, closed details and dialogs, and comments.
+preformatted text as it stands, and table cells in columns, each as wide as its widest cell, spans included. Formulas
+(math), drawings' labels (svg) and what stands in for an object that isn't shown are text like any other.
 
-Both work with stacks of their own, so nesting of any depth is no recursion. Columns are padded to at most PAD_MAX
-characters; wider cells stand as they are, so a table's text grows in proportion to its source.
+Not visible are elements that browsers don't paint (head, script, style, template and the like; definitions, titles and
+annotations of svg and math), the hidden attribute, closed details and dialogs, comments, and what `display: none` takes
+out. `visibility: hidden` hides text but not a descendant that is made visible again. Both are read from style
+attributes and from rules of style elements whose selector is made of a tag, classes and an id; the usual cascade decides
+between them. Rules with other selectors, and those for media other than screens, are left aside.
+
+Both work with stacks of their own, so nesting of any depth is no recursion. Where full padding would make a table PAD_TIMES
+as long as its content and PAD_FREE characters more, columns are narrowed until it doesn't; a cell wider than its column
+then ends its line, and the rest of the row follows on the next, still each under its own column. Spans are
+held to the limits that the HTML standard sets.
 
 Defined results: a null or empty page has an empty text; text without tags is its own rendering with white space
-collapsed; an unclosed comment or raw-text element runs to the end; repeated rows render alike; other columns pass.
+collapsed; an unclosed comment or raw-text element runs to the end; pages of any length count whole; repeated rows render
+alike; an empty table gives no rows; other columns pass.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
@@ -28,12 +37,21 @@ from pyspark.sql import functions as F
 
 from placewise.llm._common import fresh
 
-PAD_MAX = 40
-_SPAN_MAX = 100
+PAD_TIMES = 8
+PAD_FREE = 1 << 16
+_NARROWEST = 16
+#: The largest spans of the HTML standard.
+_MOST_COLUMNS, _MOST_ROWS = 1000, 65534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNPAINTED = frozenset("head title script style template noscript iframe noembed noframes object svg math canvas audio video datalist meta link base".split())
+UNPAINTED = frozenset("head title script style template noscript iframe noembed noframes canvas audio video datalist meta link base".split())
+#: Not painted within svg and math, and what stands apart from its neighbours there.
+UNPAINTED_WITHIN = {
+    "svg": frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
+APART_WITHIN = {"svg": frozenset({"text"}), "math": frozenset("mtr mtd".split())}
 HEAD_ONLY = frozenset("base link meta title script style noscript template head html".split())
 #: Blocks with a blank line around them, and blocks that only stand on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table fieldset hr menu".split())
@@ -48,9 +66,9 @@ ENDS = {
     "td": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
     "th": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
     "tr": (frozenset({"tr", "caption"}), frozenset({"table"})),
-    "thead": (frozenset("thead tbody tfoot caption".split()), frozenset({"table"})),
-    "tbody": (frozenset("thead tbody tfoot caption".split()), frozenset({"table"})),
-    "tfoot": (frozenset("thead tbody tfoot caption".split()), frozenset({"table"})),
+    "thead": (frozenset("tr thead tbody tfoot caption".split()), frozenset({"table"})),
+    "tbody": (frozenset("tr thead tbody tfoot caption".split()), frozenset({"table"})),
+    "tfoot": (frozenset("tr thead tbody tfoot caption".split()), frozenset({"table"})),
     "option": (frozenset({"option"}), frozenset("select datalist optgroup".split())),
     "optgroup": (frozenset({"optgroup", "option"}), frozenset({"select"})),
 }
@@ -58,7 +76,6 @@ ENDS = {
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*>|</?>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")  # for pages with a quote that never closes
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -135,7 +152,7 @@ def build(source: str | None) -> Node:
             continue
         if tag not in HEAD_ONLY and opened[-1].tag == "head":
             close_to(len(opened) - 1)
-        if tag in ENDS and (i := innermost(*ENDS[tag])):
+        while tag in ENDS and (i := innermost(*ENDS[tag])):
             close_to(i)
         if tag in ENDS_P and (i := innermost(frozenset({"p"}), WALLS)):
             close_to(i)
@@ -154,13 +171,85 @@ def build(source: str | None) -> Node:
     return root
 
 
-def visible(node: Node, parent: Node | None) -> bool:
-    a = node.attributes
-    if node.tag in UNPAINTED or "hidden" in a or (node.tag == "dialog" and "open" not in a):
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_BRACE = re.compile(r"[{}]")
+_COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
+_SCREENS = frozenset({"", "all", "screen", "only screen"})
+_STYLED = ("display", "visibility")
+
+
+def declared(source: str) -> dict[str, tuple[bool, str]]:
+    """(whether important, value) of the properties in a list of declarations that decide visibility."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in source.split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if name in _STYLED and value:
+            plain = value.removesuffix("important").rstrip().removesuffix("!").rstrip() if value.endswith("important") else value
+            if not (name in out and out[name][0] and plain == value):
+                out[name] = (plain != value, plain)
+    return out
+
+
+class Sheet:
+    """The rules of style elements that bear on visibility, by what their selector asks for."""
+
+    def __init__(self, sources: Iterable[str]) -> None:
+        self.rules: dict[str, list[tuple[tuple[int, int, int, int], str, frozenset[str], dict[str, tuple[bool, str]]]]] = {}
+        self.n = 0
+        for source in sources:
+            self._read(_COMMENT.sub(" ", source))
+
+    def _read(self, source: str) -> None:
+        at = 0
+        while (begin := source.find("{", at)) >= 0:
+            prelude, depth, end = source[at:begin].rpartition(";")[2].strip(), 1, begin + 1
+            while depth and (m := _BRACE.search(source, end)):
+                depth += 1 if m[0] == "{" else -1
+                end = m.end()
+            body = source[begin + 1 : end - 1] if not depth else source[begin + 1 :]
+            at = end if not depth else len(source)
+            if not prelude.startswith("@"):
+                self._add(prelude, declared(body))
+            elif prelude[:6].lower() == "@media" and " ".join(prelude[6:].lower().split()) in _SCREENS:
+                self._read(body)
+
+    def _add(self, selectors: str, styles: dict[str, tuple[bool, str]]) -> None:
+        for selector in selectors.split(",") if styles else ():
+            if m := _COMPOUND.match(selector.strip()):
+                tag, marks = (m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2] or ""))
+                ids = sum(x[0] == "#" for x in marks)
+                self.n += 1
+                weight = (ids, len(marks) - ids, tag != "*", self.n)
+                if tag != "*" or marks or selector.strip() == "*":
+                    self.rules.setdefault(min(marks, default=tag), []).append((weight, tag, marks, styles))
+
+    def styles(self, node: Node) -> dict[str, str]:
+        """What the rules and the node's own style attribute say, after the cascade."""
+        a = node.attributes
+        best: dict[str, tuple[tuple, str]] = {}
+        if self.rules:
+            marks = {f".{x}" for x in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set())
+            for key in (node.tag, "*", *marks):
+                for weight, tag, wanted, styles in self.rules.get(key, ()):
+                    if tag in ("*", node.tag) and wanted <= marks:
+                        for name, (important, value) in styles.items():
+                            best[name] = max(best.get(name, ((False, False, ()), "")), ((important, False, weight), value))
+        if "style" in a:
+            for name, (important, value) in declared(a["style"]).items():
+                best[name] = max(best.get(name, ((False, False, ()), "")), ((important, True, ()), value))
+        return {name: value for name, (_, value) in best.items()}
+
+
+def displayed(node: Node, parent: Node, styles: dict[str, str], within: str) -> bool:
+    """Whether a node is laid out at all. within: svg or math if it stands in one."""
+    if node.tag in UNPAINTED or node.tag in UNPAINTED_WITHIN.get(within, ()):
         return False
-    if parent is not None and parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary":
+    if parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary":
         return False
-    return not ("style" in a and _HIDDEN.search(a["style"]))
+    if "display" in styles:
+        return styles["display"] != "none"
+    return not ("hidden" in node.attributes or (node.tag == "dialog" and "open" not in node.attributes))
 
 
 @dataclass
@@ -217,45 +306,89 @@ class _Flow:
 
 @dataclass
 class _Table:
-    rows: list[list[list[str]]] = field(default_factory=list)
-    held: dict[int, int] = field(default_factory=dict)  # columns that cells of rows above still take, and for how many rows
+    rows: list[list[tuple[int, int, list[str]]]] = field(default_factory=list)  # of cells: first column, columns, lines
+    held: list[tuple[int, int, int]] = field(default_factory=list)  # of cells of rows above: first column, the one after, the row after
+    later: list[tuple[int, int, int]] = field(default_factory=list)  # the same of cells of the row that is open
+    column: int = 0
+    next_held: int = 0
+
+    def new_section(self) -> None:
+        self.held, self.later = [], []
 
     def new_row(self) -> None:
+        n = len(self.rows)
+        if self.later or any(end <= n for _, _, end in self.held[:1]):
+            self.held = sorted(h for h in (*self.held, *self.later) if h[2] > n)
         self.rows.append([])
-        self._skip()
-
-    def _skip(self) -> None:
-        row = self.rows[-1]
-        while self.held.get(len(row), 0) > 0:
-            self.held[len(row)] -= 1
-            row.append([])
+        self.later, self.column, self.next_held = [], 0, 0
 
     def add(self, lines: list[str], columns: int, rows: int) -> None:
         if not self.rows:
             self.new_row()
-        row = self.rows[-1]
-        for i in range(columns):
-            self.held[len(row)] = rows - 1
-            row.append(lines if i == 0 else [])
-        self._skip()
+        row = len(self.rows) - 1
+        while self.next_held < len(self.held) and self.held[self.next_held][0] <= self.column:
+            _, end, last = self.held[self.next_held]
+            self.column = max(self.column, end) if last > row else self.column
+            self.next_held += 1
+        self.rows[-1].append((self.column, columns, lines))
+        if rows > 1:
+            self.later.append((self.column, self.column + columns, row + rows))
+        self.column += columns
 
     def lines(self) -> list[str]:
-        rows = [r for r in self.rows if any(r)]
+        rows = [[c for c in r if c[2]] for r in self.rows]
+        rows = [r for r in rows if r]
         widths: dict[int, int] = {}
-        for row in rows:
-            for i, cell in enumerate(row):
-                widths[i] = min(PAD_MAX, max(widths.get(i, 0), max(map(len, cell), default=0)))
+        for first, _, lines in (c for r in rows for c in r if c[1] == 1):
+            widths[first] = max(widths.get(first, 0), max(map(len, lines)))
+        columns = sorted(widths)
+        for first, n, lines in sorted((c for r in rows for c in r if c[1] > 1), key=lambda c: c[1]):
+            wide, a = max(map(len, lines)), bisect.bisect_left(columns, first)
+            own = columns[a : bisect.bisect_left(columns, first + n)]
+            if not own:
+                widths[first] = wide
+                columns.insert(a, first)
+            else:  # what its columns lack, the last of them gets
+                widths[own[-1]] += max(0, wide - sum(widths[c] for c in own) - 2 * (len(own) - 1))
+        most, offsets = max(widths.values(), default=0), _offsets(widths, columns, None)
+        content = sum(len(x) for r in rows for _, _, lines in r for x in lines)
+        while most > _NARROWEST and sum(offsets[_column(columns, r[-1][0])] * max(len(c[2]) for c in r) for r in rows) > PAD_TIMES * content + PAD_FREE:
+            most = max(_NARROWEST, most // 2)
+            offsets = _offsets(widths, columns, most)
         out = []
         for row in rows:
-            for k in range(max(1, *map(len, row))):
-                parts = [(cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row) if widths[i]]
-                out.append("  ".join(parts).rstrip(" "))
+            for k in range(max(len(lines) for _, _, lines in row)):
+                line = ""
+                for first, _, lines in row:
+                    if k < len(lines) and lines[k]:
+                        offset = offsets[_column(columns, first)]
+                        if line and len(line) + 2 > offset:  # a cell wider than its column
+                            out.append(line.rstrip(" "))
+                            line = ""
+                        line = line.ljust(offset) + lines[k]
+                out.append(line.rstrip(" "))
         return out
 
 
-def _span(node: Node, name: str) -> int:
+def _column(columns: list[int], first: int) -> int:
+    """The column with text that a cell begins in or before."""
+    return columns[min(bisect.bisect_left(columns, first), len(columns) - 1)]
+
+
+def _offsets(widths: dict[int, int], columns: list[int], most: int | None) -> dict[int, int]:
+    out, at = {}, 0
+    for c in columns:
+        out[c] = at
+        at += (widths[c] if most is None else min(widths[c], most)) + 2
+    return out
+
+
+def _span(node: Node, name: str, most: int) -> int:
     value = node.attributes.get(name, "1").strip()
-    return min(_SPAN_MAX, max(1, int(value))) if value.isascii() and value.isdigit() else 1
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    n = int(value[:8])
+    return min(most, n) if n else most if name == "rowspan" else 1  # a rowspan of 0 runs to the end of its section
 
 
 def _trimmed(lines: list[str]) -> list[str]:
@@ -264,14 +397,28 @@ def _trimmed(lines: list[str]) -> list[str]:
     return lines[first : last + 1]
 
 
+def _style_sources(root: Node) -> Iterator[str]:
+    work = [root]
+    while work:
+        node = work.pop()
+        if node.tag == "style":
+            if " ".join(node.attributes.get("media", "").lower().split()) in _SCREENS:
+                yield "".join(x for x in node.children if isinstance(x, str))
+        else:
+            work += [x for x in reversed(node.children) if isinstance(x, Node)]
+
+
 def render(root: Node) -> str:
     """All visible text of a tree."""
     flows, tables, lists, pre = [_Flow()], [], [], 0
-    work: list[tuple[Node, Iterator[Node | str]]] = []
+    work: list[tuple[Node, Iterator[Node | str], bool, str]] = []  # and whether text is hidden, and the svg or math around
+    sheet = Sheet(_style_sources(root))
 
-    def enter(node: Node) -> None:
+    def enter(node: Node, hidden: bool, within: str) -> None:
         nonlocal pre
         tag, flow = node.tag, flows[-1]
+        if tag in APART_WITHIN.get(within, ()):
+            flow.put(" ")
         if tag == "br":
             flow.new_line()
             return
@@ -286,25 +433,29 @@ def render(root: Node) -> str:
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
             flow.indents.append(" " * len(mark))
-            flow.marker = mark
+            flow.marker = " " * len(mark) if hidden else mark
         elif tag in ("dd", "blockquote"):
             flow.indents.append("  ")
         elif tag == "pre":
             pre += 1
         elif tag == "table":
             tables.append(_Table())
+        elif tag in ("thead", "tbody", "tfoot") and tables:
+            tables[-1].new_section()
         elif tag == "tr" and tables:
             tables[-1].new_row()
         elif tag in ("td", "th") and tables:
             flows.append(_Flow())
 
-    def leave(node: Node) -> None:
+    def leave(node: Node, within: str) -> None:
         nonlocal pre
         tag = node.tag
+        if tag in APART_WITHIN.get(within, ()):
+            flows[-1].put(" ")
         if tag in ("td", "th") and tables:
             cell = flows.pop()
             cell.end_line()
-            tables[-1].add(_trimmed(cell.lines), _span(node, "colspan"), _span(node, "rowspan"))
+            tables[-1].add(_trimmed(cell.lines), _span(node, "colspan", _MOST_COLUMNS), _span(node, "rowspan", _MOST_ROWS))
             return
         flow = flows[-1]
         if tag in BLOCKS and tag != "tr":
@@ -321,16 +472,16 @@ def render(root: Node) -> str:
         if tag in SPACED and not (tag in ("ul", "ol") and lists):
             flow.gap = True
 
-    work.append((root, iter(root.children)))
+    work.append((root, iter(root.children), False, ""))
     while work:
-        node, rest = work[-1]
+        node, rest, hidden, within = work[-1]
         child = next(rest, None)
         if child is None:
             work.pop()
             if work:
-                leave(node)
+                leave(node, work[-1][3])
         elif isinstance(child, str):
-            if node.tag == "details" and "open" not in node.attributes:
+            if hidden or (node.tag == "details" and "open" not in node.attributes):
                 continue
             if pre:
                 first, *more = child.split("\n")
@@ -340,12 +491,16 @@ def render(root: Node) -> str:
                     flows[-1].words.append(line)
             else:
                 flows[-1].put(child)
-        elif visible(child, node):
-            enter(child)
-            if child.tag not in VOID:
-                work.append((child, iter(child.children)))
-            elif child.tag == "hr":
-                leave(child)
+        else:
+            styles = sheet.styles(child) if sheet.rules or "style" in child.attributes else {}
+            if displayed(child, node, styles, within):
+                seen = styles.get("visibility", "inherit")
+                unseen = hidden if seen in ("inherit", "unset") else seen in ("hidden", "collapse")
+                enter(child, unseen, within)
+                if child.tag not in VOID:
+                    work.append((child, iter(child.children), unseen, child.tag if child.tag in UNPAINTED_WITHIN else "" if child.tag == "foreignobject" else within))
+                elif child.tag == "hr":
+                    leave(child, within)
     flows[0].end_line()
     return "\n".join(_trimmed(flows[0].lines))
 

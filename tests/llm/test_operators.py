@@ -165,6 +165,80 @@ def test_html(source, want):
     assert html_text.page_text(source) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> b", "a x=1 b"), ("<svg><title>t</title><defs><text>no</text></defs><text>Label</text><text>two</text></svg>", "Label two"),
+        ("<object data=x><p>stands in</object>", "stands in"), ("<defs>kept</defs> x", "kept x"), ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+        ("<style>.x{display:none} p.y{visibility:hidden}</style><div class='a x'>no</div><p class=y>no</p><p class=z>yes</p><i class=y>too</i>", "yes\n\ntoo"),
+        ("<style>#i{display:none} .c{display:block}</style><b id=i class=c>no</b><b class=c hidden>yes</b>", "yes"), ("<style>.c{display:none!important}</style><b class=c style='display:inline'>no</b>x", "x"),
+        ("<style>.c{display:none}</style><b class=c style='display:inline'>yes</b>", "yes"), ("<style>@media print{.c{display:none}} @media screen { .d { display : none } } @import 'x'; .e{display:none}</style><i class=c>c</i><i class=d>d</i><i class=e>e</i>", "c"),
+        ("<style>.c{display:none} .c{display:inline}</style><i class=c>yes</i>", "yes"), ("<style>div p, p > b {display:none} /* .q{display:none} */</style><div><p>kept <b>all</b> <i class=q>of it</i></div>", "kept all of it"),
+        ("<ol><li style='visibility:hidden'>a<li>b</ol>", "2. b"), ("<style media=print>b{display:none}</style><b>x</b>", "x"), ("<svg><foreignObject><p>in</p></foreignObject><marker>m</marker></svg>", "in"),
+        ("<table><tr><td colspan=2>a wide one over both<td>z<tr><td>b<td>c<td>d</table>", "a wide one over both  z\nb  c                  d"), ("<table><tr><td rowspan=0>r<td>1<tr><td>2<tbody><tr><td>3<td>4</table>", "r  1\n   2\n3  4"),
+        ("<table><tr><td>x<td colspan=3>mid<td>y<tr><td>1<td>2<td>3<td>4<td>5</table>", "x  mid      y\n1  2  3  4  5"), ("<table><tr><td><td>a<tr><td>b<td>c</table>", "   a\nb  c"),
+        ("<table><tr><td colspan=99999>t<tr><td rowspan=99999>q<td>w</table>", "t\nq  w"),
+    ],
+)
+def test_html_visibility_and_spans(source, want):
+    assert html_text.page_text(source) == want
+
+
+def offsets(line):
+    """Where the cells of a line of a table begin: words after two blanks or more, or at its start."""
+    return [m.start() for m in re.finditer(r"(?:(?<=  )|^)\S", line)]
+
+
+def test_html_columns_stay_aligned_at_any_width():
+    rng = random.Random(4)
+    for n_rows, wide in ((3, 60), (40, 300), (400, 5_000), (2_000, 40_000)):
+        rows = [[f"c{i}{'x' * rng.randint(0, 9)}" for i in range(4)] for _ in range(n_rows)]
+        rows[1][1] = "W" * wide
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>"
+        text = html_text.page_text(page)
+        assert text.split() == [c for r in rows for c in r]  # whole, and in order
+        columns = {c[:2]: set() for r in rows for c in r if c[0] == "c"}
+        for line in text.split("\n"):
+            for at in offsets(line):
+                if line[at] == "c":
+                    columns[line[at : at + 2]].add(at)
+        assert all(len(x) == 1 for x in columns.values()), (n_rows, columns)
+        assert len(text) <= html_text.PAD_TIMES * sum(len(c) for r in rows for c in r) + html_text.PAD_FREE + 20 * n_rows * 4
+        assert (len(text.split("\n")) == n_rows) == (wide < 5_000)
+
+
+def test_html_many_spans_take_bounded_time():
+    cells = "<tr>" + "<td rowspan=65534 colspan=1000>a" * 3_000 + "<tr><td>b" * 3_000
+    assert html_text.page_text(f"<table>{cells}</table>").split().count("b") == 3_000
+    assert html_text.page_text("<style>" + ".a{display:none}" * 20_000 + "{" * 20_000 + "</style><b>x</b>") == "x"
+
+
+def brute_layout(source):
+    """The lines of a page of paragraphs, headings and flat lists, from its tags in order."""
+    out, text, gap, mark = [], "", False, ""
+    body = re.sub(r"(?s)<head>.*?</head>|<script.*?</script>|<!--.*?-->|<!DOCTYPE[^>]*>", "", source)
+    for token in [*re.split(r"(<[^>]*>)", body), "<p>"]:
+        tag = re.match(r"</?([a-z0-9]+)", token)
+        if tag is None:
+            text += html_text.html.unescape(token)
+        elif tag[1] not in ("a", "b"):
+            if text.split():
+                out += [""] * (gap and bool(out)) + [mark + " ".join(text.split())]
+                gap = False
+            text, mark = "", "- " if token.startswith("<li") else ""
+            gap |= tag[1] in ("p", "h1", "ul")
+    return out
+
+
+def test_html_layout_of_pages(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    got = {r.page_id: r for r in QUERIES["op3_html_text"](spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        want = "\n".join(brute_layout(r.html))
+        assert (got[r.page_id].text, got[r.page_id].n_chars) == (want, len(want))
+
+
 def test_html_all_visible_text_and_depth(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         plain = re.sub(r"(?s)<head>.*?</head>|<script.*?</script>|<!--.*?-->", " ", r.html)
@@ -176,8 +250,8 @@ def test_html_all_visible_text_and_depth(spark, sf_dir):
 
 
 def test_html_columns(spark):
-    df = spark.createDataFrame([(1, "<p>x", "t"), (2, None, None)], "page_id long, html string, text string")
-    assert [tuple(r) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, "<p>x", "t", "x"), (2, None, None, "")]
+    df = spark.createDataFrame([(1, "<p>x", "t"), (1, "<p>x", "t"), (2, None, None), (3, "", "u")], "page_id long, html string, text string")
+    assert [tuple(r) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, "<p>x", "t", "x"), (1, "<p>x", "t", "x"), (2, None, None, ""), (3, "", "u", "")]
     assert html_text.extract(df.limit(0)).count() == 0
 
 
