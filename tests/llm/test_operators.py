@@ -215,7 +215,7 @@ def test_html_many_spans_take_bounded_time():
 
 def brute_layout(source):
     """The lines of a page of paragraphs, headings and flat lists, from its tags in order."""
-    out, text, gap, mark = [], "", False, ""
+    out, text, gap, mark, in_p = [], "", False, "", False
     body = re.sub(r"(?s)<head>.*?</head>|<script.*?</script>|<!--.*?-->|<!DOCTYPE[^>]*>", "", source)
     for token in [*re.split(r"(<[^>]*>)", body), "<p>"]:
         tag = re.match(r"</?([a-z0-9]+)", token)
@@ -226,7 +226,8 @@ def brute_layout(source):
                 out += [""] * (gap and bool(out)) + [mark + " ".join(text.split())]
                 gap = False
             text, mark = "", "- " if token.startswith("<li") else ""
-            gap |= tag[1] in ("p", "h1", "ul")
+            gap |= tag[1] in ("p", "h1", "ul") or (in_p and tag[1] != "br")  # a paragraph ends where a block begins or ends
+            in_p = token.startswith("<p") or (in_p and tag[1] == "br")
     return out
 
 
