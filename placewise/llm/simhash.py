@@ -23,6 +23,7 @@ whatever their names, don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,10 +86,10 @@ def _variants(fp: Column, at: Column) -> Column:
     return segment.bitwiseAND(F.bitwise_not(bit)).bitwiseOR(F.shiftleft(at.cast("long"), _HALF))
 
 
-def _blocks(fp: Column, at: Column) -> Column:
+def _blocks(fp: Column, at: Column) -> list[Column]:
     """The three blocks of the segment that signature number `at` leaves out, each under its number."""
     other = F.when(at < _HALF, F.shiftrightunsigned(fp, _HALF)).otherwise(fp.bitwiseAND(F.lit((1 << _HALF) - 1)))
-    return F.array(*(F.shiftright(other, low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(i << _HALF)) for i, (low, bits) in enumerate(_BLOCKS)))
+    return [F.shiftright(other, low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(i << _HALF)) for i, (low, bits) in enumerate(_BLOCKS)]
 
 
 def _near(fps: DataFrame) -> DataFrame:
@@ -98,7 +99,8 @@ def _near(fps: DataFrame) -> DataFrame:
     met_by = lambda rows, *keys: rows.groupBy(*keys).agg(F.count("fp").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     verified = lambda df: df.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
     shared = cut(met_by(index, "sig"))
-    blocked = index.join(shared.where("n > 2").select("sig"), "sig", "left_semi").select("fp", "sig", F.explode(_blocks(F.col("fp"), F.col("at"))).alias("block"))
+    crowded = cut(index.join(shared.where("n > 2").select("sig"), "sig", "left_semi"))
+    blocked = reduce(DataFrame.unionAll, (crowded.select("fp", "sig", b.alias("block")) for b in _blocks(F.col("fp"), F.col("at"))))
     refined = cut(met_by(blocked, "sig", "block"))
     pairs = verified(shared.where("n = 2").select("a", "b").unionByName(refined.where("n = 2").select("a", "b")).distinct())
 
