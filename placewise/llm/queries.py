@@ -42,8 +42,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> Dat
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = sentencepiece_codec.Codec.load(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), codec).drop("text")
-    decoded = sentencepiece_codec.decode(encoded, codec)
+    decoded = sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), codec)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

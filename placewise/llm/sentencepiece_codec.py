@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -193,39 +193,51 @@ class Codec:
         return (head + b"".join(map(self.surface.__getitem__, ids[1:]))).decode("utf-8", "each_byte")
 
 
-def _mapped(df: DataFrame, column: str, name: str, kind: str, arrow: pa.DataType, codec: Codec, one: str) -> DataFrame:
-    """df with a column at the end: what method `one` of the codec makes of each value of a column."""
+_IDS, _TEXT = ("binary", pa.binary()), ("string", pa.string())
+
+
+def _mapped(df: DataFrame, codec: Codec, column: str, made: dict[str, tuple[str, pa.DataType]], one: Callable[[Codec, object], tuple], keep: bool = True) -> DataFrame:
+    """df with columns at the end: what `one` makes of each value of a column, which stays only if keep."""
     shared = df.sparkSession.sparkContext.broadcast(codec)  # as large as the vocabulary
-    name, at = fresh(df, name), df.columns.index(column)
-    schema = df.withColumn(name, F.lit(None).cast(kind)).schema
-    fields = schema.names
+    at, held = df.columns.index(column), [i for i, c in enumerate(df.columns) if keep or c != column]
+    wide = df if keep else df.drop(column)
+    for name, (kind, _) in made.items():
+        wide = wide.withColumn(fresh(wide, name), F.lit(None).cast(kind))
+    schema, fields, types = wide.schema, wide.columns, [t for _, t in made.values()]
 
     def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
-                made = [getattr(_Packed(shared.value), one)(x.as_py()) for x in batch.column(at)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], fields)
+                rows = [one(shared.value, x.as_py()) for x in batch.column(at)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in held), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], fields)
 
     return df.mapInArrow(mapped, schema)
 
 
-@dataclass
-class _Packed:
-    codec: Codec
+def _pack(codec: Codec, text: str | None) -> tuple[bytes]:
+    return (codec.pack(text),)
 
-    def pack(self, text: str | None) -> bytes:
-        return self.codec.pack(text)
 
-    def unpack(self, ids: bytes | None) -> str:
-        return self.codec.decode(np.frombuffer(ids or b"", "<u4").tolist())
+def _unpack(codec: Codec, ids: bytes | None) -> tuple[str]:
+    return (codec.decode(np.frombuffer(ids or b"", "<u4").tolist()),)
+
+
+def _pack_unpack(codec: Codec, text: str | None) -> tuple[bytes, str]:
+    ids = codec.pack(text)
+    return (ids, *_unpack(codec, ids))
 
 
 def encode(df: DataFrame, codec: Codec, text: str = "text", name: str = "ids") -> DataFrame:
     """df with a binary column at the end: the ids, begin and end included, as little-endian 32-bit integers."""
-    return _mapped(df.withColumn(text, F.col(text).cast("string")), text, name, "binary", pa.binary(), codec, "pack")
+    return _mapped(df.withColumn(text, F.col(text).cast("string")), codec, text, {name: _IDS}, _pack)
 
 
 def decode(df: DataFrame, codec: Codec, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """df with a string column at the end: the text of a column of packed ids (null: none)."""
-    return _mapped(df, ids, name, "string", pa.string(), codec, "unpack")
+    return _mapped(df, codec, ids, {name: _TEXT}, _unpack)
+
+
+def encode_decode(df: DataFrame, codec: Codec, text: str = "text") -> DataFrame:
+    """df without its text but with columns ids and decoded (see encode and decode) at the end, in one pass."""
+    return _mapped(df.withColumn(text, F.col(text).cast("string")), codec, text, {"ids": _IDS, "decoded": _TEXT}, _pack_unpack, keep=False)

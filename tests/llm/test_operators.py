@@ -304,6 +304,10 @@ def test_sentencepiece(spark, texts):
     rows = sentencepiece_codec.decode(sentencepiece_codec.encode(df, codec), codec, "_ids").collect()
     assert [np.frombuffer(r["_ids"], "<u4").tolist() for r in rows] == library.encode([t or "" for t in ODD], add_bos=True, add_eos=True)
     assert [r["_decoded"] for r in rows] == [t or "" for t in ODD]
+    both = sentencepiece_codec.encode_decode(df, codec)
+    assert both.columns == ["doc_id", "ids", "decoded", "n_chars", "_ids", "_decoded"]
+    assert [(r["_ids"], r["_decoded"]) for r in both.collect()] == [(r["_ids"], r["_decoded"]) for r in rows]
+    assert sentencepiece_codec.encode_decode(df.limit(0), codec).count() == 0
     assert sentencepiece_codec.encode(df.limit(0), codec).count() == 0
 
 
