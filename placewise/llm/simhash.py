@@ -94,7 +94,8 @@ def _blocks(fp: Column, at: Column) -> list[Column]:
 
 def _near(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints: enough of them to connect all that are within DISTANCE bits."""
-    numbered = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("at"))
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # few bytes, many rows to come
+    numbered = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("at"))
     index = numbered.select("fp", "at", _variants(F.col("fp"), F.col("at")).alias("sig"))
     met_by = lambda rows, *keys: rows.groupBy(*keys).agg(F.count("fp").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     verified = lambda df: df.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)

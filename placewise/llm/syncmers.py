@@ -9,9 +9,10 @@ The fingerprint is the sequence of chosen hashes in text order; the likeness of
 anchors they share over the number in either. `shared_passages` matches anchors by position.
 
 Defined results: a null or word-less text has no anchors, and two texts without any are alike (1.0); a text of fewer
-than K tokens, or without any closed syncmer, has its whole sequence as its only anchor; repeated rows have equal fingerprints. The next document is
-the next lower doc_id (nulls after all others), of equal ids the one with the next lower (hash of) text; after the
-last comes the first, so a single document is its own next.
+than K tokens, or without any closed syncmer, has its whole sequence as its only anchor; texts of any length count whole;
+repeated rows have equal fingerprints. The next document is the next lower doc_id (nulls after all others), of equal ids
+the one with the next lower (hash of) text; after the last comes the first, so a single document is its own next; an
+empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations

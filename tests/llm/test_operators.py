@@ -738,6 +738,48 @@ def test_only_texts_without_words_have_no_anchors(spark):
     assert empty.agg(F.max(syncmers.likeness(F.col("a.found"), F.col("b.found")))).first()[0] < 1
 
 
+def spark_hash(*values):
+    """What Spark's xxhash64 makes of longs or texts, one after another, as a signed long."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_anchors(text):
+    h = [spark_hash(x) for x in re.findall(r"[^\x20\x09-\x0D]{1,24}", text or "")]
+    g = [spark_hash(a, b) for a, b in zip(h, h[1:])]
+    span = syncmers.K - syncmers.S
+    chosen = [spark_hash(g[i], g[i + 2], g[i + 4], g[i + 6]) for i in range(len(g) - span) if min(g[i], g[i + span]) <= min(g[i + 1 : i + span])]
+    return chosen or ([spark_hash(*h)] if h else [])
+
+
+def brute_likeness(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_op9_against_brute_force(spark, sf_dir, tmp_path, texts, own):
+    rng = random.Random(12)
+    short = [" ".join(f"w{rng.randrange(40)}" for _ in range(n)) for n in [*range(21)] * 6]
+    many = texts if own else dict(enumerate([*short, *ODD, "one two three four five six seven eight", "red orange yellow green blue indigo violet pink", " ".join(["long"] * 5 + [f"v{i}" for i in range(9_000)])]))
+    if not own:
+        docs(spark, many.values()).withColumn("found", F.lit(1)).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in QUERIES["op9_syncmer_fingerprints"](spark, sf_dir if own else str(tmp_path)).collect()}
+    assert set(rows) == set(many)
+    ids = sorted(many, reverse=True)
+    printed = lambda a: "".join(f"{x % (1 << 32):08x}" for x in a)
+    found = {i: brute_anchors(t) for i, t in many.items()}
+    for at, i in enumerate(ids):
+        text, after = many[i] or "", many[ids[(at + 1) % len(ids)]] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own_e, r = brute_anchors(edited), rows[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), printed(found[i]), printed(own_e))
+        assert r.near_edited == pytest.approx(brute_likeness(found[i], own_e)) and r.near_next == pytest.approx(brute_likeness(found[i], found[ids[(at + 1) % len(ids)]]))
+    assert brute_likeness(brute_anchors("one two three four five six seven eight"), brute_anchors("red orange yellow green blue indigo violet pink")) == 0
+
+
 def test_next_documents(spark):
     texts = [f"text number {i}" for i in range(57)]
     df = docs(spark, texts).withColumn("own", F.lit(1)).repartition(5)
