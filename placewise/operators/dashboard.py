@@ -100,8 +100,8 @@ def verification_banner(verifications: DataFrame) -> DataFrame:
 
 
 def evidence_lines(points: DataFrame) -> DataFrame:
-    """Points with their ids joined; those without a claim are dropped."""
-    return points.where("claim IS NOT NULL").select("place_id", "ord", "claim", F.array_join(F.coalesce("evidence_review_ids", F.array().cast("array<string>")), ", ").alias("ids"))
+    """Points with their ids joined; a missing claim is blank."""
+    return points.select("place_id", "ord", F.coalesce("claim", F.lit("")).alias("claim"), F.array_join(F.coalesce("evidence_review_ids", F.array().cast("array<string>")), ", ").alias("ids"))
 
 
 def pros_and_cons(lists: DataFrame, rows: int = 5) -> DataFrame:

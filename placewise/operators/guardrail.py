@@ -39,6 +39,19 @@ def fallback_concerns(reviews: DataFrame) -> DataFrame:
     return rows.select("place_id", "ord", F.lit("Reported Customer Concern").alias("aspect"), F.substring("text", 1, EVIDENCE_CHARS).alias("evidence"), severity.alias("severity"), F.concat(F.lit("r"), F.col("pos").cast("string")).alias("review_id"))
 
 
+def enriched(polarity: str, given: DataFrame, points: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Positives or negatives (place_id, ord from 0, aspect, evidence, confidence, severity, supporting_review_ids) of each place:
+    the given ones if it has any, else its points, else what its reviews say.
+    """
+    columns = ("place_id", "ord", "aspect", "evidence", "confidence", "severity", "supporting_review_ids")
+    own = points_as_evidence(points.where(F.col("polarity") == polarity)).select(*columns)
+    last = fallback_positives(reviews).withColumn("severity", F.lit(None).cast("string")) if polarity == "positive" else fallback_concerns(reviews).withColumn("confidence", F.lit(None).cast("double"))
+    last = last.withColumns({"ord": F.col("ord") - 1, "supporting_review_ids": F.array("review_id")}).select(*columns)
+    own = own.join(given.select("place_id"), "place_id", "left_anti")
+    chosen = given.select(*columns).unionByName(own)
+    return chosen.unionByName(last.join(chosen.select("place_id"), "place_id", "left_anti"))
+
+
 def verified_facts(places: DataFrame) -> DataFrame:
     """places (place_id, n, rated_avg, positive_keywords, negative_keywords) to rows (place_id, fact_no, fact)."""
     listed = lambda c, k: F.array_join(F.slice(c, 1, k), ", ")
@@ -56,11 +69,6 @@ def sentiment_context(places: DataFrame) -> DataFrame:
     return places.select("place_id", F.slice("positive_keywords", 1, 10).alias("positive_keywords"), F.slice("negative_keywords", 1, 8).alias("negative_keywords"), F.slice("themes", 1, 5).alias("themes"))
 
 
-def with_defaults(guardrails: DataFrame, place_ids: DataFrame) -> DataFrame:
-    """A guardrail row for each place; those without one have nulls, which the scorer's defaults replace."""
-    return place_ids.select("place_id").join(guardrails, "place_id", "left")
-
-
 def trimmed_concerns(concerns: DataFrame, most: int = 4) -> DataFrame:
     """concerns (place_id, ord from 0, ...): the first four of each place, evidence cut to 80 characters."""
     return concerns.where(F.col("ord") < most).withColumn("evidence", F.substring("evidence", 1, 80))

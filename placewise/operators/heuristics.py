@@ -54,7 +54,7 @@ def heuristic_stats(reviews: DataFrame) -> DataFrame:
 
 
 def flags(n: Column, fives: Column, ones: Column, n_ratings: Column, short_fives: Column, pairs: Column, phrases: Column, authors: Column, n_dates: Column, n_days: Column) -> Column:
-    """The texts of the flags raised, in their order; phrases is null or the repeated phrases as text."""
+    """The texts of the flags raised, in their order; phrases is null or the repeated phrases as text. The texts."""
     share = lambda x: x / n
     text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     raised = F.array_compact(F.array(
@@ -85,6 +85,9 @@ def place_flags(reviews: DataFrame) -> DataFrame:
     return stats.select("place_id", F.posexplode(raised).alias("at", "flag")).select("place_id", (c("at") + 1).alias("flag_no"), "flag")
 
 
-def merged_flags(own: Column, annotated: Column) -> Column:
-    """Both lists, each flag once, in order."""
-    return F.array_distinct(F.concat(own, F.coalesce(annotated, F.array().cast("array<string>"))))
+def merged_flags(flags: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(place_id, flag_no, flag): the raised flags, then the annotator's patterns (place_id, ord, pattern), each text once."""
+    own = flags.select("place_id", F.struct(F.lit(0).alias("from"), F.col("flag_no").alias("at")).alias("order"), "flag")
+    told = patterns.select("place_id", F.struct(F.lit(1).alias("from"), F.col("ord").alias("at")).alias("order"), F.col("pattern").alias("flag"))
+    first = own.unionByName(told).groupBy("place_id", "flag").agg(F.min("order").alias("order"))
+    return first.select("place_id", F.row_number().over(Window.partitionBy("place_id").orderBy("order")).alias("flag_no"), "flag")

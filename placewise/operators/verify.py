@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewise.functions.text import one_decimal
+from placewise.sources.schemas import ASPECT_NAMES
 
 SECTIONS = ("sentiment", "aspects", "keywords", "guardrail", "evidence")
 
@@ -32,7 +33,7 @@ def issues(own: Column, unsupported: Column) -> Column:
 
 
 def default_observations(places: DataFrame) -> DataFrame:
-    """(place_id, section, ord, observation): generated texts for sections without observations.
+    """(place_id, section, ord, observation): generated texts for sections without observations. Their wording.
 
     places: n, rated_avg, positive, critical (counts of ratings of 4 and more, 2 and less), overall_sentiment,
     aspect_texts, positive_keywords, negative_keywords (arrays), trust_score, fake_probability.
@@ -66,6 +67,26 @@ def default_observations(places: DataFrame) -> DataFrame:
     return places.select("place_id", rows.alias("x")).select("place_id", "x.section", F.posexplode("x.texts").alias("ord", "observation"))
 
 
+def aspect_texts(aspects: DataFrame) -> DataFrame:
+    """(place_id, aspect_texts): a text for those of the first three aspects that have a score. Its wording."""
+    first = ASPECT_NAMES[:3]
+    text = F.concat(F.initcap(F.replace("aspect", F.lit("_"), F.lit(" "))), F.lit(": score "), F.col("score").cast("string"), F.lit("/10 confirmed across "), F.col("reviews_mentioning").cast("string"), F.lit(" review mention(s)."))
+    rows = aspects.where(F.col("score").isNotNull() & F.col("aspect").isin(*first)).select("place_id", F.array_position(F.lit(list(first)), F.col("aspect")).alias("at"), text.alias("text"))
+    return rows.groupBy("place_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("aspect_texts"))
+
+
+def sections(given: DataFrame, generated: DataFrame) -> DataFrame:
+    """(place_id, section, status, observations, issues) of the five sections of each place in generated.
+
+    given (place_id, section, status, observations, issues, unsupported_claims): what the verifier says stays; generated
+    (place_id, section, ord, observation) stands in for sections without observations.
+    """
+    texts = generated.groupBy("place_id", "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "observation"))), lambda x: x["observation"]).alias("made"))
+    joined = texts.join(given, ["place_id", "section"], "left")
+    own = F.coalesce("observations", F.array().cast("array<string>"))
+    return joined.select("place_id", "section", section_status(F.col("status")).alias("status"), F.when(F.size(own) > 0, own).otherwise(F.col("made")).alias("observations"), issues(F.col("issues"), F.col("unsupported_claims")).alias("issues"))
+
+
 def trimmed_aspects(aspects: DataFrame) -> DataFrame:
     return aspects.where("score IS NOT NULL").withColumn("evidence_review_ids", F.slice("evidence_review_ids", 1, 2))
 

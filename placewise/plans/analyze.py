@@ -16,51 +16,92 @@ from placewise.operators import annotate, corrections, dedupe, guardrail, heuris
 from placewise.operators import reviews as R
 from placewise.sources import schemas
 
+NO_REVIEWS = "No reviews found. Try a more specific location name."
+QUOTES = ("standout_positive_quote", "standout_negative_quote", "crowd_profile", "temporal_trend")
+
+
+def _keywords(batches: DataFrame) -> DataFrame:
+    """(place_id, polarity, ord, keyword) of all batches, each keyword once."""
+    lists = (batches.select("place_id", "batch", F.lit(p).alias("polarity"), F.col(f"{p}_keywords").alias("list")) for p in ("positive", "negative"))
+    both = next(lists).unionByName(next(lists))
+    return sentiment.ordered_union(both, ["place_id", "polarity"], ["batch"], "list", "keyword").select("place_id", "polarity", "ord", "keyword")
+
+
+def _keyword_lists(keywords: DataFrame) -> DataFrame:
+    """(place_id, positive_keywords, negative_keywords)"""
+    of = lambda p: F.transform(F.sort_array(F.collect_list(F.when(F.col("polarity") == p, F.struct("ord", "keyword")))), lambda x: x["keyword"])
+    return keywords.groupBy("place_id").agg(of("positive").alias("positive_keywords"), of("negative").alias("negative_keywords"))
+
+
+def _verified(given: Mapping[str, DataFrame], ids: DataFrame, strict: bool) -> DataFrame:
+    """A verification for each place: its own, else the record of an unavailable one."""
+    if "verifications" not in given:
+        return verify.unavailable(ids, strict)
+    own = verify.with_defaults(given["verifications"]).select("place_id", "verification_status", "accuracy", "hallucination_detected")
+    return own.unionByName(verify.unavailable(ids.join(own, "place_id", "left_anti"), strict))
+
 
 def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None, require_verification: bool = False, strict: bool = False) -> DataFrame:
-    """One report for each raw place (schemas.RAW_PLACE and place_id).
+    """One report for each raw place (schemas.RAW_PLACE and place_id); one without reviews has an error instead.
 
-    annotations, each optional: per_review, aspects, concerns (place_id, severity), guardrail (place_id, trust_score,
-    fake_review_probability), verifications, corrections. A place without a verification gets the compatible record
-    (PASS at 0.92), or UNAVAILABLE if strict.
+    annotations, each optional and named after its schema: per_review, aspects, batches, themes, points, guardrail,
+    positives and concerns (schemas.EVIDENCE), patterns, verifications, sections, corrections, and recommendations (place_id and
+    any prose). A place without a verification gets the compatible record (PASS at 0.92), or UNAVAILABLE if strict.
     """
-    given = dict(annotations or {})
-    spark = raw.sparkSession
-    empty = lambda schema: spark.createDataFrame([], schema)
+    given, c = dict(annotations or {}), F.col
+    table = lambda name, schema: given[name] if name in given else raw.sparkSession.createDataFrame([], schema)
     places, scraped = R.project_places(raw), R.explode_reviews(raw)
     reviews = dedupe.clean(R.usable_reviews(scraped))
     per_review = given.get("per_review", annotate.lexicon_annotations(reviews))
-    aspects = sentiment.merge_aspects(given.get("aspects", empty(schemas.ASPECTS)), F.col("batch"))
-    fixes = given.get("corrections", empty(schemas.CORRECTIONS))
-
-    ids = places.select("place_id")
-    verified = given.get("verifications")
-    verified = verify.unavailable(ids, strict) if verified is None else verify.with_defaults(verified).select("place_id", "verification_status", "accuracy", "hallucination_detected")
-    verified = verified.unionByName(verify.unavailable(ids.join(verified, "place_id", "left_anti"), strict)) if "verifications" in given else verified
+    aspects = sentiment.merge_aspects(table("aspects", schemas.ASPECTS), c("batch"))
+    said, fixes, points = table("batches", schemas.BATCHES), table("corrections", schemas.CORRECTIONS), sentiment.merge_points(table("points", schemas.POINTS))
+    verified = _verified(given, places.select("place_id"), strict)
     todo = corrections.applicable(fixes, verified)
 
-    batches = per_review.groupBy("place_id", "batch").agg(rounded(F.avg("score"), 3).alias("sentiment_score")).withColumn("overall_sentiment", sentiment.sentiment_label(F.col("sentiment_score")))
+    batches = said.select("place_id", "batch", "sentiment_score", "overall_sentiment")
+    if "batches" not in given:
+        means = per_review.groupBy("place_id", "batch").agg(rounded(F.avg("score"), 3).alias("sentiment_score"))
+        batches = means.withColumn("overall_sentiment", sentiment.sentiment_label(c("sentiment_score")))
     mood = corrections.corrected_sentiment(sentiment.merge_sentiment(batches), todo)
+    quotes = sentiment.merge_firsts(said, *QUOTES)
     scores = corrections.corrected_aspects(aspects.select("place_id", "aspect", "score", "summary"), todo)
-    stated = given.get("concerns")
-    concerns = guardrail.fallback_concerns(reviews).select("place_id", "severity") if stated is None else stated.select("place_id", "severity")
-    concerns = concerns.unionByName(corrections.added_concerns(todo).select("place_id", "severity"))
-    trust = given.get("guardrail", empty("place_id string, trust_score double, fake_review_probability double"))
-
-    stats = reviews.groupBy("place_id").agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("scraped_avg"))
-    joined = places.select("place_id", "google_score").join(verified, "place_id")
-    for part in (stats, mood, scoring.aspect_scores(scores), scoring.consistency(per_review), scoring.risk_penalty(concerns, fixes), trust):
+    keywords = corrections.corrected_keywords(_keywords(said), todo)
+    trust = table("guardrail", schemas.GUARDRAIL).select("place_id", "trust_score", "fake_review_probability")
+    positives = guardrail.enriched("positive", table("positives", schemas.EVIDENCE), points, reviews)
+    concerns = guardrail.enriched("negative", table("concerns", schemas.EVIDENCE), points, reviews)
+    concerns = concerns.withColumn("source", F.lit(None).cast("string")).unionByName(corrections.added_concerns(todo).withColumns({"ord": c("ord") + 1000, "confidence": F.lit(None).cast("double")}))
+
+    rating = F.nullif("rating", F.lit(0.0))
+    stats = reviews.groupBy("place_id").agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("scraped_avg"), F.avg(rating).alias("rated_avg"), F.count_if(c("rating") >= 4).alias("positive"), F.count_if(c("rating") <= 2).alias("critical"))
+    joined = places.select("place_id", "google_score").join(stats, "place_id").join(verified, "place_id")
+    for part in (mood, quotes, scoring.aspect_scores(scores), scoring.consistency(per_review), scoring.risk_penalty(concerns, fixes), trust, verify.aspect_texts(aspects), _keyword_lists(keywords)):
         joined = joined.join(part, "place_id", "left")
-    c = F.col
     mood_score = F.coalesce("sentiment_score", F.lit(0.0))
     parts = joined.select(
-        "place_id", F.coalesce("n", F.lit(0)).alias("n"), "trust_score", "verification_status", "accuracy", scoring.sentiment_component(mood_score).alias("sentiment_comp"), F.coalesce("aspect_comp", F.lit(5.0)).alias("aspect_comp"),
+        "place_id", "n", "trust_score", "verification_status", "accuracy", scoring.sentiment_component(mood_score).alias("sentiment_comp"), F.coalesce("aspect_comp", F.lit(5.0)).alias("aspect_comp"),
         scoring.rating_component(c("google_score"), c("scraped_avg")).alias("rating_comp"), scoring.trust_component(c("trust_score"), c("fake_review_probability"), c("verification_status"), c("accuracy")).alias("trust_comp"),
-        F.coalesce("consistency_comp", F.lit(5.0)).alias("consistency_comp"), scoring.sentiment_component(mood_score).alias("recency_comp"), F.coalesce("risk_penalty", F.lit(0.0)).alias("risk_penalty"),
+        F.coalesce("consistency_comp", F.lit(5.0)).alias("consistency_comp"), scoring.recency_component(c("temporal_trend.recent_score"), c("temporal_trend.trend"), mood_score).alias("recency_comp"), F.coalesce("risk_penalty", F.lit(0.0)).alias("risk_penalty"),
     )
-    out = report.assemble(
-        places,
-        {"review_stats": R.funnel(scraped, reviews), "heuristics": heuristics.heuristic_stats(reviews), "sentiment": mood, "verification": verified, "score": scoring.final_scores(parts)},
-        {"flags": (heuristics.place_flags(reviews), "flag_no"), "aspects": (scores, "aspect")},
-    )
-    return report.gated(out.withColumn("verification_status", F.col("verification.verification_status")), require_verification).drop("verification_status")
+    scored = scoring.final_scores(parts)
+
+    none = F.array().cast("array<string>")
+    lists = {x: F.coalesce(x, none) for x in ("aspect_texts", "positive_keywords", "negative_keywords")}
+    seen = joined.withColumns(lists | {"overall_sentiment": F.coalesce("overall_sentiment", F.lit("Positive")), "fake_probability": F.coalesce("fake_review_probability", F.lit(0.05)), "trust_score": F.coalesce(c("trust_score").cast("string"), F.lit("85"))})
+    checks = verify.sections(table("sections", schemas.SECTIONS), verify.default_observations(seen))
+    themes = sentiment.merge_themes(table("themes", schemas.THEMES), F.struct("batch", "ord"))
+    emotions = sentiment.emotion_distribution(per_review.groupBy("place_id", "emotion").agg(F.count(F.lit(1)).alias("n"))) if "emotion" in per_review.columns else None
+    parts_of = {"review_stats": R.funnel(scraped, reviews), "heuristics": heuristics.heuristic_stats(reviews), "sentiment": mood, "quotes": quotes, "guardrail": trust, "verification": verified, "score": scored}
+    if "recommendations" in given:
+        parts_of["recommendation"] = report.overridden(given["recommendations"], scored)
+    rows_of = {
+        "flags": (heuristics.merged_flags(heuristics.place_flags(reviews), table("patterns", schemas.PATTERNS)), "flag_no"), "aspects": (scores, "aspect"), "themes": (themes.drop("batch", "ord"), "first"),
+        "keywords": (keywords, "ord"), "points": (points, "ord"), "positives": (positives, "ord"), "concerns": (concerns, "ord"), "facts": (guardrail.verified_facts(seen), "fact_no"),
+        "checks": (checks, "section"), "reviews": (reviews, "pos"), "per_review": (per_review, "id"),
+    }
+    if emotions is not None:
+        rows_of["emotions"] = (emotions, "emotion")
+    out = report.assemble(places, parts_of, rows_of)
+    out = report.gated(out.withColumn("verification_status", c("verification.verification_status")), require_verification).drop("verification_status")
+    empty = F.coalesce(F.size("reviews") == 0, F.lit(True))
+    of_none = {x: F.when(~empty, c(x)).alias(x) for x in ("verification", "score")}
+    return out.withColumns(of_none | {"error": F.when(empty, NO_REVIEWS).otherwise(c("error"))})

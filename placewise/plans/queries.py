@@ -112,6 +112,21 @@ def trimmed_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("place_id", "aspect", "score", F.array_join("evidence_review_ids", ",").alias("ids"))
 
 
+def aspect_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = verify.aspect_texts(sentiment.merge_aspects(A.line_aspects(spark, sf_dir), c("batch")))
+    return texts.select("place_id", F.posexplode("aspect_texts").alias("ord", "observation"))
+
+
+def enriched_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third place has a concern given, every third has points only, the others neither."""
+    kinds = _place_index(spark, sf_dir).withColumn("kind", c("i") % 3)
+    given = kinds.where("kind = 0").select("place_id", F.lit(0).alias("ord"), F.lit("Given").alias("aspect"), F.lit("as stated").alias("evidence"), F.lit(None).cast("double").alias("confidence"), F.lit("Minor").alias("severity"), F.array(F.lit("r7")).alias("supporting_review_ids"))
+    claims = kinds.where("kind = 1").select("place_id", F.posexplode(F.array(F.lit("Food - cold"), F.lit("Quiet"))).alias("ord", "claim"))
+    points = claims.select("place_id", "ord", F.lit("negative").alias("polarity"), "claim", F.lit(None).cast("string").alias("aspect"), F.lit(None).cast("array<string>").alias("evidence_review_ids"))
+    rows = guardrail.enriched("negative", given, points, document_reviews(spark, sf_dir))
+    return rows.select("place_id", "ord", "aspect", "evidence", "severity", F.array_join("supporting_review_ids", ",").alias("ids"))
+
+
 def aspect_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.aspect_scores(A.line_aspects(spark, sf_dir))
 
@@ -456,7 +471,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         final_score, verdict_counts, review_funnel, usable_reviews, best_place, place_projection, rating_histogram, rating_integrity_flags, document_flags, short_top_rating_share,
-        near_duplicate_pairs, greedy_dedupe, repeated_phrases, review_batches, batch_prompts, verifier_sample, guardrail_sample, heuristic_stats, aspect_merge, single_batch_aspects, trimmed_aspects, aspect_weighted_score,
+        near_duplicate_pairs, greedy_dedupe, repeated_phrases, review_batches, batch_prompts, verifier_sample, guardrail_sample, heuristic_stats, aspect_merge, single_batch_aspects, trimmed_aspects, aspect_observations, enriched_concerns, aspect_weighted_score,
         sentiment_merge_label, emotion_distribution, shown_emotions, first_non_empty_quote, keyword_union, theme_merge, consistency_component, risk_penalty, corrected_aspects, corrected_sentiment,
         corrected_keywords, correction_concerns, correction_badges, trust_component, recency_component, score_unpivot, report_text, fallback_positives, fallback_concerns, point_evidence, evidence_lines,
         verified_facts, verification_defaults, verification_banner, verification_observations, place_suggestions, city_suggestions, geocode_city, category_icon, category_icon_fixture, subtype_tags,

@@ -1,5 +1,6 @@
 """Schemas of raw input and of the relations that the operators read."""
 
+#: The fields of raw input.
 RAW_REVIEW = "name string, stars double, text string, publishedAtDate string, likesCount bigint"
 RAW_PLACE = (
     "title string, address string, totalScore double, reviewsCount bigint, categoryName string, categories array<string>, description string, "
@@ -12,6 +13,15 @@ ASPECTS = "place_id string, batch int, aspect string, score double, reviews_ment
 THEMES = "place_id string, batch int, ord int, name string, sentiment string, frequency bigint, representative_quote string, evidence string, evidence_review_ids array<string>"
 POINTS = "place_id string, batch int, ord int, polarity string, claim string, aspect string, evidence_review_ids array<string>"
 CORRECTIONS = "place_id string, idx int, field string, original_claim string, corrected_claim string, reason string, evidence_review_ids array<string>"
+BATCHES = (
+    "place_id string, batch int, sentiment_score double, overall_sentiment string, positive_keywords array<string>, negative_keywords array<string>, standout_positive_quote string, standout_negative_quote string, "
+    "crowd_profile struct<dominant_visitor_type: string, mention_evidence: string, accessibility_notes: string>, "
+    "temporal_trend struct<recent_sentiment: string, recent_score: double, older_sentiment: string, older_score: double, trend: string, trend_explanation: string>"
+)
+EVIDENCE = "place_id string, ord int, aspect string, evidence string, confidence double, severity string, supporting_review_ids array<string>"
+GUARDRAIL = "place_id string, trust_score double, fake_review_probability double"
+PATTERNS = "place_id string, ord int, pattern string"
+SECTIONS = "place_id string, section string, status string, observations array<string>, issues array<string>, unsupported_claims array<string>"
 CONCERN = "aspect string, evidence string, severity string, supporting_review_ids array<string>, source string"
 GEO_FEATURES = "ord int, name string, city string, town string, village string, county string, state string, country string, type string, osm_key string, osm_value string, coordinates array<double>"
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from placewise.__main__ import main
 from placewise.plans.analyze import analyze
-from placewise.sources import readers
+from placewise.operators import sentiment, verify
+from placewise.sources import readers, schemas
 
 PLACE = {
     "title": "Blue Cafe", "address": "Main St", "totalScore": 4.5, "reviewsCount": 9, "categoryName": "Cafe",
@@ -22,7 +23,48 @@ def test_reports(spark, tmp_path):
     assert cafe["review_stats"] == {"raw_scraped": 5, "usable_text": 4, "cleaned": 3, "analyzed": 3}
     assert cafe["score"]["verdict"] in ("RECOMMENDED", "VISIT WITH CAUTION") and cafe["verification"]["accuracy"] == 0.92
     assert [f["flag"] for f in cafe["flags"]] == ["Too few reviews for high-confidence analysis — treat results with caution"]
-    assert "review_stats" not in empty and empty["score"]["confidence"] >= 0
+    assert empty["error"].startswith("No reviews found") and not {"review_stats", "score", "verification"} & set(empty)
+    assert [p["aspect"] for p in cafe["positives"]] == ["Verified Customer Praise"] * 2 and [x["severity"] for x in cafe["concerns"]] == ["Major"]
+    assert cafe["facts"][0]["fact"] == "Average rating of analyzed sample is 3.3★ across 3 reviews."
+    assert {x["section"]: x["status"] for x in cafe["checks"]} == dict.fromkeys(("sentiment", "aspects", "keywords", "guardrail", "evidence"), "PASS")
+    assert {x["section"]: x["observations"][0] for x in cafe["checks"]}["guardrail"] == "Review authenticity trust score confirmed at 85% (anomaly probability: 5.0%)."
+    assert [r["pos"] for r in cafe["reviews"]] == [1, 2, 3] and "error" not in cafe
+
+
+def test_annotations_reach_the_report(spark, tmp_path):
+    (tmp_path / "in.json").write_text(json.dumps(PLACE) + "\n")
+    raw = readers.read_places(spark, str(tmp_path / "in.json")).withColumn("place_id", F.lit("p"))
+    make = spark.createDataFrame
+    trend = ("Negative", -0.2, "Positive", 0.6, "Declining", "worse")
+    batches = make([("p", 0, 0.5, "Positive", ["fast", "clean"], ["slow"], "", None, None, None), ("p", 1, 0.3, "Mixed", ["kind", "fast"], [], "so kind", "too slow", ("Locals", "x", "y"), trend)], schemas.BATCHES)
+    aspects = make([("p", 0, "service", 8.0, 1, "", ["r9", "r3", "r10"]), ("p", 1, "service", 7.0, 2, "kind", ["r2", "r3"])], schemas.ASPECTS)
+    themes = make([("p", 0, 0, "speed", "Positive", 2, "so fast", "many say so", ["r9", "r3"]), ("p", 1, 0, "speed", "Negative", 3, "slow", "one", ["r3", "r1"])], schemas.THEMES)
+    points = make([("p", 0, 0, "negative", "Queue - long", None, None), ("p", 1, 0, "negative", "Noise", "", ["r2"])], schemas.POINTS)
+    sections = make([("p", "sentiment", "CORRECTED", ["seen"], None, ["claim"]), ("p", "keywords", "UNAVAILABLE", [], [], None)], schemas.SECTIONS)
+    patterns = make([("p", 0, "odd names"), ("p", 1, "odd names")], schemas.PATTERNS)
+    said = make([("p", "prose", "HIGHLY RECOMMENDED", 9.9)], "place_id string, one_line_verdict string, label string, visit_score double")
+    row = analyze(raw, {"batches": batches, "aspects": aspects, "themes": themes, "points": points, "sections": sections, "patterns": patterns, "recommendations": said}).first()
+    assert (row.sentiment.sentiment_score, row.sentiment.overall_sentiment) == (0.4, "Positive")
+    assert (row.quotes.standout_positive_quote, row.quotes.standout_negative_quote, row.quotes.temporal_trend.trend, row.quotes.crowd_profile.dominant_visitor_type) == ("so kind", "too slow", "Declining", "Locals")
+    assert row.score.recency_comp == 2.5  # (-0.2 + 1) / 2 * 10 - 1.5
+    assert [(k.polarity, k.keyword) for k in sorted(row.keywords, key=lambda k: (k.polarity, k.ord))] == [("negative", "slow"), ("positive", "fast"), ("positive", "clean"), ("positive", "kind")]
+    (theme,) = row.themes
+    assert (theme.frequency, theme.sentiment, theme.representative_quote, theme.evidence_review_ids) == (5, "Positive", "so fast", ["r9", "r3", "r1"])
+    assert [(x.aspect, x.severity, x.supporting_review_ids) for x in row.concerns] == [("Queue", "Moderate", ["r1"]), ("Noise", "Minor", ["r2"])]
+    checks = {x.section: x for x in row.checks}
+    assert (checks["sentiment"].status, checks["sentiment"].observations, checks["sentiment"].issues) == ("CORRECTED", ["seen"], ["claim"])
+    assert checks["keywords"].status == "PASS" and checks["keywords"].observations[0].startswith("Frequent positive terms verified in reviews: fast, clean, kind")
+    assert checks["aspects"].observations == ["Service: score 7.5/10 confirmed across 3 review mention(s)."]
+    assert [f.flag for f in row.flags][-1] == "odd names" and len(row.flags) == 2
+    assert (row.recommendation.one_line_verdict, row.recommendation.label, row.recommendation.visit_score) == ("prose", row.score.verdict, row.score.final_score)
+
+
+def test_merges_keep_first_seen_order(spark):
+    aspects = spark.createDataFrame([("p", 0, "service", 8.0, 1, "", ["r9", "r3", "r10"]), ("p", 1, "service", 7.0, 2, "kind", ["r2", "r3"]), ("q", 0, "service", 7.128, 1, "", ["r2", "r2"])], schemas.ASPECTS)
+    merged = sentiment.merge_aspects(aspects, F.col("batch")).where("aspect = 'service'")
+    got = {r.place_id: (r.score, r.reviews_mentioning, r.summary, r.evidence_review_ids) for r in merged.collect()}
+    assert got == {"p": (7.5, 3, "kind", ["r9", "r3", "r10", "r2"]), "q": (7.128, 1, "", ["r2", "r2"])}
+    assert [r.evidence_review_ids for r in verify.trimmed_aspects(merged.where("place_id = 'p'")).collect()] == [["r9", "r3"]]
 
 
 def test_corrections_reach_the_report(spark, tmp_path):
