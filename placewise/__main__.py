@@ -15,13 +15,15 @@ def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="placewise", description=__doc__)
     parser.add_argument("places", help="raw places, one JSON object a line; the title is the key of a place")
     parser.add_argument("out")
+    parser.add_argument("--annotations", help="a folder with a Parquet table for each annotation that there is, named after its schema (batches, aspects, themes, ...)")
     parser.add_argument("--parquet", action="store_true", help="write Parquet instead of JSON")
     parser.add_argument("--require-verification", action="store_true")
     parser.add_argument("--strict", action="store_true", help="count a missing verification as unavailable")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("placewise").getOrCreate()
     raw = readers.read_places(spark, given.places).withColumn("place_id", F.concat_ws(", ", F.nullif("title", F.lit("")), F.nullif("address", F.lit(""))))
-    readers.write_reports(analyze(raw, require_verification=given.require_verification, strict=given.strict), given.out, not given.parquet)
+    annotations = readers.read_annotations(spark, given.annotations) if given.annotations else None
+    readers.write_reports(analyze(raw, annotations, require_verification=given.require_verification, strict=given.strict), given.out, not given.parquet)
 
 
 if __name__ == "__main__":

@@ -38,9 +38,26 @@ def overridden(recommendations: DataFrame, scores: DataFrame) -> DataFrame:
     return recommendations.select(*own).join(right, "place_id")
 
 
-def verdict_context(claims: Column, most: int, chars: int = 80) -> Column:
-    """The first claims, cut, as the explainer is shown them."""
-    return F.transform(F.slice(claims, 1, most), lambda c: F.substring(c, 1, chars))
+def verdict_contexts(reports: DataFrame, chars: int = 80) -> DataFrame:
+    """(place_id, context): what the explainer is shown of each report of plans.analyze that has a score.
+
+    Fixed values: how many keywords, points, themes, positives and concerns, in order, and how much of their evidence.
+    """
+    c = F.col
+    first = lambda rows, most, one: F.transform(F.slice(rows, 1, most), one)
+    polar = lambda name, polarity: F.filter(name, lambda x: x["polarity"] == polarity)
+    cut = lambda x: F.substring(F.coalesce(x["evidence"], F.lit("")), 1, chars).alias("evidence")
+    point = lambda x: F.struct(x["claim"].alias("claim"), x["evidence_review_ids"].alias("evidence_review_ids"))
+    context = F.struct(
+        c("name").alias("place_name"), "category", c("google_score").alias("google_official"), F.size("reviews").alias("reviews_analyzed"), c("score.verdict").alias("verdict"), c("score.final_score").alias("visit_score"),
+        c("score.confidence").alias("confidence"), c("sentiment.overall_sentiment").alias("overall_sentiment"), c("sentiment.sentiment_score").alias("sentiment_score"),
+        first(polar("keywords", "positive"), 6, lambda x: x["keyword"]).alias("top_positive_kw"), first(polar("keywords", "negative"), 4, lambda x: x["keyword"]).alias("top_negative_kw"),
+        first(polar("points", "positive"), 5, point).alias("positive_points"), first(polar("points", "negative"), 5, point).alias("negative_points"),
+        first(c("themes"), 4, lambda x: F.struct(x["name"].alias("name"), x["sentiment"].alias("sentiment"), cut(x))).alias("themes"), c("guardrail.trust_score").alias("trust_score"),
+        first(c("positives"), 4, lambda x: F.struct(x["aspect"].alias("aspect"), cut(x))).alias("genuine_positives"),
+        first(c("concerns"), 3, lambda x: F.struct(x["aspect"].alias("aspect"), x["severity"].alias("severity"), cut(x))).alias("genuine_concerns"), c("score").alias("score_breakdown"),
+    )
+    return reports.where("score IS NOT NULL").select("place_id", context.alias("context"))
 
 
 def printed(reports: DataFrame) -> DataFrame:

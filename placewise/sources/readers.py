@@ -20,6 +20,14 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.REVIEWS).parquet(path)
 
 
+def read_annotations(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a folder, in any store, by name: `<name>` or `<name>.parquet`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    paths = [x.getPath() for x in found if not x.getPath().getName().startswith(("_", "."))]
+    return {x.getName().removesuffix(".parquet"): spark.read.parquet(x.toString()) for x in paths}
+
+
 def route_requests(requests: DataFrame) -> DataFrame:
     """requests (query, lat, lon of its first suggestion if any) to source inputs: kind, input and limits.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from placewise.__main__ import main
 from placewise.plans.analyze import analyze
-from placewise.operators import sentiment, verify
+from placewise.operators import report, sentiment, verify
 from placewise.sources import readers, schemas
 
 PLACE = {
@@ -31,6 +31,16 @@ def test_reports(spark, tmp_path):
     assert [r["pos"] for r in cafe["reviews"]] == [1, 2, 3] and "error" not in cafe
 
 
+def test_annotations_from_a_folder(spark, tmp_path):
+    (tmp_path / "in.json").write_text(json.dumps(PLACE) + "\n")
+    key = "Blue Cafe, Main St"
+    spark.createDataFrame([(key, 0, "service", 8.25, 1, "s", ["r1"])], schemas.ASPECTS).write.parquet(str(tmp_path / "notes" / "aspects"))
+    spark.createDataFrame([(key, 0.5, 0.9)], schemas.GUARDRAIL).write.parquet(str(tmp_path / "notes" / "guardrail.parquet"))
+    main([str(tmp_path / "in.json"), str(tmp_path / "out"), "--annotations", str(tmp_path / "notes")])
+    (row,) = [json.loads(x) for f in (tmp_path / "out").glob("part-*") for x in f.read_text().splitlines()]
+    assert row["score"]["aspect_comp"] == 8.25 and row["guardrail"] == {"trust_score": 0.5, "fake_review_probability": 0.9}
+
+
 def test_annotations_reach_the_report(spark, tmp_path):
     (tmp_path / "in.json").write_text(json.dumps(PLACE) + "\n")
     raw = readers.read_places(spark, str(tmp_path / "in.json")).withColumn("place_id", F.lit("p"))
@@ -43,7 +53,12 @@ def test_annotations_reach_the_report(spark, tmp_path):
     sections = make([("p", "sentiment", "CORRECTED", ["seen"], None, ["claim"]), ("p", "keywords", "UNAVAILABLE", [], [], None)], schemas.SECTIONS)
     patterns = make([("p", 0, "odd names"), ("p", 1, "odd names")], schemas.PATTERNS)
     said = make([("p", "prose", "HIGHLY RECOMMENDED", 9.9)], "place_id string, one_line_verdict string, label string, visit_score double")
-    row = analyze(raw, {"batches": batches, "aspects": aspects, "themes": themes, "points": points, "sections": sections, "patterns": patterns, "recommendations": said}).first()
+    row = analyze(raw, {"batches": batches, "aspects": aspects, "themes": themes, "points": points, "sections": sections, "patterns": patterns, "recommendations": said})
+    context = report.verdict_contexts(row).first().context
+    row = row.first()
+    assert (context.place_name, context.reviews_analyzed, context.verdict, context.top_positive_kw, context.top_negative_kw) == ("Blue Cafe", 3, row.score.verdict, ["fast", "clean", "kind"], ["slow"])
+    assert [p.claim for p in context.negative_points] == ["Queue - long", "Noise"] and context.positive_points == [] and context.trust_score is None
+    assert [tuple(t) for t in context.themes] == [("speed", "Positive", "many say so")] and [x.severity for x in context.genuine_concerns] == ["Moderate", "Minor"]
     assert (row.sentiment.sentiment_score, row.sentiment.overall_sentiment) == (0.4, "Positive")
     assert (row.quotes.standout_positive_quote, row.quotes.standout_negative_quote, row.quotes.temporal_trend.trend, row.quotes.crowd_profile.dominant_visitor_type) == ("so kind", "too slow", "Declining", "Locals")
     assert row.score.recency_comp == 2.5  # (-0.2 + 1) / 2 * 10 - 1.5
