@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placewise.functions.session import cut
 from placewise.functions.text import rounded
 from placewise.operators import annotate, corrections, dedupe, guardrail, heuristics, report, scoring, sentiment, verify
 from placewise.operators import reviews as R
@@ -51,7 +52,7 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
     given, c = dict(annotations or {}), F.col
     table = lambda name, schema: given[name] if name in given else raw.sparkSession.createDataFrame([], schema)
     places, scraped = R.project_places(raw), R.explode_reviews(raw)
-    reviews = dedupe.clean(R.usable_reviews(scraped))
+    reviews = cut(dedupe.clean(R.usable_reviews(scraped)))  # a dozen parts read them
     per_review = given.get("per_review", annotate.lexicon_annotations(reviews))
     aspects = sentiment.merge_aspects(table("aspects", schemas.ASPECTS), c("batch"))
     said, fixes, points = table("batches", schemas.BATCHES), table("corrections", schemas.CORRECTIONS), sentiment.merge_points(table("points", schemas.POINTS))
@@ -76,6 +77,7 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
     joined = places.select("place_id", "google_score").join(stats, "place_id").join(verified, "place_id")
     for part in (mood, quotes, scoring.aspect_scores(scores), scoring.consistency(per_review), scoring.risk_penalty(concerns, fixes), trust, verify.aspect_texts(aspects), _keyword_lists(keywords)):
         joined = joined.join(part, "place_id", "left")
+    joined = cut(joined)  # one row a place, read by the score, the checks and the facts
     mood_score = F.coalesce("sentiment_score", F.lit(0.0))
     parts = joined.select(
         "place_id", "n", "trust_score", "verification_status", "accuracy", scoring.sentiment_component(mood_score).alias("sentiment_comp"), F.coalesce("aspect_comp", F.lit(5.0)).alias("aspect_comp"),
