@@ -16,22 +16,31 @@ from placewise.functions.text import json_object, words
 
 POSITIVE = ("good", "great", "excellent", "friendly", "love", "clean", "fast", "best", "nice", "perfect")
 NEGATIVE = ("bad", "slow", "dirty", "rude", "worst", "awful", "cold", "late", "poor", "broken")
+#: What the message of a failure says where a model is gone.
+GONE = ("decommissioned", "not found")
 
 
-def annotate(prompts: DataFrame, annotator: Callable[[str], str], schema: str) -> DataFrame:
+def annotate(prompts: DataFrame, annotator: Callable[[str], str], schema: str, reserve: Callable[[str], str] | None = None, attempts: int = 2) -> DataFrame:
     """prompts (place_id, batch, prompt) with a column `answer` of the schema; null where no JSON comes back.
 
-    A failing call is tried once more, then counts as no answer.
+    A call that fails, or whose answer has no object, is made again up to so many times, then counts as no answer. Where a
+    failure says that the model is gone, the reserve is asked in its place.
     """
 
     def answered(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def call(prompt: str) -> str | None:
+            try:
+                return annotator(prompt)
+            except Exception as failure:  # noqa: BLE001 - any failure of a service is no answer
+                if reserve is None or not any(x in str(failure).lower() for x in GONE):
+                    return None
+            try:
+                return reserve(prompt)
+            except Exception:  # noqa: BLE001
+                return None
+
         def ask(prompt: str) -> str | None:
-            for _ in range(2):
-                try:
-                    return annotator(prompt)
-                except Exception:  # noqa: BLE001 - any failure of a service is no answer
-                    continue
-            return None
+            return next((raw for raw in (call(prompt) for _ in range(attempts)) if raw and "{" in raw), None)
 
         for part in parts:
             yield part.assign(raw=part["prompt"].map(ask))

@@ -14,6 +14,11 @@ def evidenced(corrections: DataFrame) -> DataFrame:
     return corrections.where(F.size(F.coalesce("evidence_review_ids", F.array().cast("array<string>"))) > 0)
 
 
+def evidenced_counts(corrections: DataFrame) -> DataFrame:
+    """(place_id, corrections_count): corrections with evidence, counted even where a PASS keeps them from being applied."""
+    return evidenced(corrections).groupBy("place_id").agg(F.count(F.lit(1)).alias("corrections_count"))
+
+
 def applicable(corrections: DataFrame, verifications: DataFrame) -> DataFrame:
     """Evidenced corrections of places whose verification is neither PASS nor UNAVAILABLE."""
     open_places = verifications.where(~F.col("verification_status").isin(*PASSES)).select("place_id")

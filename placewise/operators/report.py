@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placewise.functions.text import percent
+
 
 def assemble(places: DataFrame, sections: Mapping[str, DataFrame], lists: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """places with a struct column for each section (one row a place) and an array of structs for each list.
@@ -66,6 +68,35 @@ def printed(reports: DataFrame) -> DataFrame:
     return reports.select("place_id", line.alias("report_text"))
 
 
+def panels(reports: DataFrame, most: int = 5) -> DataFrame:
+    """(place_id, report_text): each report of plans.analyze as a page to read; one with an error is that error.
+
+    Fixed values: the wording and what stands in for what is missing.
+    """
+    c, said = F.col, "recommendation" in reports.columns
+    names = set(reports.schema["recommendation"].dataType.names) if said else set()
+    told = lambda field: c(f"recommendation.{field}") if field in names else F.lit(None)
+    text = lambda value, missing="": F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit(missing))
+    line = lambda *parts: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
+    none = F.array().cast("array<string>")
+    pros, cons = (F.transform(told(x), lambda p: p["point"]) if x in names else none for x in ("pros", "cons"))
+    rows = F.slice(F.arrays_zip(F.coalesce(pros, none).alias("pro"), F.coalesce(cons, none).alias("con")), 1, most)
+    table = F.transform(rows, lambda r: F.concat(F.coalesce(r["pro"], F.lit("")), F.lit(" | "), F.coalesce(r["con"], F.lit(""))))
+    page = F.concat_ws(
+        "\n",
+        text(c("name")), line("📍 ", text(c("address"), "Address unavailable")),
+        line("⭐ Google score: ", text(c("google_score"), "N/A"), "/5  (", text(c("review_count"), "0"), " total reviews on Google)"), line("🏷  Category: ", text(c("category"), "N/A")),
+        line("Raw scraped: ", text(c("review_stats.raw_scraped"), "0"), "  |  Usable text: ", text(c("review_stats.usable_text"), "0"), "  |  Cleaned: ", text(c("review_stats.cleaned"), "0"), "  |  Analyzed: ", text(c("review_stats.analyzed"), "0")),
+        line("Model B status: ", text(c("verification.verification_status"), "UNAVAILABLE"), "  |  Accuracy: ", F.coalesce(percent(c("verification.accuracy")), F.lit("N/A")),
+             "  |  Hallucination: ", F.initcap(text(c("verification.hallucination_detected"), "none")), "  |  Corrections applied: ", F.size("corrections").cast("string")),
+        line(text(c("score.verdict"), "UNKNOWN"), "  Visit score  ", text(c("score.final_score"), "?"), "/10   ·   Confidence  ", percent(F.coalesce("score.confidence", F.lit(0.0))), "   ·   Data reliability  ", text(told("data_reliability"), "?")),
+        text(told("one_line_verdict")),
+        line("Sentiment ", text(c("score.sentiment_comp"), "?"), "/10  ·  Rating ", text(c("score.rating_comp"), "?"), "/10  ·  Trust ", text(c("score.trust_comp"), "?"), "/10"),
+        F.lit("Pros | cons"), F.array_join(table, "\n"), text(told("full_verdict"), "No verdict generated."),
+    )
+    return reports.select("place_id", F.when(c("error").isNotNull(), line(text(c("name")), ": ", c("error"))).otherwise(page).alias("report_text"))
+
+
 def as_json(reports: DataFrame) -> DataFrame:
     return reports.select("place_id", F.to_json(F.struct(*reports.columns)).alias("report"))
 

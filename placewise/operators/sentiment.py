@@ -112,6 +112,19 @@ def merge_points(points: DataFrame) -> DataFrame:
     return points.withColumn("ord", F.row_number().over(order) - 1).drop("batch")
 
 
+def merge_keywords(batches: DataFrame) -> DataFrame:
+    """(place_id, polarity, ord, keyword) of all batches, each keyword once."""
+    lists = (batches.select("place_id", "batch", F.lit(p).alias("polarity"), F.col(f"{p}_keywords").alias("list")) for p in ("positive", "negative"))
+    both = next(lists).unionByName(next(lists))
+    return ordered_union(both, ["place_id", "polarity"], ["batch"], "list", "keyword").select("place_id", "polarity", "ord", "keyword")
+
+
+def keyword_lists(keywords: DataFrame) -> DataFrame:
+    """(place_id, positive_keywords, negative_keywords)"""
+    of = lambda p: F.transform(F.sort_array(F.collect_list(F.when(F.col("polarity") == p, F.struct("ord", "keyword")))), lambda x: x["keyword"])
+    return keywords.groupBy("place_id").agg(of("positive").alias("positive_keywords"), of("negative").alias("negative_keywords"))
+
+
 def merge_firsts(batches: DataFrame, *columns: str) -> DataFrame:
     """For each place the first filled value, in order of batch, of each column; of a single batch its own, filled or not."""
     single = F.count(F.lit(1)) == 1

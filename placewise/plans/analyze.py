@@ -15,25 +15,13 @@ from placewise.functions.session import cut
 from placewise.functions.text import rounded
 from placewise.operators import annotate, corrections, dedupe, guardrail, heuristics, report, scoring, sentiment, verify
 from placewise.operators import reviews as R
+from placewise.plans import models
 from placewise.sources import schemas
 
 NO_REVIEWS = "No reviews found. Try a more specific location name."
 QUOTES = ("standout_positive_quote", "standout_negative_quote", "crowd_profile", "temporal_trend")
 
 
-def _keywords(batches: DataFrame) -> DataFrame:
-    """(place_id, polarity, ord, keyword) of all batches, each keyword once."""
-    lists = (batches.select("place_id", "batch", F.lit(p).alias("polarity"), F.col(f"{p}_keywords").alias("list")) for p in ("positive", "negative"))
-    both = next(lists).unionByName(next(lists))
-    return sentiment.ordered_union(both, ["place_id", "polarity"], ["batch"], "list", "keyword").select("place_id", "polarity", "ord", "keyword")
-
-
-def _keyword_lists(keywords: DataFrame) -> DataFrame:
-    """(place_id, positive_keywords, negative_keywords)"""
-    of = lambda p: F.transform(F.sort_array(F.collect_list(F.when(F.col("polarity") == p, F.struct("ord", "keyword")))), lambda x: x["keyword"])
-    return keywords.groupBy("place_id").agg(of("positive").alias("positive_keywords"), of("negative").alias("negative_keywords"))
-
-
 def _verified(given: Mapping[str, DataFrame], ids: DataFrame, strict: bool) -> DataFrame:
     """A verification for each place: its own, else the record of an unavailable one."""
     if "verifications" not in given:
@@ -42,17 +30,20 @@ def _verified(given: Mapping[str, DataFrame], ids: DataFrame, strict: bool) -> D
     return own.unionByName(verify.unavailable(ids.join(own, "place_id", "left_anti"), strict))
 
 
-def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None, require_verification: bool = False, strict: bool = False) -> DataFrame:
+def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None, require_verification: bool = False, strict: bool = False, ask: models.Models | None = None) -> DataFrame:
     """One report for each raw place (schemas.RAW_PLACE and place_id); one without reviews has an error instead.
 
     annotations, each optional and named after its schema: per_review, aspects, batches, themes, points, guardrail,
     positives and concerns (schemas.EVIDENCE), patterns, verifications, sections, corrections, and recommendations (place_id and
-    any prose). A place without a verification gets the compatible record (PASS at 0.92), or UNAVAILABLE if strict.
+    any prose). A place without a verification gets the compatible record (PASS at 0.92), or UNAVAILABLE if strict. ask: models that make the
+    annotations that aren't given.
     """
     given, c = dict(annotations or {}), F.col
     table = lambda name, schema: given[name] if name in given else raw.sparkSession.createDataFrame([], schema)
     places, scraped = R.project_places(raw), R.explode_reviews(raw)
     reviews = cut(dedupe.clean(R.usable_reviews(scraped)))  # a dozen parts read them
+    if ask is not None:
+        given = models.ask(reviews, ask) | given
     per_review = given.get("per_review", annotate.lexicon_annotations(reviews))
     aspects = sentiment.merge_aspects(table("aspects", schemas.ASPECTS), c("batch"))
     said, fixes, points = table("batches", schemas.BATCHES), table("corrections", schemas.CORRECTIONS), sentiment.merge_points(table("points", schemas.POINTS))
@@ -66,7 +57,7 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
     mood = corrections.corrected_sentiment(sentiment.merge_sentiment(batches), todo)
     quotes = sentiment.merge_firsts(said, *QUOTES)
     scores = corrections.corrected_aspects(aspects.select("place_id", "aspect", "score", "summary"), todo)
-    keywords = corrections.corrected_keywords(_keywords(said), todo)
+    keywords = corrections.corrected_keywords(sentiment.merge_keywords(said), todo)
     trust = table("guardrail", schemas.GUARDRAIL).select("place_id", "trust_score", "fake_review_probability")
     positives = guardrail.enriched("positive", table("positives", schemas.EVIDENCE), points, reviews)
     concerns = guardrail.enriched("negative", table("concerns", schemas.EVIDENCE), points, reviews)
@@ -75,7 +66,7 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
     rating = F.nullif("rating", F.lit(0.0))
     stats = reviews.groupBy("place_id").agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("scraped_avg"), F.avg(rating).alias("rated_avg"), F.count_if(c("rating") >= 4).alias("positive"), F.count_if(c("rating") <= 2).alias("critical"))
     joined = places.select("place_id", "google_score").join(stats, "place_id").join(verified, "place_id")
-    for part in (mood, quotes, scoring.aspect_scores(scores), scoring.consistency(per_review), scoring.risk_penalty(concerns, fixes), trust, verify.aspect_texts(aspects), _keyword_lists(keywords)):
+    for part in (mood, quotes, scoring.aspect_scores(scores), scoring.consistency(per_review), scoring.risk_penalty(concerns, fixes), trust, verify.aspect_texts(aspects), sentiment.keyword_lists(keywords)):
         joined = joined.join(part, "place_id", "left")
     joined = cut(joined)  # one row a place, read by the score, the checks and the facts
     mood_score = F.coalesce("sentiment_score", F.lit(0.0))
@@ -92,17 +83,21 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
     checks = verify.sections(table("sections", schemas.SECTIONS), verify.default_observations(seen))
     themes = sentiment.merge_themes(table("themes", schemas.THEMES), F.struct("batch", "ord"))
     emotions = sentiment.emotion_distribution(per_review.groupBy("place_id", "emotion").agg(F.count(F.lit(1)).alias("n"))) if "emotion" in per_review.columns else None
-    parts_of = {"review_stats": R.funnel(scraped, reviews), "heuristics": heuristics.heuristic_stats(reviews), "sentiment": mood, "quotes": quotes, "guardrail": trust, "verification": verified, "score": scored}
+    counted = verified.join(corrections.evidenced_counts(fixes), "place_id", "left").withColumn("corrections_count", F.coalesce("corrections_count", F.lit(0)))
+    parts_of = {"review_stats": R.funnel(scraped, reviews), "heuristics": heuristics.heuristic_stats(reviews), "sentiment": mood, "quotes": quotes, "guardrail": trust, "verification": counted, "score": scored}
     if "recommendations" in given:
         parts_of["recommendation"] = report.overridden(given["recommendations"], scored)
     rows_of = {
         "flags": (heuristics.merged_flags(heuristics.place_flags(reviews), table("patterns", schemas.PATTERNS)), "flag_no"), "aspects": (scores, "aspect"), "themes": (themes.drop("batch", "ord"), "first"),
         "keywords": (keywords, "ord"), "points": (points, "ord"), "positives": (positives, "ord"), "concerns": (concerns, "ord"), "facts": (guardrail.verified_facts(seen), "fact_no"),
-        "checks": (checks, "section"), "reviews": (reviews, "pos"), "per_review": (per_review, "id"),
+        "checks": (checks, "section"), "corrections": (fixes, "idx"), "reviews": (reviews, "pos"), "per_review": (per_review, "id"),
     }
     if emotions is not None:
         rows_of["emotions"] = (emotions, "emotion")
     out = report.assemble(places, parts_of, rows_of)
+    if ask is not None and ask.verdict and "recommendations" not in given:
+        told = report.overridden(models.explain(out, ask.verdict, ask.reserve), scored)
+        out = report.assemble(out, {"recommendation": told}, {})
     out = report.gated(out.withColumn("verification_status", c("verification.verification_status")), require_verification).drop("verification_status")
     empty = F.coalesce(F.size("reviews") == 0, F.lit(True))
     of_none = {x: F.when(~empty, c(x)).alias(x) for x in ("verification", "score")}

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from placewise.__main__ import main
+from placewise.plans import models
 from placewise.plans.analyze import analyze
 from placewise.operators import report, sentiment, verify
 from placewise.sources import readers, schemas
@@ -92,3 +93,41 @@ def test_corrections_reach_the_report(spark, tmp_path):
     assert row.score.aspect_comp == 2.0 and {a.aspect: a.score for a in row.aspects}["service"] == 2.0
     assert analyze(raw, {"corrections": fixes, "aspects": aspects}).first().score.aspect_comp == 8.0  # a PASS applies nothing
     assert analyze(raw, require_verification=True, strict=True).first().error
+
+
+def _say(prompt):
+    if "Analyse the reviews" in prompt:
+        raise RuntimeError("this model is decommissioned")
+    if "Judge how genuine" in prompt:
+        return json.dumps({"trust_score": 0.9, "fake_review_probability": 0.1, "genuine_concerns": [{"aspect": "Staff", "evidence": "rude", "severity": "Minor", "supporting_review_ids": ["r2"]}], "suspicious_patterns": ["odd"]})
+    if "Check the analysis" in prompt:
+        fix = {"field": "aspects.service", "original_claim": "x", "corrected_claim": "now 3 of 10", "reason": "", "evidence_review_ids": ["r2"]}
+        return json.dumps({"status": "CORRECTED", "accuracy": 0.8, "sentiment": {"status": "FAIL", "observations": ["seen"]}, "corrections": [fix, fix | {"evidence_review_ids": []}]})
+    return json.dumps({"one_line_verdict": "short", "full_verdict": "long", "recommendation": "NOT RECOMMENDED", "pros": [{"point": "coffee"}, {"point": "place"}], "cons": [{"point": "staff"}], "data_reliability": "Low"})
+
+
+def _reserve(prompt):
+    aspect = {"score": 8.0, "reviews_mentioning": 2, "summary": "s", "evidence_review_ids": ["r1", "r2"]}
+    reviews = [{"id": "r1", "score": 0.8, "emotion": "Happy"}, {"id": "r2", "score": -0.5, "emotion": "Angry"}, {"id": "r3", "score": 0.4, "emotion": "Happy"}]
+    return "```json\n" + json.dumps({"per_review": reviews, "aspect_scores": {"service": aspect}, "positive_points": [{"claim": "Coffee - good"}], "positive_keywords": ["coffee"], "overall_sentiment": "Mixed", "sentiment_score": 0.3}) + "\n```"
+
+
+def test_models_reach_the_report(spark, tmp_path):
+    (tmp_path / "in.json").write_text(json.dumps(PLACE) + "\n" + json.dumps({"title": "Empty"}) + "\n")
+    raw = readers.read_places(spark, str(tmp_path / "in.json")).withColumn("place_id", F.col("title"))
+    reports = analyze(raw, ask=models.Models(_say, _say, _say, _say, _reserve))
+    rows = {r.place_id: r for r in reports.collect()}
+    row = rows["Blue Cafe"]
+    assert (row.sentiment.overall_sentiment, row.sentiment.sentiment_score, row.guardrail.trust_score) == ("Mixed", 0.3, 0.9)
+    assert (row.verification.verification_status, row.verification.accuracy, row.verification.corrections_count, len(row.corrections)) == ("CORRECTED", 0.8, 1, 2)
+    assert row.score.aspect_comp == 3.0 and {a.aspect: a.score for a in row.aspects}["service"] == 3.0
+    assert [f.flag for f in row.flags][-1] == "odd" and [x.aspect for x in row.concerns][0] == "Staff" and [x.aspect for x in row.positives] == ["Coffee"]
+    assert {x.section: x.observations for x in row.checks}["sentiment"] == ["seen"] and {e.emotion: e.n for e in row.emotions}["Happy"] == 2
+    assert (row.recommendation.one_line_verdict, row.recommendation.label) == ("short", row.score.verdict) and rows["Empty"].error
+    pages = {r.place_id: r.report_text.split("\n") for r in report.panels(reports).collect()}
+    assert pages["Empty"] == ["Empty: No reviews found. Try a more specific location name."]
+    page = pages["Blue Cafe"]
+    assert page[:4] == ["Blue Cafe", "📍 Main St", "⭐ Google score: 4.5/5  (9 total reviews on Google)", "🏷  Category: Cafe"]
+    assert page[4] == "Raw scraped: 5  |  Usable text: 4  |  Cleaned: 3  |  Analyzed: 3"
+    assert page[5] == "Model B status: CORRECTED  |  Accuracy: 80%  |  Hallucination: False  |  Corrections applied: 2"
+    assert page[-4:] == ["Pros | cons", "coffee | staff", "place | ", "long"] and page[7] == "short"
