@@ -63,4 +63,36 @@ SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_
   CASE WHEN g.m > p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN g.m > p.page_id THEN g.m END AS refers_to
 FROM p LEFT JOIN g ON p.html = g.html"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY, "op6_line_dedup": LINES, "op10_warc": WARC}
+#: crc32 isn't among the functions: its table of 256 follows from the polynomial, and distinct features run through it byte by byte.
+RESAMPLING = r"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+worded AS (
+  SELECT 0 AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+runs AS (
+  SELECT side, doc_id, unnest(w) AS f FROM worded
+  UNION ALL
+  SELECT side, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM worded),
+seen AS (SELECT side, doc_id, f, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM seen)),
+buckets AS (
+  SELECT f, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM bytes, crc),
+held AS (SELECT side, doc_id, bucket, n FROM seen JOIN buckets USING (f)),
+totals AS (SELECT CAST(coalesce(sum(n) FILTER (WHERE side = 0), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(n) FILTER (WHERE side = 1), 0) AS DOUBLE) AS t_all FROM held),
+per AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (WHERE side = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (WHERE side = 1), 0) AS DOUBLE) AS t FROM held GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS g FROM per, totals),
+sums AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, sum(n * g) AS g FROM held JOIN gain USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, CAST(CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS BIGINT) AS weight
+  FROM documents d LEFT JOIN sums ON sums.doc_id = d.doc_id),
+noisy AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('7:' || doc_id), 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM scored),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS able FROM noisy WHERE n_features >= 39)
+SELECT noisy.doc_id, n_features, weight, score, CASE WHEN r <= 25 * able // 100 THEN r END AS rank
+FROM noisy LEFT JOIN placed ON placed.doc_id = noisy.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY, "op6_line_dedup": LINES, "op10_warc": WARC, "op12_importance_resampling": RESAMPLING}
