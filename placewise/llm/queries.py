@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import html_text, line_dedup, mixing, quality, resampling, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
+from placewise.llm import html_text, line_dedup, mixing, quality, repair, resampling, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
 from placewise.llm._common import let, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs.select("doc_id", "text"), target).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report_all(rows, repair.damaged(rows))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -98,4 +103,5 @@ QUERIES: dict[str, Query] = {
     "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
     "op10_warc": op10_warc,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_conversation_repair": op13_conversation_repair,
 }
