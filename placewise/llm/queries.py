@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import html_text, line_dedup, mixing, quality, repair, resampling, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
+from placewise.llm import html_text, line_dedup, mixing, neighbours, quality, repair, resampling, sentencepiece_codec, sharding, simhash, syncmers, token_counts, warc
 from placewise.llm._common import let, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return resampling.resample(docs.select("doc_id", "text"), target).select("doc_id", "n_features", "weight", "score", "rank")
@@ -102,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
     "op10_warc": op10_warc,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_conversation_repair": op13_conversation_repair,
 }
