@@ -4,6 +4,7 @@ rows, empty tables, extra columns with clashing names."""
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -560,15 +561,91 @@ def test_similar_keeps_one_of_each_group(spark):
     assert similar.keep_first(one_id).count() == 3
 
 
-def test_plan():
-    import math
+def star(rng, n, length=100, edits=2, name="w"):
+    """A text and n copies with so many words replaced, far enough from the ends and each other to break 5 shingles each."""
+    words = [f"{name}{i}" for i in range(length)]
+    copies = []
+    for _ in range(n):
+        copy, first = list(words), rng.randrange(5, length // 2 - 5)
+        for at in (first, rng.randrange(length // 2 + 1, length - 5))[:edits]:
+            copy[at] = f"x{rng.randrange(10**9)}"
+        copies.append(" ".join(copy))
+    return [" ".join(words), *copies]
+
+
+def missed_share(spark, texts, want):
+    """Of the texts to drop, the share that isn't; nothing else may be linked."""
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(docs(spark, texts.values())).collect()}
+    assert len(got) == len(texts) and all(want[got[i]] == want[i] for i in texts)
+    drop = sum(want[i] != i for i in texts)
+    return (drop - sum(got[i] != i for i in texts)) / drop
+
 
-    for n in (2, 10**4, 10**7, 10**10):
-        p = similar.plan(n)
-        flip = math.acos(8 / 9) / math.pi
-        one = (1 - flip) ** p.bits + p.bits * flip * (1 - flip) ** (p.bits - 1)
-        assert 1 - (1 - one) ** p.segments >= similar.RECALL and p.words * p.in_word >= p.segments and p.bits <= 2 * similar._HALF
-        assert n * p.segments * (p.bits + 1) / 2**p.bits <= 100  # unrelated texts that a text meets
+@pytest.mark.parametrize("copies,families", [(20, 20), (50, 4), (120, 2), (300, 1), (2000, 1), (5000, 1)])
+def test_similar_texts_in_stars(spark, copies, families):
+    """Each copy is similar to its original, copies mostly aren't to each other; the original may come anywhere."""
+    rng = random.Random(copies)
+    rows = [(f, t) for f in range(families) for t in star(rng, copies, name=f"f{f}w")]
+    rng.shuffle(rows)
+    first = {}
+    for i, (f, _) in enumerate(rows):
+        first.setdefault(f, i)
+    texts = {i: t for i, (_, t) in enumerate(rows)}
+    assert missed_share(spark, texts, {i: first[f] for i, (f, _) in enumerate(rows)}) <= 0.01
+
+
+def test_similar_texts_in_chains_and_mixed_crowds(spark):
+    rng = random.Random(12)
+    chain, rows = [f"c{i}" for i in range(150)], []
+    for k in range(150):  # each similar to the next ones only
+        rows.append(("chain", " ".join(chain)))
+        chain[(k * 37 + 11) % 140 + 5] = f"y{k}"
+    for f in range(12):  # stars whose originals have two thirds of their words in common
+        rows += [(f, t.replace("t0w", "same").replace(f"t{f}w", "same")) if f == 0 else (f, " ".join(w if int(w[len(f"t{f}w") :] or 0) % 3 == 0 and w.startswith(f"t{f}w") else w.replace(f"t{f}w", "same") for w in t.split())) for t in star(rng, 40, name=f"t{f}w")]
+    passage = " ".join(f"p{i}" for i in range(60))  # in many texts that have nothing else in common
+    rows += [("alone", " ".join([*(f"z{rng.randrange(10**9)}" for _ in range(90)), passage])) for _ in range(300)]
+    near = [f"n{i}" for i in range(120)]
+    rows += [("near", " ".join(edited(rng, near, 0.01))) for _ in range(200)]
+    rng.shuffle(rows)
+    texts = {i: t for i, (_, t) in enumerate(rows)}
+    want = brute_groups(texts)
+    assert sum(want[i] != i for i in texts) > 700
+    assert missed_share(spark, texts, want) <= 0.01
+
+
+def test_crowds_of_many_chunks(spark, monkeypatch):
+    """The same with small chunks, so that most of a crowd never meets in one."""
+    monkeypatch.setattr(similar, "CHUNK", 64)
+    rng = random.Random(13)
+    texts = [t for f in range(2) for t in star(rng, 600, name=f"f{f}w")]
+    order = rng.sample(range(len(texts)), len(texts))
+    first = {f: min(i for i, k in enumerate(order) if k // 601 == f) for f in range(2)}
+    want = {i: first[k // 601] for i, k in enumerate(order)}
+    assert missed_share(spark, {i: texts[k] for i, k in enumerate(order)}, want) <= 0.01
+
+
+def test_candidates_are_few_for_each_text(spark):
+    rng = random.Random(14)
+    few = []
+    for n in (500, 2000):
+        nodes = similar._signed(docs(spark, star(rng, n)), similar.SHINGLE).withColumn("node", F.monotonically_increasing_id())
+        index = similar._indexed(nodes, similar.SIMILARITY)
+        pairs = similar._few(index).count() + similar._crowds(index, nodes, similar.most_bits(similar.SIMILARITY)).count()
+        few.append(pairs / n)
+    assert max(few) <= 2 * similar.CROWDS * (similar.NEAREST + 1) + similar.FEW and few[1] <= 1.5 * few[0]
+
+
+def test_sketches_of_similar_texts():
+    """Texts of just that similarity have enough of their sketches in common, and meet under one of the rarest."""
+    rng = random.Random(15)
+    for n in (10, 25, 26, 31, 40, 100, 1000):
+        for _ in range(300):
+            shared = math.ceil(0.8 / 1.8 * 2 * n)
+            both = [rng.getrandbits(64) for _ in range(shared)]
+            a, b = ({*both, *(rng.getrandbits(64) for _ in range(n - shared))} for _ in range(2))
+            s, t = (sorted(x)[: similar.SKETCH] for x in (a, b))
+            least = math.ceil(0.8 * n - 1e-9) if n <= 25 else math.floor(32 * 0.8 * 0.8 * 0.7)
+            assert len(set(s) & set(t)) >= least
 
 
 def test_components(spark):
