@@ -1,20 +1,26 @@
 """Greedy removal of near-duplicate reviews: a row goes if an earlier kept row of its place is alike.
 
 That is the first maximal independent set of the likeness graph in order of pos; neither an anti-join nor connected
-components give it. `greedy` finds it without collecting a place:
+components give it. `greedy` finds it without collecting a place, and without writing the pairs of a crowd:
 
 1. rows with equal word sets (words as 64-bit hashes) collapse to the first (later ones share its fate or are dropped by it);
-2. a prefix-filtered join finds the pairs that can be alike: with words in order of rarity, two sets whose likeness
-   exceeds the threshold share a word among the first n - ceil(threshold * n) + 1 of each (Bayardo et al., 2007), and
-   enough words can follow their first common one (the positional filter);
-3. rounds settle rows from both sides: a row is kept when all its earlier partners are dropped, and dropped when one
-   is kept, until none is open.
+2. rows are indexed under a prefix of their words in order of rarity: two sets whose likeness exceeds the threshold share a
+   word among the first n - ceil(threshold * n) + 1 of each (Bayardo et al., 2007), and enough words can follow their first
+   common one (the positional filter);
+3. each round takes the first open rows of each word, FIRST at first and GROWTH times as many in each round. A row that is among them for all its
+   words has met all earlier open rows that it can be like, so it can be settled: kept if they are all dropped, dropped if one is kept.
+   Then open rows are compared with the rows just kept, and with them only, and those alike are dropped.
+
+A crowd of rows alike is gone after the round that keeps its first, at one comparison for each row. Rows that share rare words
+but stay below the threshold have to be compared (the filters apart); their rounds are as many as the logarithm of the longest list.
 
 `greedy_fold` says the same as one expression for each place; it is quadratic, and meant for small places and tests.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +28,9 @@ from placewise.functions.session import cut
 from placewise.functions.text import jaccard, word_set
 
 THRESHOLD = 0.70
+#: Open rows of a word that the first round settles, and by what that grows from round to round.
+FIRST = 8
+GROWTH = 4
 
 
 def greedy_fold(reviews: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -36,17 +45,20 @@ def greedy_fold(reviews: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.select("place_id", F.explode(F.aggregate("rows", none, step)).alias("k")).select("place_id", F.col("k.pos").alias("pos"))
 
 
-def alike_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(place_id, a, b) with a < b for sets (place_id, pos, words) whose likeness exceeds the threshold."""
-    sets = sets.withColumn("n", F.size("words")).where("n > 0")
-    tokens = sets.select("place_id", "pos", "n", F.explode("words").alias("word"))
+def _prefix(sets: DataFrame, threshold: float) -> DataFrame:
+    """(place_id, word, pos, n, rank) for sets (place_id, pos, words): a row under those of its words that others can find it by."""
+    tokens = sets.select("place_id", "pos", F.size("words").alias("n"), F.explode("words").alias("word"))
     rarity = tokens.groupBy("place_id", "word").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
     # words that one row has can't be shared; the ranks of the others start behind them
     shared = tokens.join(rarity, ["place_id", "word"])
-    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("place_id", "pos"))
-    rank = F.row_number().over(Window.partitionBy("place_id", "pos").orderBy("seen", "word")) + alone
-    prefix = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).select("place_id", "word", "pos", "n", "rank")
-    left, right = prefix.withColumnsRenamed({"pos": "a", "n": "na", "rank": "ra"}), prefix.withColumnsRenamed({"pos": "b", "n": "nb", "rank": "rb"})
+    row = Window.partitionBy("place_id", "pos")
+    rank = F.row_number().over(row.orderBy("seen", "word")) + F.col("n") - F.count(F.lit(1)).over(row)
+    return shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).select("place_id", "word", "pos", "n", "rank")
+
+
+def _alike(earlier: DataFrame, later: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(place_id, a, b), a < b, of rows of two indexes whose likeness exceeds the threshold."""
+    left, right = earlier.withColumnsRenamed({"pos": "a", "n": "na", "rank": "ra"}), later.withColumnsRenamed({"pos": "b", "n": "nb", "rank": "rb"})
     near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
     # at their first common word, two sets can have only what follows it in common besides
     near &= 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) > F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
@@ -56,26 +68,49 @@ def alike_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(jaccard(F.col("words_a"), F.col("words_b")) > F.lit(threshold)).select("place_id", "a", "b")
 
 
+def alike_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(place_id, a, b) with a < b for sets (place_id, pos, words) whose likeness exceeds the threshold."""
+    index = _prefix(sets, threshold)
+    return _alike(index, index, sets, threshold)
+
+
+def _settled(pairs: DataFrame, able: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Of rows (place_id, pos) that have met all they can be like, those to keep; and rows that go. pairs: likeness so far."""
+    live, gone = pairs, None
+    while True:
+        waiting = live.select("place_id", F.col("b").alias("pos")).distinct()
+        kept = able.join(waiting, ["place_id", "pos"], "left_anti")
+        kept = kept if gone is None else kept.join(gone, ["place_id", "pos"], "left_anti")
+        more = cut(live.join(kept.withColumnRenamed("pos", "a"), ["place_id", "a"], "left_semi").select("place_id", F.col("b").alias("pos")).distinct())
+        if more.isEmpty():
+            return kept, gone
+        gone = more if gone is None else gone.unionByName(more)
+        for end in ("a", "b"):
+            live = live.join(more.withColumnRenamed("pos", end), ["place_id", end], "left_anti")
+        live = cut(live)
+
+
 def greedy(reviews: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(place_id, pos) of the rows kept."""
     hashed = F.transform(word_set(F.col("text")), lambda w: F.xxhash64(w))  # long keys sort and join faster than words
     keyed = reviews.select("place_id", "pos", F.sort_array(hashed).alias("words"))
     key = F.when(F.size("words") == 0, F.array(F.col("pos").cast("long"))).otherwise(F.col("words"))
-    first = keyed.groupBy("place_id", key.alias("key"), "words").agg(F.min("pos").alias("pos")).select("place_id", "pos", "words")
-    first = cut(first)
-    pairs = cut(alike_pairs(first, threshold))
-    open_pairs, dropped = pairs, None
-    while not open_pairs.isEmpty():
-        # rows that no open pair would drop are kept; what they are alike to goes, and with it all its pairs
-        waiting = open_pairs.select("place_id", F.col("b").alias("a")).distinct()
-        settled = open_pairs.join(waiting, ["place_id", "a"], "left_anti")
-        gone = cut(settled.select("place_id", F.col("b").alias("pos")).distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        for end in ("a", "b"):
-            open_pairs = open_pairs.join(gone.withColumnRenamed("pos", end), ["place_id", end], "left_anti")
-        open_pairs = cut(open_pairs)
-    kept = first.select("place_id", "pos")
-    return kept if dropped is None else kept.join(dropped, ["place_id", "pos"], "left_anti")
+    sets = cut(keyed.groupBy("place_id", key.alias("key"), "words").agg(F.min("pos").alias("pos")).select("place_id", "pos", "words"))
+    rows = ["place_id", "pos"]
+    index, width, dropped = cut(_prefix(sets, threshold)), FIRST, []
+    while not index.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("place_id", "word").orderBy("pos"))
+        heads = cut(index.withColumn("nth", nth).where(F.col("nth") <= width).drop("nth"))
+        met, all_met = heads.groupBy(*rows).agg(F.count(F.lit(1)).alias("m")), index.groupBy(*rows).agg(F.count(F.lit(1)).alias("all"))
+        able = cut(met.join(all_met, rows).where("m = all").select(*rows))
+        kept, gone = _settled(cut(_alike(heads, heads, sets, threshold)), able)
+        kept = cut(kept)
+        rest = index.join(kept if gone is None else kept.unionByName(gone), rows, "left_anti")
+        alike = cut(_alike(index.join(kept, rows, "left_semi"), rest, sets, threshold).select("place_id", F.col("b").alias("pos")).distinct())
+        dropped += [alike] if gone is None else [gone, alike]
+        index, width = cut(rest.join(alike, rows, "left_anti")), width * GROWTH
+    kept = sets.select(*rows)
+    return kept.join(reduce(DataFrame.unionByName, dropped), rows, "left_anti") if dropped else kept
 
 
 def clean(reviews: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -62,6 +62,27 @@ def test_greedy_against_a_plain_loop(spark, seed):
     assert kept(dedupe.greedy_fold(reviews(spark, texts))) == want
 
 
+def test_greedy_on_a_template_crowd(spark, monkeypatch):
+    """Variants of one template in one place: as a plain loop keeps them, and pairs in proportion to rows, not to their square."""
+    rng, found, alike = random.Random(1), [], dedupe._alike
+
+    def counted(*args):
+        out = dedupe.cut(alike(*args))
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedupe, "_alike", counted)
+    base = [f"w{i}" for i in range(20)]
+    texts = []
+    for _ in range(4000):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            words[rng.randrange(20)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    assert kept(dedupe.greedy(reviews(spark, texts))) == [("p", i) for i in plain_greedy(texts)]
+    assert sum(found) < 2 * len(texts)
+
+
 def test_greedy_empty_texts_and_empty_table(spark):
     assert len(kept(dedupe.greedy(reviews(spark, ["", " ", "a"])))) == 3
     assert kept(dedupe.greedy(reviews(spark, []))) == []
