@@ -75,9 +75,34 @@ def joined(separator: str, *parts: Column) -> Column:
     return F.concat_ws(separator, *(F.nullif(p, F.lit("")) for p in parts))
 
 
+def round_double(value: Column, digits: int) -> Column:
+    """The double nearest to the value's exact binary expansion, rounded to so many decimals, halves to even: as Python's round.
+
+    The value times a power of ten is taken without error, as a product and its rest (Dekker, 1971); the rest decides where
+    the product looks like a tie. (round and bround go by a double's shortest decimal form: 2.675 is less than its form.)
+    """
+    scale = float(10**digits)
+    part = lambda x: 134217729.0 * x - (134217729.0 * x - x)  # noqa: E731 - its upper 26 bits
+    high, low = part(scale), scale - part(scale)
+
+    def nearest(v: Column) -> Column:
+        product, up = v["product"], v["high"]
+        rest = ((up * high - product) + up * low + (v["size"] - up) * high) + (v["size"] - up) * low
+        whole = F.floor(product).cast("double")
+        beyond = product - whole - 0.5
+        odd = whole % 2 == 1
+        small = whole + ((beyond > 0) | ((beyond == 0) & ((rest > 0) | ((rest == 0) & odd)))).cast("double")
+        large = product + F.when(odd & (F.abs(rest) == 0.5), F.signum(rest)).otherwise(0.0)  # the product is whole
+        return F.when(product < float(1 << 52), small).otherwise(large) / scale
+
+    size = F.abs(value)
+    bound = let(F.struct(size.alias("size"), (size * scale).alias("product"), part(size).alias("high")), nearest)
+    return F.when(F.isnan(value) | (size * scale >= float(1 << 53)), value).otherwise(F.when(value < 0, -bound).otherwise(bound)) + 0.0
+
+
 def rounded(value: Column, digits: int) -> Column:
-    """Half-up in decimal arithmetic, so that all engines agree at ties; as a double."""
-    return F.round(value.cast("decimal(18,9)"), digits).cast("double")
+    """round_double of the value to nine decimals, which the order of summands doesn't change."""
+    return let(value.cast("decimal(18,9)").cast("double"), lambda v: round_double(v, digits))
 
 
 def percent(share: Column) -> Column:

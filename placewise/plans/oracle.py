@@ -36,7 +36,7 @@ _ASPM = (
     _ASP
     + f""",
 found AS (
-  SELECT place_id, aspect, CAST(round(CAST(avg(score) AS DECIMAL(18,9)), 2) AS DOUBLE) AS score, CAST(sum(mentions) AS BIGINT) AS mentions,
+  SELECT place_id, aspect, (CAST(printf('%.2f', CAST(CAST(avg(score) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS score, CAST(sum(mentions) AS BIGINT) AS mentions,
     (min({{'batch': batch, 'm': mentions, 's': summary}}) FILTER (WHERE summary <> '')).s AS summary
   FROM asp WHERE score IS NOT NULL GROUP BY ALL),
 cited AS (
@@ -48,60 +48,60 @@ aspm AS (
     LEFT JOIN cited i ON i.place_id = p.place_id AND i.aspect = a.aspect)"""
 )
 _WEIGHT = "CASE aspect " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in ASPECT_WEIGHTS.items()) + " END"
-_ASPW = f"aspw AS (SELECT place_id, CAST(round(CAST(sum(score * {_WEIGHT}) / sum({_WEIGHT}) AS DECIMAL(18,9)), 2) AS DOUBLE) AS aspect_comp FROM asp WHERE score IS NOT NULL GROUP BY 1)"
+_ASPW = f"aspw AS (SELECT place_id, (CAST(printf('%.2f', CAST(CAST(sum(score * {_WEIGHT}) / sum({_WEIGHT}) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS aspect_comp FROM asp WHERE score IS NOT NULL GROUP BY 1)"
 _EV = """ev AS (
   SELECT user_id AS place_id, event_id, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 15) AS INTEGER) AS batch,
     least(1.0::DOUBLE, greatest(-1.0::DOUBLE, value / 50 - 1)) AS score, event_type AS emotion FROM events)"""
-_BATCHES = _EV + ",\nbatches AS (SELECT place_id, batch, CAST(round(CAST(avg(score) AS DECIMAL(18,9)), 3) AS DOUBLE) AS s FROM ev GROUP BY ALL)"
+_BATCHES = _EV + ",\nbatches AS (SELECT place_id, batch, (CAST(printf('%.3f', CAST(CAST(avg(score) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS s FROM ev GROUP BY ALL)"
 _LABEL = "CASE WHEN s >= 0.4 THEN 'Positive' WHEN s <= -0.3 THEN 'Negative' WHEN s BETWEEN -0.15 AND 0.15 THEN 'Neutral' ELSE 'Mixed' END"
 _MOOD = (
     _BATCHES
     + f""",
 mood AS (
   SELECT place_id, n_batches, CASE WHEN n_batches = 1 THEN own ELSE s END AS sentiment_score, CASE WHEN n_batches = 1 THEN CASE WHEN own > 0 THEN 'Positive' ELSE 'Mixed' END ELSE {_LABEL} END AS overall_sentiment
-  FROM (SELECT place_id, count(*) AS n_batches, CAST(round(CAST(avg(s) AS DECIMAL(18,9)), 3) AS DOUBLE) AS s, any_value(s) AS own FROM batches GROUP BY 1))"""
+  FROM (SELECT place_id, count(*) AS n_batches, (CAST(printf('%.3f', CAST(CAST(avg(s) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS s, any_value(s) AS own FROM batches GROUP BY 1))"""
 )
 _STEADY = """steady AS (
-  SELECT place_id, CASE WHEN count(score) >= 3 THEN greatest(0.0, CAST(round(CAST(10 - stddev_pop(score) * 5 AS DECIMAL(18,9)), 2) AS DOUBLE)) ELSE 5.0 END AS consistency_comp FROM ev GROUP BY 1)"""
+  SELECT place_id, CASE WHEN count(score) >= 3 THEN greatest(0.0, (CAST(printf('%.2f', CAST(CAST(10 - stddev_pop(score) * 5 AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0)) ELSE 5.0 END AS consistency_comp FROM ev GROUP BY 1)"""
 _RECENT = """recent AS (
   SELECT place_id, trend, CASE trend WHEN 'Declining' THEN greatest(0.0, base - 1.5) WHEN 'Improving' THEN least(10.0, base + 1.0) ELSE base END AS recency_comp
   FROM (
     SELECT place_id, ['Declining', 'Improving', 'Stable'][place_id % 3 + 1] AS trend,
-      CAST(round(CAST((coalesce(CASE WHEN place_id % 7 <> 0 THEN arg_min(s, batch) END, CAST(round(CAST(avg(s) AS DECIMAL(18,9)), 3) AS DOUBLE)) + 1) / 2 * 10 AS DECIMAL(18,9)), 2) AS DOUBLE) AS base
+      (CAST(printf('%.2f', CAST(CAST((coalesce(CASE WHEN place_id % 7 <> 0 THEN arg_min(s, batch) END, (CAST(printf('%.3f', CAST(CAST(avg(s) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0)) + 1) / 2 * 10 AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS base
     FROM batches GROUP BY place_id))"""
 _TRUST = """pv AS (
   SELECT place_id, i, ['PASS', 'CORRECTED', 'UNAVAILABLE', 'FAIL'][i % 4 + 1] AS status, CASE WHEN i % 5 = 0 THEN 0.0::DOUBLE ELSE 0.8::DOUBLE + i * 0.01::DOUBLE END AS accuracy
   FROM (SELECT DISTINCT source AS place_id, CAST(substring(source, 4) AS BIGINT) AS i FROM documents)),
 pt AS (
-  SELECT source AS place_id, CAST(round(CAST(avg((toxic = 0)::INT) AS DECIMAL(18,9)), 2) AS DOUBLE) AS trust, CAST(round(CAST(avg((quality = 0)::INT) AS DECIMAL(18,9)), 2) AS DOUBLE) AS fake
+  SELECT source AS place_id, (CAST(printf('%.2f', CAST(CAST(avg((toxic = 0)::INT) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS trust, (CAST(printf('%.2f', CAST(CAST(avg((quality = 0)::INT) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS fake
   FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1),
 trust AS (
-  SELECT place_id, i, status, accuracy, trust, CASE WHEN status = 'UNAVAILABLE' THEN base ELSE greatest(0.0, least(10.0, CAST(round(CAST(base * (coalesce(nullif(accuracy, 0), 1) * 0.5::DOUBLE + 0.5) AS DECIMAL(18,9)), 2) AS DOUBLE))) END AS trust_comp
-  FROM (SELECT pv.*, trust, greatest(0.0, least(10.0, CAST(round(CAST((coalesce(trust, 0.7::DOUBLE) - coalesce(fake, 0.2::DOUBLE) * 0.5::DOUBLE) * 10 AS DECIMAL(18,9)), 2) AS DOUBLE))) AS base FROM pv LEFT JOIN pt ON pv.place_id = pt.place_id))"""
+  SELECT place_id, i, status, accuracy, trust, CASE WHEN status = 'UNAVAILABLE' THEN base ELSE greatest(0.0, least(10.0, (CAST(printf('%.2f', CAST(CAST(base * (coalesce(nullif(accuracy, 0), 1) * 0.5::DOUBLE + 0.5) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0))) END AS trust_comp
+  FROM (SELECT pv.*, trust, greatest(0.0, least(10.0, (CAST(printf('%.2f', CAST(CAST((coalesce(trust, 0.7::DOUBLE) - coalesce(fake, 0.2::DOUBLE) * 0.5::DOUBLE) * 10 AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0))) AS base FROM pv LEFT JOIN pt ON pv.place_id = pt.place_id))"""
 _CONCERNS = """concerns AS (
   SELECT d.doc_id, source, lang, CASE WHEN quality = 0 AND toxic = 1 THEN 'Major' WHEN quality = 0 THEN 'Moderate' WHEN toxic = 1 THEN 'Minor' END AS severity
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE quality = 0 OR toxic = 1)"""
 _PENALTY = "CASE severity WHEN 'Major' THEN 1.5 WHEN 'Moderate' THEN 0.8 ELSE 0.2 END"
 _FINAL = ",\n".join([_REV, _ORD, _ASP, _ASPW, _MOOD, _STEADY, _RECENT, _TRUST, _CONCERNS]) + f""",
 risk AS (
-  SELECT place_id, least(3.0, CAST(round(CAST(sum(p) AS DECIMAL(18,9)), 6) AS DOUBLE)) AS risk_penalty
+  SELECT place_id, least(3.0, (CAST(printf('%.6f', CAST(CAST(sum(p) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0)) AS risk_penalty
   FROM (SELECT source AS place_id, {_PENALTY} AS p FROM concerns UNION ALL SELECT place_id, 0.3 FROM pv WHERE i % 3 = 0) GROUP BY 1),
 parts AS (
-  SELECT t.place_id, n, trust, status, accuracy, trust_comp, CAST(round(CAST((coalesce(sentiment_score, 0) + 1) / 2 * 10 AS DECIMAL(18,9)), 2) AS DOUBLE) AS sentiment_comp, coalesce(aspect_comp, 5.0) AS aspect_comp,
-    CAST(round(CAST(coalesce(g.r, scraped) * 2 AS DECIMAL(18,9)), 2) AS DOUBLE) AS rating_comp, coalesce(consistency_comp, 5.0) AS consistency_comp,
-    coalesce(recency_comp, CAST(round(CAST((coalesce(sentiment_score, 0) + 1) / 2 * 10 AS DECIMAL(18,9)), 2) AS DOUBLE)) AS recency_comp, coalesce(risk_penalty, 0.0) AS risk_penalty
+  SELECT t.place_id, n, trust, status, accuracy, trust_comp, (CAST(printf('%.2f', CAST(CAST((coalesce(sentiment_score, 0) + 1) / 2 * 10 AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS sentiment_comp, coalesce(aspect_comp, 5.0) AS aspect_comp,
+    (CAST(printf('%.2f', CAST(CAST(coalesce(g.r, scraped) * 2 AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS rating_comp, coalesce(consistency_comp, 5.0) AS consistency_comp,
+    coalesce(recency_comp, (CAST(printf('%.2f', CAST(CAST((coalesce(sentiment_score, 0) + 1) / 2 * 10 AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0)) AS recency_comp, coalesce(risk_penalty, 0.0) AS risk_penalty
   FROM trust t JOIN (SELECT place_id, count(*) AS n, avg(rating) AS scraped FROM rev GROUP BY 1) s ON s.place_id = t.place_id LEFT JOIN risk ON risk.place_id = t.place_id
     LEFT JOIN (SELECT place_id, avg(rating) AS r FROM ord WHERE place_id % 2 = 0 GROUP BY 1) g ON g.place_id = t.i LEFT JOIN aspw ON aspw.place_id = t.i LEFT JOIN mood ON mood.place_id = t.i
     LEFT JOIN recent ON recent.place_id = t.i LEFT JOIN steady ON steady.place_id = t.i),
 total AS (
   SELECT *, sentiment_comp * 0.30::DOUBLE + aspect_comp * 0.25::DOUBLE + rating_comp * 0.15::DOUBLE + trust_comp * 0.15::DOUBLE + consistency_comp * 0.10::DOUBLE + recency_comp * 0.05::DOUBLE AS composite FROM parts),
 conf AS (
-  SELECT *, CAST(round(CAST(greatest(0.0, least(10.0, composite - risk_penalty)) AS DECIMAL(18,9)), 2) AS DOUBLE) AS final_score,
+  SELECT *, (CAST(printf('%.2f', CAST(CAST(greatest(0.0, least(10.0, composite - risk_penalty)) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS final_score,
     least(1.0, least(1.0, least(1.0, n / 50) + CASE WHEN consistency_comp >= 7 THEN 0.15 ELSE 0 END) + CASE WHEN coalesce(trust, 0.7) >= 0.8 THEN 0.1 ELSE 0 END)::DOUBLE AS base FROM total),
 final AS (
   SELECT place_id, CASE WHEN final_score >= 8 THEN 'HIGHLY RECOMMENDED' WHEN final_score >= 6.5 THEN 'RECOMMENDED' WHEN final_score >= 4.5 THEN 'VISIT WITH CAUTION' ELSE 'NOT RECOMMENDED' END AS verdict, final_score,
-    CAST(round(CAST(CASE status WHEN 'PASS' THEN least(1.0, least(1.0, base + 0.1) * (coalesce(nullif(accuracy, 0), 1) * 0.3 + 0.7)) WHEN 'UNAVAILABLE' THEN greatest(0.0, base - 0.1) WHEN 'CORRECTED' THEN greatest(0.0, base - 0.05) ELSE base END AS DECIMAL(18,9)), 3) AS DOUBLE) AS confidence,
-    sentiment_comp, aspect_comp, rating_comp, trust_comp, consistency_comp, recency_comp, risk_penalty, CAST(round(CAST(composite AS DECIMAL(18,9)), 2) AS DOUBLE) AS composite_raw
+    (CAST(printf('%.3f', CAST(CAST(CASE status WHEN 'PASS' THEN least(1.0, least(1.0, base + 0.1) * (coalesce(nullif(accuracy, 0), 1) * 0.3 + 0.7)) WHEN 'UNAVAILABLE' THEN greatest(0.0, base - 0.1) WHEN 'CORRECTED' THEN greatest(0.0, base - 0.05) ELSE base END AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS confidence,
+    sentiment_comp, aspect_comp, rating_comp, trust_comp, consistency_comp, recency_comp, risk_penalty, (CAST(printf('%.2f', CAST(CAST(composite AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS composite_raw
   FROM conf)"""
 
 _PHRASES = f"""early AS (SELECT place_id, pos, {_WORDS} AS w FROM rev WHERE pos <= 30),
@@ -164,7 +164,7 @@ def _title(x: str) -> str:
 
 
 def _pct1(x: str) -> str:
-    return f"format('{{:.1f}}', CAST(round(CAST({x} AS DECIMAL(18,9)), 1) AS DOUBLE))"
+    return f"format('{{:.1f}}', (CAST(printf('%.1f', CAST(CAST({x} AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0))"
 
 
 _FALLBACK = "SELECT place_id, CAST(k AS INTEGER) AS ord, '{}' AS aspect, left(text, 150) AS evidence, {}, 'r' || pos AS review_id FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY pos) AS k FROM rev WHERE {}) WHERE k <= {}"
@@ -173,7 +173,7 @@ ORACLE_SQL: dict[str, str] = {
     "final_score": f"WITH {_FINAL} SELECT * FROM final",
     "verdict_counts": f"WITH {_FINAL} SELECT verdict, count(*) AS n FROM final GROUP BY 1",
     "report_text": f"WITH {_FINAL} SELECT place_id, 'Place: ' || place_id || chr(10) || 'Verdict: ' || verdict || chr(10) || printf('Score: %.2f/10  Confidence: %.3f', final_score, confidence) AS report_text, CASE WHEN contains(verdict, 'HIGHLY') THEN 'highly' WHEN contains(verdict, 'NOT') THEN 'not' WHEN contains(verdict, 'CAUTION') THEN 'caution' ELSE 'recommended' END AS class FROM final",
-    "score_unpivot": f"""WITH {_FINAL}, found AS (SELECT place_id, aspect, CAST(round(CAST(avg(score) AS DECIMAL(18,9)), 2) AS DOUBLE) AS score FROM asp WHERE score IS NOT NULL AND aspect <> 'accessibility' GROUP BY ALL),
+    "score_unpivot": f"""WITH {_FINAL}, found AS (SELECT place_id, aspect, (CAST(printf('%.2f', CAST(CAST(avg(score) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS score FROM asp WHERE score IS NOT NULL AND aspect <> 'accessibility' GROUP BY ALL),
 rows AS (
   SELECT place_id, 'Sentiment' AS metric, sentiment_comp AS score FROM final UNION ALL SELECT place_id, 'Google Rating', rating_comp FROM final UNION ALL SELECT place_id, 'Trust', trust_comp FROM final
   UNION ALL SELECT place_id, 'Consistency', consistency_comp FROM final UNION ALL SELECT 'src' || place_id, {_title("aspect")}, score FROM found)
@@ -194,8 +194,12 @@ LEFT JOIN (SELECT place_id, count(*) AS n FROM rev GROUP BY 1) u ON u.place_id =
     "document_flags": f"""WITH {_REV}, {_PHRASES}, {_PAIRS}, {_stats("rev", "text")},
 listed AS (SELECT place_id, '[' || string_agg('''' || phrase || '''', ', ' ORDER BY rank) || ']' AS p FROM phrases WHERE rank <= 3 GROUP BY 1),
 {_flags("pairs.n2", "listed.p", "JOIN (SELECT place_id, n AS n2 FROM pairs) pairs ON pairs.place_id = s.place_id LEFT JOIN listed ON listed.place_id = s.place_id")}""",
-    "short_top_rating_share": f"WITH {_REV}, {_stats('rev', 'text')} SELECT place_id, short_fives, CAST(round(CAST(short_fives / n AS DECIMAL(18,9)), 6) AS DOUBLE) AS share, short_fives / n > 0.30 AS flagged FROM stats",
+    "short_top_rating_share": f"WITH {_REV}, {_stats('rev', 'text')} SELECT place_id, short_fives, (CAST(printf('%.6f', CAST(CAST(short_fives / n AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS share, short_fives / n > 0.30 AS flagged FROM stats",
     "near_duplicate_pairs": f"WITH {_REV}, {_PAIRS} SELECT place_id, n AS duplicate_pairs FROM pairs",
+    "source_reviews": f"""WITH {_RAW}, newest AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY pos DESC) AS nth, count(*) OVER (PARTITION BY place_id) AS n FROM raw)
+SELECT 'place_id: ' || place_id AS query, place_id, n AS reviews_count, CAST(nth AS INTEGER) AS nth, CAST(pos AS INTEGER) AS pos, name, stars, CAST(length(text) AS INTEGER) AS n_chars, dt AS date FROM newest WHERE nth <= 8""",
+    "exact_rounding": """SELECT l_orderkey, l_linenumber, CAST(printf('%.2f', l_extendedprice * (1 - l_discount)) AS DOUBLE) AS net, CAST(printf('%.2f', l_extendedprice / 8) AS DOUBLE) AS eighth,
+  CAST(printf('%.1f', l_extendedprice / 1000) AS DOUBLE) AS mill, CAST(printf('%.0f', l_quantity / 4) AS DOUBLE) AS half, CAST(printf('%.3f', -l_extendedprice / 200) AS DOUBLE) AS negative FROM lineitem""",
     "greedy_dedupe": f"WITH {_REV}, {_KEPT} SELECT place_id, CAST(pos AS INTEGER) AS pos FROM kept",
     "repeated_phrases": f"WITH {_REV}, {_PHRASES} SELECT * FROM phrases",
     "review_batches": f"WITH {_REV} SELECT place_id, 'r' || pos AS review_id, CAST((pos - 1) // 15 AS INTEGER) AS batch FROM rev",
@@ -204,15 +208,15 @@ SELECT place_id, batch, CAST(length(prompt) AS INTEGER) AS n_chars, md5(prompt)
     "verifier_sample": f"WITH {_REV} SELECT place_id, 'r' || pos AS id, rating, left(text, 150) AS text FROM rev WHERE pos <= 20",
     "guardrail_sample": f"WITH {_REV} SELECT place_id, 'r' || pos AS id, rating, left(text, 120) AS text FROM rev WHERE pos <= 18",
     "heuristic_stats": f"""WITH {_REV}, {_PHRASES}, {_PAIRS}, {_stats("rev", "text")}
-SELECT s.place_id, s.n AS total_reviews, CAST(round(CAST(avg_rating AS DECIMAL(18,9)), 2) AS DOUBLE) AS avg_rating, CAST(round(CAST(fives / s.n AS DECIMAL(18,9)), 2) AS DOUBLE) AS five_star_pct, CAST(round(CAST(ones / s.n AS DECIMAL(18,9)), 2) AS DOUBLE) AS one_star_pct,
-  CAST(round(CAST(avg_length AS DECIMAL(18,9)), 0) AS DOUBLE) AS avg_review_length, authors AS unique_authors, pairs.n AS duplicate_pairs, coalesce(p.p, '') AS repeated_phrases
+SELECT s.place_id, s.n AS total_reviews, (CAST(printf('%.2f', CAST(CAST(avg_rating AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS avg_rating, (CAST(printf('%.2f', CAST(CAST(fives / s.n AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS five_star_pct, (CAST(printf('%.2f', CAST(CAST(ones / s.n AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS one_star_pct,
+  (CAST(printf('%.0f', CAST(CAST(avg_length AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) AS avg_review_length, authors AS unique_authors, pairs.n AS duplicate_pairs, coalesce(p.p, '') AS repeated_phrases
 FROM stats s JOIN pairs ON pairs.place_id = s.place_id LEFT JOIN (SELECT place_id, string_agg(phrase, ' | ' ORDER BY rank) AS p FROM phrases WHERE rank <= 3 GROUP BY 1) p ON p.place_id = s.place_id""",
     "aspect_merge": f"WITH {_ASPM} SELECT place_id, aspect, score, mentions AS reviews_mentioning, summary, CAST(len(ids) AS INTEGER) AS n_evidence, array_to_string(ids, ',') AS ids FROM aspm",
     "single_batch_aspects": f"""WITH own AS (
   SELECT p_partkey - CASE WHEN p_partkey % 4 = 3 THEN 1 ELSE 0 END AS place_id, p_partkey AS batch, {_ASPECT_LIST}[p_size % 7 + 1] AS aspect, p_retailprice / 128 AS score, p_size AS mentions, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_name END AS summary, 'r' || p_size AS id FROM part),
 n AS (SELECT place_id, count(*) AS n FROM own GROUP BY 1),
 merged AS (
-  SELECT o.place_id, aspect, CASE WHEN any_value(n) = 1 THEN any_value(score) ELSE CAST(round(CAST(avg(score) AS DECIMAL(18,9)), 2) AS DOUBLE) END AS score, CAST(sum(mentions) AS BIGINT) AS reviews_mentioning,
+  SELECT o.place_id, aspect, CASE WHEN any_value(n) = 1 THEN any_value(score) ELSE (CAST(printf('%.2f', CAST(CAST(avg(score) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0) END AS score, CAST(sum(mentions) AS BIGINT) AS reviews_mentioning,
     CASE WHEN any_value(n) = 1 THEN any_value(summary) ELSE arg_min(summary, batch) FILTER (WHERE summary <> '') END AS summary, list(id ORDER BY batch) AS ids FROM own o JOIN n ON n.place_id = o.place_id GROUP BY ALL),
 once AS (SELECT * REPLACE (CASE WHEN len(ids) = 2 AND ids[1] = ids[2] THEN ids[1:1] ELSE ids END AS ids) FROM merged)
 SELECT p.place_id, a.aspect, score, coalesce(reviews_mentioning, 0) AS reviews_mentioning, summary, coalesce(array_to_string(ids, ','), '') AS ids
@@ -234,7 +238,7 @@ SELECT place_id, keyword, CAST(row_number() OVER (PARTITION BY place_id ORDER BY
 SELECT p_brand AS place_id, p_type AS name, CAST(sum(p_size) AS BIGINT) AS frequency, arg_min(p_name, p_partkey) AS sentiment, 'Q' || arg_min(p_size, p_partkey) AS representative_quote, 'part ' || min(p_partkey) AS evidence,
   any_value(ids) AS ids FROM part JOIN (SELECT p_brand AS b, p_type AS y, string_agg(id, ',' ORDER BY seen) AS ids FROM t GROUP BY ALL) ON b = p_brand AND y = p_type GROUP BY 1, 2""",
     "consistency_component": f"WITH {_EV}, {_STEADY} SELECT * FROM steady",
-    "risk_penalty": f"""WITH {_CONCERNS} SELECT place_id, least(3.0, CAST(round(CAST(sum(p) AS DECIMAL(18,9)), 6) AS DOUBLE)) AS risk_penalty FROM (
+    "risk_penalty": f"""WITH {_CONCERNS} SELECT place_id, least(3.0, (CAST(printf('%.6f', CAST(CAST(sum(p) AS DECIMAL(18,9)) AS DOUBLE)) AS DOUBLE) + 0)) AS risk_penalty FROM (
   SELECT lang || '-' || (doc_id % 97) AS place_id, {_PENALTY} AS p FROM concerns UNION ALL SELECT lang || '-' || (doc_id % 97), 0.3 FROM concerns WHERE doc_id % 2 = 0) GROUP BY 1""",
     "corrected_aspects": f"""WITH {_ASPM}, {_CORR}
 SELECT CAST(a.place_id AS VARCHAR) AS place_id, a.aspect, CASE WHEN a.place_id = 1 AND a.aspect = 'service' AND (score IS NULL OR abs(2.5 - score) > 0.5) THEN 2.5 WHEN a.place_id = 1 AND a.aspect = 'service' AND abs(2.9 - score) > 0.5 THEN 2.9 ELSE score END AS score,

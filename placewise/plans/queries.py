@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.functions import text as T
+from placewise.functions.session import shared_path
 from placewise.operators import corrections, dashboard, dedupe, guardrail, heuristics, report, scoring, sentiment, suggest, verify
 from placewise.operators import reviews as R
 from placewise.plans import fixtures
 from placewise.sources import adapters as A
-from placewise.sources import readers
+from placewise.sources import readers, service
 
 Query = Callable[[SparkSession, str], DataFrame]
 c = F.col
@@ -27,6 +29,24 @@ def review_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.funnel(raw, dedupe.greedy(R.usable_reviews(raw)))
 
 
+def source_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight newest reviews of each place, as a service gives them that holds the raw reviews."""
+    path = shared_path(spark, "reviews")
+    A.raw_document_reviews(spark, sf_dir).write.partitionBy("place_id").parquet(path)
+    service.register(spark)
+    places = [r["place_id"] for r in spark.read.parquet(path).select("place_id").distinct().collect()]  # what a user would ask for
+    asked = spark.read.format("reviews").options(path=path, queries=json.dumps([f"place_id: {p}" for p in places]), max_reviews=8)
+    return asked.load().select("query", "place_id", "reviews_count", "nth", c("pos").cast("int").alias("pos"), "name", "stars", F.length("text").alias("n_chars"), c("publishedAtDate").alias("date"))
+
+
+def exact_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices and shares of them rounded as doubles: many lie just beside a tie, or on one."""
+    lines = A.table(spark, sf_dir, "lineitem")
+    price = c("l_extendedprice")
+    values = {"net": (price * (1 - c("l_discount")), 2), "eighth": (price / 8, 2), "mill": (price / 1000, 1), "half": (c("l_quantity") / 4, 0), "negative": (-price / 200, 3)}
+    return lines.select("l_orderkey", "l_linenumber", *(T.round_double(v, d).alias(name) for name, (v, d) in values.items()))
+
+
 def usable_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = document_reviews(spark, sf_dir)
     return rows.select("place_id", "pos", "author", "rating", F.length("text").alias("n_chars"), "date", "likes")
@@ -471,7 +491,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         final_score, verdict_counts, review_funnel, usable_reviews, best_place, place_projection, rating_histogram, rating_integrity_flags, document_flags, short_top_rating_share,
-        near_duplicate_pairs, greedy_dedupe, repeated_phrases, review_batches, batch_prompts, verifier_sample, guardrail_sample, heuristic_stats, aspect_merge, single_batch_aspects, trimmed_aspects, aspect_observations, enriched_concerns, aspect_weighted_score,
+        source_reviews, exact_rounding, near_duplicate_pairs, greedy_dedupe, repeated_phrases, review_batches, batch_prompts, verifier_sample, guardrail_sample, heuristic_stats, aspect_merge, single_batch_aspects, trimmed_aspects, aspect_observations, enriched_concerns, aspect_weighted_score,
         sentiment_merge_label, emotion_distribution, shown_emotions, first_non_empty_quote, keyword_union, theme_merge, consistency_component, risk_penalty, corrected_aspects, corrected_sentiment,
         corrected_keywords, correction_concerns, correction_badges, trust_component, recency_component, score_unpivot, report_text, fallback_positives, fallback_concerns, point_evidence, evidence_lines,
         verified_facts, verification_defaults, verification_banner, verification_observations, place_suggestions, city_suggestions, geocode_city, category_icon, category_icon_fixture, subtype_tags,
