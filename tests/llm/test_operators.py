@@ -678,26 +678,100 @@ def test_targets_that_nothing_meets_raise(spark, monkeypatch):
     apart = spark.createDataFrame([("a", "x", 3.0), ("b", "y", 1.0)], "source string, lang string, tokens double")
     with pytest.raises(ValueError, match="no weights meet the targets"):
         mixing.rake(apart, ("source", "lang"), {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}})
-    # default targets are those of some weights, empty cells or not
     rare = mixing.rake(apart, ("source", "lang")).collect()
     assert sum(r.weight for r in rare) == pytest.approx(1) and min(r.weight for r in rare) > 0.25
 
 
-def brute_features(text):
-    words = WORD.findall(text or "")
-    names = list(mixing.TOPIC_WORDS)
-    of = {w: n for n in reversed(names) for w in mixing.TOPIC_WORDS[n].split()}
-    hits = Counter(of[x] for x in ((w.lower() if w.lower() in of else w.lower()[:-1] if w[-1] in ".,;:" else "") for w in words) if x in of)
-    best = max(hits.values(), default=0)
-    if best and best * 100 >= len(words):
-        return next(n for n in names if hits[n] == best), max(1, len(words))
-    form = "table" if re.search(r" \| .* \| ", text or "") else "code" if re.search(r"[;{}]\s*\n", text or "") else "prose"
-    return form, max(1, len(words))
+def test_default_targets_that_nothing_meets_stand_as_swept(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DEFAULT_SWEEPS", 9)
+    apart = spark.createDataFrame([("a", "x", 3.0), ("b", "x", 1.0), ("b", "y", 9.0)], "source string, topic string, tokens double")
+    rows = mixing.rake(apart, ("source", "topic"), temper={"source": 0.1}, even={"topic": 1.0}).collect()
+    assert sum(r.weight for r in rows) == pytest.approx(1)
+
+
+def test_default_targets_need_raking(spark):
+    """Weights meet all three marginals, and aren't tokens times a factor of each value's share."""
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", float(rng.integers(1, 5000))) for i in range(5) for j in range(3) for k in range(4)]
+    got = {tuple(r[:3]): r.weight for r in mixing.rake(spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")).select("source", "lang", "topic", "weight").collect()}
+    total = sum(r[3] for r in rows)
+    share = [Counter() for _ in range(3)]
+    for r in rows:
+        for d in range(3):
+            share[d][r[d]] += r[3] / total
+    for d, wanted in enumerate(brute_targets(share)):
+        for value, to in wanted.items():
+            assert sum(w for k, w in got.items() if k[d] == value) == pytest.approx(to, rel=1e-6)
+    tilt = {r[:3]: r[3] * np.prod([share[d][r[d]] ** (x - 1) for d, x in enumerate((0.7, 0.7, 0.7))]) for r in rows}
+    whole = sum(tilt.values())
+    assert max(abs(got[k] / (tilt[k] / whole) - 1) for k in got) > 0.02
+
+
+def brute_targets(share):
+    """Of the shares of sources, languages and topics."""
+    out = []
+    for d, of in zip(mixing.DIMENSIONS, share, strict=True):
+        power = {k: v ** mixing.TEMPER[d] for k, v in of.items()}
+        own = {k: v / sum(power.values()) for k, v in power.items()}
+        even = mixing.EVEN.get(d, 0.0)
+        common = [k for k in own if own[k] * len(own) >= mixing.EVEN_FROM]
+        mass = sum(own[k] for k in common)
+        out.append({k: v * (1 - even) + even * mass / len(common) if even and k in common else v for k, v in own.items()})
+    return out
+
+
+def brute_buckets(text):
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return [xxhash.xxh64_intdigest(w.strip(".,;:!?").encode(), 42) % mixing.BUCKETS for w in words]
+
+
+def brute_topics(rows):
+    """Letters of buckets and usual shares, of (text, lang) of fewer than SAMPLE rows."""
+    langs = {}
+    for text, lang in rows:
+        if text is not None:
+            langs.setdefault(text, set()).add(lang or "")
+    held = {text: (min(of), set(brute_buckets(text))) for text, of in langs.items()}
+    texts, counts = Counter(la for la, _ in held.values()), Counter((la, w) for la, ws in held.values() for w in ws)
+    own = {}
+    for w in {w for _, w in counts}:
+        la = min((la for la in texts if counts[la, w]), key=lambda la: (-counts[la, w], la))
+        if mixing.LEAST_TEXTS <= counts[la, w] <= max(mixing.LEAST_TEXTS, mixing.MOST_SHARE * texts[la]):
+            own.setdefault(la, []).append(w)
+    letters, usual = [""] * mixing.BUCKETS, {}
+    for la, words in own.items():
+        words = sorted(words, key=lambda w: (-counts[la, w], w))[: mixing.MODEL_WORDS]
+        lift = {}
+        for i, x in enumerate(sorted(words)):
+            for y in sorted(words)[i + 1 :]:
+                expected = counts[la, x] * counts[la, y] / texts[la]
+                if expected >= 1:
+                    both = sum(lb == la and x in ws and y in ws for lb, ws in held.values())
+                    lift[x, y] = math.log((both + 0.5) / (expected + 0.5))
+        topic = mixing.clusters({w: counts[la, w] for w in words}, lift)
+        total = sum(counts[la, w] for w in words)
+        usual[la] = [max(1e-3, sum(counts[la, w] for w in words if topic[w] == k) / total) for k in range(mixing.TOPICS)]
+        for w in words:
+            letters[w] = "abcdefgh"[topic[w]]
+    return letters, usual
+
+
+def brute_features(text, lang, model):
+    found = brute_buckets(text)
+    letters, usual = model
+    n = Counter(letters[b] for b in found if letters[b])
+    shares = usual.get(lang or "", [1 / mixing.TOPICS] * mixing.TOPICS)
+    total = sum(n.values())
+    if not total:
+        return mixing.OTHER, max(1, len(found))
+    k = max(range(mixing.TOPICS), key=lambda k: (round((n["abcdefgh"[k]] - total * shares[k]) / math.sqrt(total * shares[k]), 6), -k))
+    return f"topic_{'abcdefgh'[k]}", max(1, len(found))
 
 
 def brute_rates(rows):
-    """Of documents (doc_id, text, source, lang) by the default targets: numpy throughout."""
-    cell = {i: (s, la, *brute_features(t)) for i, t, s, la in rows}
+    """Of documents (doc_id, text, source, lang) by the default targets."""
+    model = brute_topics([(t, la) for _, t, _, la in rows])
+    cell = {i: (s, la, *brute_features(t, la, model)) for i, t, s, la in rows}
     tokens = Counter()
     for s, la, topic, n in cell.values():
         tokens[s, la, topic] += n
@@ -706,12 +780,19 @@ def brute_rates(rows):
     for k in keys:
         for d in range(3):
             share[d][k[d]] += tokens[k] / total
-    tilt = np.array([tokens[k] * np.prod([share[d][k[d]] ** (x - 1) for d, x in enumerate(mixing.TEMPER[n] for n in mixing.DIMENSIONS)]) for k in keys])
-    weight, own = tilt / tilt.sum(), np.array([tokens[k] for k in keys], float)
-    factor, held = float(total), np.zeros(len(keys), bool)
+    targets = brute_targets(share)
+    weight, own = np.array([tokens[k] / total for k in keys]), np.array([tokens[k] for k in keys], float)
+    of = [np.array([list(t).index(k[d]) for k in keys]) for d, t in enumerate(targets)]
+    for _ in range(0, mixing.DEFAULT_SWEEPS, mixing.SWEEPS_TOGETHER):
+        for _ in range(mixing.SWEEPS_TOGETHER):
+            for d, t in enumerate(targets):
+                weight = weight * (np.array(list(t.values())) / np.bincount(of[d], weight))[of[d]]
+        if max(abs(np.bincount(of[d], weight) / np.array(list(t.values())) - 1).max() for d, t in enumerate(targets)) <= mixing.TOLERANCE:
+            break
+    factor, held = total / weight.sum(), np.zeros(len(keys), bool)
     while True:
         more = factor * weight / own >= mixing.REPEATS
-        if (more == held).all():
+        if (more == held).all() or more.all():
             break
         held = more
         factor = (total - mixing.REPEATS * own[held].sum()) / weight[~held].sum()
@@ -719,6 +800,23 @@ def brute_rates(rows):
     return {i: (c[2], c[3], rate[c[:3]]) for i, c in cell.items()}
 
 
+def test_topics_are_those_of_words_that_go_together(spark):
+    rng = random.Random(4)
+    themes = {"sea": [f"sea{i}" for i in range(12)], "sky": [f"sky{i}" for i in range(12)], "ground": [f"ground{i}" for i in range(12)]}
+    rows = []
+    for i in range(600):
+        theme = rng.choice(list(themes))
+        rows.append((" ".join(rng.choice(themes[theme]) if rng.random() < 0.4 else rng.choice(["and", "the", "of"]) for _ in range(40)), "en", theme))
+    df = spark.createDataFrame(rows, "text string, lang string, theme string")
+    model = mixing.learn_topics(df)
+    told = df.select("theme", mixing.topic(mixing._words(F.col("text")), F.col("lang"), model).alias("topic")).collect()
+    by_topic = {}
+    for r in told:
+        by_topic.setdefault(r.topic, Counter())[r.theme] += 1
+    assert sum(max(c.values()) for c in by_topic.values()) >= 0.9 * len(rows)  # a topic is of one theme
+    assert mixing.learn_topics(df.limit(0)) == mixing.Topics([""] * mixing.BUCKETS, {})
+
+
 def spark_draw(doc_id, text):
     h = xxhash.xxh64_intdigest((42).to_bytes(4, "little"), 42)
     h = h if doc_id is None else xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), h)
@@ -739,19 +837,25 @@ def test_op8_and_the_shares_of_its_sample(spark, sf_dir):
 
 def test_sampled_shares_meet_the_targets(spark):
     rng = random.Random(11)
-    kinds = {"law": "The court and the judge read the contract. ", "sport": "A team, a coach; the match and one goal. ", "prose": "Words of no topic run along here. "}
-    rows = [(i, "".join(kinds[rng.choices(list(kinds), (1, 2, 7))[0]] for _ in range(1)) * rng.randint(1, 9), rng.choices("abc", (8, 2, 1))[0], rng.choices(["en", "de"], (5, 1))[0]) for i in range(6_000)]
+    words = {k: [f"{k}{i}" for i in range(20)] for k in "xyz"}
+    rows = []
+    for i in range(6_000):
+        of = words[rng.choices("xyz", (1, 2, 7))[0]]
+        rows.append((i, " ".join(rng.choice(of) for _ in range(rng.randint(8, 40))), rng.choices("abc", (8, 2, 1))[0], rng.choices(["en", "de"], (5, 1))[0]))
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.7, "de": 0.3}, "topic": {"law": 0.2, "sport": 0.2, "prose": 0.6}}
-    mixed = mixing.copies(df, targets, repeats=10).collect()
+    names = sorted({r.mix.topic for r in mixing.copies(df).collect()})
+    assert len(names) >= 3
+    targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.7, "de": 0.3}, "topic": {t: k + 1 for k, t in enumerate(names)}}
+    mixed = mixing.copies(df, targets, repeats=50).collect()
     total = sum(r.mix.tokens * r.mix.copies for r in mixed)
-    assert total == pytest.approx(sum(r.mix.tokens for r in mixed), rel=0.03)
+    assert total == pytest.approx(sum(r.mix.tokens for r in mixed), rel=0.05)
     for d, shares in targets.items():
-        for value, share in shares.items():
+        for value, part in shares.items():
+            share = part / sum(shares.values())
             of = [r for r in mixed if (r.mix.topic if d == "topic" else r[d]) == value]
             assert sum(r.mix.tokens * r.mix.rate for r in of) / sum(r.mix.tokens for r in mixed) == pytest.approx(share, rel=1e-5)
-            assert sum(r.mix.tokens * r.mix.copies for r in of) / total == pytest.approx(share, rel=0.06)
-    once = mixing.copies(df, targets, budget=0.4 * sum(r.mix.tokens for r in mixed), repeats=1).collect()
+            assert sum(r.mix.tokens * r.mix.copies for r in of) / total == pytest.approx(share, rel=0.1)
+    once = mixing.copies(df, targets, budget=0.2 * sum(r.mix.tokens for r in mixed), repeats=1).collect()
     assert max(r.mix.copies for r in once) == 1 and max(r.mix.rate for r in once) <= 1
 
 
