@@ -137,7 +137,7 @@ def test_verdicts(spark):
 
 def test_accuracy_of_zero_counts_as_one(spark):
     row = spark.range(1).select(*(scoring.trust_component(F.lit(0.8), F.lit(0.1), F.lit("PASS"), F.lit(a)).alias(n) for a, n in ((0.0, "a"), (1.0, "b"), (0.5, "c")))).first()
-    assert row.a == row.b == 7.5 and row.c == 5.63  # 5.625
+    assert row.a == row.b == 7.5 and row.c == round(5.625, 2) == 5.62  # a tie of doubles goes to even
 
 
 def test_penalty(spark):
