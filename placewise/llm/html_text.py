@@ -6,11 +6,15 @@ paragraph-like ones with a blank line around them, list items behind their marke
 preformatted text as it stands, and table cells in columns, each as wide as its widest cell, spans included. Formulas
 (math), drawings' labels (svg) and what stands in for an object that isn't shown are text like any other.
 
+A closed drop-down shows the option that is selected, a list box all options and the labels of their groups; buttons and fields show
+their value. Items are numbered as value, start, reversed and type say. The head of a table comes first and its foot last,
+wherever they stand, and wide characters count two columns.
+
 Not visible are elements that browsers don't paint (head, script, style, template and the like; definitions, titles and
-annotations of svg and math), the hidden attribute, closed details and dialogs, comments, and what `display: none` takes
+annotations of svg and math; parentheses for ruby, and what stands in for a meter or a progress bar), the hidden attribute, closed details and dialogs, comments, and what `display: none` takes
 out. `visibility: hidden` hides text but not a descendant that is made visible again. Both are read from style
-attributes and from rules of style elements whose selector is made of a tag, classes and an id; the usual cascade decides
-between them. Rules with other selectors, and those for media other than screens, are left aside.
+attributes and from rules of style elements whose selector is made of tags, classes and ids, also of descendants and children; the
+usual cascade decides between them. Rules with other selectors, and those for media other than screens, are left aside.
 
 Both work with stacks of their own, so nesting of any depth is no recursion. Where full padding would make a table PAD_TIMES
 as long as its content and PAD_FREE characters more, columns are narrowed until it doesn't; a cell wider than its column
@@ -27,6 +31,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -45,7 +50,7 @@ _MOST_COLUMNS, _MOST_ROWS = 1000, 65534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNPAINTED = frozenset("head title script style template noscript iframe noembed noframes canvas audio video datalist meta link base".split())
+UNPAINTED = frozenset("head title script style template noscript iframe noembed noframes canvas audio video datalist meta link base rp meter progress".split())
 #: Not painted within svg and math, and what stands apart from its neighbours there.
 UNPAINTED_WITHIN = {
     "svg": frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
@@ -73,6 +78,10 @@ ENDS = {
     "optgroup": (frozenset({"optgroup", "option"}), frozenset({"select"})),
 }
 
+#: Kinds of input that show their value, and numerals of lists.
+SHOWN_INPUTS = frozenset("submit reset button text search tel url email number date month week time datetime-local".split())
+ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*>|</?>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")  # for pages with a quote that never closes
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -191,11 +200,48 @@ def declared(source: str) -> dict[str, tuple[bool, str]]:
     return out
 
 
+def _marks(node: Node) -> frozenset[str]:
+    a = node.attributes
+    return frozenset({f".{x}" for x in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set()))
+
+
+Compound = tuple[str, frozenset[str]]  # a tag or *, classes and ids
+
+
+def _is(node: Node, wanted: Compound) -> bool:
+    return wanted[0] in ("*", node.tag) and (not wanted[1] or wanted[1] <= _marks(node))
+
+
+def _names(node: Node) -> list[str]:
+    return [node.tag, *_marks(node)]
+
+
+def _above(chain: list[tuple[str, Compound]], around: list[Node], names: Counter[str]) -> bool:
+    """Whether the compounds of a selector, the inmost first, each with its combinator to the one within, are met by the elements around.
+
+    names: how many of those have each tag, class and id.
+    """
+    if any((tag != "*" and not names[tag]) or not all(names[x] for x in marks) for _, (tag, marks) in chain):
+        return False
+    at = [len(around)]  # where the element within may stand, the inmost first
+    for k, (combinator, wanted) in enumerate(chain):
+        if combinator == ">":
+            at = [i - 1 for i in at if i and _is(around[i - 1], wanted)]
+        elif all(c == " " for c, _ in chain[k:]):  # the nearest leaves most room to the others
+            at = [next((i for i in range(at[0] - 1, -1, -1) if _is(around[i], wanted)), -1)]
+            at = [] if at == [-1] else at
+        else:
+            at = [i for i in range(at[0] - 1, -1, -1) if _is(around[i], wanted)]
+        if not at:
+            return False
+    return True
+
+
 class Sheet:
     """The rules of style elements that bear on visibility, by what their selector asks for."""
 
     def __init__(self, sources: Iterable[str]) -> None:
-        self.rules: dict[str, list[tuple[tuple[int, int, int, int], str, frozenset[str], dict[str, tuple[bool, str]]]]] = {}
+        self.rules: dict[str, list[tuple[tuple[int, int, int, int], Compound, list[tuple[str, Compound]], dict[str, tuple[bool, str]]]]] = {}
         self.n = 0
         for source in sources:
             self._read(_COMMENT.sub(" ", source))
@@ -216,23 +262,30 @@ class Sheet:
 
     def _add(self, selectors: str, styles: dict[str, tuple[bool, str]]) -> None:
         for selector in selectors.split(",") if styles else ():
-            if m := _COMPOUND.match(selector.strip()):
-                tag, marks = (m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2] or ""))
-                ids = sum(x[0] == "#" for x in marks)
-                self.n += 1
-                weight = (ids, len(marks) - ids, tag != "*", self.n)
-                if tag != "*" or marks or selector.strip() == "*":
-                    self.rules.setdefault(min(marks, default=tag), []).append((weight, tag, marks, styles))
-
-    def styles(self, node: Node) -> dict[str, str]:
-        """What the rules and the node's own style attribute say, after the cascade."""
+            parts = re.sub(r"\s*>\s*", " > ", selector.strip()).split()
+            found = [_COMPOUND.match(x) for x in parts if x != ">"]
+            steps = [">" if x == ">" else " " for x, y in zip(parts[1:], parts, strict=False) if x == ">" or y != ">"]
+            if not found or not all(found) or len(steps) != len(found) - 1:
+                continue
+            compounds = [((m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2] or ""))) for m in found]
+            if any(tag == "*" and not marks and text != "*" for (tag, marks), text in zip(compounds, (m[0] for m in found), strict=True)):
+                continue
+            marks = [x for _, of in compounds for x in of]
+            ids = sum(x[0] == "#" for x in marks)
+            self.n += 1
+            weight = (ids, len(marks) - ids, sum(tag != "*" for tag, _ in compounds), self.n)
+            own = compounds[-1]
+            chain = list(zip(reversed(steps), reversed(compounds[:-1]), strict=True))
+            self.rules.setdefault(min(own[1], default=own[0]), []).append((weight, own, chain, styles))
+
+    def styles(self, node: Node, around: list[Node], names: Counter[str]) -> dict[str, str]:
+        """What the rules and the node's own style attribute say, after the cascade; around: the elements it stands in, the outmost first."""
         a = node.attributes
         best: dict[str, tuple[tuple, str]] = {}
         if self.rules:
-            marks = {f".{x}" for x in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set())
-            for key in (node.tag, "*", *marks):
-                for weight, tag, wanted, styles in self.rules.get(key, ()):
-                    if tag in ("*", node.tag) and wanted <= marks:
+            for key in (node.tag, "*", *_marks(node)):
+                for weight, own, chain, styles in self.rules.get(key, ()):
+                    if _is(node, own) and (not chain or _above(chain, around, names)):
                         for name, (important, value) in styles.items():
                             best[name] = max(best.get(name, ((False, False, ()), "")), ((important, False, weight), value))
         if "style" in a:
@@ -307,19 +360,26 @@ class _Flow:
 @dataclass
 class _Table:
     rows: list[list[tuple[int, int, list[str]]]] = field(default_factory=list)  # of cells: first column, columns, lines
+    kinds: list[int] = field(default_factory=list)  # of rows: 0 in the head, 1, 2 in the foot
+    section: int = 1
+    taken: set[int] = field(default_factory=set)
     held: list[tuple[int, int, int]] = field(default_factory=list)  # of cells of rows above: first column, the one after, the row after
     later: list[tuple[int, int, int]] = field(default_factory=list)  # the same of cells of the row that is open
     column: int = 0
     next_held: int = 0
 
-    def new_section(self) -> None:
+    def new_section(self, kind: int = 1) -> None:
+        """kind: as of its rows; a second head or foot is a body."""
         self.held, self.later = [], []
+        self.section = 1 if kind in self.taken else kind
+        self.taken |= {kind} - {1}
 
     def new_row(self) -> None:
         n = len(self.rows)
         if self.later or any(end <= n for _, _, end in self.held[:1]):
             self.held = sorted(h for h in (*self.held, *self.later) if h[2] > n)
         self.rows.append([])
+        self.kinds.append(self.section)
         self.later, self.column, self.next_held = [], 0, 0
 
     def add(self, lines: list[str], columns: int, rows: int) -> None:
@@ -336,14 +396,14 @@ class _Table:
         self.column += columns
 
     def lines(self) -> list[str]:
-        rows = [[c for c in r if c[2]] for r in self.rows]
+        rows = [[c for c in r if c[2]] for _, r in sorted(zip(self.kinds, self.rows, strict=True), key=lambda x: x[0])]
         rows = [r for r in rows if r]
         widths: dict[int, int] = {}
         for first, _, lines in (c for r in rows for c in r if c[1] == 1):
-            widths[first] = max(widths.get(first, 0), max(map(len, lines)))
+            widths[first] = max(widths.get(first, 0), max(map(width, lines)))
         columns = sorted(widths)
         for first, n, lines in sorted((c for r in rows for c in r if c[1] > 1), key=lambda c: c[1]):
-            wide, a = max(map(len, lines)), bisect.bisect_left(columns, first)
+            wide, a = max(map(width, lines)), bisect.bisect_left(columns, first)
             own = columns[a : bisect.bisect_left(columns, first + n)]
             if not own:
                 widths[first] = wide
@@ -362,14 +422,57 @@ class _Table:
                 for first, _, lines in row:
                     if k < len(lines) and lines[k]:
                         offset = offsets[_column(columns, first)]
-                        if line and len(line) + 2 > offset:  # a cell wider than its column
+                        if line and width(line) + 2 > offset:  # a cell wider than its column
                             out.append(line.rstrip(" "))
                             line = ""
-                        line = line.ljust(offset) + lines[k]
+                        line += " " * (offset - width(line)) + lines[k]
                 out.append(line.rstrip(" "))
         return out
 
 
+def width(line: str) -> int:
+    """Columns that a line takes: wide characters two, combining ones none."""
+    if line.isascii():
+        return len(line)
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) or c == "\u200b" else 1 for c in line)
+
+
+def numeral(n: int, kind: str) -> str:
+    """An item's number in the style of a list's type."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, r = divmod(n - 1, 26)
+            out = chr(ord(kind) + r) + out
+        return out
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, sign in ROMAN:
+            out += sign * (n // value)
+            n %= value
+        return out.upper() if kind == "I" else out
+    return str(n)
+
+
+def _whole(text: str | None) -> int | None:
+    return int(text.strip()) if text is not None and re.fullmatch(r"-?\d{1,9}", text.strip()) else None
+
+
+def _shown_options(select: Node) -> set[int] | None:
+    """The identity of the option that a closed drop-down shows, alone in a set; None if all are shown."""
+    size = _whole(select.attributes.get("size"))
+    if "multiple" in select.attributes or (size or 0) > 1:
+        return None
+    options, work = [], list(reversed(select.children))
+    while work:
+        node = work.pop()
+        if isinstance(node, Node):
+            options += [node] * (node.tag == "option")
+            work += reversed(node.children)
+    able = [x for x in options if "disabled" not in x.attributes and "hidden" not in x.attributes]
+    return {id(next((x for x in reversed(options) if "selected" in x.attributes), able[0] if able else None))}
+
+
 def _column(columns: list[int], first: int) -> int:
     """The column with text that a cell begins in or before."""
     return columns[min(bisect.bisect_left(columns, first), len(columns) - 1)]
@@ -410,12 +513,13 @@ def _style_sources(root: Node) -> Iterator[str]:
 
 def render(root: Node) -> str:
     """All visible text of a tree."""
-    flows, tables, lists, pre = [_Flow()], [], [], 0
+    flows, tables, lists, pre, items = [_Flow()], [], [], 0, 0
+    drop_downs: list[set[int] | None] = []
     work: list[tuple[Node, Iterator[Node | str], bool, str]] = []  # and whether text is hidden, and the svg or math around
     sheet = Sheet(_style_sources(root))
 
     def enter(node: Node, hidden: bool, within: str) -> None:
-        nonlocal pre
+        nonlocal pre, items
         tag, flow = node.tag, flows[-1]
         if tag in APART_WITHIN.get(within, ()):
             flow.put(" ")
@@ -423,15 +527,19 @@ def render(root: Node) -> str:
             flow.new_line()
             return
         if tag in BLOCKS and tag not in ("td", "th", "tr"):
-            flow.end_line(gap=tag in SPACED and not (tag in ("ul", "ol") and lists))
+            flow.end_line(gap=tag in SPACED and not (tag in ("ul", "ol") and (lists or items)))
         if tag in ("ul", "ol", "menu"):
-            start = node.attributes.get("start", "1").strip()
-            lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+            start, down = _whole(node.attributes.get("start")), "reversed" in node.attributes and tag == "ol"
+            last = sum(isinstance(x, Node) and x.tag == "li" for x in node.children) if down else 1
+            lists.append([tag == "ol", last if start is None else start, -1 if down else 1, node.attributes.get("type", "1").strip()])
         elif tag == "li":
+            items += 1
             mark = "- "
             if lists and lists[-1][0]:
-                mark = f"{lists[-1][1]}. "
-                lists[-1][1] += 1
+                own = _whole(node.attributes.get("value"))
+                lists[-1][1] = lists[-1][1] if own is None else own
+                mark = f"{numeral(lists[-1][1], node.attributes.get('type', lists[-1][3]).strip())}. "
+                lists[-1][1] += lists[-1][2]
             flow.indents.append(" " * len(mark))
             flow.marker = " " * len(mark) if hidden else mark
         elif tag in ("dd", "blockquote"):
@@ -441,14 +549,21 @@ def render(root: Node) -> str:
         elif tag == "table":
             tables.append(_Table())
         elif tag in ("thead", "tbody", "tfoot") and tables:
-            tables[-1].new_section()
+            tables[-1].new_section({"thead": 0, "tbody": 1, "tfoot": 2}[tag])
         elif tag == "tr" and tables:
             tables[-1].new_row()
         elif tag in ("td", "th") and tables:
             flows.append(_Flow())
+        elif tag == "input" and not hidden and node.attributes.get("type", "text").strip().lower() in SHOWN_INPUTS:
+            flow.put(f" {node.attributes.get('value', '')} ")
+        elif tag == "select":
+            drop_downs.append(_shown_options(node))
+        elif tag == "optgroup" and not hidden and drop_downs and drop_downs[-1] is None and node.attributes.get("label", "").strip():
+            flow.put(node.attributes["label"])
+            flow.end_line()
 
     def leave(node: Node, within: str) -> None:
-        nonlocal pre
+        nonlocal pre, items
         tag = node.tag
         if tag in APART_WITHIN.get(within, ()):
             flows[-1].put(" ")
@@ -465,19 +580,24 @@ def render(root: Node) -> str:
         elif tag in ("li", "dd", "blockquote"):
             flow.marker = ""
             flow.indents.pop()
+            items -= tag == "li"
         elif tag == "pre":
             pre -= 1
+        elif tag == "select":
+            drop_downs.pop()
         elif tag == "table":
             flow.put_lines(tables.pop().lines())
-        if tag in SPACED and not (tag in ("ul", "ol") and lists):
+        if tag in SPACED and not (tag in ("ul", "ol") and (lists or items)):
             flow.gap = True
 
     work.append((root, iter(root.children), False, ""))
+    around, names = [root], Counter({"html": 1})  # the elements of work, and their tags and marks
     while work:
         node, rest, hidden, within = work[-1]
         child = next(rest, None)
         if child is None:
             work.pop()
+            names.subtract(_names(around.pop()) if sheet.rules else ())
             if work:
                 leave(node, work[-1][3])
         elif isinstance(child, str):
@@ -492,12 +612,16 @@ def render(root: Node) -> str:
             else:
                 flows[-1].put(child)
         else:
-            styles = sheet.styles(child) if sheet.rules or "style" in child.attributes else {}
+            if child.tag == "option" and drop_downs and drop_downs[-1] is not None and id(child) not in drop_downs[-1]:
+                continue
+            styles = sheet.styles(child, around, names) if sheet.rules or "style" in child.attributes else {}
             if displayed(child, node, styles, within):
                 seen = styles.get("visibility", "inherit")
                 unseen = hidden if seen in ("inherit", "unset") else seen in ("hidden", "collapse")
                 enter(child, unseen, within)
                 if child.tag not in VOID:
+                    around.append(child)
+                    names.update(_names(child) if sheet.rules else ())
                     work.append((child, iter(child.children), unseen, child.tag if child.tag in UNPAINTED_WITHIN else "" if child.tag == "foreignobject" else within))
                 elif child.tag == "hr":
                     leave(child, within)

@@ -12,6 +12,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import tokenizers
+import xxhash
 
 import corpus_pipeline
 from placewise.llm import quality
@@ -23,13 +25,14 @@ COLUMNS = {
     "op1": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op2": "doc_id size text_crc32 law shard slot grown_shard", "op4": "doc_id n_bytes n_tokens over_limit",
     "op5": "doc_id n_tokens ids_sha256 decoded_sha256", "op6": "doc_id n_lines n_dropped kept_sha256", "op7": "doc_id fingerprint component_id", "op8": "doc_id source lang topic tokens rate kept copies", "op3": "page_id text n_chars",
     "op9": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op10": "page_id payload_bytes payload_digest record_type refers_to",
+    "op11": "query_id rank vec_id score", "op12": "doc_id n_features weight score rank", "op13": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_twins(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         path = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     found = con.execute(ORACLE_SQL[name])
@@ -45,6 +48,51 @@ def test_contract_columns(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).columns[: len(want)] == want
 
 
+@pytest.fixture(scope="module")
+def whole_texts(spark, sf_dir):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+def test_op4_whole(spark, sf_dir, whole_texts):
+    """Every column as the library gives it."""
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    n = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in whole_texts.items()}
+    want = {(i, len(t.encode()), n[i], n[i] > 2048) for i, t in whole_texts.items()}
+    assert {tuple(r) for r in QUERIES["op4_token_counts"](spark, sf_dir).collect()} == want
+
+
+def test_op5_whole(spark, sf_dir, whole_texts):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = set()
+    for i, t in whole_texts.items():
+        ids = library.encode(t, add_bos=True, add_eos=True)
+        want.add((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    assert {tuple(r) for r in QUERIES["op5_sentencepiece"](spark, sf_dir).collect()} == want
+
+
+def test_op7_whole(spark, sf_dir, whole_texts):
+    """Fingerprints bit by bit from their definition, components by comparing all pairs."""
+    prints = {}
+    for i, t in whole_texts.items():
+        words = WORD.findall(t.translate({c: c + 32 for c in range(65, 91)}))
+        shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    least = {i: i for i in prints}
+    for i in sorted(prints):  # smallest ids first, so each is reached from the smallest of its component
+        queue = [i] if least[i] == i else []
+        while queue:
+            a = queue.pop()
+            for b in prints:
+                if least[b] > i and (prints[a] ^ prints[b]).bit_count() <= 2:
+                    least[b] = i
+                    queue.append(b)
+    want = {(i, f"{p:016x}", least[i]) for i, p in prints.items()}
+    assert {tuple(r) for r in QUERIES["op7_simhash_near_dedup"](spark, sf_dir).collect()} == want
+
+
 def brute_quality_kept(text):
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat = brute_quality(text)
     words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
