@@ -13,39 +13,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewise.functions.text import json_object, words
+from placewise.operators.quota import Quota, laned, pace, tokens_of
 
 POSITIVE = ("good", "great", "excellent", "friendly", "love", "clean", "fast", "best", "nice", "perfect")
 NEGATIVE = ("bad", "slow", "dirty", "rude", "worst", "awful", "cold", "late", "poor", "broken")
 #: What the message of a failure says where a model is gone.
 GONE = ("decommissioned", "not found")
+#: Seconds before a further attempt.
+WAIT_UNREAD, WAIT_FAILED = 1.0, 2.0
 
 
-def annotate(prompts: DataFrame, annotator: Callable[[str], str], schema: str, reserve: Callable[[str], str] | None = None, attempts: int = 2) -> DataFrame:
+def annotate(prompts: DataFrame, annotator: Callable[[str], str], schema: str, reserve: Callable[[str], str] | None = None, attempts: int = 2, quota: Quota | None = None) -> DataFrame:
     """prompts (place_id, batch, prompt) with a column `answer` of the schema; null where no JSON comes back.
 
     A call that fails, or whose answer has no object, is made again up to so many times, then counts as no answer. Where a
-    failure says that the model is gone, the reserve is asked in its place.
+    failure says that the model is gone, the reserve is asked in its place. With a quota every call, further ones included, waits until it
+    fits, and before a further one there is a pause: WAIT_UNREAD after an answer without an object, WAIT_FAILED after a failure.
     """
+    asked, part = laned(prompts.select("place_id", "batch", "prompt"), quota) if quota else (prompts.select("place_id", "batch", "prompt"), 0)
 
     def answered(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def call(prompt: str) -> str | None:
+        own = pace(quota, part) if quota else None
+
+        def call(model: Callable[[str], str], prompt: str) -> str:
+            if own:
+                own.wait(tokens_of(prompt, quota.answer))
+            return model(prompt)
+
+        def once(prompt: str) -> tuple[str | None, float]:
+            """The answer, if there is one, and what to wait for before another attempt."""
             try:
-                return annotator(prompt)
+                raw = call(annotator, prompt)
             except Exception as failure:  # noqa: BLE001 - any failure of a service is no answer
                 if reserve is None or not any(x in str(failure).lower() for x in GONE):
-                    return None
-            try:
-                return reserve(prompt)
-            except Exception:  # noqa: BLE001
-                return None
+                    return None, WAIT_FAILED
+                try:
+                    raw = call(reserve, prompt)
+                except Exception:  # noqa: BLE001
+                    return None, WAIT_FAILED
+            return (raw, 0.0) if raw and "{" in raw else (None, WAIT_UNREAD)
 
         def ask(prompt: str) -> str | None:
-            return next((raw for raw in (call(prompt) for _ in range(attempts)) if raw and "{" in raw), None)
-
-        for part in parts:
-            yield part.assign(raw=part["prompt"].map(ask))
-
-    raw = prompts.select("place_id", "batch", "prompt").mapInPandas(answered, prompts.select("place_id", "batch", "prompt").withColumn("raw", F.lit(None).cast("string")).schema)
+            for attempt in range(attempts):
+                raw, wait = once(prompt)
+                if raw is not None:
+                    return raw
+                if own and attempt + 1 < attempts:
+                    own.clock.sleep(wait)
+            return None
+
+        for rows in parts:
+            yield rows.assign(raw=rows["prompt"].map(ask))
+
+    raw = asked.mapInPandas(answered, asked.withColumn("raw", F.lit(None).cast("string")).schema)
     return raw.select("place_id", "batch", F.from_json(json_object(F.col("raw")), schema).alias("answer"))
 
 

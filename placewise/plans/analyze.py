@@ -96,7 +96,7 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
         rows_of["emotions"] = (emotions, "emotion")
     out = report.assemble(places, parts_of, rows_of)
     if ask is not None and ask.verdict and "recommendations" not in given:
-        told = report.overridden(models.explain(out, ask.verdict, ask.reserve), scored)
+        told = report.overridden(models.explain(out, ask.verdict, ask.reserve, ask.strong_quota), scored)
         out = report.assemble(out, {"recommendation": told}, {})
     out = report.gated(out.withColumn("verification_status", c("verification.verification_status")), require_verification).drop("verification_status")
     empty = F.coalesce(F.size("reviews") == 0, F.lit(True))

@@ -17,6 +17,7 @@ from placewise.functions.text import GUARDRAIL_CHARS, VERIFIER_CHARS
 from placewise.operators import guardrail, heuristics, report, sentiment, verify
 from placewise.operators import reviews as R
 from placewise.operators.annotate import annotate
+from placewise.operators.quota import Quota
 from placewise.sources import schemas
 
 Model = Callable[[str], str]
@@ -52,6 +53,9 @@ class Models:
     verifier: Model | None = None
     verdict: Model | None = None
     reserve: Model | None = None
+    #: What the services allow: of the sentiment and verdict model, and of the guardrail and verifier.
+    strong_quota: Quota | None = None
+    fast_quota: Quota | None = None
 
 
 def _asked(rows: DataFrame, task: str, schema: str) -> DataFrame:
@@ -117,7 +121,7 @@ def ask(reviews: DataFrame, models: Models) -> dict[str, DataFrame]:
     what the two say, and is asked again with fewer reviews where it gives no answer.
     """
     prompts = _asked(R.batch_prompts(reviews), "Analyse the reviews of a place; their ids are in brackets, cite them as evidence.", SENTIMENT)
-    out = sentiment_tables(cut(annotate(prompts, models.sentiment, SENTIMENT, models.reserve)))
+    out = sentiment_tables(cut(annotate(prompts, models.sentiment, SENTIMENT, models.reserve, quota=models.strong_quota)))
     places = reviews.select("place_id").distinct()
     mood = sentiment.merge_sentiment(out["batches"].select("place_id", "batch", "sentiment_score", "overall_sentiment"))
     words = sentiment.keyword_lists(sentiment.merge_keywords(out["batches"]))
@@ -128,7 +132,7 @@ def ask(reviews: DataFrame, models: Models) -> dict[str, DataFrame]:
         parts = {"sentiment": mood, "context": guardrail.sentiment_context(seen), "quotes": sentiment.merge_firsts(out["batches"], "temporal_trend"), "stats": heuristics.heuristic_stats(reviews)}
         lists = {"flags": (heuristics.place_flags(reviews), "flag_no"), "reviews": _sample(reviews, GUARDRAIL_REVIEWS, GUARDRAIL_CHARS)}
         prompts = _asked(_as_json(report.assemble(places, parts, lists)), "Judge how genuine the reviews of a place are.", GUARDRAIL)
-        out |= guardrail_tables(cut(annotate(prompts, models.guardrail, GUARDRAIL, models.reserve)))
+        out |= guardrail_tables(cut(annotate(prompts, models.guardrail, GUARDRAIL, models.reserve, quota=models.fast_quota)))
     if models.verifier:
         empty = places.sparkSession.createDataFrame([], schemas.EVIDENCE)
         concerns = guardrail.enriched("negative", out.get("concerns", empty), points, reviews)
@@ -143,15 +147,15 @@ def ask(reviews: DataFrame, models: Models) -> dict[str, DataFrame]:
         packed = cut(report.assemble(places, parts, lists))
         task = "Check the analysis against the reviews of a place; correct only what they don't support, citing review ids."
         asked = lambda these, first: _asked(_as_json(report.assemble(these, {}, {"reviews": _sample(reviews, first, VERIFIER_CHARS)})), task, VERIFIER)
-        answers = cut(annotate(asked(packed, VERIFIER_REVIEWS), models.verifier, VERIFIER, attempts=1))
+        answers = cut(annotate(asked(packed, VERIFIER_REVIEWS), models.verifier, VERIFIER, attempts=1, quota=models.fast_quota))
         longer = reviews.where(F.col("pos") > FEWER_REVIEWS).select("place_id").distinct()
         silent = packed.join(answers.where("answer IS NULL"), "place_id", "left_semi").join(longer, "place_id", "left_semi")
-        again = cut(annotate(asked(silent, FEWER_REVIEWS), models.verifier, VERIFIER, attempts=1))
+        again = cut(annotate(asked(silent, FEWER_REVIEWS), models.verifier, VERIFIER, attempts=1, quota=models.fast_quota))
         out |= verifier_tables(answers.where("answer IS NOT NULL").unionByName(again))
     return out
 
 
-def explain(reports: DataFrame, model: Model, reserve: Model | None = None) -> DataFrame:
+def explain(reports: DataFrame, model: Model, reserve: Model | None = None, quota: Quota | None = None) -> DataFrame:
     """(place_id, the fields of VERDICT) for each report that has a score."""
     prompts = _asked(_as_json(report.verdict_contexts(reports)), "Explain the verdict on a place to a visitor; label and score stand.", VERDICT)
-    return _answered(cut(annotate(prompts, model, VERDICT, reserve))).drop("batch")
+    return _answered(cut(annotate(prompts, model, VERDICT, reserve, quota=quota))).drop("batch")
