@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewise.functions.session import cut
@@ -17,6 +17,8 @@ from placewise.operators import annotate, corrections, dedupe, guardrail, heuris
 from placewise.operators import reviews as R
 from placewise.plans import models
 from placewise.sources import schemas
+from placewise.sources.cache import ReportCache
+from placewise.sources.readers import CACHE_DAYS
 
 NO_REVIEWS = "No reviews found. Try a more specific location name."
 QUOTES = ("standout_positive_quote", "standout_negative_quote", "crowd_profile", "temporal_trend")
@@ -102,3 +104,16 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
     empty = F.coalesce(F.size("reviews") == 0, F.lit(True))
     of_none = {x: F.when(~empty, c(x)).alias(x) for x in ("verification", "score")}
     return out.withColumns(of_none | {"error": F.when(empty, NO_REVIEWS).otherwise(c("error"))})
+
+
+def analyze_cached(raw: DataFrame, cache: ReportCache, now: Column, days: int = CACHE_DAYS, **settings: object) -> DataFrame:
+    """(place_id, report as JSON, from_cache) of each raw place: those in the cache that are fresh, the others made and put there.
+
+    A report that is an error isn't kept. settings: of analyze.
+    """
+    held = cut(cache.fresh(raw, now, days))
+    made = analyze(raw.join(held.select("place_id"), "place_id", "left_anti"), **settings)
+    made = cut(made.select("place_id", now.cast("timestamp").alias("generated_at"), F.to_json(F.struct(*made.columns)).alias("report"), F.col("error").isNull().alias("good")))
+    cache.upsert(made.where("good"))
+    out = lambda df, known: df.select("place_id", "report", F.lit(known).alias("from_cache"))
+    return out(held, True).unionByName(out(made, False))

@@ -198,6 +198,8 @@ listed AS (SELECT place_id, '[' || string_agg('''' || phrase || '''', ', ' ORDER
     "near_duplicate_pairs": f"WITH {_REV}, {_PAIRS} SELECT place_id, n AS duplicate_pairs FROM pairs",
     "source_reviews": f"""WITH {_RAW}, newest AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY pos DESC) AS nth, count(*) OVER (PARTITION BY place_id) AS n FROM raw)
 SELECT 'place_id: ' || place_id AS query, place_id, n AS reviews_count, CAST(nth AS INTEGER) AS nth, CAST(pos AS INTEGER) AS pos, name, stars, CAST(length(text) AS INTEGER) AS n_chars, dt AS date FROM newest WHERE nth <= 8""",
+    "cached_reports": f"""WITH {_REV}, n AS (SELECT place_id, count(*) AS whole, count(*) FILTER (WHERE rating <= 2) AS critical FROM rev GROUP BY 1)
+SELECT place_id, CASE WHEN critical > 0 THEN '2024-01-05' ELSE '2024-01-01' END AS generated, CASE WHEN critical > 0 THEN critical ELSE whole END AS n, critical > 0 AS fresh FROM n""",
     "exact_rounding": """SELECT l_orderkey, l_linenumber, CAST(printf('%.2f', l_extendedprice * (1 - l_discount)) AS DOUBLE) AS net, CAST(printf('%.2f', l_extendedprice / 8) AS DOUBLE) AS eighth,
   CAST(printf('%.1f', l_extendedprice / 1000) AS DOUBLE) AS mill, CAST(printf('%.0f', l_quantity / 4) AS DOUBLE) AS half, CAST(printf('%.3f', -l_extendedprice / 200) AS DOUBLE) AS negative FROM lineitem""",
     "greedy_dedupe": f"WITH {_REV}, {_KEPT} SELECT place_id, CAST(pos AS INTEGER) AS pos FROM kept",

@@ -15,6 +15,7 @@ from placewise.operators import reviews as R
 from placewise.plans import fixtures
 from placewise.sources import adapters as A
 from placewise.sources import readers, service
+from placewise.sources.cache import ReportCache
 
 Query = Callable[[SparkSession, str], DataFrame]
 c = F.col
@@ -47,6 +48,18 @@ def exact_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("l_orderkey", "l_linenumber", *(T.round_double(v, d).alias(name) for name, (v, d) in values.items()))
 
 
+def cached_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary of each place's reviews, cached for all places, then anew for those with critical reviews, and what is fresh a week after the first."""
+    cache = ReportCache(spark, shared_path(spark, "cache"), buckets=8)
+    rows = document_reviews(spark, sf_dir)
+    of = lambda df, day: df.groupBy("place_id").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"))).alias("report")).withColumn("generated_at", F.lit(day).cast("timestamp"))
+    cache.upsert(of(rows, "2024-01-01 00:00:00"))
+    cache.upsert(of(rows.where("rating <= 2"), "2024-01-05 00:00:00"))
+    fresh = cache.fresh(rows, F.lit("2024-01-08 00:00:00").cast("timestamp")).select("place_id", F.lit(True).alias("fresh"))
+    seen = cache.read().join(fresh, "place_id", "left")
+    return seen.select("place_id", F.date_format("generated_at", "yyyy-MM-dd").alias("generated"), F.get_json_object("report", "$.n").cast("long").alias("n"), F.coalesce("fresh", F.lit(False)).alias("fresh"))
+
+
 def usable_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = document_reviews(spark, sf_dir)
     return rows.select("place_id", "pos", "author", "rating", F.length("text").alias("n_chars"), "date", "likes")
@@ -491,7 +504,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         final_score, verdict_counts, review_funnel, usable_reviews, best_place, place_projection, rating_histogram, rating_integrity_flags, document_flags, short_top_rating_share,
-        source_reviews, exact_rounding, near_duplicate_pairs, greedy_dedupe, repeated_phrases, review_batches, batch_prompts, verifier_sample, guardrail_sample, heuristic_stats, aspect_merge, single_batch_aspects, trimmed_aspects, aspect_observations, enriched_concerns, aspect_weighted_score,
+        source_reviews, cached_reports, exact_rounding, near_duplicate_pairs, greedy_dedupe, repeated_phrases, review_batches, batch_prompts, verifier_sample, guardrail_sample, heuristic_stats, aspect_merge, single_batch_aspects, trimmed_aspects, aspect_observations, enriched_concerns, aspect_weighted_score,
         sentiment_merge_label, emotion_distribution, shown_emotions, first_non_empty_quote, keyword_union, theme_merge, consistency_component, risk_penalty, corrected_aspects, corrected_sentiment,
         corrected_keywords, correction_concerns, correction_badges, trust_component, recency_component, score_unpivot, report_text, fallback_positives, fallback_concerns, point_evidence, evidence_lines,
         verified_facts, verification_defaults, verification_banner, verification_observations, place_suggestions, city_suggestions, geocode_city, category_icon, category_icon_fixture, subtype_tags,
