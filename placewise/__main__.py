@@ -1,21 +1,22 @@
 """spark-submit -m placewise PLACES OUT: reports of raw places (JSON lines) as JSON lines, Parquet or text.
 
-The environment may set what is not on the command line: PLACEWISE_MODELS and PLACEWISE_REQUIRE_VERIFICATION (true).
+The environment may set what is not on the command line: see plans.settings.
 """
 
 from __future__ import annotations
 
 import argparse
 import importlib
-import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from placewise.operators import report
-from placewise.plans.analyze import analyze
+from placewise.plans.analyze import analyze, analyze_cached
 from placewise.plans.models import Models
+from placewise.plans.settings import Settings
 from placewise.sources import readers
+from placewise.sources.cache import ReportCache
 
 
 def load_models(name: str | None) -> Models | None:
@@ -28,19 +29,26 @@ def load_models(name: str | None) -> Models | None:
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="placewise", description=__doc__)
-    parser.add_argument("places", help="raw places, one JSON object a line; the title is the key of a place")
+    parser.add_argument("places", help="raw places, one JSON object a line; title and address are the key of a place")
     parser.add_argument("out")
     parser.add_argument("--annotations", help="a folder with a Parquet table for each annotation that there is, named after its schema (batches, aspects, themes, ...)")
     parser.add_argument("--parquet", action="store_true", help="write Parquet instead of JSON")
     parser.add_argument("--text", action="store_true", help="write pages to read instead of JSON")
-    parser.add_argument("--models", default=os.environ.get("PLACEWISE_MODELS"), help="module:name of a plans.models.Models, asked for the annotations that aren't given")
-    parser.add_argument("--require-verification", action="store_true", default=os.environ.get("PLACEWISE_REQUIRE_VERIFICATION", "").lower() == "true")
+    settings = Settings.from_environment()
+    parser.add_argument("--models", default=settings.models or None, help="module:name of a plans.models.Models, asked for the annotations that aren't given")
+    parser.add_argument("--require-verification", action="store_true", default=settings.require_verification)
+    parser.add_argument("--cache", help="a folder of reports to take fresh ones from and put new ones in")
     parser.add_argument("--strict", action="store_true", help="count a missing verification as unavailable")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("placewise").getOrCreate()
-    raw = readers.read_places(spark, given.places).withColumn("place_id", F.concat_ws(", ", F.nullif("title", F.lit("")), F.nullif("address", F.lit(""))))
+    raw = readers.keyed(readers.read_places(spark, given.places))
     annotations = readers.read_annotations(spark, given.annotations) if given.annotations else None
-    reports = analyze(raw, annotations, require_verification=given.require_verification, strict=given.strict, ask=load_models(given.models))
+    chosen = {"annotations": annotations, "require_verification": given.require_verification, "strict": given.strict, "ask": load_models(given.models)}
+    if given.cache:
+        reports = analyze_cached(raw, ReportCache(spark, given.cache), F.current_timestamp(), settings.cache_days, **chosen)
+        reports.select("report").write.mode("overwrite").text(given.out)
+        return
+    reports = analyze(raw, **chosen)
     if given.text:
         report.panels(reports).select("report_text").write.mode("overwrite").text(given.out)
     else:

@@ -116,10 +116,6 @@ def dangling_evidence(ids: DataFrame, reviews: DataFrame) -> DataFrame:
     return ids.join(known, ["place_id", "review_id"], "left_anti")
 
 
-def analyst_note(*parts: Column) -> Column:
-    return joined(" ", *parts)
-
-
 def suggestion_grid(suggestions: DataFrame, most: int = 6) -> DataFrame:
     """Suggestions (rank from 1) as buttons in two columns, with labels cut."""
     shown = suggestions.where(F.col("rank") <= most)
@@ -132,10 +128,6 @@ def model_info(infos: DataFrame) -> DataFrame:
     return infos.select("place_id", at("model_a", "sentiment_model").alias("analyst"), at("model_b", "verifier_model").alias("verifier"), at("verdict_model", "model_a").alias("explainer"))
 
 
-def raw_table(reviews: DataFrame) -> DataFrame:
-    return reviews.orderBy("place_id", "pos")
-
-
 def non_empty(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows, as of contradictions or missing evidence, in which some of the columns isn't blank."""
     filled = F.lit(False)

@@ -64,6 +64,12 @@ def verified_facts(places: DataFrame) -> DataFrame:
     return places.select("place_id", F.posexplode(facts).alias("at", "fact")).select("place_id", (F.col("at") + 1).alias("fact_no"), "fact")
 
 
+def facts_of(given: DataFrame, places: DataFrame) -> DataFrame:
+    """The facts given (place_id, fact_no, fact) of each place that has any, else those of its reviews (verified_facts)."""
+    own = given.where("fact IS NOT NULL").select("place_id", "fact_no", "fact")
+    return own.unionByName(verified_facts(places.join(own.select("place_id"), "place_id", "left_anti")))
+
+
 def sentiment_context(places: DataFrame) -> DataFrame:
     """What the guardrail annotator is shown of a place's sentiment: ten and eight keywords, five themes."""
     return places.select("place_id", F.slice("positive_keywords", 1, 10).alias("positive_keywords"), F.slice("negative_keywords", 1, 8).alias("negative_keywords"), F.slice("themes", 1, 5).alias("themes"))

@@ -7,13 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewise.functions.text import percent
+from placewise.functions.text import joined, percent
 
 
-def assemble(places: DataFrame, sections: Mapping[str, DataFrame], lists: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+def assemble(places: DataFrame, sections: Mapping[str, DataFrame], lists: Mapping[str, tuple[DataFrame, str | Column]]) -> DataFrame:
     """places with a struct column for each section (one row a place) and an array of structs for each list.
 
-    lists: name to (rows, the column that orders them). Places without a section have null there, without rows an
+    lists: name to (rows, the column that orders them; its name, if it is to come first in each struct). Places without a section have null there, without rows an
     empty list.
     """
     out = places
@@ -21,8 +21,13 @@ def assemble(places: DataFrame, sections: Mapping[str, DataFrame], lists: Mappin
         fields = [c for c in part.columns if c != "place_id"]
         out = out.join(part.select("place_id", F.struct(*fields).alias(name)), "place_id", "left")
     for name, (rows, order) in lists.items():
-        fields = [order, *(c for c in rows.columns if c not in ("place_id", order))]
-        packed = rows.groupBy("place_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+        if isinstance(order, str):
+            fields = [order, *(c for c in rows.columns if c not in ("place_id", order))]
+            ordered = F.sort_array(F.collect_list(F.struct(*fields)))
+        else:
+            own = F.struct(*(c for c in rows.columns if c != "place_id"))
+            ordered = F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), own.alias("x")))), lambda r: r["x"])
+        packed = rows.groupBy("place_id").agg(ordered.alias(name))
         out = out.join(packed, "place_id", "left").withColumn(name, F.coalesce(name, F.array().cast(packed.schema[name].dataType)))
     return out
 
@@ -49,9 +54,9 @@ def verdict_contexts(reports: DataFrame, chars: int = 80) -> DataFrame:
     first = lambda rows, most, one: F.transform(F.slice(rows, 1, most), one)
     polar = lambda name, polarity: F.filter(name, lambda x: x["polarity"] == polarity)
     cut = lambda x: F.substring(F.coalesce(x["evidence"], F.lit("")), 1, chars).alias("evidence")
-    point = lambda x: F.struct(x["claim"].alias("claim"), x["evidence_review_ids"].alias("evidence_review_ids"))
+    point = lambda x: F.struct(*(x[n].alias(n) for n in ("claim", "aspect", "evidence_review_ids")))
     context = F.struct(
-        c("name").alias("place_name"), "category", c("google_score").alias("google_official"), F.size("reviews").alias("reviews_analyzed"), c("score.verdict").alias("verdict"), c("score.final_score").alias("visit_score"),
+        c("place_id").alias("location"), c("name").alias("place_name"), "category", c("google_score").alias("google_official"), F.size("reviews").alias("reviews_analyzed"), c("score.verdict").alias("verdict"), c("score.final_score").alias("visit_score"),
         c("score.confidence").alias("confidence"), c("sentiment.overall_sentiment").alias("overall_sentiment"), c("sentiment.sentiment_score").alias("sentiment_score"),
         first(polar("keywords", "positive"), 6, lambda x: x["keyword"]).alias("top_positive_kw"), first(polar("keywords", "negative"), 4, lambda x: x["keyword"]).alias("top_negative_kw"),
         first(polar("points", "positive"), 5, point).alias("positive_points"), first(polar("points", "negative"), 5, point).alias("negative_points"),
@@ -82,6 +87,14 @@ def panels(reports: DataFrame, most: int = 5) -> DataFrame:
     pros, cons = (F.transform(told(x), lambda p: p["point"]) if x in names else none for x in ("pros", "cons"))
     rows = F.slice(F.arrays_zip(F.coalesce(pros, none).alias("pro"), F.coalesce(cons, none).alias("con")), 1, most)
     table = F.transform(rows, lambda r: F.concat(F.coalesce(r["pro"], F.lit("")), F.lit(" | "), F.coalesce(r["con"], F.lit(""))))
+    judged = set(reports.schema["guardrail"].dataType.names) if "guardrail" in reports.columns else set()
+    of = lambda field: c(f"guardrail.{field}") if field in judged else F.lit(None).cast("string")
+    # what a guardrail says beyond its figures: only lines that have something
+    remarks = [F.nullif(joined(" ", of("guardrail_summary"), of("analyst_recommendation")), F.lit(""))]
+    if "contradictions" in reports.columns:
+        remarks.append(F.nullif(F.array_join(F.transform(F.slice("contradictions", 1, most), lambda x: joined(" | ", x["aspect"], x["positive_claim"], x["negative_claim"], x["resolution"])), "\n"), F.lit("")))
+    if "credibility" in reports.columns:
+        remarks.append(F.nullif(F.array_join(F.transform("credibility", lambda x: F.concat_ws(" ", x["credible"], x["aspect"], x["share"])), "  "), F.lit("")))
     page = F.concat_ws(
         "\n",
         text(c("name")), line("📍 ", text(c("address"), "Address unavailable")),
@@ -92,7 +105,7 @@ def panels(reports: DataFrame, most: int = 5) -> DataFrame:
         line(text(c("score.verdict"), "UNKNOWN"), "  Visit score  ", text(c("score.final_score"), "?"), "/10   ·   Confidence  ", percent(F.coalesce("score.confidence", F.lit(0.0))), "   ·   Data reliability  ", text(told("data_reliability"), "?")),
         text(told("one_line_verdict")),
         line("Sentiment ", text(c("score.sentiment_comp"), "?"), "/10  ·  Rating ", text(c("score.rating_comp"), "?"), "/10  ·  Trust ", text(c("score.trust_comp"), "?"), "/10"),
-        F.lit("Pros | cons"), F.array_join(table, "\n"), text(told("full_verdict"), "No verdict generated."),
+        F.lit("Pros | cons"), F.array_join(table, "\n"), *remarks, text(told("full_verdict"), "No verdict generated."),
     )
     return reports.select("place_id", F.when(c("error").isNotNull(), line(text(c("name")), ": ", c("error"))).otherwise(page).alias("report_text"))
 

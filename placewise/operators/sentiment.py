@@ -90,14 +90,36 @@ def emotion_distribution(counts: DataFrame) -> DataFrame:
     return wide.unpivot("place_id", list(EMOTIONS), "emotion", "n")
 
 
-def merge_themes(themes: DataFrame, order: Column) -> DataFrame:
+def merge_emotions(batches: DataFrame) -> DataFrame:
+    """batches (place_id, batch, emotion_distribution) to (place_id, emotion, n).
+
+    Of several batches that say something the counts of the seven emotions add up, others are dropped; a single batch stays as it is, whatever it names.
+    """
+    single = _singles(batches).withColumnRenamed("place_id", "__p")
+    rows = batches.join(single, F.col("place_id").eqNullSafe(F.col("__p")), "left").withColumn("single", F.col("__p").isNotNull()).drop("__p")
+    own = rows.where("single").select("place_id", F.explode("emotion_distribution").alias("emotion", "n"))
+    many = rows.where("NOT single AND emotion_distribution IS NOT NULL").select("place_id", F.explode_outer("emotion_distribution").alias("emotion", "n"))
+    return emotion_distribution(many).unionByName(own)
+
+
+def _singles(batches: DataFrame) -> DataFrame:
+    """(place_id) of the places that have one batch only."""
+    return batches.groupBy("place_id").agg((F.min("batch") == F.max("batch")).alias("one")).where("one").select("place_id")
+
+
+def merge_themes(themes: DataFrame, order: Column, batches: DataFrame | None = None) -> DataFrame:
     """themes (place_id, name, frequency, evidence_review_ids, any others): one row for each name of a place.
 
     Frequencies add up. Ids that later batches bring follow the first one's list, which stays as it is. All other
-    columns, and `first` (the order, for sorting), are those of the first.
+    columns, and `first` (the order, for sorting), are those of the first. batches (place_id, batch), if given: all themes of a place with
+    a single batch stay as they are, those of one name too.
     """
     keys = ["place_id", "name"]
     rest = [c for c in themes.columns if c not in (*keys, "frequency", "evidence_review_ids")]
+    if batches is not None:
+        single = _singles(batches)
+        own = themes.join(single, "place_id", "left_semi").withColumn("first", order).select(*keys, "frequency", *rest, "evidence_review_ids", "first")
+        return merge_themes(themes.join(single, "place_id", "left_anti"), order).unionByName(own)
     rows = themes.withColumn("__o", order)
     firsts = rows.groupBy(*keys).agg(F.sum("frequency").alias("frequency"), F.min("__o").alias("first"), F.min_by(F.struct(*rest, F.col("evidence_review_ids").alias("__ids")), "__o").alias("__f"))
     joined = firsts.join(_union(rows, keys, "__o", "evidence_review_ids").select(F.col("place_id").alias("__p"), F.col("name").alias("__n"), "evidence_review_ids"), F.col("place_id").eqNullSafe(F.col("__p")) & F.col("name").eqNullSafe(F.col("__n")), "left")
@@ -113,10 +135,12 @@ def merge_points(points: DataFrame) -> DataFrame:
 
 
 def merge_keywords(batches: DataFrame) -> DataFrame:
-    """(place_id, polarity, ord, keyword) of all batches, each keyword once."""
+    """(place_id, polarity, ord, keyword) of all batches, each keyword once; those of a single batch as they are."""
     lists = (batches.select("place_id", "batch", F.lit(p).alias("polarity"), F.col(f"{p}_keywords").alias("list")) for p in ("positive", "negative"))
-    both = next(lists).unionByName(next(lists))
-    return ordered_union(both, ["place_id", "polarity"], ["batch"], "list", "keyword").select("place_id", "polarity", "ord", "keyword")
+    both, single = next(lists).unionByName(next(lists)), _singles(batches)
+    own = both.join(single, "place_id", "left_semi").select("place_id", "polarity", F.posexplode("list").alias("at", "keyword"))
+    many = ordered_union(both.join(single, "place_id", "left_anti"), ["place_id", "polarity"], ["batch"], "list", "keyword")
+    return many.select("place_id", "polarity", "ord", "keyword").unionByName(own.select("place_id", "polarity", (F.col("at") + 1).alias("ord"), "keyword"))
 
 
 def keyword_lists(keywords: DataFrame) -> DataFrame:

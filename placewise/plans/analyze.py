@@ -1,4 +1,7 @@
-"""From raw places to reports, for all places at once: the whole chain of operators as one lazy plan.
+"""From raw places to reports, for all places at once: the whole chain of operators.
+
+What several parts read is computed once and kept in the shared folder while the plan is made, and near-duplicates go in
+rounds; the reports themselves are lazy.
 
 Annotations are relations that a language model, or anything else, has made (see sources.schemas). What isn't given
 is made from the reviews (per-review scores by a lexicon) or left to the defaults of the operators.
@@ -7,13 +10,14 @@ is made from the reviews (per-review scores by a lexicon) or left to the default
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewise.functions.session import cut
 from placewise.functions.text import rounded
-from placewise.operators import annotate, corrections, dedupe, guardrail, heuristics, report, scoring, sentiment, verify
+from placewise.operators import annotate, corrections, dashboard, dedupe, guardrail, heuristics, report, scoring, sentiment, verify
 from placewise.operators import reviews as R
 from placewise.plans import models
 from placewise.sources import schemas
@@ -36,7 +40,7 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
     """One report for each raw place (schemas.RAW_PLACE and place_id); one without reviews has an error instead.
 
     annotations, each optional and named after its schema: per_review, aspects, batches, themes, points, guardrail,
-    positives and concerns (schemas.EVIDENCE), patterns, verifications, sections, corrections, and recommendations (place_id and
+    positives and concerns (schemas.EVIDENCE), patterns, facts, contradictions, credibility, verifications, sections, corrections, and recommendations (place_id and
     any prose). A place without a verification gets the compatible record (PASS at 0.92), or UNAVAILABLE if strict. ask: models that make the
     annotations that aren't given.
     """
@@ -60,7 +64,8 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
     quotes = sentiment.merge_firsts(said, *QUOTES)
     scores = corrections.corrected_aspects(aspects.select("place_id", "aspect", "score", "summary"), todo)
     keywords = corrections.corrected_keywords(sentiment.merge_keywords(said), todo)
-    trust = table("guardrail", schemas.GUARDRAIL).select("place_id", "trust_score", "fake_review_probability")
+    judged = table("guardrail", schemas.GUARDRAIL)
+    trust = judged.select("place_id", "trust_score", "fake_review_probability")
     positives = guardrail.enriched("positive", table("positives", schemas.EVIDENCE), points, reviews)
     concerns = guardrail.enriched("negative", table("concerns", schemas.EVIDENCE), points, reviews)
     concerns = concerns.withColumn("source", F.lit(None).cast("string")).unionByName(corrections.added_concerns(todo).withColumns({"ord": c("ord") + 1000, "confidence": F.lit(None).cast("double")}))
@@ -83,17 +88,33 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
     lists = {x: F.coalesce(x, none) for x in ("aspect_texts", "positive_keywords", "negative_keywords")}
     seen = joined.withColumns(lists | {"overall_sentiment": F.coalesce("overall_sentiment", F.lit("Positive")), "fake_probability": F.coalesce("fake_review_probability", F.lit(0.05)), "trust_score": F.coalesce(c("trust_score").cast("string"), F.lit("85"))})
     checks = verify.sections(table("sections", schemas.SECTIONS), verify.default_observations(seen))
-    themes = sentiment.merge_themes(table("themes", schemas.THEMES), F.struct("batch", "ord"))
-    emotions = sentiment.emotion_distribution(per_review.groupBy("place_id", "emotion").agg(F.count(F.lit(1)).alias("n"))) if "emotion" in per_review.columns else None
+    spoken = table("themes", schemas.THEMES)
+    themes = sentiment.merge_themes(spoken, F.struct("batch", "ord"), said if "batches" in given else spoken)
+    emotions = None
+    if "emotion" in per_review.columns:
+        emotions = sentiment.emotion_distribution(per_review.groupBy("place_id", "emotion").agg(F.count(F.lit(1)).alias("n")))
+    if "emotion_distribution" in said.columns:  # what the batches counted themselves goes before
+        counted = said.where("emotion_distribution IS NOT NULL").select("place_id").distinct()
+        own = sentiment.merge_emotions(said.join(counted, "place_id", "left_semi").select("place_id", "batch", "emotion_distribution"))
+        emotions = own if emotions is None else own.unionByName(emotions.join(counted, "place_id", "left_anti"))
     counted = verified.join(corrections.evidenced_counts(fixes), "place_id", "left").withColumn("corrections_count", F.coalesce("corrections_count", F.lit(0)))
-    parts_of = {"review_stats": R.funnel(scraped, reviews), "heuristics": heuristics.heuristic_stats(reviews), "sentiment": mood, "quotes": quotes, "guardrail": trust, "verification": counted, "score": scored}
+    parts_of = {"review_stats": R.funnel(scraped, reviews), "heuristics": heuristics.heuristic_stats(reviews), "sentiment": mood, "quotes": quotes, "guardrail": judged, "verification": counted, "score": scored}
+    extras = [x for x in ("emotional_tone", "review_diversity") if x in said.columns]
+    if extras:
+        parts_of["mood"] = sentiment.batch_extras(said, *extras)
     if "recommendations" in given:
         parts_of["recommendation"] = report.overridden(given["recommendations"], scored)
+    cited = [rows.select("place_id", F.explode(ids).alias("review_id")) for rows, ids in ((points, "evidence_review_ids"), (positives, "supporting_review_ids"), (concerns, "supporting_review_ids"), (fixes, "evidence_review_ids"))]
+    cited = reduce(DataFrame.unionByName, cited).distinct()
     rows_of = {
         "flags": (heuristics.merged_flags(heuristics.place_flags(reviews), table("patterns", schemas.PATTERNS)), "flag_no"), "aspects": (scores, "aspect"), "themes": (themes.drop("batch", "ord"), "first"),
-        "keywords": (keywords, "ord"), "points": (points, "ord"), "positives": (positives, "ord"), "concerns": (concerns, "ord"), "facts": (guardrail.verified_facts(seen), "fact_no"),
-        "checks": (checks, "section"), "corrections": (fixes, "idx"), "reviews": (reviews, "pos"), "per_review": (per_review, "id"),
+        "keywords": (keywords, "ord"), "points": (points, "ord"), "positives": (positives, "ord"), "concerns": (concerns, "ord"), "facts": (guardrail.facts_of(table("facts", schemas.FACTS), seen), "fact_no"),
+        "checks": (checks, "section"), "corrections": (fixes, "idx"), "reviews": (reviews, "pos"), "per_review": (per_review, F.struct("batch", F.regexp_extract("id", r"(\d+)$", 1).try_cast("long"), "id")), "dangling": (dashboard.dangling_evidence(cited, reviews), "review_id"),
     }
+    if "contradictions" in given:
+        rows_of["contradictions"] = (dashboard.non_empty(given["contradictions"], "positive_claim", "negative_claim"), "ord")
+    if "credibility" in given:
+        rows_of["credibility"] = (dashboard.credibility_table(given["credibility"]), "aspect")
     if emotions is not None:
         rows_of["emotions"] = (emotions, "emotion")
     out = report.assemble(places, parts_of, rows_of)

@@ -28,10 +28,17 @@ SENTIMENT = (
     "aspect_scores map<string, struct<score: double, reviews_mentioning: bigint, summary: string, evidence_review_ids: array<string>>>, "
     "themes array<struct<name: string, sentiment: string, frequency: bigint, representative_quote: string, evidence: string, evidence_review_ids: array<string>>>, "
     "positive_points array<struct<claim: string, aspect: string, evidence_review_ids: array<string>>>, negative_points array<struct<claim: string, aspect: string, evidence_review_ids: array<string>>>, "
-    + schemas.BATCHES.split(", ", 2)[2]
+    + schemas.BATCHES.split(", ", 2)[2] + f", {schemas.BATCH_EXTRAS}"
 )
 _EVIDENCE = "array<struct<aspect: string, evidence: string, confidence: double, severity: string, supporting_review_ids: array<string>>>"
-GUARDRAIL = f"trust_score double, fake_review_probability double, genuine_positives {_EVIDENCE}, genuine_concerns {_EVIDENCE}, suspicious_patterns array<string>"
+GUARDRAIL = (
+    "trust_score double, credibility_score double, fake_review_probability double, review_quality string, bias_level string, bias_direction string, "
+    "linguistic_analysis struct<templated_language_detected: boolean, copy_paste_evidence: string, vocabulary_diversity: string, writing_style_consistency: string, language_notes: string>, "
+    "rating_integrity struct<distribution_natural: boolean, anomalies: array<string>, inflated_stars_estimate: double, suppressed_stars_estimate: double, adjusted_true_rating: double, rating_notes: string>, "
+    "reviewer_behavior struct<sock_puppet_risk: string, coordinated_posting_risk: string, evidence: string>, "
+    "contradiction_analysis array<struct<aspect: string, positive_claim: string, negative_claim: string, resolution: string>>, aspect_credibility map<string, struct<credible: boolean, confidence: double, note: string>>, "
+    f"genuine_positives {_EVIDENCE}, genuine_concerns {_EVIDENCE}, suspicious_patterns array<string>, verified_facts array<string>, guardrail_summary string, analyst_recommendation string"
+)
 _SECTION = "struct<status: string, observations: array<string>, issues: array<string>, unsupported_claims: array<string>>"
 VERIFIER = (
     f"verification_status string, status string, accuracy double, hallucination_detected boolean, {', '.join(f'{s} {_SECTION}' for s in verify.SECTIONS)}, "
@@ -88,11 +95,14 @@ def sentiment_tables(answers: DataFrame) -> dict[str, DataFrame]:
 
 
 def guardrail_tables(answers: DataFrame) -> dict[str, DataFrame]:
-    """The tables guardrail, positives, concerns and patterns of answers (place_id, batch, answer of GUARDRAIL)."""
+    """The tables guardrail, positives, concerns, patterns, facts, contradictions and credibility of answers (place_id, batch, answer of GUARDRAIL)."""
     a = _answered(answers)
     listed = lambda name: a.select("place_id", F.posexplode(name).alias("ord", "x")).where("x IS NOT NULL")
     return {
-        "guardrail": a.select("place_id", "trust_score", "fake_review_probability"),
+        "guardrail": a.drop("batch", "genuine_positives", "genuine_concerns", "suspicious_patterns", "verified_facts", "contradiction_analysis", "aspect_credibility"),
+        "facts": listed("verified_facts").select("place_id", (F.col("ord") + 1).alias("fact_no"), F.col("x").alias("fact")),
+        "contradictions": listed("contradiction_analysis").select("place_id", "ord", "x.*"),
+        "credibility": a.select("place_id", F.explode("aspect_credibility").alias("aspect", "x")).select("place_id", "aspect", "x.credible", F.col("x.confidence").alias("share"), "x.note"),
         "positives": listed("genuine_positives").select("place_id", "ord", "x.*"),
         "concerns": listed("genuine_concerns").select("place_id", "ord", "x.*"),
         "patterns": listed("suspicious_patterns").select("place_id", "ord", F.col("x").alias("pattern")),
@@ -127,7 +137,7 @@ def ask(reviews: DataFrame, models: Models) -> dict[str, DataFrame]:
     words = sentiment.keyword_lists(sentiment.merge_keywords(out["batches"]))
     points = sentiment.merge_points(out["points"])
     if models.guardrail:
-        themes = sentiment.merge_themes(out["themes"], F.struct("batch", "ord")).drop("batch", "ord")
+        themes = sentiment.merge_themes(out["themes"], F.struct("batch", "ord"), out["batches"]).drop("batch", "ord")
         seen = report.assemble(places.join(words, "place_id", "left"), {}, {"themes": (themes, "first")})
         parts = {"sentiment": mood, "context": guardrail.sentiment_context(seen), "quotes": sentiment.merge_firsts(out["batches"], "temporal_trend"), "stats": heuristics.heuristic_stats(reviews)}
         lists = {"flags": (heuristics.place_flags(reviews), "flag_no"), "reviews": _sample(reviews, GUARDRAIL_REVIEWS, GUARDRAIL_CHARS)}

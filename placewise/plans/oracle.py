@@ -200,6 +200,28 @@ listed AS (SELECT place_id, '[' || string_agg('''' || phrase || '''', ', ' ORDER
 SELECT 'place_id: ' || place_id AS query, place_id, n AS reviews_count, CAST(nth AS INTEGER) AS nth, CAST(pos AS INTEGER) AS pos, name, stars, CAST(length(text) AS INTEGER) AS n_chars, dt AS date FROM newest WHERE nth <= 8""",
     "cached_reports": f"""WITH {_REV}, n AS (SELECT place_id, count(*) AS whole, count(*) FILTER (WHERE rating <= 2) AS critical FROM rev GROUP BY 1)
 SELECT place_id, CASE WHEN critical > 0 THEN '2024-01-05' ELSE '2024-01-01' END AS generated, CASE WHEN critical > 0 THEN critical ELSE whole END AS n, critical > 0 AS fresh FROM n""",
+    "kept_themes": """WITH t AS (
+  SELECT p_brand || '/' || (p_size // 5) AS place_id, CASE WHEN length(p_brand || '/' || (p_size // 5)) % 2 = 0 THEN 0 ELSE p_partkey % 2 END AS batch, p_partkey AS ord,
+    split_part(p_type, ' ', 1) AS name, p_size AS frequency, 'r' || (p_partkey % 5) AS id FROM part),
+one AS (SELECT place_id FROM t GROUP BY 1 HAVING count(DISTINCT batch) = 1),
+seen AS (SELECT place_id, name, id, min({'b': batch, 'o': ord}) AS pos FROM t WHERE place_id NOT IN (FROM one) GROUP BY ALL),
+ids AS (SELECT place_id, name, string_agg(id, ',' ORDER BY pos) AS ids FROM seen GROUP BY ALL)
+SELECT place_id, name, CAST(frequency AS BIGINT) AS frequency, id AS ids, ord AS first FROM t WHERE place_id IN (FROM one)
+UNION ALL
+SELECT t.place_id, t.name, CAST(sum(frequency) AS BIGINT), any_value(ids.ids), min({'b': batch, 'o': ord}).o FROM t JOIN ids ON ids.place_id = t.place_id AND ids.name = t.name GROUP BY ALL""",
+    "batch_emotions": f"""WITH {_EV}, n AS (SELECT place_id, batch, CASE emotion WHEN 'signup' THEN 'Excited' WHEN 'purchase' THEN 'Happy' WHEN 'view' THEN 'Neutral' WHEN 'error' THEN 'Angry' ELSE emotion END AS e FROM ev),
+one AS (SELECT place_id FROM n GROUP BY 1 HAVING count(DISTINCT batch) = 1)
+SELECT place_id, e AS emotion, count(*) AS n FROM n WHERE place_id IN (FROM one) GROUP BY ALL
+UNION ALL
+SELECT place_id, emotion, count(*) FILTER (WHERE e = emotion) AS n FROM n, (SELECT unnest({list(EMOTIONS)}) AS emotion) WHERE place_id NOT IN (FROM one) GROUP BY ALL""",
+    "given_facts": f"""WITH {_REV}, given AS (
+  SELECT place_id, CAST(row_number() OVER (PARTITION BY place_id ORDER BY lang) AS INTEGER) AS fact_no, 'Reviews in ' || lang AS fact
+  FROM (SELECT DISTINCT source AS place_id, lang FROM documents WHERE lang IS NOT NULL AND CAST(substring(source, 4) AS BIGINT) % 2 = 0))
+FROM given
+UNION ALL
+SELECT place_id, CAST(1 AS INTEGER), 'Average rating of analyzed sample is ' || printf('%.1f', CAST(CAST(avg(rating) AS DECIMAL(18,9)) AS DOUBLE)) || '★ across ' || count(*) || ' reviews.' FROM rev WHERE place_id NOT IN (SELECT place_id FROM given) GROUP BY place_id""",
+    "dangling_ids": f"""WITH {_REV} SELECT DISTINCT 'src' || (user_id % 20) AS place_id, 'r' || (event_id % 900) AS review_id FROM events
+EXCEPT SELECT place_id, 'r' || pos FROM rev""",
     "exact_rounding": """SELECT l_orderkey, l_linenumber, CAST(printf('%.2f', l_extendedprice * (1 - l_discount)) AS DOUBLE) AS net, CAST(printf('%.2f', l_extendedprice / 8) AS DOUBLE) AS eighth,
   CAST(printf('%.1f', l_extendedprice / 1000) AS DOUBLE) AS mill, CAST(printf('%.0f', l_quantity / 4) AS DOUBLE) AS half, CAST(printf('%.3f', -l_extendedprice / 200) AS DOUBLE) AS negative FROM lineitem""",
     "greedy_dedupe": f"WITH {_REV}, {_KEPT} SELECT place_id, CAST(pos AS INTEGER) AS pos FROM kept",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placewise.functions import text as T
@@ -205,6 +205,43 @@ def theme_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("place_id", "name", "frequency", "sentiment", "representative_quote", "evidence", F.array_join("evidence_review_ids", ",").alias("ids"))
 
 
+def kept_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Themes of parts, by brand and size: of one batch for some places, which stay as they are, of two for the others."""
+    part = A.table(spark, sf_dir, "part")
+    place = F.concat_ws("/", "p_brand", F.floor(c("p_size") / 5).cast("string"))
+    batch = F.when(F.length(place) % 2 == 0, 0).otherwise(c("p_partkey") % 2).cast("int")
+    themes = part.select(place.alias("place_id"), batch.alias("batch"), c("p_partkey").alias("ord"), F.substring_index("p_type", " ", 1).alias("name"), c("p_size").cast("long").alias("frequency"), F.array(F.concat(F.lit("r"), (c("p_partkey") % 5).cast("string"))).alias("evidence_review_ids"))
+    merged = sentiment.merge_themes(themes, F.struct("batch", "ord"), themes)
+    return merged.select("place_id", "name", "frequency", F.array_join("evidence_review_ids", ",").alias("ids"), c("first.ord").alias("first"))
+
+
+def batch_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emotions as batches count them: users' events by 15, a single batch with whatever it names."""
+    named = F.create_map(*(F.lit(x) for kv in {"signup": "Excited", "purchase": "Happy", "view": "Neutral", "error": "Angry"}.items() for x in kv))
+    counts = A.event_scores(spark, sf_dir).groupBy("place_id", "batch", F.coalesce(named[c("emotion")], c("emotion")).alias("e")).agg(F.count(F.lit(1)).alias("n"))
+    said = counts.groupBy("place_id", "batch").agg(F.map_from_entries(F.collect_list(F.struct("e", "n"))).alias("emotion_distribution"))
+    return sentiment.merge_emotions(said)
+
+
+def given_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts given for the places of even number (languages of their documents), those of the reviews for the others."""
+    index = _place_index(spark, sf_dir)
+    langs = A.table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(c("source").alias("place_id"), "lang").distinct().join(index.where("i % 2 = 0"), "place_id")
+    nth = F.row_number().over(Window.partitionBy("place_id").orderBy("lang"))
+    given = langs.select("place_id", nth.alias("fact_no"), F.concat(F.lit("Reviews in "), "lang").alias("fact"))
+    rating = F.nullif("rating", F.lit(0.0))
+    stats = document_reviews(spark, sf_dir).groupBy("place_id").agg(F.count(F.lit(1)).alias("n"), F.avg(rating).alias("rated_avg"))
+    none = F.array().cast("array<string>")
+    return guardrail.facts_of(given, stats.withColumns({"positive_keywords": none, "negative_keywords": none}))
+
+
+def dangling_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that events cite and their place has no review for."""
+    events = A.table(spark, sf_dir, "events")
+    ids = events.select(F.concat(F.lit("src"), (c("user_id") % 20).cast("string")).alias("place_id"), F.concat(F.lit("r"), (c("event_id") % 900).cast("string")).alias("review_id")).distinct()
+    return dashboard.dangling_evidence(ids, document_reviews(spark, sf_dir))
+
+
 def consistency_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.consistency(A.event_scores(spark, sf_dir))
 
@@ -504,7 +541,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         final_score, verdict_counts, review_funnel, usable_reviews, best_place, place_projection, rating_histogram, rating_integrity_flags, document_flags, short_top_rating_share,
-        source_reviews, cached_reports, exact_rounding, near_duplicate_pairs, greedy_dedupe, repeated_phrases, review_batches, batch_prompts, verifier_sample, guardrail_sample, heuristic_stats, aspect_merge, single_batch_aspects, trimmed_aspects, aspect_observations, enriched_concerns, aspect_weighted_score,
+        source_reviews, cached_reports, exact_rounding, kept_themes, batch_emotions, given_facts, dangling_ids, near_duplicate_pairs, greedy_dedupe, repeated_phrases, review_batches, batch_prompts, verifier_sample, guardrail_sample, heuristic_stats, aspect_merge, single_batch_aspects, trimmed_aspects, aspect_observations, enriched_concerns, aspect_weighted_score,
         sentiment_merge_label, emotion_distribution, shown_emotions, first_non_empty_quote, keyword_union, theme_merge, consistency_component, risk_penalty, corrected_aspects, corrected_sentiment,
         corrected_keywords, correction_concerns, correction_badges, trust_component, recency_component, score_unpivot, report_text, fallback_positives, fallback_concerns, point_evidence, evidence_lines,
         verified_facts, verification_defaults, verification_banner, verification_observations, place_suggestions, city_suggestions, geocode_city, category_icon, category_icon_fixture, subtype_tags,

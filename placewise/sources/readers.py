@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placewise.functions.text import slug, url_quote
@@ -16,6 +16,15 @@ def read_places(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RAW_PLACE).json(path)
 
 
+def keyed(raw: DataFrame) -> DataFrame:
+    """raw places with a place_id: title and address, and a number from 2 on for further places of the same ones, in a fixed order."""
+    name = F.concat_ws(", ", F.nullif("title", F.lit("")), F.nullif("address", F.lit("")))
+    row = F.xxhash64(*raw.columns)
+    nth = F.row_number().over(Window.partitionBy("place_id").orderBy(F.desc_nulls_last("reviewsCount"), row))
+    named = raw.withColumn("place_id", name).withColumn("__nth", nth)
+    return named.withColumn("place_id", F.when(F.col("__nth") > 1, F.format_string("%s (%d)", "place_id", "__nth")).otherwise(F.col("place_id"))).drop("__nth")
+
+
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.REVIEWS).parquet(path)
 

@@ -18,6 +18,9 @@ BATCHES = (
     "crowd_profile struct<dominant_visitor_type: string, mention_evidence: string, accessibility_notes: string>, "
     "temporal_trend struct<recent_sentiment: string, recent_score: double, older_sentiment: string, older_score: double, trend: string, trend_explanation: string>"
 )
+#: What batches may say besides: their mood, how often each emotion comes, and how far reviews differ.
+BATCH_EXTRAS = "emotional_tone string, emotion_distribution map<string, bigint>, review_diversity string"
+FACTS = "place_id string, fact_no int, fact string"
 EVIDENCE = "place_id string, ord int, aspect string, evidence string, confidence double, severity string, supporting_review_ids array<string>"
 GUARDRAIL = "place_id string, trust_score double, fake_review_probability double"
 PATTERNS = "place_id string, ord int, pattern string"
