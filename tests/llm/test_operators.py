@@ -741,7 +741,7 @@ def brute_targets(share):
 
 
 def brute_buckets(text):
-    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    words = WORD.findall((text or "").lower())
     return [xxhash.xxh64_intdigest(w.strip(".,;:!?").encode(), 42) % mixing.BUCKETS for w in words]
 
 
