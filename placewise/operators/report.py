@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placewise.functions.session import cut
 from placewise.functions.text import joined, percent
 
+#: Rows of a page of a report.
+PAGE_ROWS = 500
+
 
 def assemble(places: DataFrame, sections: Mapping[str, DataFrame], lists: Mapping[str, tuple[DataFrame, str | Column]]) -> DataFrame:
     """places with a struct column for each section (one row a place) and an array of structs for each list.
@@ -32,6 +36,36 @@ def assemble(places: DataFrame, sections: Mapping[str, DataFrame], lists: Mappin
     return out
 
 
+def numbered(rows: DataFrame, order: Column) -> DataFrame:
+    """rows with a column nth: 1, 2, 3... in each place by order. A place of any size is dealt over many tasks, in its order."""
+    sort = [F.asc_nulls_first("place_id"), F.asc_nulls_first("__o")]
+    dealt = rows.withColumn("__o", order).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    dealt = cut(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    runs = dealt.groupBy("place_id", "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))  # one for each place and each border
+    before = F.sum("__n").over(Window.partitionBy("place_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(F.col("place_id").alias("__p"), F.col("__part").alias("__q"), "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    joined = dealt.join(runs, dealt["place_id"].eqNullSafe(runs["__p"]) & (dealt["__part"] == runs["__q"]))
+    return joined.select(*(dealt[c] for c in rows.columns), (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("nth"))
+
+
+def paged(places: DataFrame, sections: Mapping[str, DataFrame], lists: Mapping[str, tuple[DataFrame, str | Column]], page_rows: int = PAGE_ROWS) -> DataFrame:
+    """(place_id, part, page from 1, n_pages, content): what assemble nests, as pages of JSON.
+
+    The part "report" has the place and its sections on one page; every list is a part of its own, of pages of up to page_rows rows. So
+    no value grows with a place: a review's text has REVIEW_CHARS characters at most, and a page page_rows of them.
+    """
+    head = assemble(places, sections, {})
+    out = head.select("place_id", F.lit("report").alias("part"), F.lit(1).cast("long").alias("page"), F.lit(1).cast("long").alias("n_pages"), F.to_json(F.struct(*head.columns)).alias("content"))
+    for name, (rows, order) in lists.items():
+        kept = numbered(rows, F.col(order) if isinstance(order, str) else order).withColumn("page", F.floor((F.col("nth") - 1) / page_rows) + 1)
+        n_pages = kept.groupBy("place_id").agg(F.max("page").alias("n_pages"))
+        own = F.struct(*(c for c in rows.columns if c != "place_id"))
+        content = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("nth", own.alias("x")))), lambda r: r["x"]))
+        pages = kept.groupBy("place_id", "page").agg(content.alias("content")).join(n_pages, "place_id")
+        out = out.unionByName(pages.select("place_id", F.lit(name).alias("part"), "page", "n_pages", "content"))
+    return out
+
+
 def gated(reports: DataFrame, required: bool) -> DataFrame:
     """Where verification is required and unavailable, an error instead of a result."""
     failed = F.lit(required) & (F.col("verification_status") == "UNAVAILABLE")
@@ -53,16 +87,16 @@ def verdict_contexts(reports: DataFrame, chars: int = 80) -> DataFrame:
     c = F.col
     first = lambda rows, most, one: F.transform(F.slice(rows, 1, most), one)
     polar = lambda name, polarity: F.filter(name, lambda x: x["polarity"] == polarity)
-    cut = lambda x: F.substring(F.coalesce(x["evidence"], F.lit("")), 1, chars).alias("evidence")
+    short = lambda x: F.substring(F.coalesce(x["evidence"], F.lit("")), 1, chars).alias("evidence")
     point = lambda x: F.struct(*(x[n].alias(n) for n in ("claim", "aspect", "evidence_review_ids")))
     context = F.struct(
-        c("place_id").alias("location"), c("name").alias("place_name"), "category", c("google_score").alias("google_official"), F.size("reviews").alias("reviews_analyzed"), c("score.verdict").alias("verdict"), c("score.final_score").alias("visit_score"),
+        c("place_id").alias("location"), c("name").alias("place_name"), "category", c("google_score").alias("google_official"), c("review_stats.analyzed").alias("reviews_analyzed"), c("score.verdict").alias("verdict"), c("score.final_score").alias("visit_score"),
         c("score.confidence").alias("confidence"), c("sentiment.overall_sentiment").alias("overall_sentiment"), c("sentiment.sentiment_score").alias("sentiment_score"),
         first(polar("keywords", "positive"), 6, lambda x: x["keyword"]).alias("top_positive_kw"), first(polar("keywords", "negative"), 4, lambda x: x["keyword"]).alias("top_negative_kw"),
         first(polar("points", "positive"), 5, point).alias("positive_points"), first(polar("points", "negative"), 5, point).alias("negative_points"),
-        first(c("themes"), 4, lambda x: F.struct(x["name"].alias("name"), x["sentiment"].alias("sentiment"), cut(x))).alias("themes"), c("guardrail.trust_score").alias("trust_score"),
-        first(c("positives"), 4, lambda x: F.struct(x["aspect"].alias("aspect"), cut(x))).alias("genuine_positives"),
-        first(c("concerns"), 3, lambda x: F.struct(x["aspect"].alias("aspect"), x["severity"].alias("severity"), cut(x))).alias("genuine_concerns"), c("score").alias("score_breakdown"),
+        first(c("themes"), 4, lambda x: F.struct(x["name"].alias("name"), x["sentiment"].alias("sentiment"), short(x))).alias("themes"), c("guardrail.trust_score").alias("trust_score"),
+        first(c("positives"), 4, lambda x: F.struct(x["aspect"].alias("aspect"), short(x))).alias("genuine_positives"),
+        first(c("concerns"), 3, lambda x: F.struct(x["aspect"].alias("aspect"), x["severity"].alias("severity"), short(x))).alias("genuine_concerns"), c("score").alias("score_breakdown"),
     )
     return reports.where("score IS NOT NULL").select("place_id", context.alias("context"))
 

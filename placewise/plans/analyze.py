@@ -25,6 +25,8 @@ from placewise.sources.cache import ReportCache
 from placewise.sources.readers import CACHE_DAYS
 
 NO_REVIEWS = "No reviews found. Try a more specific location name."
+#: Rows of each list that the explainer may be shown (report.verdict_contexts takes fewer).
+SHOWN = 10
 QUOTES = ("standout_positive_quote", "standout_negative_quote", "crowd_profile", "temporal_trend")
 
 
@@ -36,13 +38,13 @@ def _verified(given: Mapping[str, DataFrame], ids: DataFrame, strict: bool) -> D
     return own.unionByName(verify.unavailable(ids.join(own, "place_id", "left_anti"), strict))
 
 
-def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None, require_verification: bool = False, strict: bool = False, ask: models.Models | None = None) -> DataFrame:
+def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None, require_verification: bool = False, strict: bool = False, ask: models.Models | None = None, page_rows: int | None = None) -> DataFrame:
     """One report for each raw place (schemas.RAW_PLACE and place_id); one without reviews has an error instead.
 
     annotations, each optional and named after its schema: per_review, aspects, batches, themes, points, guardrail,
     positives and concerns (schemas.EVIDENCE), patterns, facts, contradictions, credibility, verifications, sections, corrections, and recommendations (place_id and
     any prose). A place without a verification gets the compatible record (PASS at 0.92), or UNAVAILABLE if strict. ask: models that make the
-    annotations that aren't given.
+    annotations that aren't given. page_rows: pages of so many rows (report.paged) in place of one report for each place, for places of any size.
     """
     given, c = dict(annotations or {}), F.col
     table = lambda name, schema: given[name] if name in given else raw.sparkSession.createDataFrame([], schema)
@@ -117,6 +119,15 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
         rows_of["credibility"] = (dashboard.credibility_table(given["credibility"]), "aspect")
     if emotions is not None:
         rows_of["emotions"] = (emotions, "emotion")
+    if page_rows:
+        if ask is not None and ask.verdict and "recommendations" not in given:  # the explainer is shown the first rows of each list
+            heads = {name: (report.numbered(rows, c(o) if isinstance(o, str) else o).where(c("nth") <= SHOWN).drop("nth"), o) for name, (rows, o) in rows_of.items()}
+            told = models.explain(report.assemble(places, parts_of, heads), ask.verdict, ask.reserve, ask.strong_quota)
+            parts_of["recommendation"] = report.overridden(told, scored)
+        failed = report.gated(verified.select("place_id", "verification_status"), require_verification).select("place_id", "error")
+        failed = places.join(failed, "place_id", "left").join(stats.select("place_id", F.lit(True).alias("some")), "place_id", "left")
+        parts_of["problem"] = failed.select("place_id", F.when(c("some").isNull(), NO_REVIEWS).otherwise(c("error")).alias("error")).where("error IS NOT NULL")
+        return report.paged(places, parts_of, rows_of, page_rows)
     out = report.assemble(places, parts_of, rows_of)
     if ask is not None and ask.verdict and "recommendations" not in given:
         told = report.overridden(models.explain(out, ask.verdict, ask.reserve, ask.strong_quota), scored)

@@ -100,3 +100,32 @@ def test_places_of_one_name_stay_apart(spark):
     rows = [("A", "x", 1), ("A", "x", 5), ("A", "", 2), ("B", "x", 1)]
     named = readers.keyed(spark.createDataFrame(rows, "title string, address string, reviewsCount long"))
     assert sorted((r.place_id, r.reviewsCount) for r in named.collect()) == [("A", 2), ("A, x", 5), ("A, x (2)", 1), ("B, x", 1)]
+
+
+def test_large_places_are_paged(spark):
+    rng = __import__("random").Random(3)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(99)) for _ in range(8)) for _ in range(640)]
+    raw = raw_places(spark, texts).unionByName(raw_places(spark, ["only one"], "Bar").withColumn("place_id", F.lit("q"))).unionByName(raw_places(spark, [], "None").withColumn("place_id", F.lit("none")))
+    whole = {r.place_id: r for r in analyze(raw).collect()}
+    pages = analyze(raw, page_rows=100).collect()
+    by = {}
+    for r in sorted(pages, key=lambda r: r.page):
+        by.setdefault((r.place_id, r.part), []).append(r)
+    for place in ("p", "q"):
+        for part, column in (("reviews", "reviews"), ("per_review", "per_review"), ("flags", "flags")):
+            found = by.get((place, part), [])
+            assert [r.page for r in found] == list(range(1, len(found) + 1)) and all(r.n_pages == len(found) for r in found)
+            rows = [json.loads(r.content) for r in found]
+            assert all(len(x) == 100 for x in rows[:-1]) and all(len(r.content) < 100 * 4_000 for r in found)
+            key = {"reviews": "pos", "per_review": "id", "flags": "flag_no"}[part]
+            assert [x[key] for page in rows for x in page] == [x[key] for x in whole[place][column]]
+    assert len(by["p", "reviews"]) == 7
+    head = {place: json.loads(by[place, "report"][0].content) for place in ("p", "q", "none")}
+    assert head["p"]["score"]["final_score"] == whole["p"].score.final_score and "problem" not in head["p"]
+    assert head["none"]["problem"]["error"].startswith("No reviews found") and ("none", "reviews") not in by
+
+
+def test_explained_pages(spark):
+    answers = lambda prompt: json.dumps({"one_line_verdict": "short"}) if "Explain the verdict" in prompt else say(prompt)
+    pages = analyze(raw_places(spark, ["one text", "another one"]), ask=models.Models(answers, verdict=answers), page_rows=50).where("part = 'report'").first()
+    assert json.loads(pages.content)["recommendation"]["one_line_verdict"] == "short"
