@@ -20,6 +20,7 @@ from placewise.functions.text import rounded
 from placewise.operators import annotate, corrections, dashboard, dedupe, guardrail, heuristics, report, scoring, sentiment, verify
 from placewise.operators import reviews as R
 from placewise.plans import models
+from placewise.plans.progress import Progress
 from placewise.sources import schemas
 from placewise.sources.cache import ReportCache
 from placewise.sources.readers import CACHE_DAYS
@@ -38,20 +39,22 @@ def _verified(given: Mapping[str, DataFrame], ids: DataFrame, strict: bool) -> D
     return own.unionByName(verify.unavailable(ids.join(own, "place_id", "left_anti"), strict))
 
 
-def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None, require_verification: bool = False, strict: bool = False, ask: models.Models | None = None, page_rows: int | None = None) -> DataFrame:
+def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None, require_verification: bool = False, strict: bool = False, ask: models.Models | None = None, page_rows: int | None = None, progress: Progress | None = None) -> DataFrame:
     """One report for each raw place (schemas.RAW_PLACE and place_id); one without reviews has an error instead.
 
     annotations, each optional and named after its schema: per_review, aspects, batches, themes, points, guardrail,
     positives and concerns (schemas.EVIDENCE), patterns, facts, contradictions, credibility, verifications, sections, corrections, and recommendations (place_id and
     any prose). A place without a verification gets the compatible record (PASS at 0.92), or UNAVAILABLE if strict. ask: models that make the
-    annotations that aren't given. page_rows: pages of so many rows (report.paged) in place of one report for each place, for places of any size.
+    annotations that aren't given. page_rows: pages of so many rows (report.paged) in place of one report for each place, for places of any size. progress: told of each step.
     """
-    given, c = dict(annotations or {}), F.col
+    given, c, steps = dict(annotations or {}), F.col, progress or Progress()
+    steps.begin(1, "Collecting and cleaning reviews...")
     table = lambda name, schema: given[name] if name in given else raw.sparkSession.createDataFrame([], schema)
     places, scraped = R.project_places(raw), R.explode_reviews(raw)
-    reviews = cut(dedupe.clean(R.usable_reviews(scraped)))  # a dozen parts read them
+    reviews = steps.kept(dedupe.clean(R.usable_reviews(scraped)), 1, "reviews after cleaning")  # a dozen parts read them
     if ask is not None:
-        given = models.ask(reviews, ask) | given
+        given = models.ask(reviews, ask, steps) | given
+    steps.begin(5, "Computing scores and verdicts...")
     per_review = given.get("per_review", annotate.lexicon_annotations(reviews))
     aspects = sentiment.merge_aspects(table("aspects", schemas.ASPECTS), c("batch"))
     said, fixes, points = table("batches", schemas.BATCHES), table("corrections", schemas.CORRECTIONS), sentiment.merge_points(table("points", schemas.POINTS))
@@ -77,7 +80,7 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
     joined = places.select("place_id", "google_score").join(stats, "place_id").join(verified, "place_id")
     for part in (mood, quotes, scoring.aspect_scores(scores), scoring.consistency(per_review), scoring.risk_penalty(concerns, fixes), trust, verify.aspect_texts(aspects), sentiment.keyword_lists(keywords)):
         joined = joined.join(part, "place_id", "left")
-    joined = cut(joined)  # one row a place, read by the score, the checks and the facts
+    joined = steps.kept(joined, 5, "places")  # one row a place, read by the score, the checks and the facts
     mood_score = F.coalesce("sentiment_score", F.lit(0.0))
     parts = joined.select(
         "place_id", "n", "trust_score", "verification_status", "accuracy", scoring.sentiment_component(mood_score).alias("sentiment_comp"), F.coalesce("aspect_comp", F.lit(5.0)).alias("aspect_comp"),
@@ -119,6 +122,8 @@ def analyze(raw: DataFrame, annotations: Mapping[str, DataFrame] | None = None,
         rows_of["credibility"] = (dashboard.credibility_table(given["credibility"]), "aspect")
     if emotions is not None:
         rows_of["emotions"] = (emotions, "emotion")
+    if ask is not None and ask.verdict and "recommendations" not in given:
+        steps.begin(6, "Writing pros, cons and tips...")
     if page_rows:
         if ask is not None and ask.verdict and "recommendations" not in given:  # the explainer is shown the first rows of each list
             heads = {name: (report.numbered(rows, c(o) if isinstance(o, str) else o).where(c("nth") <= SHOWN).drop("nth"), o) for name, (rows, o) in rows_of.items()}

@@ -18,6 +18,7 @@ from placewise.operators import guardrail, heuristics, report, sentiment, verify
 from placewise.operators import reviews as R
 from placewise.operators.annotate import annotate
 from placewise.operators.quota import Quota
+from placewise.plans.progress import Progress
 from placewise.sources import schemas
 
 Model = Callable[[str], str]
@@ -124,26 +125,30 @@ def _sample(reviews: DataFrame, first: int, chars: int) -> tuple[DataFrame, str]
     return R.sample(reviews, first, chars).withColumn("at", F.substring("id", 2, 10).cast("int")), "at"
 
 
-def ask(reviews: DataFrame, models: Models) -> dict[str, DataFrame]:
+def ask(reviews: DataFrame, models: Models, progress: Progress | None = None) -> dict[str, DataFrame]:
     """All annotations that the models make of cleaned reviews, each answer computed once.
 
     The guardrail sees the merged sentiment, the flags and the first reviews; the verifier sees first reviews and
     what the two say, and is asked again with fewer reviews where it gives no answer.
     """
+    steps = progress or Progress()
+    steps.begin(2, "Analyzing reviews in batches...")
     prompts = _asked(R.batch_prompts(reviews), "Analyse the reviews of a place; their ids are in brackets, cite them as evidence.", SENTIMENT)
-    out = sentiment_tables(cut(annotate(prompts, models.sentiment, SENTIMENT, models.reserve, quota=models.strong_quota)))
+    out = sentiment_tables(steps.kept(annotate(prompts, models.sentiment, SENTIMENT, models.reserve, quota=models.strong_quota), 2, "batches"))
     places = reviews.select("place_id").distinct()
     mood = sentiment.merge_sentiment(out["batches"].select("place_id", "batch", "sentiment_score", "overall_sentiment"))
     words = sentiment.keyword_lists(sentiment.merge_keywords(out["batches"]))
     points = sentiment.merge_points(out["points"])
     if models.guardrail:
+        steps.begin(3, "Checking review authenticity and trust...")
         themes = sentiment.merge_themes(out["themes"], F.struct("batch", "ord"), out["batches"]).drop("batch", "ord")
         seen = report.assemble(places.join(words, "place_id", "left"), {}, {"themes": (themes, "first")})
         parts = {"sentiment": mood, "context": guardrail.sentiment_context(seen), "quotes": sentiment.merge_firsts(out["batches"], "temporal_trend"), "stats": heuristics.heuristic_stats(reviews)}
         lists = {"flags": (heuristics.place_flags(reviews), "flag_no"), "reviews": _sample(reviews, GUARDRAIL_REVIEWS, GUARDRAIL_CHARS)}
         prompts = _asked(_as_json(report.assemble(places, parts, lists)), "Judge how genuine the reviews of a place are.", GUARDRAIL)
-        out |= guardrail_tables(cut(annotate(prompts, models.guardrail, GUARDRAIL, models.reserve, quota=models.fast_quota)))
+        out |= guardrail_tables(steps.kept(annotate(prompts, models.guardrail, GUARDRAIL, models.reserve, quota=models.fast_quota), 3, "places"))
     if models.verifier:
+        steps.begin(4, "Verifying the analysis independently...")
         empty = places.sparkSession.createDataFrame([], schemas.EVIDENCE)
         concerns = guardrail.enriched("negative", out.get("concerns", empty), points, reviews)
         shown = [c.alias(n) for n, c in (("place_id", F.col("place_id")), ("positive_keywords", F.slice("positive_keywords", 1, 6)), ("negative_keywords", F.slice("negative_keywords", 1, 6)))]
@@ -157,7 +162,7 @@ def ask(reviews: DataFrame, models: Models) -> dict[str, DataFrame]:
         packed = cut(report.assemble(places, parts, lists))
         task = "Check the analysis against the reviews of a place; correct only what they don't support, citing review ids."
         asked = lambda these, first: _asked(_as_json(report.assemble(these, {}, {"reviews": _sample(reviews, first, VERIFIER_CHARS)})), task, VERIFIER)
-        answers = cut(annotate(asked(packed, VERIFIER_REVIEWS), models.verifier, VERIFIER, attempts=1, quota=models.fast_quota))
+        answers = steps.kept(annotate(asked(packed, VERIFIER_REVIEWS), models.verifier, VERIFIER, attempts=1, quota=models.fast_quota), 4, "places")
         longer = reviews.where(F.col("pos") > FEWER_REVIEWS).select("place_id").distinct()
         silent = packed.join(answers.where("answer IS NULL"), "place_id", "left_semi").join(longer, "place_id", "left_semi")
         again = cut(annotate(asked(silent, FEWER_REVIEWS), models.verifier, VERIFIER, attempts=1, quota=models.fast_quota))

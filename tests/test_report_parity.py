@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from placewise.operators import report
 from placewise.plans import models
 from placewise.plans.analyze import analyze
+from placewise.plans.progress import Progress
 from placewise.plans.settings import Settings
 from placewise.sources import readers, schemas
 
@@ -129,3 +130,11 @@ def test_explained_pages(spark):
     answers = lambda prompt: json.dumps({"one_line_verdict": "short"}) if "Explain the verdict" in prompt else say(prompt)
     pages = analyze(raw_places(spark, ["one text", "another one"]), ask=models.Models(answers, verdict=answers), page_rows=50).where("part = 'report'").first()
     assert json.loads(pages.content)["recommendation"]["one_line_verdict"] == "short"
+
+
+def test_progress_tells_steps_rows_and_seconds(spark):
+    told = []
+    progress = Progress(lambda step, title, message: told.append((step, title, message)))
+    rows = analyze(raw_places(spark, ["one text", "another one", "one text"]), ask=models.Models(say, say), progress=progress).collect()
+    assert len(rows) == 1 and [(x["step"], x["what"], x["rows"]) for x in progress.log] == [(1, "reviews after cleaning", 2), (2, "batches", 1), (3, "places", 1), (5, "places", 1)]
+    assert [t[0] for t in told] == [1, 1, 2, 2, 3, 3, 5, 5] and told[1][1:2] == ("Scraping Reviews",) and told[1][2].startswith("2 reviews after cleaning in ")
