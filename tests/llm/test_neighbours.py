@@ -78,7 +78,7 @@ def test_clusters_are_found_in_few_parts(spark):
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [2.0, 0.0]), (4, [0.0, 1.0]), (50, [0.0, 3.0]), (50, [0.0, 3.0]), (100, None), (150, []), (200, [0.0, 0.0]), (250, [nan, 1.0]), (300, [inf, 1.0])]
-    rows += [(350, [1.0, None]), (None, [1.0, 1.0]), (400, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 4.0]), (450, [5.0]), (500, [1e300, 1e300]), (6, [1e-300, 1e-300]), (-50, [-1.0, 0.0])]
+    rows += [(350, [1.0, None]), (None, [1.0, 1.0]), (400, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 4.0]), (450, [5.0]), (500, [2.0**1000, 2.0**1000]), (6, [2.0**-1000, 2.0**-1000]), (-50, [-1.0, 0.0])]
     df = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, embedding array<double>, label int, Size string")
     rows_found = neighbours.search(df, F.col("vec_id") % 50 == 0).collect()
     want = brute(rows, 5, lambda i: i % 50 == 0)
