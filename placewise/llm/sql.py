@@ -95,4 +95,50 @@ placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r,
 SELECT noisy.doc_id, n_features, weight, score, CASE WHEN r <= 25 * able // 100 THEN r END AS rank
 FROM noisy LEFT JOIN placed ON placed.doc_id = noisy.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY, "op6_line_dedup": LINES, "op10_warc": WARC, "op12_importance_resampling": RESAMPLING}
+#: The cheapest edits as a fold over a conversation's rows: of each grammar state (start, after system, user, assistant) the least (cost, labels).
+REPAIR = r"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+drawn AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS d
+  FROM keyed, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN d = 0 THEN 0 WHEN d = 3 THEN 2 ELSE 1 END)) AS k FROM drawn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 256), md5(text), k) AS i FROM damaged),
+judged AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM placed),
+faults AS (
+  SELECT *, CASE WHEN solid = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, left(role, 1) AS r FROM judged),
+folded AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY i) AS lines,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+    count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    list_reduce(list(struct_pack(r := r, gone := fault IN ('b', 'd'), more := CASE WHEN fault = 't' THEN 1 ELSE 0 END, q := [struct_pack(c := CAST(0 AS BIGINT), s := '')]) ORDER BY i),
+      lambda a, x: struct_pack(r := x.r, gone := x.gone, more := x.more, q := list_transform([list_transform([1, 2, 3, 4], lambda j: list_sort(list_concat(
+        [struct_pack(c := a.q[j].c + 3, s := a.q[j].s || 'D')],
+        CASE WHEN x.gone THEN [] WHEN j = 2 AND x.r = 's' THEN [struct_pack(c := a.q[1].c + x.more, s := a.q[1].s || 'K')]
+          WHEN j = 3 THEN list_transform([1, 2, 4], lambda f: struct_pack(c := a.q[f].c + x.more + CASE WHEN x.r = 'u' THEN 0 ELSE 2 END, s := a.q[f].s || CASE WHEN x.r = 'u' THEN 'K' ELSE 'R' END))
+          WHEN j = 4 THEN [struct_pack(c := a.q[3].c + x.more + CASE WHEN x.r = 'a' THEN 0 ELSE 2 END, s := a.q[3].s || CASE WHEN x.r = 'a' THEN 'K' ELSE 'R' END)] ELSE [] END
+      ))[1])], lambda b: [b[1], b[2],
+        list_sort([b[3]] || list_transform([1, 2, 4], lambda f: struct_pack(c := b[f].c + 2, s := b[f].s || 'I')))[1],
+        list_sort([b[4], struct_pack(c := b[3].c + 2, s := b[3].s || 'I')] || list_transform([1, 2], lambda f: struct_pack(c := b[f].c + 4, s := b[f].s || 'II')))[1]])[1]),
+      struct_pack(r := '', gone := false, more := 0, q := [struct_pack(c := CAST(0 AS BIGINT), s := ''), struct_pack(c := CAST(1000000000 AS BIGINT), s := ''), struct_pack(c := CAST(2 AS BIGINT), s := 'I'), struct_pack(c := CAST(4 AS BIGINT), s := 'II')])) AS f
+  FROM faults GROUP BY conv_id),
+chosen AS (SELECT *, list_sort([f.q[1], f.q[4]])[1] AS best FROM folded),
+told AS (SELECT *, best.s AS audit, length(replace(best.s, 'D', '')) AS n FROM chosen),
+mended AS (
+  SELECT *, list_transform(list_filter(range(1, length(audit) + 1), lambda k: audit[k] <> 'D'), lambda k:
+    CASE WHEN audit[k] = 'K' THEN lines[length(replace(left(audit, k), 'I', ''))].role WHEN (length(replace(left(audit, k), 'D', '')) % 2 = 1) = (n % 2 = 0) THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN audit[k] = 'I' THEN '' ELSE lines[length(replace(left(audit, k), 'I', ''))].text END) AS out
+  FROM told)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY, "op6_line_dedup": LINES, "op10_warc": WARC, "op12_importance_resampling": RESAMPLING, "op13_conversation_repair": REPAIR}

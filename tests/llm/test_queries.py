@@ -32,7 +32,7 @@ COLUMNS = {
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_twins(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         path = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     found = con.execute(ORACLE_SQL[name])
