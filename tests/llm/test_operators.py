@@ -790,6 +790,8 @@ def brute_features(text, lang, model):
 
 def brute_rates(rows):
     """Of documents (doc_id, text, source, lang) by the default targets."""
+    if not rows:
+        return {}
     model = brute_topics([(t, la) for _, t, _, la in rows])
     cell = {i: (s, la, *brute_features(t, la, model)) for i, t, s, la in rows}
     tokens = Counter()
