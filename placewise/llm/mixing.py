@@ -12,8 +12,9 @@ mixed with equal ones (EVEN), which lifts rare values. Such marginals aren't tho
 factors. Where empty cells let no weights meet default targets, the sweeps' last weights stand (the last dimension's marginals hold);
 targets that are given raise an error then.
 
-Topics are learnt from the table, from which words go together. In a sample of about SAMPLE different texts, taken by a hash over all rows, words that
-are neither rare nor everywhere in their language are counted, alone and in pairs. In each language TOPICS words of little lift among each other begin the topics, and all
+Topics are learnt from the whole table, from which words go together. In all its different texts, words that
+are neither rare nor everywhere in their language are counted, alone and in pairs. Pairs are counted by bits: of each block of texts a word has a
+long for each 64 texts with a bit for each text that holds it, so a block makes a row for each pair of words whatever its texts. In each language TOPICS words of little lift among each other begin the topics, and all
 others join the topics, of equally many words each, by their lift with those in them, in ROUNDS rounds; the first topics of all languages have one name, and so on. So topics don't
 repeat languages, and cells of all languages and topics have documents. Every document is then on the topic that its words are of beyond
 what is usual in its language (by standard deviations; of equal ones the first), and on OTHER if it has no such word. The model is an
@@ -25,7 +26,8 @@ targets lift a hundredfold takes nothing from the others. With repeats = 1 no do
 all tokens then, since at that budget every rate would be 1.
 
 Draws are hashes of seed, doc_id and text, so a task that runs again draws the same and repeated rows share their fate.
-Texts are read once; the rows with their topic and size are kept in the shared folder. Documents meet their cell's rate
+Texts are read twice, for the model and for the topics that it tells; of the first reading each different text's words are kept in the shared
+folder, as hashes of two bytes, and of the second the rows with their topic and size. Documents meet their cell's rate
 in a broadcast join while cells number at most BROADCAST_CELLS, else in a join that adaptive execution can split at hot
 cells; no document moves in the first case. Per-cell sums are aggregated partially.
 
@@ -46,13 +48,14 @@ from pyspark.sql import functions as F
 from placewise.llm._common import WORD, cut, fresh, let
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Topics, texts that they are learnt from, hashes of words, words of a language that tell a topic, the texts that such a word may be in.
+#: Topics, hashes of words, words of a language that tell a topic, the texts that such a word may be in.
 TOPICS = 6
-SAMPLE = 2_000
 BUCKETS = 4096
 MODEL_WORDS = 200
 LEAST_TEXTS, MOST_SHARE = 3, 0.5
 ROUNDS = 5
+#: Longs of a word in a block: texts of a block, by 64.
+LANES = 4
 OTHER = "other"
 #: Default targets: shares of tokens to this power, then mixed with equal shares in this part.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
@@ -117,23 +120,32 @@ class Topics:
     usual: dict[str, list[float]]  # of each language: shares of topics among its words that tell one
 
 
+def _pairs(sets: DataFrame, own: DataFrame) -> DataFrame:
+    """(lang, x, y, count), x < y: the texts of sets (lang, held), as they are kept, that hold both of two own words (lang, w) of their language."""
+    nth = F.monotonically_increasing_id()  # sets are kept in their order, so a task that runs again numbers them the same
+    words = own.groupBy("lang").agg(F.collect_list("w").alias("words"))  # MODEL_WORDS at most
+    texts = sets.select("lang", "held", nth.alias("nth")).join(F.broadcast(words), "lang").select("lang", "nth", F.explode(F.array_intersect("words", "held")).alias("w"))
+    lane, bit = F.shiftright("nth", 6) % LANES, F.expr("shiftleft(1L, cast(nth & 63 as int))")
+    marks = texts.groupBy("lang", F.floor(F.shiftright("nth", 6) / LANES).alias("block"), "w").agg(*(F.coalesce(F.bit_or(F.when(lane == k, bit)), F.lit(0).cast("long")).alias(f"bits{k}") for k in range(LANES)))
+    blocks = marks.groupBy("lang", "block").agg(F.collect_list(F.struct("w", *(f"bits{k}" for k in range(LANES)))).alias("of"))
+    both = blocks.select("lang", "of", F.explode("of").alias("x")).select("lang", "x", F.explode("of").alias("y")).where("x.w < y.w")
+    count = sum((F.bit_count(F.col(f"x.bits{k}").bitwiseAND(F.col(f"y.bits{k}"))) for k in range(1, LANES)), F.bit_count(F.col("x.bits0").bitwiseAND(F.col("y.bits0"))))
+    return both.groupBy("lang", F.col("x.w").alias("x"), F.col("y.w").alias("y")).agg(F.sum(count).alias("count"))
+
+
 def learn_topics(docs: DataFrame) -> Topics:
     """The model of docs (text, lang)."""
-    n = docs.count()
     text, lang = F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    h = F.xxhash64(F.lit(7), text)
-    picked = docs.where(text.isNotNull() & (F.pmod(h, F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))))
-    once = picked.groupBy(h.alias("h")).agg(F.first(text).alias("text"), F.min(lang).alias("lang"))
-    sets = cut(once.select("h", "lang", F.array_distinct(F.transform(_words(F.col("text")), _bucket)).alias("held")))  # SAMPLE rows or so
+    held = F.array_distinct(F.transform(_words(text), lambda w: _bucket(w).cast("short")))
+    once = docs.where(text.isNotNull()).select(F.xxhash64(F.lit(7), text).alias("h"), lang.alias("lang"), held.alias("held")).groupBy("h").agg(F.min("lang").alias("lang"), F.first("held").alias("held"))
+    sets = cut(once.select("lang", "held").sortWithinPartitions("lang"))  # so that blocks are of one language, mostly
     texts = sets.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
     counts = sets.select("lang", F.explode("held").alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).join(texts, "lang")
     first = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("n"), "lang")) == 1  # the language that has a word most
     telling = counts.withColumn("first", first).where(F.col("first") & (F.col("n") >= LEAST_TEXTS) & (F.col("n") <= F.greatest(F.lit(LEAST_TEXTS), MOST_SHARE * F.col("texts"))))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
     own = cut(telling.withColumn("nth", nth).where(F.col("nth") <= MODEL_WORDS).select("lang", "w", "n", "texts"))
-    kept = sets.select("h", "lang", F.explode("held").alias("w")).join(F.broadcast(own.select("lang", "w")), ["lang", "w"])
-    held = kept.groupBy("lang", "h").agg(F.collect_list("w").alias("held"))
-    pairs = held.select("lang", "held", F.explode("held").alias("x")).select("lang", "x", F.explode("held").alias("y")).where("x < y").groupBy("lang", "x", "y").count()
+    pairs = _pairs(sets, own.select("lang", "w"))
     together: dict[str, dict[tuple[int, int], int]] = {}
     for r in pairs.collect():  # of each language MODEL_WORDS squared at most
         together.setdefault(r["lang"], {})[r["x"], r["y"]] = r["count"]

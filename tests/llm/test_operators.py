@@ -839,6 +839,16 @@ def test_topics_are_those_of_words_that_go_together(spark):
     assert mixing.learn_topics(df.limit(0)) == mixing.Topics([""] * mixing.BUCKETS, {})
 
 
+def test_topics_are_learnt_from_all_texts(spark):
+    """Word counts and pairs of 5,000 texts, some of them twice or in two languages, over blocks of texts: as a plain loop has them."""
+    rng = random.Random(6)
+    words = {la: [f"{la}{i}" for i in range(30)] for la in ("en", "de")}
+    rows = [(" ".join(rng.sample(words[la], rng.randint(1, 12))), la) for la in rng.choices(["en", "de"], (4, 1), k=5_000)]
+    rows += rows[:300] + [(t, "de" if la == "en" else None) for t, la in rows[300:600]] + [("", "en"), (None, "en")]
+    model = mixing.learn_topics(spark.createDataFrame(rows, "text string, lang string").repartition(5))
+    assert (model.letters, model.usual) == brute_topics(rows)
+
+
 def spark_draw(doc_id, text):
     h = xxhash.xxh64_intdigest((42).to_bytes(4, "little"), 42)
     h = h if doc_id is None else xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), h)
