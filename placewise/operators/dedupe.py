@@ -6,7 +6,8 @@ components give it. `greedy` finds it without collecting a place, and without wr
 1. rows with equal word sets (words as 64-bit hashes) collapse to the first (later ones share its fate or are dropped by it);
 2. rows are indexed under a prefix of their words in order of rarity: two sets whose likeness exceeds the threshold share a
    word among the first n - ceil(threshold * n) + 1 of each (Bayardo et al., 2007), and enough words can follow their first
-   common one (the positional filter);
+   common one (the positional filter). Rows of the index carry a sketch of LANES longs, in which each word of the row turns one bit: two sketches differ in no
+   more bits than their sets in words, so pairs whose sketches differ by more than the threshold allows are left before they are written;
 3. each round takes the first open rows of each word, FIRST at first and GROWTH times as many in each round. A row that is among them for all its
    words has met all earlier open rows that it can be like, so it can be settled: kept if they are all dropped, dropped if one is kept.
    Then open rows are compared with the rows just kept, and with them only, and those alike are dropped.
@@ -31,6 +32,12 @@ THRESHOLD = 0.70
 #: Open rows of a word that the first round settles, and by what that grows from round to round.
 FIRST = 8
 GROWTH = 4
+#: Longs of a sketch.
+LANES = 2
+#: Rows that pairs name, up to which their words are picked by a broadcast and not by an exchange of all words.
+BROADCAST_ROWS = 200_000
+
+_SKETCH = [f"s{k}" for k in range(LANES)]
 
 
 def greedy_fold(reviews: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -45,27 +52,45 @@ def greedy_fold(reviews: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.select("place_id", F.explode(F.aggregate("rows", none, step)).alias("k")).select("place_id", F.col("k.pos").alias("pos"))
 
 
+def _sketch(words: Column) -> list[Column]:
+    """LANES longs: the words turn a bit each, so where two sketches differ so do the sets, by a word at least for each bit."""
+    turned = lambda held, w: held.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
+    lane = lambda k: F.filter(F.transform(words, lambda w: F.xxhash64(w)), lambda w: F.pmod(F.shiftright(w, 6), F.lit(LANES)) == k)
+    return [F.aggregate(lane(k), F.lit(0).cast("long"), turned).alias(name) for k, name in enumerate(_SKETCH)]
+
+
 def _prefix(sets: DataFrame, threshold: float) -> DataFrame:
-    """(place_id, word, pos, n, rank) for sets (place_id, pos, words): a row under those of its words that others can find it by."""
+    """(place_id, word, pos, n, rank, sketch) for sets (place_id, pos, words): a row under those of its words that others can find it by."""
     tokens = sets.select("place_id", "pos", F.size("words").alias("n"), F.explode("words").alias("word"))
     rarity = tokens.groupBy("place_id", "word").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
     # words that one row has can't be shared; the ranks of the others start behind them
     shared = tokens.join(rarity, ["place_id", "word"])
     row = Window.partitionBy("place_id", "pos")
     rank = F.row_number().over(row.orderBy("seen", "word")) + F.col("n") - F.count(F.lit(1)).over(row)
-    return shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).select("place_id", "word", "pos", "n", "rank")
+    prefix = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1)
+    return prefix.join(sets.select("place_id", "pos", *_sketch(F.col("words"))), ["place_id", "pos"]).select("place_id", "word", "pos", "n", "rank", *_SKETCH)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs (place_id, a, b) whose words are alike indeed."""
+    pairs = cut(pairs)
+    rows = cut(pairs.select("place_id", F.explode(F.array("a", "b")).alias("pos")).distinct())
+    if rows.count() <= BROADCAST_ROWS:
+        sets = sets.join(F.broadcast(rows), ["place_id", "pos"], "left_semi")
+    words = lambda end: sets.select("place_id", F.col("pos").alias(end), F.col("words").alias(f"words_{end}"))
+    both = pairs.join(words("a"), ["place_id", "a"]).join(words("b"), ["place_id", "b"])
+    return both.where(jaccard(F.col("words_a"), F.col("words_b")) > F.lit(threshold)).select("place_id", "a", "b")
 
 
 def _alike(earlier: DataFrame, later: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(place_id, a, b), a < b, of rows of two indexes whose likeness exceeds the threshold."""
-    left, right = earlier.withColumnsRenamed({"pos": "a", "n": "na", "rank": "ra"}), later.withColumnsRenamed({"pos": "b", "n": "nb", "rank": "rb"})
+    left, right = (df.withColumnsRenamed({"pos": end, **{c: f"{c}{end}" for c in ("n", "rank", *_SKETCH)}}) for df, end in ((earlier, "a"), (later, "b")))
     near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
     # at their first common word, two sets can have only what follows it in common besides
-    near &= 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) > F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
-    pairs = left.join(right, ["place_id", "word"]).where(near).select("place_id", "a", "b").distinct()
-    words = lambda end: sets.select("place_id", F.col("pos").alias(end), F.col("words").alias(f"words_{end}"))
-    both = pairs.join(words("a"), ["place_id", "a"]).join(words("b"), ["place_id", "b"])
-    return both.where(jaccard(F.col("words_a"), F.col("words_b")) > F.lit(threshold)).select("place_id", "a", "b")
+    near &= 1 + F.least(F.col("na") - F.col("ranka"), F.col("nb") - F.col("rankb")) > F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in _SKETCH))
+    near &= differ < F.lit((1 - threshold) / (1 + threshold)) * (F.col("na") + F.col("nb")) + 1e-6
+    return _verified(left.join(right, ["place_id", "word"]).where(near).select("place_id", "a", "b").distinct(), sets, threshold)
 
 
 def alike_pairs(sets: DataFrame, threshold: float) -> DataFrame:

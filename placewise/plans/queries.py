@@ -25,6 +25,11 @@ def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.usable_reviews(A.raw_document_reviews(spark, sf_dir))
 
 
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw reviews, of their texts only what near-duplicates are told by."""
+    return A.raw_document_reviews(spark, sf_dir, F.substring(T.strip(c("text")), 1, T.REVIEW_CHARS))
+
+
 def review_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = A.raw_document_reviews(spark, sf_dir)
     return R.funnel(raw, dedupe.greedy(R.usable_reviews(raw)))
@@ -99,7 +104,7 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.greedy(document_reviews(spark, sf_dir))
+    return dedupe.greedy(R.usable_reviews(_compared(spark, sf_dir)))
 
 
 def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,9 @@ def label_rating() -> F.Column:
     return F.when((q == 1) & (t == 0), 5.0).when((q == 1) & (t == 1), 2.0).when((q == 0) & (t == 1), 1.0).otherwise(3.0)
 
 
-def raw_document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw reviews: place, pos and the fields of a scraped review, of documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+def raw_document_reviews(spark: SparkSession, sf_dir: str, text: F.Column | None = None) -> DataFrame:
+    """Raw reviews: place, pos and the fields of a scraped review, of documents. text: what is needed of the text, so that joins carry no more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("text") if text is None else text).alias("text"))
     labels = table(spark, sf_dir, "labels").select("doc_id", label_rating().alias("stars"))
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("publishedAtDate"))
     numbered = renumbered(docs.select("doc_id", F.col("source").alias("place_id"), F.col("doc_id").alias("pos")))

@@ -83,6 +83,25 @@ def test_greedy_on_a_template_crowd(spark, monkeypatch):
     assert sum(found) < 2 * len(texts)
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_greedy_writes_few_pairs_of_unlike_texts(spark, monkeypatch, broadcast):
+    """Texts of one small vocabulary share rare words and aren't alike: their sketches tell, so hardly a pair is written; those alike are found."""
+    rng, written, verified = random.Random(3), [], dedupe._verified
+
+    def counted(pairs, *args):
+        written.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(dedupe, "_verified", counted)
+    monkeypatch.setattr(dedupe, "BROADCAST_ROWS", broadcast)
+    texts = [" ".join(f"w{i}" for i in rng.sample(range(400), rng.randint(30, 90))) for _ in range(600)]
+    texts += [" ".join([*t.split()[3:], "new"]) for t in texts[:60]]
+    want = plain_greedy(texts)
+    assert len(want) == 600
+    assert kept(dedupe.greedy(reviews(spark, texts))) == [("p", i) for i in want]
+    assert sum(written) < len(texts)
+
+
 def test_greedy_empty_texts_and_empty_table(spark):
     assert len(kept(dedupe.greedy(reviews(spark, ["", " ", "a"])))) == 3
     assert kept(dedupe.greedy(reviews(spark, []))) == []
