@@ -163,6 +163,21 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir, tmp_path):
     assert checked_stages(spark, df.limit(0), sf_dir, tmp_path / "none").count() == 0
 
 
+def test_pipeline_mixes_by_topics_of_all_texts(spark):
+    """The mixing stage on 5,000 texts draws each as often as a plain loop does that counts words and pairs in all of them."""
+    rng = random.Random(7)
+    words = {la: [f"{la}{i}" for i in range(30)] for la in ("en", "de")}
+    rows = []
+    for i in range(5_000):
+        la = rng.choices(["en", "de"], (4, 1))[0]
+        at = rng.randrange(30)
+        rows.append((i, " ".join(rng.choice(words[la][at:] + words[la]) for _ in range(rng.randint(3, 20))), rng.choices("abc", (8, 2, 1))[0], la))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    want = {i: int(rate + 1e-9) + (spark_draw(i, rows[i][1]) < (rate + 1e-9) % 1) for i, (_, _, rate) in brute_rates(rows).items()}
+    got = dict(corpus_pipeline.STAGES)["mixing"](spark, df, "")
+    assert Counter(r.doc_id for r in got.collect()) == +Counter(want)
+
+
 def test_pipeline_drops_near_copies(spark):
     words = [f"w{i}" for i in range(300)]
     edited = ["other" if i % 75 == 40 else w for i, w in enumerate(words)]
